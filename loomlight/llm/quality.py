@@ -16,8 +16,8 @@ columns are ignored; an empty table gives no rows.
 from __future__ import annotations
 
 from functools import reduce
-from math import log2
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,9 +30,24 @@ SHORT = 1 << 20
 FEATURES = ["n_words", "mean_length", "symbols", "capitals", "marks", "repeats", "dup_lines", "distinct"]
 
 
-def _covered(starts: str) -> str:
-    """Words under windows of three that begin at the sorted starts."""
-    return f"aggregate(transform({starts}, (s, k) -> least(3L, coalesce(get({starts}, k + 1) - s, 3L))), 0L, (a, x) -> a + x)"
+def _let(name: str, value: str, body: str) -> str:
+    """body with value bound to name: evaluated once, however the optimizer moves the expression."""
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
+
+
+def _repeat_words(words: str) -> str:
+    """Words covered by windows of three words that occur at least twice.
+
+    Sorting brings equal windows together; the windows' places, sorted, tell how many words they cover.
+    """
+    window = "xxhash64(get(w, i), get(w, i + 1), get(w, i + 2))"
+    places = "sequence(0, size(w) - 3)"
+    near = " OR ".join(f"coalesce((x ^ get(s, k {o} 1)) BETWEEN 0 AND {SHORT - 1}, false)" for o in "-+")
+    same = " OR ".join(f"coalesce(x.h = get(s, k {o} 1).h, false)" for o in "-+")
+    short = _let("s", f"sort_array(transform({places}, i -> ({window} & {-SHORT}L) | i))", f"transform(filter(s, (x, k) -> {near}), x -> x & {SHORT - 1}L)")
+    long = _let("s", f"sort_array(transform({places}, i -> struct({window} AS h, i AS i)))", f"transform(filter(s, (x, k) -> {same}), x -> CAST(x.i AS BIGINT))")
+    covered = _let("p", f"sort_array(CASE WHEN size(w) <= {SHORT} THEN {short} ELSE {long} END)", "aggregate(transform(p, (x, k) -> least(3L, coalesce(get(p, k + 1) - x, 3L))), 0L, (a, x) -> a + x)")
+    return _let("w", words, f"CASE WHEN size(w) < 3 THEN 0L ELSE {covered} END")
 
 
 def with_statistics(docs: DataFrame) -> DataFrame:
@@ -46,79 +61,71 @@ def with_statistics(docs: DataFrame) -> DataFrame:
     trimmed = F.regexp_replace(text, rf"^{SPACE}|{SPACE}\z", "")
     d = docs.withColumn("_words", F.when(F.length(trimmed) > 0, F.split(trimmed, SPACE)).otherwise(F.array().cast("array<string>")))
     d = d.withColumn("n_words", F.size("_words").cast("long"))
-    d = d.withColumn("word_chars", chars(r"\x00-\x08\x0E-\x1F\x21-\x{10FFFF}")).withColumn("n_symbols", chars(r"#*$%&|<>"))
+    d = d.withColumn("word_chars", F.length(F.regexp_replace(text, SPACE, "")).cast("long")).withColumn("n_symbols", chars(r"#*$%&|<>"))
     d = d.withColumn("_lines", F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     d = d.withColumn("n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"))
-    window = "xxhash64(get(_words, i), get(_words, i + 1), get(_words, i + 2))"
-    d = d.withColumn("_short", F.expr(f"CASE WHEN n_words < 3 THEN array() WHEN n_words <= {SHORT} THEN sort_array(transform(sequence(0, CAST(n_words AS INT) - 3), i -> ({window} & {-SHORT}L) | i)) END"))
-    d = d.withColumn("_long", F.expr(f"CASE WHEN n_words > {SHORT} THEN sort_array(transform(sequence(0, CAST(n_words AS INT) - 3), i -> struct({window} AS h, i AS i))) END"))
-    same = "coalesce(({0} ^ {1}) BETWEEN 0 AND " + str(SHORT - 1) + ", false)"
-    near = " OR ".join(same.format("x", f"get(_short, k {s} 1)") for s in "-+")
-    both = " OR ".join(f"coalesce(x.h = get(_long, k {s} 1).h, false)" for s in "-+")
-    d = d.withColumn("_starts", F.expr(f"sort_array(CASE WHEN n_words <= {SHORT} THEN transform(filter(_short, (x, k) -> {near}), x -> x & {SHORT - 1}L) ELSE transform(filter(_long, (x, k) -> {both}), x -> CAST(x.i AS BIGINT)) END)"))
-    d = d.withColumn("n_repeat_words", F.expr(_covered("_starts")))
+    d = d.withColumn("n_repeat_words", F.expr(_repeat_words("_words")))
     n, c = F.greatest(F.col("n_words"), F.lit(1)), F.greatest(F.col("word_chars"), F.lit(1))
     d = d.withColumn("mean_length", F.col("word_chars") / n).withColumn("symbols", F.col("n_symbols") / c).withColumn("capitals", chars(r"\p{Lu}") / c).withColumn("marks", chars(r"!?|;:{}\[\]\\/=_~^") / c)
     d = d.withColumn("repeats", F.col("n_repeat_words") / n).withColumn("dup_lines", F.col("n_dup_lines") / F.greatest(F.size("_lines"), F.lit(1))).withColumn("distinct", F.size(F.array_distinct("_words")) / n)
     d = d.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
-    return d.drop("_words", "_lines", "_short", "_long", "_starts")
+    return d.drop("_words", "_lines")
 
 
 Rule = list[tuple[str, str, float]]
 
 
-def _holds(rule: Rule, row: dict) -> bool:
-    return all(row[f] >= t if op == ">=" else row[f] < t for f, op, t in rule)
-
-
-def _gain(p: int, n: int, p0: int, n0: int) -> float:
-    return p * (log2(p / (p + n)) - log2(p0 / (p0 + n0))) if p else -1.0
+def _holds(rule: Rule, x: dict[str, np.ndarray]) -> np.ndarray:
+    out = np.ones(len(x["bad"]), bool)
+    for f, op, t in rule:
+        out &= x[f] >= t if op == ">=" else x[f] < t
+    return out
 
 
-def _grow(rows: list[dict], features: list[str]) -> Rule:
+def _grow(x: dict[str, np.ndarray], features: list[str]) -> Rule:
+    """Add the condition of most information gain until only bad rows are covered."""
     rule: Rule = []
-    while len(rule) < MAX_CONDITIONS and any(not r["bad"] for r in rows):
-        p0, n0 = sum(r["bad"] for r in rows), sum(not r["bad"] for r in rows)
-        best: tuple = (0.0, None)
+    while len(rule) < MAX_CONDITIONS:
+        inside = _holds(rule, x)
+        bad = x["bad"][inside]
+        p0, n0 = int(bad.sum()), int((~bad).sum())
+        if not p0 or not n0:
+            break
+        best, gain = None, 1e-9
         for f in features:
-            values = sorted({r[f] for r in rows})
-            bad = sorted(r[f] for r in rows if r["bad"])
-            cuts = sorted({bad[len(bad) * k // CUTS] for k in range(CUTS)} | {values[len(values) * k // CUTS] for k in range(CUTS)})
-            for t in cuts:
-                p = sum(r["bad"] for r in rows if r[f] >= t)
-                n = sum(not r["bad"] for r in rows if r[f] >= t)
-                for op, a, b in ((">=", p, n), ("<", p0 - p, n0 - n)):
-                    if (g := _gain(a, b, p0, n0)) > best[0] + 1e-9:
-                        best = (g, (f, op, t))
-        if best[1] is None:
+            v = x[f][inside]
+            cuts = np.unique(np.concatenate([np.sort(u)[np.arange(CUTS) * len(u) // CUTS] for u in (v[bad], v)]))
+            p, n = (len(u) - np.searchsorted(np.sort(u), cuts) for u in (v[bad], v[~bad]))  # rows at or above each cut
+            for op, a, b in ((">=", p, n), ("<", p0 - p, n0 - n)):
+                g = np.where(a > 0, a * (np.log2(np.maximum(a, 1) / np.maximum(a + b, 1)) - np.log2(p0 / (p0 + n0))), -1)
+                if g.max() > gain:
+                    best, gain = (f, op, float(cuts[g.argmax()])), float(g.max())
+        if best is None:
             break
-        rule.append(best[1])
-        rows = [r for r in rows if _holds(rule[-1:], r)]
+        rule.append(best)
     return rule
 
 
-def learn(rows: list[dict], features: list[str] = FEATURES) -> list[Rule]:
-    """Sequential covering of the bad rows. Each row has the features, `bad`, and `fold` 0, 1 or 2 (2: for pruning)."""
+def learn(x: dict[str, np.ndarray], features: list[str] = FEATURES) -> list[Rule]:
+    """Sequential covering of the bad rows. x: a column per feature, `bad`, and `fold` 0, 1 or 2 (2: for pruning)."""
     rules: list[Rule] = []
     while len(rules) < MAX_RULES:
-        grow, prune = [r for r in rows if r["fold"] != 2], [r for r in rows if r["fold"] == 2]
-        if not any(r["bad"] for r in grow) or all(r["bad"] for r in grow):
-            break
-        rule = _grow(grow, features)
+        grow, prune = ({k: v[x["fold"] != 2] for k, v in x.items()}, {k: v[x["fold"] == 2] for k, v in x.items()})
 
-        def worth(rule: Rule, prune: list[dict] = prune) -> tuple[float, int]:
-            p, n = sum(r["bad"] for r in prune if _holds(rule, r)), sum(not r["bad"] for r in prune if _holds(rule, r))
-            return (p - n) / (p + n + 1), -len(rule)
+        def worth(rule: Rule, prune: dict = prune) -> tuple[float, int]:
+            judged = prune["bad"][_holds(rule, prune)]
+            return (2 * judged.sum() - len(judged)) / (len(judged) + 1), -len(rule)
 
+        rule = _grow(grow, features)
         if not rule:
             break
         rule = max((rule[:k] for k in range(1, len(rule) + 1)), key=worth)
-        inside = [r["bad"] for r in rows if _holds(rule, r)]
-        judged = [r["bad"] for r in prune if _holds(rule, r)]
-        if not judged or sum(inside) < MIN_PRECISION * len(inside) or sum(judged) < MIN_PRECISION * len(judged):
+        inside = _holds(rule, x)
+        all_, judged = x["bad"][inside], prune["bad"][_holds(rule, prune)]
+        if not len(judged) or all_.mean() < MIN_PRECISION or judged.mean() < MIN_PRECISION:
             break
         rules.append(rule)
-        rows = [r for r in rows if not _holds(rule, r)]
+        x = {k: v[~inside] for k, v in x.items()}
     return rules
 
 
@@ -136,8 +143,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
     marked = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
     sample = F.broadcast(marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled))  # at most max_labelled rows of 12 bytes
     seen = with_statistics(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(sample, "doc_id"))
-    rows = seen.where("NOT base_failed").select("doc_id", *FEATURES, (F.col("quality") == 0).alias("bad"), F.pmod(F.xxhash64("doc_id"), F.lit(3)).alias("fold")).collect()
-    return learn(sorted((r.asDict() for r in rows), key=lambda r: r["doc_id"]))
+    rows = seen.select("doc_id", "base_failed", *FEATURES, (F.col("quality") == 0).alias("bad"), F.pmod(F.xxhash64("doc_id"), F.lit(3)).alias("fold")).collect()
+    rows = sorted((r for r in rows if not r.base_failed), key=lambda r: r.doc_id)
+    return learn({f: np.array([r[f] for r in rows], bool if f == "bad" else float) for f in [*FEATURES, "bad", "fold"]})
 
 
 def judge(docs: DataFrame, rules: list[Rule]) -> DataFrame:

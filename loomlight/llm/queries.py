@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from .embeddings import op2_near_vectors
+from .languages import op10_languages
+from .licenses import op9_licenses
 from .mixing import op8_mixing
 from .packing import op1_packing
+from .pages import op5_pages
 from .quality import op6_quality_rules
 from .simhash import op7_simhash
 from .substrings import op4_substring_dedup
+from .urls import OP3_SQL, op3_url_filters
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_near_vectors, op4_substring_dedup, op6_quality_rules, op7_simhash, op8_mixing)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_near_vectors, op3_url_filters, op4_substring_dedup, op5_pages, op6_quality_rules, op7_simhash, op8_mixing, op9_licenses, op10_languages)}
+ORACLE_SQL: dict[str, str] = {"op3_url_filters": OP3_SQL}
