@@ -1,12 +1,14 @@
 """Exact substring deduplication behind a count-min prefilter.
 
-A window is `width` consecutive words of one document. Pass one: every partition sketches its windows' hashes in a
-count-min sketch (ROWS rows of saturating counters: none, one, more); the sketches are merged range by range of their
-cells, by tasks of the cluster, into one bit per cell that says "two or more". An estimate never falls below the true
-count, so a window met twice always passes. Pass two: only windows estimated repeated are grouped, exactly, by 128
-hash bits; of each group the first start (smallest doc_id, then earliest start) stays. The first starts return to
-their documents, which are joined by doc_id, so a passage that a third of the documents share is never gathered.
-Pass three removes the words under every estimated window that isn't a first start.
+A window is `width` consecutive words of one document. Every partition sketches its windows' hashes in a count-min
+sketch (ROWS rows of saturating counters: none, one, more); the sketches are merged range by range of their cells, by
+tasks of the cluster, into one bit per cell that says "two or more". The rows are built in turn, each by a pass over
+the windows that the rows before estimate repeated: copies of a window pass or fail together, so an estimate never
+falls below the true count, a window met twice always passes, and later rows are nearly empty. The next pass groups
+only windows estimated repeated, exactly, by 96 hash bits; of each group the first start (smallest doc_id, then
+earliest start) stays. The first starts return to their documents, which are joined by doc_id, so a passage that a
+third of the documents share is never gathered. The last pass removes the words under every estimated window that
+isn't a first start.
 
 The sketch has a fixed number of bits (a parameter, proven bound of the broadcast: ROWS * 2 ** log2_cells / 8 bytes).
 A fuller sketch only sends more windows to the exact grouping; none is lost at any size.
@@ -23,6 +25,7 @@ from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -89,12 +92,13 @@ class Hashed:
         before = np.concatenate(([0], np.cumsum(n_windows)[:-1]))
         self.before = np.append(before, n_windows.sum())
         self.start = np.arange(len(self.doc)) - before[self.doc]
-        tables, odd, inverse = _constants()
+        _, odd, inverse = _constants()
         word_at = self.first[self.doc] + self.start
-        self.hashes = []
-        for k in (0, 1):
-            words = _spans(tables[k][buffer], self.starts, self.ends, odd[k], inverse[k])
-            self.hashes.append(_spans(words, word_at, word_at + width, odd[2 + k], inverse[2 + k]))
+        self.hashes = [_spans(self.word_hashes(k), word_at, word_at + width, odd[2 + k], inverse[2 + k]) for k in (0, 1)]
+
+    def word_hashes(self, k: int = 0) -> np.ndarray:
+        tables, odd, inverse = _constants()
+        return _spans(tables[k][self.buffer], self.starts, self.ends, odd[k], inverse[k])
 
     def words(self, i: int) -> list[bytes]:
         lo, hi = self.first[i], self.first[i + 1]
@@ -102,14 +106,20 @@ class Hashed:
         return [b[s:e].tobytes() for s, e in zip(self.starts[lo:hi], self.ends[lo:hi], strict=True)]
 
 
+def _cut(b: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
+    """Slices of a batch with about BLOCK bytes of text, and their texts."""
+    texts, lo, size = b.column("text").to_pylist(), 0, 0
+    for i, t in enumerate(texts):
+        size += len(t or b"")
+        if size >= BLOCK or i == len(texts) - 1:
+            yield b.slice(lo, i + 1 - lo), texts[lo : i + 1]
+            lo, size = i + 1, 0
+
+
 def _blocks(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[pa.RecordBatch, Hashed]]:
     for b in batches:
-        texts, lo, size = b.column("text").to_pylist(), 0, 0
-        for i, t in enumerate(texts):
-            size += len(t or b"")
-            if size >= BLOCK or i == len(texts) - 1:
-                yield b.slice(lo, i + 1 - lo), Hashed(texts[lo : i + 1], width)
-                lo, size = i + 1, 0
+        for some, texts in _cut(b):
+            yield some, Hashed(texts, width)
 
 
 def _cells(h: Hashed, row: int, log2_cells: int) -> np.ndarray:
@@ -118,60 +128,63 @@ def _cells(h: Hashed, row: int, log2_cells: int) -> np.ndarray:
     return (x >> np.uint64(64 - log2_cells)).astype(np.int64)
 
 
-def _sketch(batches: Iterator[pa.RecordBatch], width: int, log2_cells: int) -> Iterator[pa.RecordBatch]:
-    """This partition's sketch: per range of cells, the sorted cells met once and those met more often.
+def _sketch(batches: Iterator[pa.RecordBatch], bits: Broadcast, width: int, log2_cells: int) -> Iterator[pa.RecordBatch]:
+    """This partition's next row of the sketch: per range of cells, those met once and those met more often.
 
-    Flushed whenever it holds 2 ** 22 windows; merging adds what the flushes say.
+    Flushed whenever it holds 2 ** 21 windows; merging adds what the flushes say. A range's cells are ascending, so
+    their differences are what is written: small numbers, which the shuffle compresses.
     """
     held: list[np.ndarray] = []
-    n = 0
+    n, row = 0, len(bits.value)
 
     def flush() -> Iterator[pa.RecordBatch]:
-        for row in range(ROWS):
-            cell, count = np.unique(np.concatenate([c[row] for c in held]), return_counts=True)
-            part = cell >> LOG2_RANGE
-            cuts = np.flatnonzero(np.diff(part, prepend=-1))
-            low = (cell & ((1 << LOG2_RANGE) - 1)).astype("<u2")
-            more = count > 1
-            rows = [(int(part[a]), low[a:b][~more[a:b]].tobytes(), low[a:b][more[a:b]].tobytes()) for a, b in zip(cuts, [*cuts[1:], len(cell)], strict=True)]
-            for a in range(0, len(rows), 1024):
-                some = rows[a : a + 1024]
-                yield pa.RecordBatch.from_arrays([pa.array([row] * len(some), pa.int32()), pa.array([r[0] for r in some], pa.int32()), pa.array([r[1] for r in some], pa.binary()), pa.array([r[2] for r in some], pa.binary())], ["row", "part", "once", "more"])
+        cell, count = np.unique(np.concatenate(held), return_counts=True)
+        part = (cell >> LOG2_RANGE).astype(np.int64)
+        cuts = np.flatnonzero(np.diff(part, prepend=-1))
+        low = (cell & ((1 << LOG2_RANGE) - 1)).astype(np.int64)
+        more = count > 1
+
+        def packed(x: np.ndarray) -> bytes:
+            return np.diff(x, prepend=0).astype("<u2").tobytes()
+
+        rows = [(int(part[a]), packed(low[a:b][~more[a:b]]), packed(low[a:b][more[a:b]])) for a, b in zip(cuts, [*cuts[1:], len(cell)], strict=True)]
+        for a in range(0, len(rows), 1024):
+            some = rows[a : a + 1024]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in some], pa.int32()), pa.array([r[1] for r in some], pa.binary()), pa.array([r[2] for r in some], pa.binary())], ["part", "once", "more"])
 
     for _, h in _blocks(batches, width):
-        held.append([_cells(h, row, log2_cells).astype(np.uint32) for row in range(ROWS)])
-        n += len(h.doc)
-        if n >= 1 << 22:
+        held.append(_cells(h, row, log2_cells)[_estimated(h, bits.value, log2_cells)].astype(np.uint32))
+        n += len(held[-1])
+        if n >= 1 << 21:
             yield from flush()
             held, n = [], 0
     if n:
         yield from flush()
 
 
-def _merge(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Merge the partitions' sketches of each range of cells (sorted stream) into a bit per cell: two or more."""
-    size = 1 << LOG2_RANGE
-    count, at = np.zeros(size, np.uint8), None
-    out: list[tuple[int, int, bytes]] = []
+    count, at = np.zeros(1 << LOG2_RANGE, np.uint8), None
+    out: list[tuple[int, bytes]] = []
 
     def batch() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.int32()), pa.array([o[2] for o in out], pa.binary())], ["row", "part", "bits"])
+        return pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.binary())], ["part", "bits"])
 
-    for b in frames:
-        for row, part, once, more in zip(*(b.column(c).to_pylist() for c in ("row", "part", "once", "more")), strict=True):
-            if at != (row, part):
+    for b in batches:
+        for part, once, more in zip(*(b.column(c).to_pylist() for c in ("part", "once", "more")), strict=True):
+            if at != part:
                 if at is not None:
-                    out.append((*at, np.packbits(count >= 2).tobytes()))
+                    out.append((at, np.packbits(count >= 2).tobytes()))
                     if len(out) >= 256:
                         yield batch()
                         out = []
-                at = (row, part)
+                at = part
                 count[:] = 0
-            x = np.frombuffer(once, "<u2")
+            x = np.cumsum(np.frombuffer(once, "<u2"), dtype=np.int64)
             count[x] = np.minimum(count[x] + 1, 2)
-            count[np.frombuffer(more, "<u2")] = 2
+            count[np.cumsum(np.frombuffer(more, "<u2"), dtype=np.int64)] = 2
     if at is not None:
-        out.append((*at, np.packbits(count >= 2).tobytes()))
+        out.append((at, np.packbits(count >= 2).tobytes()))
     if out:
         yield batch()
 
@@ -189,11 +202,11 @@ def _candidates(batches: Iterator[pa.RecordBatch], bits: Broadcast, width: int,
     for b, h in _blocks(batches, width):
         ok = _estimated(h, bits.value, log2_cells)
         doc = b.column("doc_id").to_numpy(zero_copy_only=False)[h.doc[ok]]
-        yield pa.RecordBatch.from_arrays([pa.array(h.hashes[0][ok].view(np.int64)), pa.array(h.hashes[1][ok].view(np.int64)), pa.array(doc, pa.int64()), pa.array(h.start[ok].astype(np.int32))], ["h1", "h2", "doc_id", "start"])
+        yield pa.RecordBatch.from_arrays([pa.array(h.hashes[0][ok].view(np.int64)), pa.array((h.hashes[1][ok] >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(doc, pa.int64()), pa.array(h.start[ok].astype(np.int32))], ["h1", "h2", "doc_id", "start"])
 
 
 def _remove(batches: Iterator[pa.RecordBatch], bits: Broadcast, width: int, log2_cells: int) -> Iterator[pa.RecordBatch]:
-    for b, h in _blocks(batches, width):
+    for b, h in _blocks(_opened(batches), width):
         late = _estimated(h, bits.value, log2_cells)
         listed = b.column("firsts")
         offsets, starts = listed.offsets.to_numpy(), listed.values.to_numpy()
@@ -214,14 +227,39 @@ def _remove(batches: Iterator[pa.RecordBatch], bits: Broadcast, width: int, log2
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(h.n_words[: b.num_rows].astype(np.int64)), pa.array(n_removed, pa.int64()), pa.array(texts, pa.binary()), pa.array([hashlib.sha256(t).hexdigest() for t in texts])], ["doc_id", "n_words", "n_removed", "kept_text", "kept_sha256"])
 
 
-def repeated_cells(docs: DataFrame, width: int, log2_cells: int) -> list[np.ndarray]:
+def _squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Compress the texts for the way to their first starts."""
+    c = zstandard.ZstdCompressor(level=1)
+    for b in batches:
+        texts = [None if t is None else c.compress(t) for t in b.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(texts, pa.binary())], ["doc_id", "text"])
+
+
+def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    d = zstandard.ZstdDecompressor()
+    for b in batches:
+        packed, lo, size = b.column("text"), 0, 0
+        texts: list[bytes | None] = []
+        for i, t in enumerate(packed):
+            texts.append(None if t.as_py() is None else d.decompress(t.as_py()))
+            size += len(texts[-1] or b"")
+            if size >= BLOCK or i == b.num_rows - 1:
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, i + 1 - lo), pa.array(texts, pa.binary()), b.column("firsts").slice(lo, i + 1 - lo)], ["doc_id", "text", "firsts"])
+                texts, lo, size = [], i + 1, 0
+
+
+def sketch(docs: DataFrame, width: int, log2_cells: int) -> Broadcast:
     """The merged sketch, a bit per cell. Its size is fixed by the parameters, whatever the input's."""
-    merged = docs.mapInArrow(partial(_sketch, width=width, log2_cells=log2_cells), "row int, part int, once binary, more binary").repartition("row", "part").sortWithinPartitions("row", "part").mapInArrow(_merge, "row int, part int, bits binary")
-    bits = [np.zeros(max(1, 1 << log2_cells >> 3), np.uint8) for _ in range(ROWS)]
-    step = max(1, 1 << LOG2_RANGE >> 3)
-    for r in materialize(merged, "window-sketch").toLocalIterator():
-        x = np.frombuffer(r.bits, np.uint8)
-        bits[r.row][r.part * step : (r.part + 1) * step] = x
+    sc = docs.sparkSession.sparkContext
+    bits, step = sc.broadcast([]), 1 << LOG2_RANGE >> 3
+    for _ in range(ROWS):
+        found = docs.mapInArrow(partial(_sketch, bits=bits, width=width, log2_cells=log2_cells), "part int, once binary, more binary")
+        merged = materialize(found.repartition("part").sortWithinPartitions("part").mapInArrow(_merge, "part int, bits binary"), "window-sketch")
+        row = np.zeros(1 << log2_cells >> 3, np.uint8)
+        for r in merged.toLocalIterator():
+            row[r.part * step : (r.part + 1) * step] = np.frombuffer(r.bits, np.uint8)
+        before, bits = bits, sc.broadcast([*bits.value, row])
+        before.destroy()
     return bits
 
 
@@ -232,13 +270,13 @@ def substring_dedup(docs: DataFrame, width: int = WIDTH, log2_cells: int = LOG2_
     spark = docs.sparkSession
     prepare(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    bits = spark.sparkContext.broadcast(repeated_cells(docs, width, log2_cells))
+    bits = sketch(docs, width, log2_cells)
     own = {"bits": bits, "width": width, "log2_cells": log2_cells}
-    found = docs.mapInArrow(partial(_candidates, **own), "h1 long, h2 long, doc_id long, start int")
+    found = docs.mapInArrow(partial(_candidates, **own), "h1 long, h2 int, doc_id long, start int")
     firsts = found.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "start")).alias("first"))
     # a document's first starts are at most as many as its words
     by_doc = firsts.select("first.*").groupBy("doc_id").agg(F.collect_list("start").alias("firsts"))
-    joined = docs.join(by_doc, "doc_id", "left")
+    joined = docs.mapInArrow(_squeezed, "doc_id long, text binary").join(by_doc, "doc_id", "left")
     return joined.mapInArrow(partial(_remove, **own), "doc_id long, n_words long, n_removed long, kept_text binary, kept_sha256 string").withColumn("kept_text", F.col("kept_text").cast("string"))
 
 
