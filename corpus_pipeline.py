@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomlight.llm import mixing, packing, quality, simhash, substrings
+from loomlight.llm import mixing, near_copies, packing, quality, substrings
 from loomlight.llm.common import materialize, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -33,7 +33,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The smallest doc_id of each group of near copies."""
-    groups = simhash.near_copies(docs)
+    groups = near_copies.near_copies(docs)
     return _columns(_columns(docs).join(groups.where("doc_id = component_id").select("doc_id").distinct(), "doc_id", "left_semi"))
 
 
