@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from . import code, tables
+
+QUERIES = code.QUERIES | tables.QUERIES
+ORACLE_SQL = code.ORACLE_SQL | tables.ORACLE_SQL
