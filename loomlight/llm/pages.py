@@ -1,8 +1,8 @@
 """Main text of web pages by nearest-URL page differencing.
 
 A page is cut into text lines, one per block. Pages are paired within a host with a page of the nearest URL: the
-first or last page of those that share the host and the path but its last character, else the path's first segment,
-else the host. The lines of a pair are aligned by their longest common subsequence and shared lines are deleted.
+first or last page with any text of those that share the host and the path but its last character, else the path's
+first segment, else the host. The lines of a pair are aligned by their longest common subsequence and shared lines are deleted.
 
 Structure settles what differencing can't: lines of an article or main element stay even if another page repeats
 them, and lines of menus, headers, footers, sidebars, notices, adverts, forms and reader comments go even if each page
@@ -145,7 +145,7 @@ def extract(pages: DataFrame) -> DataFrame:
     path = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
     parsed = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), host.alias("host"), path.alias("path"), F.col("html").cast("string").alias("html"))
     parsed = materialize(parsed.mapInArrow(_parse, "page_id long, url string, host string, path string, lines array<string>, roles array<int>, hashes array<long>"), "page-lines")
-    light = parsed.select("page_id", "host", F.regexp_replace("path", r".$", "").alias("near"), F.regexp_extract("path", "^/?([^/]*)", 1).alias("segment"))
+    light = parsed.where(F.size("hashes") > 0).select("page_id", "host", F.regexp_replace("path", r".$", "").alias("near"), F.regexp_extract("path", "^/?([^/]*)", 1).alias("segment"))
     partner = light
     for k, keys in enumerate((["host", "near"], ["host", "segment"], ["host"])):
         ends = light.groupBy(*keys).agg(F.min("page_id").alias("lo"), F.max("page_id").alias("hi"))
