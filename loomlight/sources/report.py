@@ -25,7 +25,7 @@ def parsed(text: Column) -> Column:
     hubs = F.zip_with(names, edges, lambda n, e: F.struct(n.alias("name"), e.cast("int").alias("edges")))
     lines = F.filter(F.split(F.regexp_extract(text, COMMUNITIES, 1), "\n"), lambda x: F.contains(x, F.lit("Community")))
     title = F.coalesce(F.nullif(F.trim(F.regexp_extract(text, TITLE, 1)), F.lit("")), F.lit("report"))
-    return F.struct(title.alias("title"), hubs.alias("hubs"), F.transform(lines, F.trim).alias("community_lines"), F.trim(F.regexp_extract(text, SUMMARY, 1)).alias("summary"))
+    return F.struct(title.alias("title"), hubs.alias("hubs"), F.transform(lines, lambda x: F.trim(x)).alias("community_lines"), F.trim(F.regexp_extract(text, SUMMARY, 1)).alias("summary"))
 
 
 def built(text: Column) -> Column:
