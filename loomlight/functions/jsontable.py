@@ -11,6 +11,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Short names of JSON Schema types, and caps.
 TYPES = {"string": "str", "integer": "int", "number": "num", "boolean": "bool", "object": "obj"}
@@ -79,7 +80,7 @@ def sections(text: Column, max_items: int = MAX_ITEMS) -> Column:
     return F.regexp_replace(F.array_join(F.transform(keys(text), section), "\n"), r"^\s+|\s+$", "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def compact(texts: pd.Series) -> pd.Series:
     """JSON without white space, keys in order."""
 

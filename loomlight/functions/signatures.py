@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 # Patterns of signature lines (trimmed).
 IMPORTS = [r"^import\s", r"^from\s.+\simport\s", r"^require\s*\(", r"^use\s+", r"^using\s+", r"^#include\s", r"^@import\s"]
@@ -34,7 +35,7 @@ LINE_CAP = 200
 SECTIONS = [("imports", "// ─── Imports ───"), ("classes", "// ─── Classes / Types ───"), ("functions", "// ─── Functions ───"), ("exports", "// ─── Exports ───")]
 NOTHING = "// No structural signatures detected."
 HEAD_LINES, TAIL_LINES, STRUCTURE_CAP, STRUCTURE_SHORT = 50, 20, 120, 40
-KIND = "struct<imports:array<string>,exports:array<string>,functions:array<string>,classes:array<string>>"
+KIND = StructType([StructField(n, ArrayType(StringType())) for n in ("imports", "exports", "functions", "classes")])
 
 
 def any_of(patterns: list[str]) -> str:
