@@ -96,3 +96,28 @@ def head_and_tail(content: Column) -> Column:
 
 def first_lines(content: Column, n: int) -> Column:
     return F.array_join(F.slice(F.split(content, "\n"), 1, n), "\n")
+
+
+def structure_view(content: Column, lang: Column) -> Column:
+    """The rendered signature cut to STRUCTURE_CAP lines; to STRUCTURE_SHORT if it is still longer than the source."""
+    view = rendered(by_lines(content, lang), lang)
+
+    def capped(n: int) -> Column:
+        lines = F.split(view, "\n")
+        more = F.array(F.concat(F.lit("... "), (F.size(lines) - n).cast("string"), F.lit(" more lines")))
+        return F.array_join(F.when(F.size(lines) > n, F.concat(F.slice(lines, 1, n), more)).otherwise(lines), "\n")
+
+    long = capped(STRUCTURE_CAP)
+    return F.when(F.length(long) > F.length(content), capped(STRUCTURE_SHORT)).otherwise(long)
+
+
+def view(content: Column, lang: Column, depth: str) -> Column:
+    """A source at one of the depths full, signature, structure and summary."""
+    if depth == "full":
+        return content
+    if depth == "structure":
+        return structure_view(content, lang)
+    body = head_and_tail(content) if depth == "summary" else rendered(by_lines(content, lang), lang)
+    if depth not in ("summary", "signature"):
+        raise ValueError(f"unknown depth {depth}")
+    return F.when(lang.isin("yaml", "markdown", "json", "unknown"), structure_view(content, lang)).otherwise(body)

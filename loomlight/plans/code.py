@@ -261,3 +261,35 @@ def recall_histogram(spark: SparkSession, sf: str) -> DataFrame:
     from ..operators.scores import histogram
 
     return histogram(spark, _fidelity(spark, sf))
+
+
+@query(f"WITH {SIGNATURES} SELECT path, {_NAME['function']} AS name FROM (SELECT path, unnest(functions) AS line FROM sigs)")
+def function_names(spark: SparkSession, sf: str) -> DataFrame:
+    return G.signatures(files(spark, sf)).select("path", F.explode("sig.functions").alias("line")).select("path", T.symbol_name(F.col("line"), "function").alias("name"))
+
+
+@query(f"WITH {SIGNATURES} SELECT path, CASE WHEN path LIKE '%.py' THEN '{{' ELSE './f' || CAST(k + 150 AS VARCHAR) END AS source, CASE WHEN path LIKE '%.py' THEN '{{' ELSE 'a' || CAST(k AS VARCHAR) || ',b' END AS names FROM sigs")
+def parsed_imports(spark: SparkSession, sf: str) -> DataFrame:
+    """Each file's first import; Python reads a word after `import`, whatever it is."""
+    d = G.signatures(files(spark, sf)).select("path", T.parse_import(F.col("sig.imports")[0], F.col("language")).alias("p"))
+    return d.select("path", "p.source", F.array_join("p.names", ",").alias("names"))
+
+
+@query(f"WITH {RENDERED} SELECT path, md5(view) AS digest FROM rendered")
+def structure_views(spark: SparkSession, sf: str) -> DataFrame:
+    d = files(spark, sf)
+    return d.select("path", F.md5(S.structure_view(F.col("content"), T.language(F.col("path")))).alias("digest"))
+
+
+_MOST = "SELECT path, recall FROM fidelity WHERE recall < 1 ORDER BY recall, path LIMIT 10"
+
+
+@query(f"WITH {FIDELITY} {_MOST}")
+def worst_fidelity(spark: SparkSession, sf: str) -> DataFrame:
+    """A report of the ten files that lose most."""
+    return _fidelity(spark, sf).where("recall < 1").select("path", "recall").orderBy("recall", "path").limit(10)
+
+
+@query(f"WITH {FIDELITY} SELECT CAST(sum(found) AS DOUBLE) / sum(symbols) AS by_symbol, avg(recall) AS by_file, CAST(sum(found) AS DOUBLE) / sum(symbols) >= 0.95 AS passed FROM fidelity")
+def fidelity_gate(spark: SparkSession, sf: str) -> DataFrame:
+    return _fidelity(spark, sf).agg((F.sum("found") / F.sum("symbols")).alias("by_symbol"), F.avg("recall").alias("by_file"), (F.sum("found") / F.sum("symbols") >= 0.95).alias("passed"))

@@ -326,3 +326,56 @@ def parsed_reports(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT n_nationkey, CASE WHEN contains(lower('Hub' || n_name), '1') THEN 'Hub' || n_name || ' (' || CAST(n_nationkey + 2 AS VARCHAR) || ' edges);- Community ' || n_name ELSE '' END AS lines FROM nation")
 def report_search(spark: SparkSession, sf: str) -> DataFrame:
     return reports(spark, sf).select("n_nationkey", F.array_join(P.found(F.col("text"), "1"), ";").alias("lines"))
+
+
+# ---- the memory store, of customers
+_MEMORY = "SELECT c_name AS mem_key, c_mktsegment || CASE WHEN c_custkey % 9 = 0 THEN '' ELSE '!' END AS value, c_custkey AS updated_at FROM customer"
+
+
+def memory(spark: SparkSession, sf: str) -> DataFrame:
+    return read(spark, sf, "customer").selectExpr("c_name AS mem_key", "c_mktsegment || CASE WHEN c_custkey % 9 = 0 THEN '' ELSE '!' END AS value", "c_custkey AS updated_at")
+
+
+@query(f"SELECT * FROM (SELECT mem_key, CASE WHEN updated_at % 2 = 0 THEN 'new' ELSE value END AS value, CASE WHEN updated_at % 2 = 0 THEN updated_at + 1000000 ELSE updated_at END AS updated_at FROM ({_MEMORY})) ORDER BY updated_at DESC, mem_key LIMIT 2000")
+def memory_written(spark: SparkSession, sf: str) -> DataFrame:
+    from ..operators import memory as Y
+
+    store = memory(spark, sf)
+    new = store.where("updated_at % 2 = 0").withColumn("value", F.lit("new")).withColumn("updated_at", F.col("updated_at") + 1000000)
+    refused = store.where("updated_at % 2 = 1").withColumn("value", F.lit(""))
+    return Y.write(store, new.unionByName(refused)).select("mem_key", "value", "updated_at")
+
+
+@query(f"SELECT mem_key, length(value) AS chars, updated_at, (SELECT count(*) FROM customer) AS total FROM ({_MEMORY}) ORDER BY updated_at DESC, mem_key LIMIT 25")
+def memory_listing(spark: SparkSession, sf: str) -> DataFrame:
+    """The last 25 keys."""
+    from ..operators import memory as Y
+
+    return Y.listing(memory(spark, sf))
+
+
+@query(f"SELECT count(*) AS entries, CAST(sum(length(value)) AS BIGINT) AS chars FROM ({_MEMORY})")
+def memory_sizes(spark: SparkSession, sf: str) -> DataFrame:
+    from ..operators import memory as Y
+
+    return Y.sizes(memory(spark, sf))
+
+
+@query(f"SELECT doc_id, CASE WHEN p > o THEN 'Text ' || o || ' → ' || p || ' tokens (larger than the original).' WHEN o > 0 AND floor((o - p) / o * 100 + 0.5) > 0 THEN 'Text ' || o || ' → ' || p || ' tokens (' || CAST(floor((o - p) / o * 100 + 0.5) AS BIGINT) || '% saved).' ELSE 'Text ' || o || ' → ' || p || ' tokens.' END AS note FROM (SELECT doc_id, {tok('text')} AS o, {tok(_TWO)} AS p FROM documents)")
+def savings_notes(spark: SparkSession, sf: str) -> DataFrame:
+    m = M.savings(M.tokens(F.col("text")), M.tokens(S.first_lines(F.col("text"), 2)))
+    return read(spark, sf, "documents").select("doc_id", m.alias("m")).select("doc_id", M.savings_note(F.col("m"), "Text").alias("note"))
+
+
+@query("SELECT p_partkey, regexp_replace(p_name || '.*+?^${}()|[x]' || chr(92), '([.*+?^${}()|\\[\\]\\\\])', '\\\\\\1', 'g') AS escaped FROM part")
+def escaped_patterns(spark: SparkSession, sf: str) -> DataFrame:
+    return read(spark, sf, "part").select("p_partkey", T.escape_regex(F.concat("p_name", F.lit(".*+?^${}()|[x]\\"))).alias("escaped"))
+
+
+@query("SELECT page_id, len(regexp_extract_all(html, '(?i)<(?:script|style)\\b')) AS assets, len(regexp_extract_all(html, '(?i)<a\\b')) AS links FROM pages")
+def page_assets(spark: SparkSession, sf: str) -> DataFrame:
+    """Scripts and styles found by the HTML scanner, and links by pattern."""
+    from ..functions.scanners import signature
+
+    d = read(spark, sf, "pages").select("page_id", F.size(signature(F.col("html"), F.lit("html"))["imports"]).cast("long").alias("assets"), F.regexp_count("html", F.lit(r"(?i)<a\b")).cast("long").alias("links"))
+    return d
