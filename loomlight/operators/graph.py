@@ -25,15 +25,13 @@ def signatures(files: DataFrame) -> DataFrame:
 
 
 def symbols(sigs: DataFrame) -> DataFrame:
-    """(path, section, pos, name, prefix, edge): the declared names of each file, in order, repeats kept."""
-    out = None
-    for n, (section, kind, prefix, edge) in enumerate(ORDER):
-        if section == "imports":
-            continue
-        d = sigs.select("path", F.posexplode(f"sig.{section}").alias("pos", "line"))
-        d = d.select("path", F.lit(n).alias("section"), "pos", T.symbol_name(F.col("line"), kind).alias("name"), F.lit(kind).alias("kind"), F.lit(prefix).alias("prefix"), F.lit(edge).alias("edge")).where("name IS NOT NULL")
-        out = d if out is None else out.unionAll(d)
-    return out
+    """(path, section, pos, name, kind, prefix, edge): the declared names of each file, in order, repeats kept."""
+
+    def declared(n: int, section: str, kind: str, prefix: str, edge: str) -> Column:
+        return F.transform(f"sig.{section}", lambda line, pos: F.struct(F.lit(n).alias("section"), pos.alias("pos"), T.symbol_name(line, kind).alias("name"), F.lit(kind).alias("kind"), F.lit(prefix).alias("prefix"), F.lit(edge).alias("edge")))
+
+    every = F.flatten(F.array(*[declared(n, *o) for n, o in enumerate(ORDER) if o[3]]))
+    return sigs.select("path", F.explode(every).alias("s")).select("path", "s.*").where("name IS NOT NULL")
 
 
 def imports(sigs: DataFrame) -> DataFrame:
@@ -47,8 +45,11 @@ def imports(sigs: DataFrame) -> DataFrame:
 
 
 def build(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges). A key declared twice keeps its first place."""
-    sigs = signatures(files)
+    """(nodes, edges). A key declared twice keeps its first place.
+
+    Signatures are extracted once and written to the shared folder: nodes and edges read them several times.
+    """
+    sigs = cut(signatures(files), "graph-signatures")
     named, imported = symbols(sigs), imports(sigs)
     key = F.concat_ws(":", "prefix", "path", "name")
     modules = sigs.select(F.concat(F.lit("mod:"), "path").alias("key"), F.col("path").alias("name"), F.lit("module").alias("kind"), F.col("path").alias("file"), F.lit(-1).alias("section"), F.lit(0).alias("pos"))
