@@ -243,12 +243,18 @@ FIDELITY = f"""{RENDERED}, facts AS (SELECT path, list_distinct(flatten([{", ".j
 fidelity AS (SELECT path, len(truth) AS symbols, len(list_intersect(truth, ids)) AS found, len(truth) - len(list_intersect(truth, ids)) AS missed, len(list_intersect(truth, ids)) / len(truth) AS recall, len(list_intersect(truth, ids)) / len(ids) AS precision FROM facts WHERE len(truth) > 0)"""
 
 
-def _fidelity(spark: SparkSession, sf: str) -> DataFrame:
+#: The same for views that are cut to their first lines, which lose names.
+SHORT = 13
+CUT_FIDELITY = FIDELITY.replace("regexp_extract_all(view,", f"regexp_extract_all(array_to_string(list_slice(string_split(view, chr(10)), 1, {SHORT}), chr(10)),")
+
+
+def _fidelity(spark: SparkSession, sf: str, lines: int | None = None) -> DataFrame:
     from ..operators.scores import fidelity
 
     d = files(spark, sf)
     lang = T.language(F.col("path"))
-    return fidelity(d.select("path", "content", S.rendered(S.by_lines(F.col("content"), lang), lang).alias("compressed")))
+    view = S.rendered(S.by_lines(F.col("content"), lang), lang)
+    return fidelity(d.select("path", "content", (S.first_lines(view, lines) if lines else view).alias("compressed")))
 
 
 @query(f"WITH {FIDELITY} SELECT path, CAST(symbols AS BIGINT) AS symbols, CAST(found AS BIGINT) AS found, CAST(missed AS BIGINT) AS missed, recall, precision FROM fidelity")
@@ -256,11 +262,11 @@ def symbol_fidelity(spark: SparkSession, sf: str) -> DataFrame:
     return _fidelity(spark, sf)
 
 
-@query(f"WITH {FIDELITY}, b AS (SELECT CASE WHEN recall >= 1 THEN '100%' WHEN recall >= 0.95 THEN '95-99%' WHEN recall >= 0.9 THEN '90-94%' WHEN recall >= 0.75 THEN '75-89%' WHEN recall >= 0.5 THEN '50-74%' ELSE '<50%' END AS bucket FROM fidelity) SELECT v.bucket, count(b.bucket) AS files FROM (VALUES ('100%'), ('95-99%'), ('90-94%'), ('75-89%'), ('50-74%'), ('<50%')) v(bucket) LEFT JOIN b ON b.bucket = v.bucket GROUP BY v.bucket")
+@query(f"WITH {CUT_FIDELITY}, b AS (SELECT CASE WHEN recall >= 1 THEN '100%' WHEN recall >= 0.95 THEN '95-99%' WHEN recall >= 0.9 THEN '90-94%' WHEN recall >= 0.75 THEN '75-89%' WHEN recall >= 0.5 THEN '50-74%' ELSE '<50%' END AS bucket FROM fidelity) SELECT v.bucket, count(b.bucket) AS files FROM (VALUES ('100%'), ('95-99%'), ('90-94%'), ('75-89%'), ('50-74%'), ('<50%')) v(bucket) LEFT JOIN b ON b.bucket = v.bucket GROUP BY v.bucket")
 def recall_histogram(spark: SparkSession, sf: str) -> DataFrame:
     from ..operators.scores import histogram
 
-    return histogram(spark, _fidelity(spark, sf))
+    return histogram(spark, _fidelity(spark, sf, SHORT))
 
 
 @query(f"WITH {SIGNATURES} SELECT path, {_NAME['function']} AS name FROM (SELECT path, unnest(functions) AS line FROM sigs)")
@@ -284,10 +290,10 @@ def structure_views(spark: SparkSession, sf: str) -> DataFrame:
 _MOST = "SELECT path, recall FROM fidelity WHERE recall < 1 ORDER BY recall, path LIMIT 10"
 
 
-@query(f"WITH {FIDELITY} {_MOST}")
+@query(f"WITH {CUT_FIDELITY} {_MOST}")
 def worst_fidelity(spark: SparkSession, sf: str) -> DataFrame:
     """A report of the ten files that lose most."""
-    return _fidelity(spark, sf).where("recall < 1").select("path", "recall").orderBy("recall", "path").limit(10)
+    return _fidelity(spark, sf, SHORT).where("recall < 1").select("path", "recall").orderBy("recall", "path").limit(10)
 
 
 @query(f"WITH {FIDELITY} SELECT CAST(sum(found) AS DOUBLE) / sum(symbols) AS by_symbol, avg(recall) AS by_file, CAST(sum(found) AS DOUBLE) / sum(symbols) >= 0.95 AS passed FROM fidelity")
