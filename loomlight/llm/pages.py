@@ -19,12 +19,14 @@ gives no rows.
 from __future__ import annotations
 
 import html
+import json
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -123,17 +125,32 @@ def main_text(page: list[tuple[str, int]], own: list[int], partner: list[int] |
     return " ".join(kept)
 
 
-def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _hashes(page: list[tuple[str, int]]) -> list[int]:
+    return [xxhash.xxh3_64_intdigest(t) - (1 << 63) for t, _ in page]
+
+
+def _outlined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The hashes of each page's lines: all that pairing needs."""
+    for b in batches:
+        hashes = [_hashes(lines(h)) for h in b.column("html").to_pylist()]
+        yield pa.RecordBatch.from_arrays([*(b.column(n) for n in ("page_id", "host", "path")), pa.array(hashes, pa.list_(pa.int64()))], ["page_id", "host", "path", "hashes"])
+
+
+def _squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each page's lines, compressed for the way to their partner's hashes."""
+    c = zstandard.ZstdCompressor(level=3)
     for b in batches:
-        found = [lines(h) for h in b.column("html").to_pylist()]
-        hashes = [[xxhash.xxh3_64_intdigest(t) - (1 << 63) for t, _ in p] for p in found]
-        names = ["page_id", "url", "host", "path"]
-        yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array([[t for t, _ in p] for p in found], pa.list_(pa.string())), pa.array([[r for _, r in p] for p in found], pa.list_(pa.int32())), pa.array(hashes, pa.list_(pa.int64()))], [*names, "lines", "roles", "hashes"])
+        packed = [c.compress(json.dumps(lines(h), ensure_ascii=False).encode("utf-8", "surrogatepass")) for h in b.column("html").to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(packed, pa.binary())], ["page_id", "url", "packed"])
 
 
 def _difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    d = zstandard.ZstdDecompressor()
     for b in batches:
-        texts = [main_text(list(zip(t, r, strict=True)), h, p) for t, r, h, p in zip(*(b.column(c).to_pylist() for c in ("lines", "roles", "hashes", "partner_hashes")), strict=True)]
+        texts = []
+        for packed, partner in zip(b.column("packed").to_pylist(), b.column("partner_hashes").to_pylist(), strict=True):
+            page = [(t, r) for t, r in json.loads(d.decompress(packed).decode("utf-8", "surrogatepass"))]
+            texts.append(main_text(page, _hashes(page), partner))
         yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
 
@@ -144,17 +161,19 @@ def extract(pages: DataFrame) -> DataFrame:
     host = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
     path = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
     parsed = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), host.alias("host"), path.alias("path"), F.col("html").cast("string").alias("html"))
-    parsed = materialize(parsed.mapInArrow(_parse, "page_id long, url string, host string, path string, lines array<string>, roles array<int>, hashes array<long>"), "page-lines")
-    light = parsed.where(F.size("hashes") > 0).select("page_id", "host", F.regexp_replace("path", r".$", "").alias("near"), F.regexp_extract("path", "^/?([^/]*)", 1).alias("segment"))
+    # pages are parsed twice: writing their lines in between would cost more disk than parsing costs time
+    outlines = materialize(parsed.select("page_id", "host", "path", "html").mapInArrow(_outlined, "page_id long, host string, path string, hashes array<long>"), "page-outlines")
+    light = outlines.where(F.size("hashes") > 0).select("page_id", "host", F.regexp_replace("path", r".$", "").alias("near"), F.regexp_extract("path", "^/?([^/]*)", 1).alias("segment"))
     partner = light
     for k, keys in enumerate((["host", "near"], ["host", "segment"], ["host"])):
         ends = light.groupBy(*keys).agg(F.min("page_id").alias("lo"), F.max("page_id").alias("hi"))
         mate = F.when(F.col("page_id") != F.col("lo"), F.col("lo")).when(F.col("page_id") != F.col("hi"), F.col("hi"))
         partner = partner.join(ends, keys).withColumn(f"mate{k}", mate).drop("lo", "hi")
     partner = partner.select("page_id", F.coalesce("mate0", "mate1", "mate2").alias("mate")).where("mate IS NOT NULL").distinct()
-    mates = parsed.select(F.col("page_id").alias("mate"), F.col("hashes").alias("partner_hashes")).join(partner.select("mate").distinct(), "mate", "left_semi").groupBy("mate").agg(F.min("partner_hashes").alias("partner_hashes"))
+    mates = outlines.select(F.col("page_id").alias("mate"), F.col("hashes").alias("partner_hashes")).join(partner.select("mate").distinct(), "mate", "left_semi").groupBy("mate").agg(F.min("partner_hashes").alias("partner_hashes"))
     known = partner.join(mates, "mate").select("page_id", "partner_hashes")
-    return parsed.join(known, "page_id", "left").select("page_id", "url", "lines", "roles", "hashes", "partner_hashes").mapInArrow(_difference, "page_id long, url string, text string, n_chars long")
+    packed = parsed.select("page_id", "url", "html").mapInArrow(_squeezed, "page_id long, url string, packed binary")
+    return packed.join(known, "page_id", "left").mapInArrow(_difference, "page_id long, url string, text string, n_chars long")
 
 
 def op5_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
