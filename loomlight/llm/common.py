@@ -75,10 +75,12 @@ def forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
 def components(edges: DataFrame, tag: str = "components") -> DataFrame:
     """(node, component_id) for every node of edges(u, v); component_id is the smallest node reachable.
 
-    Alternating large-star and small-star rounds: each turns every neighbourhood into a star around its smallest
-    node, so the number of rounds is logarithmic in the longest path. A node with very many neighbours is never
-    gathered: its minimum is a partially aggregated groupBy, and the minimum returns to its links by a join that
-    adaptive execution may split. Each round is written to the shared folder. Ends when a round changes nothing.
+    First every node is contracted to its smallest neighbour's smallest neighbour, which leaves little of a dense
+    group's many links. Then alternating large-star and small-star rounds: each turns every neighbourhood into a star
+    around its smallest node, so the number of rounds is logarithmic in the longest path. A node with very many
+    neighbours is never gathered: its minimum is a partially aggregated groupBy, and the minimum returns to its links
+    by a join that adaptive execution may split. Each round is written to the shared folder. Ends when a round changes
+    nothing.
     """
 
     def digest(e: DataFrame) -> tuple:
@@ -92,7 +94,15 @@ def components(edges: DataFrame, tag: str = "components") -> DataFrame:
             return joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
         return joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v"))).where("u > v").distinct()
 
-    e = materialize(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), tag)
+    def tidy(e: DataFrame) -> DataFrame:
+        return e.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+
+    e = materialize(tidy(edges), tag)
+    ends = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    least = ends.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("p"))
+    home = materialize(least.join(least.select(F.col("u").alias("p"), F.col("p").alias("home")), "p").select(F.col("u").alias("node"), "home"), tag)
+    e = e.join(home.select(F.col("node").alias("u"), F.col("home").alias("a")), "u").join(home.select(F.col("node").alias("v"), F.col("home").alias("b")), "v")
+    e = materialize(tidy(e.select(F.col("a").alias("u"), F.col("b").alias("v"))), tag)
     before = digest(e)
     while before[0]:
         e = materialize(star(star(e, True), False), tag)
@@ -100,7 +110,7 @@ def components(edges: DataFrame, tag: str = "components") -> DataFrame:
         if now == before:
             break
         before = now
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component_id")).unionAll(e.select(F.col("v").alias("node"), F.col("v").alias("component_id")).distinct())
+    return home.join(e.select(F.col("u").alias("home"), F.col("v").alias("root")), "home", "left").select("node", F.coalesce("root", "home").alias("component_id"))
 
 
 def gathered(frames: Iterator[pd.DataFrame], keys: list[str], rows: int) -> Iterator[pd.DataFrame]:

@@ -12,7 +12,7 @@ Exact copies collapse into one class first. Dense cells are dealt out as pairs o
 vector and the spanning forest of the links, never the pairs, so no link is lost and rows stay in proportion.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components, and vectors with a null
-label, link with nothing (n_links 0, component of their own); vectors of unlike length never link; repeated vec_ids
+label or vec_id, link with nothing (n_links 0, component of their own); vectors of unlike length never link; repeated vec_ids
 are copies of one another when label and vector agree; other columns are ignored; an empty table gives no rows.
 """
 
@@ -131,7 +131,7 @@ def near_vectors(vectors: DataFrame, min_cosine: float = MIN_COSINE, blocks: int
     prepare(vectors.sparkSession)
     budget = 2 - 2 * min_cosine
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").alias("label"), F.col("embedding").alias("v"))
-    sound = F.col("label").isNotNull() & F.col("v").isNotNull() & F.coalesce(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False)) & F.exists("v", lambda x: x != 0)
+    sound = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("v").isNotNull() & F.coalesce(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False)) & F.exists("v", lambda x: x != 0)
     rows = rows.select("vec_id", "label", F.when(sound, F.col("v")).alias("v"))
     classes = materialize(rows.where("v IS NOT NULL").groupBy("label", "v").agg(F.min("vec_id").alias("node"), F.count("*").alias("size")), "vector-classes")
     kind = classes.schema["label"].dataType.simpleString()
@@ -149,7 +149,7 @@ def near_vectors(vectors: DataFrame, min_cosine: float = MIN_COSINE, blocks: int
     counts = found.groupBy("u").agg(F.sum("n").alias("n"))
     per_class = classes.join(counts, F.col("node") == F.col("u"), "left").drop("u").join(named, "node", "left").select("label", "v", (F.col("size") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component_id", "node").alias("component_id"))
     out = rows.join(per_class, ["label", "v"], "left")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"), (F.coalesce("component_id", "vec_id") == F.col("vec_id")).alias("kept"))
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"), F.coalesce(F.coalesce("component_id", "vec_id") == F.col("vec_id"), F.lit(True)).alias("kept"))
 
 
 def op2_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ Only DataFrame functions are used. The template table is a constant of a few hun
 hashes also filter the k-grams in the row, before any row is made of them, and a hit compares the words themselves.
 
 Defined cases: a null or empty text has no words and no labels; a document without base places has null first_word
-and last_word; repeated rows are scanned alike (doc_id identifies a document in the votes); other columns are
+and last_word; repeated rows are scanned alike (doc_id identifies a document in the votes; without one only the base counts); other columns are
 ignored; an empty table gives no rows.
 """
 
@@ -68,7 +68,7 @@ def scan(docs: DataFrame) -> DataFrame:
     d = d.withColumn("base", F.expr(f"get(transform(array(w), w -> CASE WHEN array_contains(w, 'license') THEN concat({', '.join(places)}) END), 0)"))
     per_doc = d.select("doc_id", F.size("w").cast("long").alias("n_words"), "base", "hits")
 
-    votes = per_doc.where("size(hits) > 0").select("doc_id", F.explode("hits").alias("hit")).distinct()
+    votes = per_doc.where("doc_id IS NOT NULL AND size(hits) > 0").select("doc_id", F.explode("hits").alias("hit")).distinct()
     votes = votes.join(F.broadcast(grams), (F.col("hit.hash") == F.col("hash")) & (F.col("hit.gram") == F.col("gram")))
     tally = votes.groupBy("doc_id", "template", "label", "length", (F.col("hit.pos") - F.col("at")).alias("diagonal")).agg(F.array_sort(F.collect_set("at")).alias("ats"), F.min("hit.pos").alias("pos"))
     # a diagonal's votes are at most the template's k-grams; neighbours within MAX_SHIFT are one occurrence

@@ -85,7 +85,7 @@ def near_copies(docs: DataFrame, min_estimate: float = MIN_ESTIMATE) -> DataFram
     names = [f"fp{s}" for s in range(SEEDS)]
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     rows = materialize(rows.mapInArrow(_described, f"doc_id long, {', '.join(f'{n} long' for n in names)}, signature binary"), "near-described")
-    texts = materialize(rows.groupBy("signature", *names).agg(F.min("doc_id").alias("node")), "near-texts")
+    texts = materialize(rows.where("doc_id IS NOT NULL").groupBy("signature", *names).agg(F.min("doc_id").alias("node")), "near-texts")
     found = []
     for n in names:
         by = texts.groupBy(F.col(n).alias("fp")).agg(F.min("node").alias("first"))
@@ -99,4 +99,4 @@ def near_copies(docs: DataFrame, min_estimate: float = MIN_ESTIMATE) -> DataFram
     dealt = dealt.join(texts.select("node", "signature"), "node").repartition("cluster", "part").sortWithinPartitions("cluster", "part")
     verified = components(dealt.select("cluster", "part", "node", "signature").mapInPandas(partial(_verified, min_estimate=min_estimate), "u long, v long"), "near-verified")
     named = texts.join(verified, "node", "left").select("signature", *names, F.coalesce("component_id", "node").alias("component_id"))
-    return rows.join(named, ["signature", *names]).select("doc_id", "component_id")
+    return rows.join(named, ["signature", *names], "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))

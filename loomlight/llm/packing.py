@@ -10,7 +10,7 @@ last one of a group is split into sequences whose lengths are powers of two, whi
 Every task holds OPEN windows and one document, so memory doesn't grow with the input, and nothing is gathered on
 one task or the driver. Sequence numbers are the partition's number, shifted, plus a counter.
 
-Defined cases: a null or empty text is the end token alone; repeated rows are packed as often as they occur; other
+Defined cases: a null or empty text is the end token alone; a null doc_id stays null; repeated rows are packed as often as they occur; other
 columns are ignored; an empty table gives no rows. Text that spells a special token is ordinary text.
 """
 
@@ -23,7 +23,6 @@ from collections.abc import Iterator
 from functools import lru_cache, partial
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -154,12 +153,12 @@ def _pack(batches: Iterator[pa.RecordBatch], path: str, length: int, limit: int,
     yield batch(left, [i.astype("<u4").tobytes() for pieces in packer.windows.held.values() for _, _, i, _ in pieces])
 
 
-def _merge(f: pd.DataFrame, length: int, min_cut: int) -> pd.DataFrame:
+def _merge(leftovers: pa.Table, length: int, min_cut: int) -> pa.Table:
     """Merge the leftovers of a group of partitions: longest first, best fit; the last windows become powers of two."""
-    f = f.sort_values(["length", "doc_id", "start", "ids_crc32"], ascending=[False, True, True, True])
-    packer = Packer((1 << 62) + (int(f["source_partition"].iloc[0]) // GROUP << 30), length, 1 << 62, min_cut, _crc)
-    for d, s, i, t in zip(f["doc_id"], f["start"], f["ids"], f["doc_tokens"], strict=True):
-        packer.add(int(d), np.frombuffer(i, "<u4"), int(t), int(s))
+    rows = sorted(leftovers.to_pylist(), key=lambda r: (-r["length"], r["doc_id"] is None, r["doc_id"] or 0, r["start"], r["ids_crc32"]))
+    packer = Packer((1 << 62) + (rows[0]["source_partition"] // GROUP << 30), length, 1 << 62, min_cut, _crc)
+    for r in rows:
+        packer.add(r["doc_id"], np.frombuffer(r["ids"], "<u4"), r["doc_tokens"], r["start"])
     rest = sorted(packer.windows.held.values(), key=lambda p: -sum(len(x[2]) for x in p))
     poor = []
     for pieces in rest:  # nearly full ones stay whole
@@ -180,7 +179,8 @@ def _merge(f: pd.DataFrame, length: int, min_cut: int) -> pd.DataFrame:
             taken.append((d, s, i, t))
             room -= len(i)
         packer.close(taken)
-    return pd.DataFrame(packer.out, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+    names = [c.split()[0] for c in PIECE.split(", ")]
+    return pa.table([pa.array(c, pa.int64()) for c in zip(*packer.out, strict=True)], names=names)
 
 
 def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, limit: int = OPEN, min_cut: int = MIN_CUT, end: int = END) -> DataFrame:
@@ -192,7 +192,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, limit: int = OPE
     packed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(partial(_pack, path=tokenizer, length=length, limit=limit, min_cut=min_cut, end=end), f"{PIECE}, source_partition int, ids binary")
     packed = materialize(packed, "packed")
     names = [c.split()[0] for c in PIECE.split(", ")]
-    left = packed.where("ids IS NOT NULL").groupBy(F.expr(f"source_partition div {GROUP}").alias("group")).applyInPandas(partial(_merge, length=length, min_cut=min_cut), PIECE)
+    left = packed.where("ids IS NOT NULL").groupBy(F.expr(f"source_partition div {GROUP}").alias("group")).applyInArrow(lambda t: _merge(t, length, min_cut), PIECE)
     return packed.where("ids IS NULL").select(*names).unionAll(left)
 
 

@@ -9,7 +9,7 @@ by the Hamming distance. Lists over CHUNK fingerprints are dealt out as pairs of
 spanning forest of the links that it finds, never the pairs, so a dense group costs rows in proportion to its size.
 
 Defined cases: a null text, a text without words and an empty text have fingerprint zero and link to each other and
-to anything within d bits of zero; exact copies share one index entry; repeated doc_ids are one node; other columns
+to anything within d bits of zero; a row without doc_id links with nothing and has no component; exact copies share one index entry; repeated doc_ids are one node; other columns
 are ignored; an empty table gives an empty result.
 """
 
@@ -79,7 +79,7 @@ def _byte(c: Column, i: int) -> Column:
 
 
 def _links(frames: Iterator[pd.DataFrame], max_bits: int) -> Iterator[pd.DataFrame]:
-    """Tally, filter and verify all pairs of each run of equal keys; returns the forest of the links."""
+    """Tally, filter and verify all pairs of each run of equal keys; returns the forest of the links of many runs."""
     for f in gathered(frames, ["key", "part"], 100_000):
         key, part, node, fp = (f[c].to_numpy() for c in ("key", "part", "node", "fp"))
         fp = fp.view(np.uint64)
@@ -87,22 +87,23 @@ def _links(frames: Iterator[pd.DataFrame], max_bits: int) -> Iterator[pd.DataFra
         new[1:] = (key[1:] != key[:-1]) | (part[1:] != part[:-1])
         group = np.cumsum(new) - 1
         a, b = [], []
+        own, place = np.unique(node, return_inverse=True)  # a document's entries are one node in all its lists
         at, k, held = np.arange(len(f)), 1, 0
         while len(at := at[at + k < len(f)]) and len(at := at[group[at] == group[at + k]]):
             x = fp[at] ^ fp[at + k]
             shared = (x.view(np.uint8).reshape(-1, 8) == 0).sum(axis=1)
             hit = (shared >= BYTES - max_bits) & (np.bitwise_count(x) <= max_bits)
-            a.append(at[hit])
-            b.append(at[hit] + k)
+            a.append(place[at[hit]])
+            b.append(place[at[hit] + k])
             held += len(a[-1])
             if held > 1_000_000:
-                label = forest(np.concatenate(a), np.concatenate(b), len(f))
-                a, b = [np.flatnonzero(label != np.arange(len(f)))], [label[label != np.arange(len(f))]]
+                label = forest(np.concatenate(a), np.concatenate(b), len(own))
+                a, b = [np.flatnonzero(label != np.arange(len(own)))], [label[label != np.arange(len(own))]]
                 held = len(a[0])
             k += 1
-        label = forest(np.concatenate(a), np.concatenate(b), len(f)) if a else np.arange(len(f))
-        moved = label != np.arange(len(f))
-        yield pd.DataFrame({"u": node[moved], "v": node[label[moved]]}).drop_duplicates()
+        label = forest(np.concatenate(a), np.concatenate(b), len(own)) if a else np.arange(len(own))
+        moved = label != np.arange(len(own))
+        yield pd.DataFrame({"u": own[moved], "v": own[label[moved]]})
 
 
 def links(classes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
@@ -127,11 +128,11 @@ def links(classes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row of docs(doc_id, text)."""
     fps = materialize(fingerprints(docs, shingle), "simhash-fingerprints")
-    classes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("node")), "simhash-classes")
+    classes = materialize(fps.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("node")), "simhash-classes")
     found = components(links(classes, max_bits), "simhash-links")
     named = classes.join(found, "node", "left").select("fp", F.coalesce("component_id", "node").alias("component_id"))
     # a fingerprint may belong to a third of all documents: its rows may be split, the classes are one row each
-    return fps.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return fps.join(named, "fp", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ The sketch has a fixed number of bits (a parameter, proven bound of the broadcas
 A fuller sketch only sends more windows to the exact grouping; none is lost at any size.
 
 Defined cases: a null or empty text has no words, removes nothing and keeps the empty string; shorter documents than
-a window keep all words; doc_id identifies a document; other columns are ignored; an empty table gives no rows.
+a window keep all words; doc_id identifies a document; one without doc_id keeps its words and removes none; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -211,6 +211,7 @@ def _remove(batches: Iterator[pa.RecordBatch], bits: Broadcast, width: int, log2
         listed = b.column("firsts")
         offsets, starts = listed.offsets.to_numpy(), listed.values.to_numpy()
         late[np.repeat(h.before[: b.num_rows], np.diff(offsets)) + starts[offsets[0] : offsets[-1]]] = False
+        late[np.asarray(b.column("doc_id").is_null())[h.doc]] = False
         at = h.first[h.doc[late]] + h.start[late]
         depth = np.zeros(len(h.starts) + 1, np.int32)
         np.add.at(depth, at, 1)
@@ -270,9 +271,10 @@ def substring_dedup(docs: DataFrame, width: int = WIDTH, log2_cells: int = LOG2_
     spark = docs.sparkSession
     prepare(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    bits = sketch(docs, width, log2_cells)
+    named = docs.where("doc_id IS NOT NULL")
+    bits = sketch(named, width, log2_cells)
     own = {"bits": bits, "width": width, "log2_cells": log2_cells}
-    found = docs.mapInArrow(partial(_candidates, **own), "h1 long, h2 int, doc_id long, start int")
+    found = named.mapInArrow(partial(_candidates, **own), "h1 long, h2 int, doc_id long, start int")
     firsts = found.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "start")).alias("first"))
     # a document's first starts are at most as many as its words
     by_doc = firsts.select("first.*").groupBy("doc_id").agg(F.collect_list("start").alias("firsts"))

@@ -441,3 +441,20 @@ def test_pipeline(spark):
     empty = spark.createDataFrame([], d.schema)
     for _, stage in c.STAGES:
         assert stage(spark, empty, SF).count() == 0
+
+
+def test_null_ids(spark):
+    long = prose(200)
+    docs = spark.createDataFrame([(None, long, "en", None, 1), (1, long, None, "s", 1), (2, long, "en", "s", None), (None, None, None, None, None)], "doc_id long, text string, lang string, source string, n_chars long")
+    import public_tokenizers
+
+    assert {r.doc_id for r in packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json")).collect()} == {None, 1, 2}
+    assert {r.doc_id: r.n_removed > 0 for r in substrings.substring_dedup(docs, log2_cells=16).collect()} == {None: False, 1: False, 2: True}
+    for f in (simhash.near_duplicates, near_copies.near_copies):
+        assert sorted((r.doc_id or 0, r.component_id or 0) for r in f(docs).collect()) == [(0, 0), (0, 0), (1, 1), (2, 1)]
+    assert quality.judge(docs, []).count() == mixing.mix(docs).count() == licenses.scan(docs).count() == 4
+    assert {r.lang_pred for r in languages.identify(docs, languages.fit(docs)).collect()} <= {"en", "und"}
+    vectors = spark.createDataFrame([(None, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (2, [1.0, 0.0], 1)], "vec_id long, embedding array<float>, label int")
+    assert sorted((r.vec_id or 0, r.n_links, r.kept) for r in embeddings.near_vectors(vectors).collect()) == [(0, 0, True), (1, 1, True), (2, 1, False)]
+    web = spark.createDataFrame([(None, "http://a.b/", "<p>x</p>"), (1, None, None)], "page_id long, url string, html string")
+    assert sorted(r.text for r in pages.extract(web).collect()) == ["", "x"]
