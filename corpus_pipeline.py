@@ -4,7 +4,8 @@ Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kep
 of documents. Results are written and reread between the stages, so each starts from a table and a lost executor costs
 a re-read only.
 
-Defined cases are those of the operators: null texts fail the quality base; an empty table stays empty.
+Defined cases are those of the operators: null texts fail the quality base; documents without doc_id, to which no
+decision can refer, leave with the near copies; an empty table stays empty.
 """
 
 from __future__ import annotations
