@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.metrics import FILE_TOKENS
 from ..functions.signatures import by_lines
 from ..sources.shared import cut
 
@@ -71,11 +72,10 @@ def search(nodes: DataFrame, query: str) -> DataFrame:
 
 def statistics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """One row: files, nodes by kind, edges, and the tokens that reading all files would cost."""
-    from ..functions.metrics import FILE_TOKENS
-
-    n = nodes.agg(F.count("*").alias("nodes"), *[F.count_if(F.col("kind") == k).alias(name) for k, name in (("module", "files"), ("function", "functions"), ("class", "classes"), ("export", "exports"))])
-    e = edges.agg(F.count("*").alias("edges"), F.count_if(F.col("kind") == "imports").alias("import_edges"))
-    return n.crossJoin(e).withColumn("naive_tokens", F.col("files") * FILE_TOKENS)  # of one row each
+    of_nodes = nodes.select("kind", F.lit("node").alias("of")).unionAll(edges.select("kind", F.lit("edge").alias("of")))
+    node, edge, kind = F.col("of") == "node", F.col("of") == "edge", F.col("kind")
+    counts = {"nodes": node, "files": node & (kind == "module"), "functions": node & (kind == "function"), "classes": node & (kind == "class"), "exports": node & (kind == "export"), "edges": edge, "import_edges": edge & (kind == "imports")}
+    return of_nodes.agg(*[F.count_if(c).alias(n) for n, c in counts.items()]).withColumn("naive_tokens", F.col("files") * FILE_TOKENS)
 
 
 def traverse(edges: DataFrame, seeds: DataFrame, hops: int = HOPS, incoming: bool = False) -> DataFrame:
