@@ -124,3 +124,25 @@ def test_report(spark):
     r = one(spark, p=P.parsed(F.lit(text)), a=P.found(F.lit(text), "hub"), b=P.found(F.lit(text), "nodes"), c=P.found(F.lit(text), "zzz"))
     assert r.p.title == "fixture" and [(h.name, h.edges) for h in r.p.hubs] == [("Hub", 26)] and len(r.p.community_lines) == 2
     assert r.a == ["Hub (26 edges)", "## Community Hubs"] and r.b == ["- 10 nodes"] and r.c == []
+
+
+def test_control_and_missing_answers(spark):
+    from loomlight.operators import control, scores
+    from loomlight.plans import catalogue
+
+    assert {r.component for r in control.health(spark).collect()} >= {"spark", "shared folder", "pyarrow"}
+    assert control.topics(spark, catalogue.QUERIES).count() == len(catalogue.QUERIES)
+    truth = spark.createDataFrame([("src/m.ts", ["alpha", "beta"]), ("src/n.ts", [])], "path string, symbols array<string>")
+    none = spark.createDataFrame([], "path string, prompt_id string, text string")
+    got = {r.path: (r.recall, r.usage, r.specificity, r.score, r.verdict) for r in scores.score_answers(none, truth).collect()}
+    assert got == {"src/m.ts": (0.0, 0.0, 0.0, 0, "broken"), "src/n.ts": (1.0, 0.0, 0.0, 40, "lossy")}
+    r = one(spark, a=scores.usage(F.lit('import { alpha } from "./m";\nalpha()'), F.array(F.lit("alpha"), F.lit("beta")), F.lit("src/m.ts")), b=scores.usage(F.lit("alpha beta"), F.array(F.lit("alpha"), F.lit("beta")), F.lit("src/m.ts")))
+    assert (round(r.a, 6), round(r.b, 6)) == (0.333333, 0.333333)
+
+
+def test_empty_tables(spark):
+    assert C.replay(spark.createDataFrame([], "seq long, action string, path string, hash string")).count() == 0
+    nodes, edges = G.build(spark.createDataFrame([], "path string, content string"))
+    assert nodes.count() == edges.count() == 0
+    assert G.statistics(nodes, edges).first().nodes == 0
+    assert G.traverse(edges, spark.createDataFrame([], "key string")).count() == 0
