@@ -16,7 +16,7 @@ Defined cases: as in simhash; texts without words are copies of one another.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial, reduce
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -86,13 +86,16 @@ def near_copies(docs: DataFrame, min_estimate: float = MIN_ESTIMATE) -> DataFram
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     rows = materialize(rows.mapInArrow(_described, f"doc_id long, {', '.join(f'{n} long' for n in names)}, signature binary"), "near-described")
     texts = materialize(rows.where("doc_id IS NOT NULL").groupBy("signature", *names).agg(F.min("doc_id").alias("node")), "near-texts")
-    found = []
+    # one fingerprint after the other: texts that are in one cluster already need no more links among them
+    clusters = texts.select("node", *names, F.col("node").alias("cluster"))
     for n in names:
-        by = texts.groupBy(F.col(n).alias("fp")).agg(F.min("node").alias("first"))
-        found.append(links(by.select(F.col("first").alias("node"), "fp"), MAX_BITS))
-        found.append(texts.join(by, texts[n] == by["fp"]).where("node <> first").select(F.col("node").alias("u"), F.col("first").alias("v")))
-    clusters = components(reduce(DataFrame.unionAll, found), "near-candidates").withColumnRenamed("component_id", "cluster")
-    sizes = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("n"))
+        by = clusters.groupBy(F.col(n).alias("fp")).agg(F.min("cluster").alias("first"))
+        equal = clusters.join(by, clusters[n] == by["fp"]).where("cluster <> first").select(F.col("cluster").alias("u"), F.col("first").alias("v")).distinct()
+        joined = components(links(by.select(F.col("first").alias("node"), "fp"), MAX_BITS).unionAll(equal), "near-candidates")
+        joined = joined.select(F.col("node").alias("cluster"), "component_id")
+        clusters = materialize(clusters.join(joined, "cluster", "left").withColumn("cluster", F.coalesce("component_id", "cluster")).drop("component_id"), "near-clusters")
+    clusters = clusters.select("node", "cluster")
+    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("c")).where("c > 1").select("cluster", F.ceil(F.col("c") / CHUNK).cast("int").alias("n"))
     own = F.when(F.col("n") > 1, F.pmod(F.xxhash64("node"), F.col("n")).cast("int")).otherwise(F.lit(0))
     dealt = clusters.join(sizes, "cluster").withColumn("own", own)
     dealt = dealt.select("cluster", "node", F.explode(F.expr("transform(sequence(0, n - 1), j -> CAST(least(own, j) AS BIGINT) * n + greatest(own, j))")).alias("part"))

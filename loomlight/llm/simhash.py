@@ -109,7 +109,7 @@ def _links(frames: Iterator[pd.DataFrame], max_bits: int) -> Iterator[pd.DataFra
 def links(classes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """Spanning links (u, v) between the nodes of classes(node, fp) whose fingerprints differ in at most max_bits bits.
 
-    fp must be distinct. max_bits may be up to 7, the most for which a shared positional byte is guaranteed.
+    fp must be distinct; a node may have several. max_bits may be up to 7, the most for which a shared positional byte is guaranteed.
     """
     if not 0 <= max_bits < BYTES:
         raise ValueError("max_bits must be 0 to 7")
