@@ -1,16 +1,22 @@
-"""Near copies by SimHash candidates and a Jaccard check over five-word shingles.
+"""Near copies: Jaccard similarity of at least 4 / 5 over five-word shingles.
 
-A similarity of 0.8 over five-word shingles leaves 64-bit fingerprints of those shingles up to a third apart, which no
-byte-position index can guarantee to find. So candidates come from SEEDS fingerprints of a text's distinct words,
-which near copies change least, each looked up in the byte-position index at MAX_BITS differing bits (two positional
-bytes are then shared for sure). Whoever is connected by candidates forms a cluster; within it all pairs are verified
-by signatures: the smallest shingle hash in each of BINS bins, one byte of it. Clusters over CHUNK texts are dealt out
-as pairs of chunks, tasks return spanning forests, and exact copies are one text throughout.
+Two routes lead to candidates. The first is quick and contracts what is plainly alike: SEEDS fingerprints of a text's
+distinct words, each looked up in the byte-position index at MAX_BITS differing bits. Whoever is connected by
+candidates forms a cluster; within it pairs that a signature (the smallest shingle hash in each of BINS bins, one byte
+of it) estimates at LOOSE or more are linked. Clusters over CHUNK texts
+are dealt out as pairs of chunks, and tasks return spanning forests.
 
-Measured on documents of 50 words and more: one fingerprint finds about 79 % of the pairs at 0.8 and above, SEEDS
-independent ones about 99 %; pairs between MIN_ESTIMATE and 0.8 may count as copies, the signature's error is 0.025.
+The second is exact and misses no pair. All shingles have one order; of two sets of which the larger has n shingles
+and that reach the similarity, at least 4 n / 5 are shared, so the first n - ceil(4 n / 5) + 1 of each set share one
+(prefix filter). Texts of different groups that share such a shingle, and whose sizes and places in the order allow
+the similarity, are verified on their sets. The order is by hash, with shingles that are frequent in a sample of the
+texts last: a wrong guess of a frequency costs candidates, never a pair. Lists over CHUNK texts are dealt out as pairs
+of chunks, and lists of one group only are dropped before any pair is made.
 
-Defined cases: as in simhash; texts without words are copies of one another.
+Shingles are 64-bit hashes; equal sets, by 128 bits of theirs, are one text throughout.
+
+Defined cases: as in simhash; texts without words are copies of one another; a text with fewer words than a shingle
+has its whole sequence as the one shingle.
 """
 
 from __future__ import annotations
@@ -21,14 +27,18 @@ from functools import partial
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, forest, gathered, materialize, prepare
+from .common import components, gathered, materialize, prepare
 from .simhash import links
 from .substrings import Hashed, _cut, _mix
 
-SEEDS, MAX_BITS, SHINGLE, BINS, CHUNK, MIN_ESTIMATE = 3, 6, 5, 256, 1024, 0.77
+SEEDS, MAX_BITS, SHINGLE, BINS, CHUNK, LOOSE = 3, 6, 5, 256, 1024, 0.77
+#: One text in SAMPLE counts for the order of shingles; those in COMMON of them and more come last, MOST at most.
+SAMPLE, COMMON, MOST = 64, 3, 200_000
 
 
 def signature(hashes: np.ndarray) -> bytes:
@@ -41,51 +51,133 @@ def signature(hashes: np.ndarray) -> bytes:
     return out.tobytes()
 
 
-def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def prefix(shingles: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """The first shingles of a set in the order of all, enough to share one with every set that is a near copy."""
+    last = np.isin(shingles, common, assume_unique=True)
+    return np.concatenate((shingles[~last], shingles[last]))[: len(shingles) - (4 * len(shingles) + 4) // 5 + 1]
+
+
+def copies(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sets of shingles have a Jaccard similarity of at least 4 / 5."""
+    if 5 * min(len(a), len(b)) < 4 * max(len(a), len(b)):
+        return False
+    return 9 * len(np.intersect1d(a, b, assume_unique=True)) >= 4 * (len(a) + len(b))
+
+
+def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray], list[np.ndarray]]]:
+    """Slices of the batches, with the ascending shingles and the ascending words of each text, by hash."""
     for b in batches:
         for some, texts in _cut(b):
-            texts = [(t or b"").lower() for t in texts]
-            h = Hashed(texts, SHINGLE)
-            words = h.word_hashes()
-            fps, signatures = np.zeros((SEEDS, len(texts)), np.uint64), []
+            h = Hashed([(t or b"").lower() for t in texts], SHINGLE)
+            words, sets, own = h.word_hashes(), [], []
             for i in range(len(texts)):
                 lo, hi = h.first[i], h.first[i + 1]
-                own = np.unique(words[lo:hi])
-                for s in range(SEEDS if len(own) else 0):
-                    bits = np.unpackbits(_mix(own + np.uint64(s)).view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-                    fps[s, i] = np.packbits(2 * bits > len(own)).view(np.uint64)[0]
                 shingles = h.hashes[0][h.before[i] : h.before[i + 1]]
                 if not len(shingles) and hi > lo:  # fewer words than a shingle: the whole sequence
                     shingles = np.array([np.bitwise_xor.reduce(_mix(words[lo:hi] + np.arange(hi - lo, dtype=np.uint64)))], np.uint64)
-                signatures.append(signature(shingles))
-            yield pa.RecordBatch.from_arrays([some.column("doc_id"), *(pa.array(f.view(np.int64)) for f in fps), pa.array(signatures, pa.binary())], ["doc_id", *(f"fp{s}" for s in range(SEEDS)), "signature"])
+                sets.append(np.unique(shingles))
+                own.append(np.unique(words[lo:hi]))
+            yield some, sets, own
+
+
+def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for _, sets, _ in _shingles(batches):
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], ["h"])
+
+
+def _described(batches: Iterator[pa.RecordBatch], common: Broadcast) -> Iterator[pa.RecordBatch]:
+    for some, sets, words in _shingles(batches):
+        fps = np.zeros((SEEDS, len(sets)), np.uint64)
+        for i, own in enumerate(words):
+            for s in range(SEEDS if len(own) else 0):
+                bits = np.unpackbits(_mix(own + np.uint64(s)).view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+                fps[s, i] = np.packbits(2 * bits > len(own)).view(np.uint64)[0]
+        first = [prefix(x, common.value).view(np.int64) if len(x) else np.zeros(0, np.int64) for x in sets]
+        columns = {f"fp{s}": pa.array(f.view(np.int64)) for s, f in enumerate(fps)}
+        columns |= {"signature": pa.array([signature(x) for x in sets], pa.binary()), "digest": pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary())}
+        columns |= {"size": pa.array([len(x) for x in sets], pa.int32()), "prefix": pa.array(first, pa.list_(pa.int64()))}
+        yield pa.RecordBatch.from_arrays([some.column("doc_id"), *columns.values()], ["doc_id", *columns])
+
 
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for some, sets, _ in _shingles(batches):
+        yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array([x.tobytes() for x in sets], pa.binary())], ["node", "shingles"])
 
-def _verified(frames: Iterator[pd.DataFrame], min_estimate: float) -> Iterator[pd.DataFrame]:
-    for f in gathered(frames, ["cluster", "part"], 20_000):
+
+def _verified(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The forest of the verified links of each part of a cluster."""
+    for f in gathered(frames, ["cluster", "part"], 2 * CHUNK):
         for _, g in f.groupby(["cluster", "part"], sort=False):
             x = np.frombuffer(b"".join(g["signature"]), np.uint8).reshape(-1, BINS)
-            node, a, b = g["node"].to_numpy(), [], []
+            node, label = g["node"].to_numpy(), np.arange(len(g))
             for i in range(len(g) - 1):
-                rest = x[i + 1 :]
-                used = ((rest | x[i]) > 0).sum(axis=1)
-                same = ((rest == x[i]) & (rest > 0)).sum(axis=1)
-                j = np.flatnonzero(same >= min_estimate * np.maximum(used, 1)) if x[i].any() else np.flatnonzero(used == 0)
-                a.append(np.full(len(j), i))
-                b.append(j + i + 1)
-            if a:
-                label = forest(np.concatenate(a), np.concatenate(b), len(g))
-                moved = label != np.arange(len(g))
-                yield pd.DataFrame({"u": node[moved], "v": node[label[moved]]})
-
-
-def near_copies(docs: DataFrame, min_estimate: float = MIN_ESTIMATE) -> DataFrame:
+                rest = i + 1 + np.flatnonzero(label[i + 1 :] != label[i])
+                used = ((x[rest] | x[i]) > 0).sum(axis=1)
+                same = ((x[rest] == x[i]) & (x[rest] > 0)).sum(axis=1)
+                for j in rest[same >= LOOSE * np.maximum(used, 1)]:
+                    if label[i] != label[j]:
+                        both = label[i], label[j]
+                        label[label == max(both)] = min(both)
+            moved = label != np.arange(len(g))
+            yield pd.DataFrame({"u": node[moved], "v": node[label[moved]]})
+
+
+def _pairs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Pairs of a list's texts, of different groups, whose sizes and places in the order allow the similarity."""
+    for f in gathered(frames, ["h", "part"], 100_000):
+        h, part, node, group, size, place = (f[c].to_numpy() for c in ("h", "part", "node", "component", "size", "place"))
+        new = np.ones(len(f), bool)
+        new[1:] = (h[1:] != h[:-1]) | (part[1:] != part[:-1])
+        run = np.cumsum(new) - 1
+        left = size - place  # shingles from this one on
+        at, k = np.arange(len(f)), 1
+        found: list[np.ndarray] = []
+        while len(at := at[at + k < len(f)]) and len(at := at[run[at] == run[at + k]]):
+            b = at + k
+            hit = (group[at] != group[b]) & (9 * np.minimum(left[at], left[b]) >= 4 * (size[at] + size[b])) & (5 * np.minimum(size[at], size[b]) >= 4 * np.maximum(size[at], size[b]))
+            if hit.any():
+                u, v = node[at[hit]], node[b[hit]]
+                found.append(np.stack((np.minimum(u, v), np.maximum(u, v)), axis=1))
+            if sum(map(len, found)) > 1_000_000:
+                u, v = np.unique(np.concatenate(found), axis=0).T
+                yield pd.DataFrame({"u": u, "v": v})
+                found = []
+            k += 1
+        if found:
+            u, v = np.unique(np.concatenate(found), axis=0).T
+            yield pd.DataFrame({"u": u, "v": v})
+
+
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        pairs = zip(b.column("a").to_pylist(), b.column("b").to_pylist(), strict=True)
+        hit = pa.array([copies(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in pairs], pa.bool_())
+        yield pa.RecordBatch.from_arrays([b.column("u").filter(hit), b.column("v").filter(hit)], ["u", "v"])
+
+
+def _dealt(df: DataFrame) -> DataFrame:
+    """Each row of df(node, n, ...) once for every pair of n chunks that holds its node, named by part."""
+    own = F.when(F.col("n") > 1, F.pmod(F.xxhash64("node"), F.col("n")).cast("int")).otherwise(F.lit(0))
+    part = F.explode(F.expr("transform(sequence(0, n - 1), j -> CAST(least(own, j) AS BIGINT) * n + greatest(own, j))"))
+    return df.withColumn("own", own).withColumn("part", part).drop("own", "n")
+
+
+def near_copies(docs: DataFrame) -> DataFrame:
     """(doc_id, component_id) for every row of docs(doc_id, text); component_id is the smallest doc_id of its group."""
-    prepare(docs.sparkSession)
+    spark = docs.sparkSession
+    prepare(spark)
     names = [f"fp{s}" for s in range(SEEDS)]
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    rows = materialize(rows.mapInArrow(_described, f"doc_id long, {', '.join(f'{n} long' for n in names)}, signature binary"), "near-described")
-    texts = materialize(rows.where("doc_id IS NOT NULL").groupBy("signature", *names).agg(F.min("doc_id").alias("node")), "near-texts")
+    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    sample = read.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0).mapInArrow(_sampled, "h long")
+    frequent = sample.groupBy("h").count().where(F.col("count") >= COMMON).orderBy(F.desc("count"), "h").limit(MOST)
+    common = spark.sparkContext.broadcast(np.array([r.h for r in frequent.collect()], np.int64).view(np.uint64))
+    rows = materialize(read.mapInArrow(partial(_described, common=common), f"doc_id long, {', '.join(f'{n} long' for n in names)}, signature binary, digest binary, size int, prefix array<long>"), "near-described")
+    named = rows.where("doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("node"))
+    named = materialize(named, "near-names")
+    texts = rows.withColumnRenamed("doc_id", "node").join(named, ["node", "digest"], "left_semi")
+    texts = materialize(texts.where("size > 0").select("node", *names, "signature", "size", "prefix"), "near-texts")
+    sets = lambda nodes: read.join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").mapInArrow(_sets, "node long, shingles binary")
+
     # one fingerprint after the other: texts that are in one cluster already need no more links among them
     clusters = texts.select("node", *names, F.col("node").alias("cluster"))
     for n in names:
@@ -94,12 +186,22 @@ def near_copies(docs: DataFrame, min_estimate: float = MIN_ESTIMATE) -> DataFram
         joined = components(links(by.select(F.col("first").alias("node"), "fp"), MAX_BITS).unionAll(equal), "near-candidates")
         joined = joined.select(F.col("node").alias("cluster"), "component_id")
         clusters = materialize(clusters.join(joined, "cluster", "left").withColumn("cluster", F.coalesce("component_id", "cluster")).drop("component_id"), "near-clusters")
-    clusters = clusters.select("node", "cluster")
     sizes = clusters.groupBy("cluster").agg(F.count("*").alias("c")).where("c > 1").select("cluster", F.ceil(F.col("c") / CHUNK).cast("int").alias("n"))
-    own = F.when(F.col("n") > 1, F.pmod(F.xxhash64("node"), F.col("n")).cast("int")).otherwise(F.lit(0))
-    dealt = clusters.join(sizes, "cluster").withColumn("own", own)
-    dealt = dealt.select("cluster", "node", F.explode(F.expr("transform(sequence(0, n - 1), j -> CAST(least(own, j) AS BIGINT) * n + greatest(own, j))")).alias("part"))
-    dealt = dealt.join(texts.select("node", "signature"), "node").repartition("cluster", "part").sortWithinPartitions("cluster", "part")
-    verified = components(dealt.select("cluster", "part", "node", "signature").mapInPandas(partial(_verified, min_estimate=min_estimate), "u long, v long"), "near-verified")
-    named = texts.join(verified, "node", "left").select("signature", *names, F.coalesce("component_id", "node").alias("component_id"))
-    return rows.join(named, ["signature", *names], "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    some = materialize(clusters.select("node", "cluster").join(sizes, "cluster"), "near-clustered")
+    dealt = _dealt(some.join(texts.select("node", "signature"), "node"))
+    dealt = dealt.repartition("cluster", "part").sortWithinPartitions("cluster", "part")
+    quick = materialize(components(dealt.select("cluster", "part", "node", "signature").mapInPandas(_verified, "u long, v long"), "near-verified"), "near-quick")
+
+    # the exact route: what is of one group already needs no more links
+    entries = texts.join(quick, "node", "left").select("node", F.coalesce("component_id", "node").alias("component"), "size", F.posexplode("prefix").alias("place", "h"))
+    lists = entries.groupBy("h").agg(F.count("*").alias("c"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
+    lists = materialize(lists.select("h", F.ceil(F.col("c") / CHUNK).cast("int").alias("n")), "near-lists")
+    dealt = _dealt(entries.join(lists, "h")).repartition("h", "part").sortWithinPartitions("h", "part")
+    pairs = materialize(dealt.select("h", "part", "node", "component", "size", "place").mapInPandas(_pairs, "u long, v long").distinct(), "near-pairs")
+    ends = materialize(sets(pairs.select(F.col("u").alias("node")).unionAll(pairs.select(F.col("v").alias("node"))).distinct()), "near-sets")
+    compared = pairs.join(ends.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u").join(ends.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v")
+    exact = compared.mapInArrow(_compared, "u long, v long")
+
+    found = components(exact.unionAll(quick.select(F.col("node").alias("u"), F.col("component_id").alias("v"))), "near-exact")
+    named = named.join(found, "node", "left").select("digest", F.coalesce("component_id", "node").alias("component_id"))
+    return rows.select("doc_id", "digest").join(named, "digest", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))

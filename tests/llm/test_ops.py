@@ -327,6 +327,38 @@ def test_near_copies(spark):
     assert near_copies.near_copies(df.limit(0)).count() == 0
 
 
+def _exact_groups(texts):
+    """Components of all pairs whose sets of five-word shingles have a Jaccard similarity of at least 4 / 5."""
+    sets = []
+    for t in texts:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    least = list(range(len(texts)))
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        a, b = sets[i], sets[j]
+        if least[i] != least[j] and (a or b) and 5 * len(a & b) >= 4 * len(a | b) or not (a or b):
+            lo, hi = sorted((least[i], least[j]))
+            least = [lo if x == hi else x for x in least]
+    return dict(enumerate(least))
+
+
+def test_near_copies_finds_appended_and_cut_texts(spark):
+    r = random.Random(31)
+    words = lambda n: ["".join(r.choice("abcdefghijkl") for _ in range(6)) for _ in range(n)]
+    texts = []
+    for similarity in (0.8, 0.83, 0.87, 0.91, 0.95):
+        for _ in range(20):
+            own = words(r.randint(80, 250))
+            more = int((len(own) - 4) / similarity) - (len(own) - 4)
+            texts += [" ".join(own), " ".join(own + words(more))]
+            cut = words(r.randint(80, 250))
+            texts += [" ".join(cut), " ".join(cut[: len(cut) - int((len(cut) - 4) * (1 - similarity))])]
+    want = _exact_groups(texts)
+    assert len(set(want.values())) == len(texts) // 2
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert {x.doc_id: x.component_id for x in near_copies.near_copies(df).collect()} == want
+
+
 # ---- 8
 def test_mixing_meets_targets(spark, docs, empty):
     got = mixing.mix(docs).collect()
