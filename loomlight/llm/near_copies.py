@@ -1,9 +1,9 @@
-"""Near copies: Jaccard similarity of at least 4 / 5 over five-word shingles.
+"""Near copies: Jaccard similarity of at least 4 / 5 over five-word shingles, every link verified on the shingle sets.
 
 Two routes lead to candidates. The first is quick and contracts what is plainly alike: SEEDS fingerprints of a text's
 distinct words, each looked up in the byte-position index at MAX_BITS differing bits. Whoever is connected by
 candidates forms a cluster; within it pairs that a signature (the smallest shingle hash in each of BINS bins, one byte
-of it) estimates at LOOSE or more are linked. Clusters over CHUNK texts
+of it) estimates at LOOSE or more are verified on their shingle sets, unless linked already. Clusters over CHUNK texts
 are dealt out as pairs of chunks, and tasks return spanning forests.
 
 The second is exact and misses no pair. All shingles have one order; of two sets of which the larger has n shingles
@@ -36,7 +36,7 @@ from .common import components, gathered, materialize, prepare
 from .simhash import links
 from .substrings import Hashed, _cut, _mix
 
-SEEDS, MAX_BITS, SHINGLE, BINS, CHUNK, LOOSE = 3, 6, 5, 256, 1024, 0.77
+SEEDS, MAX_BITS, SHINGLE, BINS, CHUNK, LOOSE = 3, 6, 5, 256, 1024, 0.65
 #: One text in SAMPLE counts for the order of shingles; those in COMMON of them and more come last, MOST at most.
 SAMPLE, COMMON, MOST = 64, 3, 200_000
 
@@ -109,13 +109,14 @@ def _verified(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for f in gathered(frames, ["cluster", "part"], 2 * CHUNK):
         for _, g in f.groupby(["cluster", "part"], sort=False):
             x = np.frombuffer(b"".join(g["signature"]), np.uint8).reshape(-1, BINS)
+            sets = [np.frombuffer(s, np.uint64) for s in g["shingles"]]
             node, label = g["node"].to_numpy(), np.arange(len(g))
             for i in range(len(g) - 1):
                 rest = i + 1 + np.flatnonzero(label[i + 1 :] != label[i])
                 used = ((x[rest] | x[i]) > 0).sum(axis=1)
                 same = ((x[rest] == x[i]) & (x[rest] > 0)).sum(axis=1)
                 for j in rest[same >= LOOSE * np.maximum(used, 1)]:
-                    if label[i] != label[j]:
+                    if label[i] != label[j] and copies(sets[i], sets[j]):
                         both = label[i], label[j]
                         label[label == max(both)] = min(both)
             moved = label != np.arange(len(g))
@@ -188,9 +189,9 @@ def near_copies(docs: DataFrame) -> DataFrame:
         clusters = materialize(clusters.join(joined, "cluster", "left").withColumn("cluster", F.coalesce("component_id", "cluster")).drop("component_id"), "near-clusters")
     sizes = clusters.groupBy("cluster").agg(F.count("*").alias("c")).where("c > 1").select("cluster", F.ceil(F.col("c") / CHUNK).cast("int").alias("n"))
     some = materialize(clusters.select("node", "cluster").join(sizes, "cluster"), "near-clustered")
-    dealt = _dealt(some.join(texts.select("node", "signature"), "node"))
+    dealt = _dealt(some.join(texts.select("node", "signature"), "node").join(sets(some), "node"))
     dealt = dealt.repartition("cluster", "part").sortWithinPartitions("cluster", "part")
-    quick = materialize(components(dealt.select("cluster", "part", "node", "signature").mapInPandas(_verified, "u long, v long"), "near-verified"), "near-quick")
+    quick = materialize(components(dealt.select("cluster", "part", "node", "signature", "shingles").mapInPandas(_verified, "u long, v long"), "near-verified"), "near-quick")
 
     # the exact route: what is of one group already needs no more links
     entries = texts.join(quick, "node", "left").select("node", F.coalesce("component_id", "node").alias("component"), "size", F.posexplode("prefix").alias("place", "h"))

@@ -359,6 +359,22 @@ def test_near_copies_finds_appended_and_cut_texts(spark):
     assert {x.doc_id: x.component_id for x in near_copies.near_copies(df).collect()} == want
 
 
+def test_near_copies_links_by_exact_similarity(spark, monkeypatch):
+    monkeypatch.setattr(near_copies, "CHUNK", 8)
+    r = random.Random(32)
+    words = lambda n: ["".join(r.choice("abcdefghijkl") for _ in range(6)) for _ in range(n)]
+    texts, passage = [], words(60)
+    for k in range(60):  # shares 74 to 84 in a hundred shingles with its twin
+        own = [*passage[: r.randint(0, 60)], *words(300)]
+        at = len(own) * (84 - k % 11) // 100
+        texts += [" ".join(own), " ".join([*own[:at], *words(r.randint(0, 12))])]
+    hub = words(200)
+    texts += [" ".join([*hub[: r.randint(150, 200)], *words(r.randint(0, 30))]) for _ in range(40)]
+    want = _exact_groups(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert {x.doc_id: x.component_id for x in near_copies.near_copies(df).collect()} == want
+
+
 # ---- 8
 def test_mixing_meets_targets(spark, docs, empty):
     got = mixing.mix(docs).collect()
