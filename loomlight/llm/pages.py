@@ -1,18 +1,20 @@
 """Main text of web pages by nearest-URL page differencing.
 
-A page is cut into text lines, one per block. Pages are paired within a host with a page of the nearest URL: the
-first or last page with any text of those that share the host and the path but its last character, else the path's
-first segment, else the host. The lines of a pair are aligned by their longest common subsequence and shared lines are deleted.
+A page is cut into text lines, one per block. Pages with any text are put in order of host, path and page_id; a page's
+partner is its predecessor or successor of the same host, whichever path shares more leading directories, then more
+leading characters, and the predecessor if both do alike. No other page of the host shares more characters. The lines
+of a pair are aligned by their longest common subsequence and shared lines are deleted.
 
 Structure settles what differencing can't: lines of an article or main element stay even if another page repeats
 them, and lines of menus, headers, footers, sidebars, notices, adverts, forms and reader comments go even if each page
 has its own. A page that differencing would leave empty (its pair is a copy) keeps its undecided lines.
 
-Partners are found by minima and maxima, aggregated before the shuffle, so a host with a third of all pages is never
-gathered; pairs exchange 8-byte hashes of lines, not texts.
+The order is cut into ranges, each of which also gets the last row before and the first row after it, so a host with a
+third of all pages is never gathered, and a page is the partner of two others at most; pairs exchange 8-byte hashes of
+lines, not texts.
 
 Defined cases: null or empty html gives an empty text; a null url shares the empty host; a page alone in its host has
-no partner and keeps its undecided lines; repeated rows are extracted alike; other columns are ignored; an empty table
+no partner and keeps its undecided lines; repeated rows are extracted alike and have one place, that of their smallest host and path; other columns are ignored; an empty table
 gives no rows.
 """
 
@@ -23,11 +25,12 @@ import json
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
+from os.path import commonprefix
 
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, prepare, table
@@ -154,6 +157,33 @@ def _difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
 
+def _nearer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def shared(a: str, b: str | None) -> tuple[int, int]:
+        if b is None:
+            return -1, -1
+        same = commonprefix((a, b))
+        return same.count("/"), len(same)
+
+    for b in batches:
+        rows = zip(*(b.column(n).to_pylist() for n in ("path", "before", "before_path", "after", "after_path")), strict=True)
+        mate = [after if shared(path, after_path) > shared(path, before_path) else before for path, before, before_path, after, after_path in rows]
+        yield pa.RecordBatch.from_arrays([b.column("page_id"), pa.array(mate, pa.int64())], ["page_id", "mate"])
+
+
+def _partners(light: DataFrame) -> DataFrame:
+    """(page_id, mate) for the pages of light(host, path, page_id), page_id distinct, whose host has another page."""
+    row = F.struct("host", "path", "page_id")
+    ranges = materialize(light.repartitionByRange("host", "path", "page_id").select(row.alias("row"), F.spark_partition_id().alias("part"), F.lit(True).alias("own")), "page-order")
+    # one row a range, whose number is that of the shuffle's partitions
+    bounds = ranges.groupBy("part").agg(F.min("row").alias("lo"), F.max("row").alias("hi"))
+    order = Window.orderBy("lo")
+    bounds = bounds.select("part", F.array(F.lag("hi").over(order), F.lead("lo").over(order)).alias("rows")).select("part", F.explode("rows").alias("row")).where("row IS NOT NULL")
+    order = Window.partitionBy("part").orderBy("row")
+    beside = ranges.unionByName(bounds.withColumn("own", F.lit(False))).select("row", "own", F.lag("row").over(order).alias("p"), F.lead("row").over(order).alias("n")).where("own")
+    sides = [F.when(F.col(f"{c}.host") == F.col("row.host"), F.col(f"{c}.{x}")).alias(name) for c, side in (("p", "before"), ("n", "after")) for x, name in (("page_id", side), ("path", f"{side}_path"))]
+    return beside.select("row.page_id", "row.path", *sides).mapInArrow(_nearer, "page_id long, mate long").where("mate IS NOT NULL")
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) for every row of pages(page_id, url, html)."""
     prepare(pages.sparkSession)
@@ -163,13 +193,8 @@ def extract(pages: DataFrame) -> DataFrame:
     parsed = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), host.alias("host"), path.alias("path"), F.col("html").cast("string").alias("html"))
     # pages are parsed twice: writing their lines in between would cost more disk than parsing costs time
     outlines = materialize(parsed.select("page_id", "host", "path", "html").mapInArrow(_outlined, "page_id long, host string, path string, hashes array<long>"), "page-outlines")
-    light = outlines.where(F.size("hashes") > 0).select("page_id", "host", F.regexp_replace("path", r".$", "").alias("near"), F.regexp_extract("path", "^/?([^/]*)", 1).alias("segment"))
-    partner = light
-    for k, keys in enumerate((["host", "near"], ["host", "segment"], ["host"])):
-        ends = light.groupBy(*keys).agg(F.min("page_id").alias("lo"), F.max("page_id").alias("hi"))
-        mate = F.when(F.col("page_id") != F.col("lo"), F.col("lo")).when(F.col("page_id") != F.col("hi"), F.col("hi"))
-        partner = partner.join(ends, keys).withColumn(f"mate{k}", mate).drop("lo", "hi")
-    partner = partner.select("page_id", F.coalesce("mate0", "mate1", "mate2").alias("mate")).where("mate IS NOT NULL").distinct()
+    light = outlines.where("page_id IS NOT NULL AND size(hashes) > 0").groupBy("page_id").agg(F.min(F.struct("host", "path")).alias("at")).select("at.host", "at.path", "page_id")
+    partner = _partners(light)
     mates = outlines.select(F.col("page_id").alias("mate"), F.col("hashes").alias("partner_hashes")).join(partner.select("mate").distinct(), "mate", "left_semi").groupBy("mate").agg(F.min("partner_hashes").alias("partner_hashes"))
     known = partner.join(mates, "mate").select("page_id", "partner_hashes")
     packed = parsed.select("page_id", "url", "html").mapInArrow(_squeezed, "page_id long, url string, packed binary")

@@ -213,6 +213,36 @@ def test_pages(spark):
     assert pages.extract(df.limit(0)).count() == 0
 
 
+def test_pages_pair_with_the_nearest_path(spark):
+    menu = lambda m, own: f"<div>menu {m}</div><div>{own}</div>"
+    rows = [
+        (1, "http://d.com/docs/a.html", menu("top", "one")),
+        (2, "http://d.com/docs/v1/10", menu("v1", "two")),
+        (3, "http://d.com/docs/v1/9", menu("v1", "three")),
+        (3, "http://d.com/docs/v1/9", menu("v1", "three")),
+        (4, "http://d.com/docs/v2/x.html", menu("v2", "four")),
+        (5, "http://d.com/docs/v2/y.html", menu("v2", "five")),
+        (6, "http://d.com/docs/v10/deep/z", menu("v10", "six")),
+        (7, "http://d.com/docs/v10/deep/y1", menu("v10", "seven")),
+        (8, "http://e.com/docs/v1/9", menu("v1", "eight")),
+    ]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = [(r.page_id, r.text) for r in pages.extract(df).collect()]
+    assert sorted(got) == [(1, "menu top one"), (2, "two"), (3, "three"), (3, "three"), (4, "four"), (5, "five"), (6, "six"), (7, "seven"), (8, "menu v1 eight")]
+
+
+def test_page_partners_across_ranges(spark):
+    r = random.Random(33)
+    rows = [(f"h{r.randint(0, 3)}" if i % 3 else "big", "/" + "/".join(r.choice("ab") + str(r.randint(0, 12)) for _ in range(r.randint(1, 3))), i) for i in range(300)] + [("alone", "/x", 300)]
+    got = {x.page_id: x.mate for x in pages._partners(spark.createDataFrame(rows, "host string, path string, page_id long").repartition(5)).collect()}
+    shared = lambda a, b: len(pages.commonprefix((a, b)))
+    at = {i: (h, p) for h, p, i in rows}
+    assert set(got) == set(at) - {300}
+    for i, mate in got.items():
+        others = [shared(p, at[i][1]) for h, p, j in rows if h == at[i][0] and j != i]
+        assert at[mate][0] == at[i][0] and mate != i and shared(at[mate][1], at[i][1]) == max(others)
+
+
 def test_longest_common_subsequence():
     r = random.Random(2)
     for _ in range(100):
