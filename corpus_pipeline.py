@@ -5,7 +5,8 @@ of documents. Results are written and reread between the stages, so each starts
 a re-read only.
 
 Defined cases are those of the operators: null texts fail the quality base; documents without doc_id, to which no
-decision can refer, leave with the near copies; an empty table stays empty.
+decision can refer, leave with the near copies; rows that repeat a doc_id are one document from the first stage on,
+the smallest by text, language, source and length, a null text last; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -26,10 +27,19 @@ def _columns(docs: DataFrame) -> DataFrame:
     return docs.select(*COLUMNS)
 
 
+def _one_row(docs: DataFrame) -> DataFrame:
+    """One row for each doc_id; only the rows of repeated ones are shuffled."""
+    repeated = materialize(docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"), "pipeline-repeated")
+    order = F.struct(F.col("text").isNull(), "text", "lang", "source", "n_chars")
+    rows = docs.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(order).alias("row"))
+    return _columns(docs.join(repeated, "doc_id", "left_anti")).unionByName(_columns(rows.select("doc_id", "row.*")))
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base and the learned decision list keep."""
+    docs = _one_row(docs)
     rules = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return _columns(quality.judge(_columns(docs), rules).where("kept"))
+    return _columns(quality.judge(docs, rules).where("kept"))
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -521,6 +521,23 @@ def test_pipeline(spark):
         assert stage(spark, empty, SF).count() == 0
 
 
+def test_pipeline_with_repeated_rows(spark):
+    import corpus_pipeline as c
+
+    once = spark.read.parquet(f"{SF}/documents.parquet")
+    some = once.where("doc_id % 3 = 0")
+    many = once.unionAll(some).unionAll(some.withColumn("text", F.lit(None).cast("string")))
+    local = lambda d: spark.createDataFrame(d.collect(), d.schema)
+    for name, stage in c.STAGES[:-1]:
+        before, (once, many) = once, (local(stage(spark, d, SF)) for d in (once, many))
+        rows = sorted((tuple(r) for r in many.collect()), key=repr)
+        assert rows == sorted((tuple(r) for r in once.collect()), key=repr), name
+        if name == "simhash_near_dedup":
+            texts = sorted((r.doc_id, r.text) for r in before.collect())
+            groups = _exact_groups([t for _, t in texts])
+            assert sorted(r[0] for r in rows) == [texts[i][0] for i, k in groups.items() if i == k]
+
+
 def test_null_ids(spark):
     long = prose(200)
     docs = spark.createDataFrame([(None, long, "en", None, 1), (1, long, None, "s", 1), (2, long, "en", "s", None), (None, None, None, None, None)], "doc_id long, text string, lang string, source string, n_chars long")
