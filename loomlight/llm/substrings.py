@@ -5,38 +5,44 @@ sketch (ROWS rows of saturating counters: none, one, more); the sketches are mer
 tasks of the cluster, into one bit per cell that says "two or more". The rows are built in turn, each by a pass over
 the windows that the rows before estimate repeated: copies of a window pass or fail together, so an estimate never
 falls below the true count, a window met twice always passes, and later rows are nearly empty. The next pass groups
-only windows estimated repeated, exactly, by 96 hash bits; of each group the first start (smallest doc_id, then
-earliest start) stays. The first starts return to their documents, which are joined by doc_id, so a passage that a
+only windows estimated repeated, by a cryptographic digest of their words (BLAKE2b, 128 bits), for which nobody can
+make two unlike windows agree; of each group the first start (smallest doc_id, then earliest start) stays. The first starts return to their documents, which are joined by doc_id, so a passage that a
 third of the documents share is never gathered. The last pass removes the words under every estimated window that
 isn't a first start.
 
 The sketch has a fixed number of bits (a parameter, proven bound of the broadcast: ROWS * 2 ** log2_cells / 8 bytes).
-A fuller sketch only sends more windows to the exact grouping; none is lost at any size.
+A fuller sketch only sends more windows to the exact grouping; none is lost at any size. Texts of any length are
+hashed whole, one at a time if they exceed BLOCK.
 
 Defined cases: a null or empty text has no words, removes nothing and keeps the empty string; shorter documents than
-a window keep all words; doc_id identifies a document; one without doc_id keeps its words and removes none; other columns are ignored; an empty table gives no rows.
+a window keep all words; rows that repeat doc_id and text are one document and are treated alike; rows that share a
+doc_id but not the text are documents of their own, in order of a hash of the text; a row without doc_id keeps its
+words and removes none; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from functools import lru_cache, partial
+from hashlib import blake2b, sha256
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, prepare, table
+from .common import Scratch, materialize, prepare, table
 
 WIDTH = 20
 #: The sketch: rows, and cells of a row (a power of two). Ranges of cells are merged by separate tasks.
 ROWS, LOG2_CELLS, LOG2_RANGE = 2, 28, 16
 #: Bytes of text that are hashed at once.
 BLOCK = 1 << 19
+#: Longer words, in bytes, are hashed one by one.
+LONG = 32
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -44,11 +50,11 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 @lru_cache(1)
 def _constants() -> tuple[np.ndarray, ...]:
-    """Two random tables of byte values, odd multipliers and their inverses modulo 2 ** 64."""
+    """A random table of byte values, two odd multipliers and their inverses modulo 2 ** 64."""
     r = np.random.default_rng(20)
-    tables = r.integers(1, 1 << 63, (2, 256), dtype=np.uint64)
-    odd = [int(x) | 1 for x in r.integers(1 << 60, 1 << 62, 4)]
-    return tables, odd, [pow(x, -1, 1 << 64) for x in odd]
+    table = r.integers(1, 1 << 63, 256, dtype=np.uint64)
+    odd = [int(x) | 1 for x in r.integers(1 << 60, 1 << 62, 2)]
+    return table, odd, [pow(x, -1, 1 << 64) for x in odd]
 
 
 @lru_cache(32)
@@ -73,32 +79,48 @@ def _spans(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int,
 
 
 class Hashed:
-    """Words and window hashes of some documents: one uint64 of two independent ones per window."""
+    """Words and window hashes of some documents. The buffer holds their words, each followed by one space."""
 
     def __init__(self, texts: list[bytes | None], width: int):
         buffer = np.frombuffer(b" ".join([b"", *((t or b"") for t in texts), b""]), np.uint8)
         lengths = np.fromiter((len(t or b"") for t in texts), np.int64, len(texts))
-        self.at = np.concatenate(([0], np.cumsum(lengths + 1))) + 1  # where each text begins in the buffer
+        at = np.concatenate(([0], np.cumsum(lengths + 1))) + 1  # where each text begins in the buffer
         space = _SPACE[buffer]
         edges = np.diff(space.view(np.int8))
-        self.starts = np.flatnonzero(edges == -1) + 1
-        self.ends = np.flatnonzero(edges == 1) + 1
-        self.buffer, self.width = buffer, width
-        self.first = np.searchsorted(self.starts, self.at)  # first word of each text
-        n_words = np.diff(self.first)
-        self.n_words = n_words
-        n_windows = np.maximum(0, n_words - width + 1)
+        starts = np.flatnonzero(edges == -1) + 1
+        self.first = np.searchsorted(starts, at)  # first word of each text
+        size = np.flatnonzero(edges == 1) + 1 - starts
+        keep = ~space
+        keep[1:] |= ~space[:-1]
+        keep[0] = False
+        self.buffer = np.where(space[keep], np.uint8(32), buffer[keep])
+        self.ends = np.cumsum(size + 1) - 1
+        self.starts = self.ends - size
+        self.width, self.n_words = width, np.diff(self.first)
+        n_windows = np.maximum(0, self.n_words - width + 1)
         self.doc = np.repeat(np.arange(len(texts)), n_windows)
-        before = np.concatenate(([0], np.cumsum(n_windows)[:-1]))
-        self.before = np.append(before, n_windows.sum())
-        self.start = np.arange(len(self.doc)) - before[self.doc]
+        self.before = np.concatenate(([0], np.cumsum(n_windows)))
+        self.start = np.arange(len(self.doc)) - self.before[self.doc]
         _, odd, inverse = _constants()
-        word_at = self.first[self.doc] + self.start
-        self.hashes = [_spans(self.word_hashes(k), word_at, word_at + width, odd[2 + k], inverse[2 + k]) for k in (0, 1)]
-
-    def word_hashes(self, k: int = 0) -> np.ndarray:
-        tables, odd, inverse = _constants()
-        return _spans(tables[k][self.buffer], self.starts, self.ends, odd[k], inverse[k])
+        self.word_at = self.first[self.doc] + self.start
+        self.hashes = _spans(self.word_hashes(), self.word_at, self.word_at + width, odd[1], inverse[1])
+
+    def word_hashes(self) -> np.ndarray:
+        """64 bits of each word; those of long words are no polynomial, since long patterns of letters can cancel in one."""
+        table, odd, inverse = _constants()
+        out = _spans(table[self.buffer], self.starts, self.ends, odd[0], inverse[0])
+        long = np.flatnonzero(self.ends - self.starts > LONG)
+        if len(long):
+            b = self.buffer
+            out[long] = [xxhash.xxh3_64_intdigest(b[s:e].tobytes()) for s, e in zip(self.starts[long], self.ends[long], strict=True)]
+        return out
+
+    def digests(self, windows: np.ndarray) -> np.ndarray:
+        """128 bits of the words of each of some windows, as two columns."""
+        raw = memoryview(self.buffer.tobytes())
+        lo, hi = self.starts[self.word_at[windows]], self.ends[self.word_at[windows] + self.width - 1]
+        made = b"".join([blake2b(raw[s:e], digest_size=16).digest() for s, e in zip(lo.tolist(), hi.tolist(), strict=True)])
+        return np.frombuffer(made, np.int64).reshape(-1, 2)
 
     def words(self, i: int) -> list[bytes]:
         lo, hi = self.first[i], self.first[i + 1]
@@ -124,18 +146,18 @@ def _blocks(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[pa.
 
 def _cells(h: Hashed, row: int, log2_cells: int) -> np.ndarray:
     """The cell of each window in a row of the sketch."""
-    x = h.hashes[0] if row == 0 else _mix(h.hashes[0] + np.uint64(row) * np.uint64(0x9E3779B97F4A7C15))
+    x = h.hashes if row == 0 else _mix(h.hashes + np.uint64(row) * np.uint64(0x9E3779B97F4A7C15))
     return (x >> np.uint64(64 - log2_cells)).astype(np.int64)
 
 
-def _sketch(batches: Iterator[pa.RecordBatch], bits: Broadcast, width: int, log2_cells: int) -> Iterator[pa.RecordBatch]:
+def _sketch(batches: Iterator[pa.RecordBatch], bits: list[Broadcast], width: int, log2_cells: int) -> Iterator[pa.RecordBatch]:
     """This partition's next row of the sketch: per range of cells, those met once and those met more often.
 
     Flushed whenever it holds 2 ** 21 windows; merging adds what the flushes say. A range's cells are ascending, so
     their differences are what is written: small numbers, which the shuffle compresses.
     """
     held: list[np.ndarray] = []
-    n, row = 0, len(bits.value)
+    n, row = 0, len(bits)
 
     def flush() -> Iterator[pa.RecordBatch]:
         cell, count = np.unique(np.concatenate(held), return_counts=True)
@@ -153,7 +175,7 @@ def _sketch(batches: Iterator[pa.RecordBatch], bits: Broadcast, width: int, log2
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in some], pa.int32()), pa.array([r[1] for r in some], pa.binary()), pa.array([r[2] for r in some], pa.binary())], ["part", "once", "more"])
 
     for _, h in _blocks(batches, width):
-        held.append(_cells(h, row, log2_cells)[_estimated(h, bits.value, log2_cells)].astype(np.uint32))
+        held.append(_cells(h, row, log2_cells)[_estimated(h, bits, log2_cells)].astype(np.uint32))
         n += len(held[-1])
         if n >= 1 << 21:
             yield from flush()
@@ -189,43 +211,43 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch()
 
 
-def _estimated(h: Hashed, bits: list[np.ndarray], log2_cells: int) -> np.ndarray:
+def _estimated(h: Hashed, bits: list[Broadcast], log2_cells: int) -> np.ndarray:
     """Whether each window's estimated count is two or more."""
     ok = np.ones(len(h.doc), bool)
-    for row, x in enumerate(bits):
-        cell = _cells(h, row, log2_cells)
+    for row, shared in enumerate(bits):
+        x, cell = shared.value, _cells(h, row, log2_cells)
         ok &= (x[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1 == 1
     return ok
 
 
-def _candidates(batches: Iterator[pa.RecordBatch], bits: Broadcast, width: int, log2_cells: int) -> Iterator[pa.RecordBatch]:
+def _candidates(batches: Iterator[pa.RecordBatch], bits: list[Broadcast], width: int, log2_cells: int) -> Iterator[pa.RecordBatch]:
     for b, h in _blocks(batches, width):
-        ok = _estimated(h, bits.value, log2_cells)
-        doc = b.column("doc_id").to_numpy(zero_copy_only=False)[h.doc[ok]]
-        yield pa.RecordBatch.from_arrays([pa.array(h.hashes[0][ok].view(np.int64)), pa.array((h.hashes[1][ok] >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(doc, pa.int64()), pa.array(h.start[ok].astype(np.int32))], ["h1", "h2", "doc_id", "start"])
+        at = np.flatnonzero(_estimated(h, bits, log2_cells))
+        own = (b.column(c).to_numpy(zero_copy_only=False)[h.doc[at]] for c in ("doc_id", "version"))
+        digests = h.digests(at)
+        yield pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(digests[:, k])) for k in (0, 1)), *(pa.array(x, pa.int64()) for x in own), pa.array(h.start[at].astype(np.int32))], ["h1", "h2", "doc_id", "version", "start"])
 
 
-def _remove(batches: Iterator[pa.RecordBatch], bits: Broadcast, width: int, log2_cells: int) -> Iterator[pa.RecordBatch]:
+def _remove(batches: Iterator[pa.RecordBatch], bits: list[Broadcast], width: int, log2_cells: int) -> Iterator[pa.RecordBatch]:
     for b, h in _blocks(_opened(batches), width):
-        late = _estimated(h, bits.value, log2_cells)
+        late = _estimated(h, bits, log2_cells)
         listed = b.column("firsts")
         offsets, starts = listed.offsets.to_numpy(), listed.values.to_numpy()
         late[np.repeat(h.before[: b.num_rows], np.diff(offsets)) + starts[offsets[0] : offsets[-1]]] = False
         late[np.asarray(b.column("doc_id").is_null())[h.doc]] = False
-        at = h.first[h.doc[late]] + h.start[late]
+        at = h.word_at[late]
         depth = np.zeros(len(h.starts) + 1, np.int32)
         np.add.at(depth, at, 1)
         np.add.at(depth, at + width, -1)
         gone = np.cumsum(depth[:-1]) > 0
-        n_removed, texts = [], []
+        n_removed, texts, raw = [], [], h.buffer.tobytes()
         for i in range(b.num_rows):
             lo, hi = h.first[i], h.first[i + 1]
             g = gone[lo:hi]
             n_removed.append(int(g.sum()))
-            keep = np.flatnonzero(~g) + lo
-            raw = h.buffer
-            texts.append(b" ".join([raw[s:e].tobytes() for s, e in zip(h.starts[keep].tolist(), h.ends[keep].tolist(), strict=True)]))
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(h.n_words[: b.num_rows].astype(np.int64)), pa.array(n_removed, pa.int64()), pa.array(texts, pa.binary()), pa.array([hashlib.sha256(t).hexdigest() for t in texts])], ["doc_id", "n_words", "n_removed", "kept_text", "kept_sha256"])
+            edge = np.flatnonzero(np.diff(g, prepend=True, append=True))  # runs of kept words lie between
+            texts.append(b" ".join([raw[s:e] for s, e in zip(h.starts[lo + edge[::2]].tolist(), h.ends[lo + edge[1::2] - 1].tolist(), strict=True)]) if hi > lo else b"")
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(h.n_words[: b.num_rows].astype(np.int64)), pa.array(n_removed, pa.int64()), pa.array(texts, pa.binary()), pa.array([sha256(t).hexdigest() for t in texts])], ["doc_id", "n_words", "n_removed", "kept_text", "kept_sha256"])
 
 
 def _squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,7 +255,7 @@ def _squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     c = zstandard.ZstdCompressor(level=1)
     for b in batches:
         texts = [None if t is None else c.compress(t) for t in b.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(texts, pa.binary())], ["doc_id", "text"])
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("version"), pa.array(texts, pa.binary())], ["doc_id", "version", "text"])
 
 
 def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,18 +271,20 @@ def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 texts, lo, size = [], i + 1, 0
 
 
-def sketch(docs: DataFrame, width: int, log2_cells: int) -> Broadcast:
-    """The merged sketch, a bit per cell. Its size is fixed by the parameters, whatever the input's."""
-    sc = docs.sparkSession.sparkContext
-    bits, step = sc.broadcast([]), 1 << LOG2_RANGE >> 3
-    for _ in range(ROWS):
-        found = docs.mapInArrow(partial(_sketch, bits=bits, width=width, log2_cells=log2_cells), "part int, once binary, more binary")
-        merged = materialize(found.repartition("part").sortWithinPartitions("part").mapInArrow(_merge, "part int, bits binary"), "window-sketch")
-        row = np.zeros(1 << log2_cells >> 3, np.uint8)
-        for r in merged.toLocalIterator():
-            row[r.part * step : (r.part + 1) * step] = np.frombuffer(r.bits, np.uint8)
-        before, bits = bits, sc.broadcast([*bits.value, row])
-        before.destroy()
+def sketch(docs: DataFrame, width: int, log2_cells: int) -> list[Broadcast]:
+    """The merged sketch, a broadcast for each row, a bit per cell. Its size is fixed by the parameters, whatever the input's."""
+    spark, step = docs.sparkSession, 1 << LOG2_RANGE >> 3
+    bits: list[Broadcast] = []
+    with Scratch(spark) as scratch:
+        for _ in range(ROWS):
+            found = docs.mapInArrow(partial(_sketch, bits=bits, width=width, log2_cells=log2_cells), "part int, once binary, more binary")
+            merged = scratch.keep(found.repartition("part").sortWithinPartitions("part").mapInArrow(_merge, "part int, bits binary"), "window-sketch")
+            row = np.zeros(1 << log2_cells >> 3, np.uint8)
+            for r in merged.toLocalIterator():
+                row[r.part * step : (r.part + 1) * step] = np.frombuffer(r.bits, np.uint8)
+            bits = [*bits, spark.sparkContext.broadcast(row)]
+            del row
+            scratch.drop("window-sketch")
     return bits
 
 
@@ -271,14 +295,17 @@ def substring_dedup(docs: DataFrame, width: int = WIDTH, log2_cells: int = LOG2_
     spark = docs.sparkSession
     prepare(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    # version tells apart the texts of one doc_id; it is 0 for nearly all, which costs the shuffles next to nothing
+    repeated = materialize(docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id", F.lit(True).alias("again")), "repeated-ids")
+    docs = docs.join(repeated, "doc_id", "left").select("doc_id", "text", F.when(F.col("again"), F.xxhash64("text")).otherwise(F.lit(0)).alias("version"))
     named = docs.where("doc_id IS NOT NULL")
     bits = sketch(named, width, log2_cells)
     own = {"bits": bits, "width": width, "log2_cells": log2_cells}
-    found = named.mapInArrow(partial(_candidates, **own), "h1 long, h2 int, doc_id long, start int")
-    firsts = found.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "start")).alias("first"))
+    found = named.mapInArrow(partial(_candidates, **own), "h1 long, h2 long, doc_id long, version long, start int")
+    firsts = found.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "version", "start")).alias("first"))
     # a document's first starts are at most as many as its words
-    by_doc = firsts.select("first.*").groupBy("doc_id").agg(F.collect_list("start").alias("firsts"))
-    joined = docs.mapInArrow(_squeezed, "doc_id long, text binary").join(by_doc, "doc_id", "left")
+    by_doc = firsts.select("first.*").groupBy("doc_id", "version").agg(F.collect_list("start").alias("firsts"))
+    joined = docs.mapInArrow(_squeezed, "doc_id long, version long, text binary").join(by_doc, ["doc_id", "version"], "left")
     return joined.mapInArrow(partial(_remove, **own), "doc_id long, n_words long, n_removed long, kept_text binary, kept_sha256 string").withColumn("kept_text", F.col("kept_text").cast("string"))
 
 
