@@ -5,6 +5,7 @@ Every helper is distributed: nothing here brings rows, links or components to th
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -37,23 +38,60 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the session names none (tests)."""
+    """The folder that driver and executors share. Only a local session, as in tests, may name none."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = f"file://{os.path.join(tempfile.gettempdir(), 'loomlight-shared')}"
     return named.rstrip("/")
 
 
+def _write(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Cut the lineage: write df to the shared folder and read it back.
 
     A lost executor costs a re-read, never a recomputation of what lies before. Unlike a cached frame the
     table also carries its true size, so the planner's broadcast decisions are checked ones.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return _write(df, tag)[0]
+
+
+class Scratch:
+    """The tables that an operator needs until its result is written; at the end of the block they go.
+
+    Spark removes shuffle files when the driver collects what refers to them, which an idle driver rarely does, so the
+    collection is asked for as well.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.drop(*self.paths)
+
+    def keep(self, df: DataFrame, tag: str) -> DataFrame:
+        out, path = _write(df, tag)
+        self.paths.setdefault(tag, []).append(path)
+        return out
+
+    def drop(self, *tags: str) -> None:
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        for tag in tags:
+            for path in self.paths.pop(tag, []):
+                at = jvm.org.apache.hadoop.fs.Path(path)
+                at.getFileSystem(conf).delete(at, True)
+        gc.collect()
+        jvm.System.gc()
 
 
 def forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
@@ -72,7 +110,7 @@ def forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     return label
 
 
-def components(edges: DataFrame, tag: str = "components") -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch, tag: str = "components") -> DataFrame:
     """(node, component_id) for every node of edges(u, v); component_id is the smallest node reachable.
 
     First every node is contracted to its smallest neighbour's smallest neighbour, which leaves little of a dense
@@ -80,7 +118,7 @@ def components(edges: DataFrame, tag: str = "components") -> DataFrame:
     around its smallest node, so the number of rounds is logarithmic in the longest path. A node with very many
     neighbours is never gathered: its minimum is a partially aggregated groupBy, and the minimum returns to its links
     by a join that adaptive execution may split. Each round is written to the shared folder. Ends when a round changes
-    nothing.
+    nothing. The result is a table kept in scratch as `tag`; the rounds' tables are gone.
     """
 
     def digest(e: DataFrame) -> tuple:
@@ -97,20 +135,21 @@ def components(edges: DataFrame, tag: str = "components") -> DataFrame:
     def tidy(e: DataFrame) -> DataFrame:
         return e.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
-    e = materialize(tidy(edges), tag)
-    ends = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = ends.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("p"))
-    home = materialize(least.join(least.select(F.col("u").alias("p"), F.col("p").alias("home")), "p").select(F.col("u").alias("node"), "home"), tag)
-    e = e.join(home.select(F.col("node").alias("u"), F.col("home").alias("a")), "u").join(home.select(F.col("node").alias("v"), F.col("home").alias("b")), "v")
-    e = materialize(tidy(e.select(F.col("a").alias("u"), F.col("b").alias("v"))), tag)
-    before = digest(e)
-    while before[0]:
-        e = materialize(star(star(e, True), False), tag)
-        now = digest(e)
-        if now == before:
-            break
-        before = now
-    return home.join(e.select(F.col("u").alias("home"), F.col("v").alias("root")), "home", "left").select("node", F.coalesce("root", "home").alias("component_id"))
+    with Scratch(edges.sparkSession) as own:
+        e = own.keep(tidy(edges), tag)
+        ends = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = ends.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("p"))
+        home = own.keep(least.join(least.select(F.col("u").alias("p"), F.col("p").alias("home")), "p").select(F.col("u").alias("node"), "home"), tag)
+        e = e.join(home.select(F.col("node").alias("u"), F.col("home").alias("a")), "u").join(home.select(F.col("node").alias("v"), F.col("home").alias("b")), "v")
+        e = own.keep(tidy(e.select(F.col("a").alias("u"), F.col("b").alias("v"))), tag)
+        before = digest(e)
+        while before[0]:
+            e = own.keep(star(star(e, True), False), tag)
+            now = digest(e)
+            if now == before:
+                break
+            before = now
+        return scratch.keep(home.join(e.select(F.col("u").alias("home"), F.col("v").alias("root")), "home", "left").select("node", F.coalesce("root", "home").alias("component_id")), tag)
 
 
 def gathered(frames: Iterator[pd.DataFrame], keys: list[str], rows: int) -> Iterator[pd.DataFrame]:

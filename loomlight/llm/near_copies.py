@@ -1,15 +1,16 @@
 """Near copies: Jaccard similarity of at least 4 / 5 over five-word shingles, every link verified on the shingle sets.
 
-Two routes lead to candidates. The first is quick and contracts what is plainly alike: SEEDS fingerprints of a text's
-distinct words, each looked up in the byte-position index at MAX_BITS differing bits. Whoever is connected by
-candidates forms a cluster; within it pairs that a signature (the smallest shingle hash in each of BINS bins, one byte
-of it) estimates at LOOSE or more are verified on their shingle sets, unless linked already. Clusters over CHUNK texts
-are dealt out as pairs of chunks, and tasks return spanning forests.
-
-The second is exact and misses no pair. All shingles have one order; of two sets of which the larger has n shingles
-and that reach the similarity, at least 4 n / 5 are shared, so the first n - ceil(4 n / 5) + 1 of each set share one
-(prefix filter). Texts of different groups that share such a shingle, and whose sizes and places in the order allow
-the similarity, are verified on their sets. The order is by hash, with shingles that are frequent in a sample of the
+Two routes lead to candidates. The first is quick and contracts what is plainly alike: a fingerprint of a text's
+distinct words is looked up in the byte-position index at MAX_BITS differing bits. Whoever is connected by candidates
+forms a cluster; within it pairs that a signature (the smallest shingle hash in each of BINS bins, one byte of it)
+estimates at LOOSE or more are verified on their shingle sets, unless linked already. Clusters over CHUNK texts are
+dealt out as pairs of chunks, and tasks return spanning forests.
+
+The second route finds the rest. All shingles have one order; of two sets of which the larger has n shingles and that
+reach the similarity, at least 4 n / 5 are shared, so the first n - ceil(4 n / 5) + 1 of each set share one (prefix
+filter). Texts of different groups that share such a shingle, and whose sizes and places in the order allow the
+similarity, are pairs to verify: those whose signatures estimate less than LOOSE go (a pair at 0.8 does so with a chance
+below one in a million), the rest is verified on the sets. The order is by hash, with shingles that are frequent in a sample of the
 texts last: a wrong guess of a frequency costs candidates, never a pair. Lists over CHUNK texts are dealt out as pairs
 of chunks, and lists of one group only are dropped before any pair is made.
 
@@ -32,11 +33,11 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, gathered, materialize, prepare
+from .common import Scratch, components, gathered, materialize, prepare
 from .simhash import links
 from .substrings import Hashed, _cut, _mix
 
-SEEDS, MAX_BITS, SHINGLE, BINS, CHUNK, LOOSE = 3, 6, 5, 256, 1024, 0.65
+MAX_BITS, SHINGLE, BINS, CHUNK, LOOSE = 6, 5, 256, 1024, 0.65
 #: One text in SAMPLE counts for the order of shingles; those in COMMON of them and more come last, MOST at most.
 SAMPLE, COMMON, MOST = 64, 3, 200_000
 
@@ -72,7 +73,7 @@ def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatc
             words, sets, own = h.word_hashes(), [], []
             for i in range(len(texts)):
                 lo, hi = h.first[i], h.first[i + 1]
-                shingles = h.hashes[0][h.before[i] : h.before[i + 1]]
+                shingles = h.hashes[h.before[i] : h.before[i + 1]]
                 if not len(shingles) and hi > lo:  # fewer words than a shingle: the whole sequence
                     shingles = np.array([np.bitwise_xor.reduce(_mix(words[lo:hi] + np.arange(hi - lo, dtype=np.uint64)))], np.uint64)
                 sets.append(np.unique(shingles))
@@ -87,21 +88,32 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _described(batches: Iterator[pa.RecordBatch], common: Broadcast) -> Iterator[pa.RecordBatch]:
     for some, sets, words in _shingles(batches):
-        fps = np.zeros((SEEDS, len(sets)), np.uint64)
+        fps = np.zeros(len(sets), np.uint64)
         for i, own in enumerate(words):
-            for s in range(SEEDS if len(own) else 0):
-                bits = np.unpackbits(_mix(own + np.uint64(s)).view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-                fps[s, i] = np.packbits(2 * bits > len(own)).view(np.uint64)[0]
+            if len(own):
+                bits = np.unpackbits(_mix(own).view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+                fps[i] = np.packbits(2 * bits > len(own)).view(np.uint64)[0]
         first = [prefix(x, common.value).view(np.int64) if len(x) else np.zeros(0, np.int64) for x in sets]
-        columns = {f"fp{s}": pa.array(f.view(np.int64)) for s, f in enumerate(fps)}
-        columns |= {"signature": pa.array([signature(x) for x in sets], pa.binary()), "digest": pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary())}
+        columns = {"fp": pa.array(fps.view(np.int64)), "signature": pa.array([signature(x) for x in sets], pa.binary()), "digest": pa.array([_digest(x) for x in sets], pa.binary())}
         columns |= {"size": pa.array([len(x) for x in sets], pa.int32()), "prefix": pa.array(first, pa.list_(pa.int64()))}
         yield pa.RecordBatch.from_arrays([some.column("doc_id"), *columns.values()], ["doc_id", *columns])
 
 
+def _digest(shingles: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(shingles.tobytes())
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sets of the rows that have the wanted digest: those that repeat a doc_id may have another text."""
     for some, sets, _ in _shingles(batches):
-        yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array([x.tobytes() for x in sets], pa.binary())], ["node", "shingles"])
+        wanted = [i for i, (x, d) in enumerate(zip(sets, some.column("digest").to_pylist(), strict=True)) if _digest(x) == d]
+        yield pa.RecordBatch.from_arrays([some.column("doc_id").take(pa.array(wanted, pa.int64())), pa.array([sets[i].tobytes() for i in wanted], pa.binary())], ["node", "shingles"])
+
+
+def _estimates(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Estimated similarity of rows of signatures."""
+    used = ((a | b) > 0).sum(axis=1)
+    return ((a == b) & (a > 0)).sum(axis=1) / np.maximum(used, 1)
 
 
 def _verified(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -113,9 +125,7 @@ def _verified(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             node, label = g["node"].to_numpy(), np.arange(len(g))
             for i in range(len(g) - 1):
                 rest = i + 1 + np.flatnonzero(label[i + 1 :] != label[i])
-                used = ((x[rest] | x[i]) > 0).sum(axis=1)
-                same = ((x[rest] == x[i]) & (x[rest] > 0)).sum(axis=1)
-                for j in rest[same >= LOOSE * np.maximum(used, 1)]:
+                for j in rest[_estimates(x[rest], x[i]) >= LOOSE]:
                     if label[i] != label[j] and copies(sets[i], sets[j]):
                         both = label[i], label[j]
                         label[label == max(both)] = min(both)
@@ -149,6 +159,13 @@ def _pairs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"u": u, "v": v})
 
 
+def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, BINS) for c in ("a", "b"))
+        hit = pa.array(_estimates(x, y) >= LOOSE)
+        yield pa.RecordBatch.from_arrays([b.column("u").filter(hit), b.column("v").filter(hit)], ["u", "v"])
+
+
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         pairs = zip(b.column("a").to_pylist(), b.column("b").to_pylist(), strict=True)
@@ -167,42 +184,45 @@ def near_copies(docs: DataFrame) -> DataFrame:
     """(doc_id, component_id) for every row of docs(doc_id, text); component_id is the smallest doc_id of its group."""
     spark = docs.sparkSession
     prepare(spark)
-    names = [f"fp{s}" for s in range(SEEDS)]
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     sample = read.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0).mapInArrow(_sampled, "h long")
     frequent = sample.groupBy("h").count().where(F.col("count") >= COMMON).orderBy(F.desc("count"), "h").limit(MOST)
     common = spark.sparkContext.broadcast(np.array([r.h for r in frequent.collect()], np.int64).view(np.uint64))
-    rows = materialize(read.mapInArrow(partial(_described, common=common), f"doc_id long, {', '.join(f'{n} long' for n in names)}, signature binary, digest binary, size int, prefix array<long>"), "near-described")
-    named = rows.where("doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("node"))
-    named = materialize(named, "near-names")
-    texts = rows.withColumnRenamed("doc_id", "node").join(named, ["node", "digest"], "left_semi")
-    texts = materialize(texts.where("size > 0").select("node", *names, "signature", "size", "prefix"), "near-texts")
-    sets = lambda nodes: read.join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").mapInArrow(_sets, "node long, shingles binary")
-
-    # one fingerprint after the other: texts that are in one cluster already need no more links among them
-    clusters = texts.select("node", *names, F.col("node").alias("cluster"))
-    for n in names:
-        by = clusters.groupBy(F.col(n).alias("fp")).agg(F.min("cluster").alias("first"))
-        equal = clusters.join(by, clusters[n] == by["fp"]).where("cluster <> first").select(F.col("cluster").alias("u"), F.col("first").alias("v")).distinct()
-        joined = components(links(by.select(F.col("first").alias("node"), "fp"), MAX_BITS).unionAll(equal), "near-candidates")
-        joined = joined.select(F.col("node").alias("cluster"), "component_id")
-        clusters = materialize(clusters.join(joined, "cluster", "left").withColumn("cluster", F.coalesce("component_id", "cluster")).drop("component_id"), "near-clusters")
-    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("c")).where("c > 1").select("cluster", F.ceil(F.col("c") / CHUNK).cast("int").alias("n"))
-    some = materialize(clusters.select("node", "cluster").join(sizes, "cluster"), "near-clustered")
-    dealt = _dealt(some.join(texts.select("node", "signature"), "node").join(sets(some), "node"))
-    dealt = dealt.repartition("cluster", "part").sortWithinPartitions("cluster", "part")
-    quick = materialize(components(dealt.select("cluster", "part", "node", "signature", "shingles").mapInPandas(_verified, "u long, v long"), "near-verified"), "near-quick")
-
-    # the exact route: what is of one group already needs no more links
-    entries = texts.join(quick, "node", "left").select("node", F.coalesce("component_id", "node").alias("component"), "size", F.posexplode("prefix").alias("place", "h"))
-    lists = entries.groupBy("h").agg(F.count("*").alias("c"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-    lists = materialize(lists.select("h", F.ceil(F.col("c") / CHUNK).cast("int").alias("n")), "near-lists")
-    dealt = _dealt(entries.join(lists, "h")).repartition("h", "part").sortWithinPartitions("h", "part")
-    pairs = materialize(dealt.select("h", "part", "node", "component", "size", "place").mapInPandas(_pairs, "u long, v long").distinct(), "near-pairs")
-    ends = materialize(sets(pairs.select(F.col("u").alias("node")).unionAll(pairs.select(F.col("v").alias("node"))).distinct()), "near-sets")
-    compared = pairs.join(ends.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u").join(ends.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v")
-    exact = compared.mapInArrow(_compared, "u long, v long")
-
-    found = components(exact.unionAll(quick.select(F.col("node").alias("u"), F.col("component_id").alias("v"))), "near-exact")
-    named = named.join(found, "node", "left").select("digest", F.coalesce("component_id", "node").alias("component_id"))
-    return rows.select("doc_id", "digest").join(named, "digest", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    with Scratch(spark) as scratch:
+        described = scratch.keep(read.mapInArrow(partial(_described, common=common), "doc_id long, fp long, signature binary, digest binary, size int, prefix array<long>"), "near-described")
+        common.destroy()
+        rows = scratch.keep(described.select("doc_id", "digest"), "near-rows")
+        named = scratch.keep(rows.where("doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("node")), "near-names")
+        sets = lambda nodes: read.join(named.join(nodes.select("node").distinct(), "node", "left_semi").withColumnRenamed("node", "doc_id"), "doc_id").mapInArrow(_sets, "node long, shingles binary")
+        texts = described.withColumnRenamed("doc_id", "node").join(named, ["node", "digest"], "left_semi")
+        texts = scratch.keep(texts.where("size > 0").select("node", "fp", "signature", "size", "prefix"), "near-texts")
+        scratch.drop("near-described")
+
+        by = scratch.keep(texts.groupBy("fp").agg(F.min("node").alias("node")), "near-fingerprints")
+        linked = components(links(by, MAX_BITS), scratch, "near-candidates")
+        homes = by.join(linked, "node", "left").select("fp", F.coalesce("component_id", "node").alias("cluster"))
+        clusters = scratch.keep(texts.select("node", "fp").join(homes, "fp").select("node", "cluster"), "near-clusters")
+        sizes = clusters.groupBy("cluster").agg(F.count("*").alias("c")).where("c > 1").select("cluster", F.ceil(F.col("c") / CHUNK).cast("int").alias("n"))
+        some = scratch.keep(clusters.join(sizes, "cluster"), "near-clustered")
+        dealt = _dealt(some.join(texts.select("node", "signature"), "node").join(sets(some), "node"))
+        dealt = dealt.repartition("cluster", "part").sortWithinPartitions("cluster", "part")
+        quick = components(dealt.select("cluster", "part", "node", "signature", "shingles").mapInPandas(_verified, "u long, v long"), scratch, "near-quick")
+        scratch.drop("near-fingerprints", "near-candidates", "near-clusters", "near-clustered")
+
+        # the second route: what is of one group already needs no more links
+        entries = texts.join(quick, "node", "left").select("node", F.coalesce("component_id", "node").alias("component"), "size", F.posexplode("prefix").alias("place", "h"))
+        lists = entries.groupBy("h").agg(F.count("*").alias("c"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
+        lists = scratch.keep(lists.select("h", F.ceil(F.col("c") / CHUNK).cast("int").alias("n")), "near-lists")
+        dealt = _dealt(entries.join(lists, "h")).repartition("h", "part").sortWithinPartitions("h", "part")
+        pairs = scratch.keep(dealt.select("h", "part", "node", "component", "size", "place").mapInPandas(_pairs, "u long, v long").distinct(), "near-pairs")
+        side = lambda of, end, x, to: of.select(F.col("node").alias(end), F.col(x).alias(to))
+        likely = pairs.join(side(texts, "u", "signature", "a"), "u").join(side(texts, "v", "signature", "b"), "v")
+        likely = scratch.keep(likely.mapInArrow(_likely, "u long, v long"), "near-likely")
+        scratch.drop("near-lists", "near-pairs", "near-texts")
+        ends = scratch.keep(sets(likely.select(F.explode(F.array("u", "v")).alias("node"))), "near-sets")
+        compared = likely.join(side(ends, "u", "shingles", "a"), "u").join(side(ends, "v", "shingles", "b"), "v")
+        exact = compared.mapInArrow(_compared, "u long, v long")
+
+        found = components(exact.unionAll(quick.select(F.col("node").alias("u"), F.col("component_id").alias("v"))), scratch, "near-found")
+        named = named.join(found, "node", "left").select("digest", F.coalesce("component_id", "node").alias("component_id"))
+        return materialize(rows.join(named, "digest", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id")), "near-copies")

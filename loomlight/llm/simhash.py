@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, forest, gathered, materialize, prepare, table
+from .common import Scratch, components, forest, gathered, materialize, prepare, table
 
 #: Fingerprints of a posting list that one task compares with as many others.
 CHUNK = 2048
@@ -127,12 +127,13 @@ def links(classes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row of docs(doc_id, text)."""
-    fps = materialize(fingerprints(docs, shingle), "simhash-fingerprints")
-    classes = materialize(fps.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("node")), "simhash-classes")
-    found = components(links(classes, max_bits), "simhash-links")
-    named = classes.join(found, "node", "left").select("fp", F.coalesce("component_id", "node").alias("component_id"))
-    # a fingerprint may belong to a third of all documents: its rows may be split, the classes are one row each
-    return fps.join(named, "fp", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    with Scratch(docs.sparkSession) as scratch:
+        fps = scratch.keep(fingerprints(docs, shingle), "simhash-fingerprints")
+        classes = scratch.keep(fps.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("node")), "simhash-classes")
+        found = components(links(classes, max_bits), scratch, "simhash-links")
+        named = classes.join(found, "node", "left").select("fp", F.coalesce("component_id", "node").alias("component_id"))
+        # a fingerprint may belong to a third of all documents: its rows may be split, the classes are one row each
+        return materialize(fps.join(named, "fp", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id")), "simhash")
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -16,7 +17,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from loomlight.llm import embeddings, languages, licenses, mixing, near_copies, packing, pages, quality, queries, simhash, substrings, urls
-from loomlight.llm.common import components, forest
+from loomlight.llm.common import Scratch, components, forest
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -60,9 +61,17 @@ def test_forest_finds_components():
 def test_components_of_a_long_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(1000, 1000 + i) for i in range(1, 40)] + [(5000, 5000)]
     random.shuffle(edges)
-    got = {r.node: r.component_id for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
-    assert got == {i: 0 for i in range(61)} | {1000 + i: 1000 for i in range(40)}
-    assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+    with Scratch(spark) as scratch:
+        got = {r.node: r.component_id for r in components(spark.createDataFrame(edges, "u long, v long"), scratch).collect()}
+        assert got == {i: 0 for i in range(61)} | {1000 + i: 1000 for i in range(40)}
+        assert components(spark.createDataFrame([], "u long, v long"), scratch).count() == 0
+
+
+def test_operators_leave_one_table_at_most(spark, docs):
+    folder = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    before = set(folder.iterdir())
+    assert near_copies.near_copies(docs).count() == simhash.near_duplicates(docs).count() == docs.count()
+    assert {p.name.rsplit("-", 1)[0] for p in set(folder.iterdir()) - before} == {"near-copies", "simhash"}
 
 
 # ---- 1
@@ -189,6 +198,38 @@ def test_substring_dedup_against_all_windows(docs, empty, width):
     assert substrings.substring_dedup(empty, width, log2_cells=16).count() == 0
 
 
+def test_windows_that_cancel_in_polynomials_stay(spark):
+    """A Thue-Morse word and its complement agree in every polynomial modulo 2 ** 64 with an odd base."""
+    word = ["a"]
+    while len(word) < 2048:
+        word += ["b" if x == "a" else "a" for x in word]
+    first = "".join(word)
+    other = first.translate(str.maketrans("ab", "ba"))
+    rest = " ".join(f"w{i}" for i in range(19))
+    docs = spark.createDataFrame([(1, f"{first} {rest}"), (2, f"{other} {rest}"), (3, f"  {first}\t{rest}\n")], "doc_id long, text string")
+    assert {i: r.n_removed for i, r in by_id(substrings.substring_dedup(docs)).items()} == {1: 0, 2: 0, 3: 20}
+
+
+def test_substring_dedup_with_repeated_ids(spark):
+    a, b, c = prose(60), prose(70), prose(80)
+    rows = [(1, a), (1, a), (2, b), (2, f"{b} {c}"), (2, None), (3, c), (None, a)]
+    got = substrings.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    n = lambda t: len(t.split())
+    assert sorted(r.n_removed for r in got if r.doc_id == 1) == [0, 0]
+    assert [r.n_removed for r in got if r.doc_id is None] == [0]
+    # whichever version of 2 comes first keeps b; c starts in 2
+    two = {r.n_words: r.n_removed for r in got if r.doc_id == 2}
+    assert two in ({n(b): 0, n(b) + n(c): n(b), 0: 0}, {n(b): n(b), n(b) + n(c): 0, 0: 0})
+    assert [r.n_removed for r in got if r.doc_id == 3] == [n(c)]
+
+
+def test_substring_dedup_of_a_very_long_text(spark):
+    long = prose(150_000)
+    docs = spark.createDataFrame([(1, long), (2, "x " + long[-50_000:])], "doc_id long, text string")
+    got = {i: (r.n_words, r.n_removed, r.kept_text, r.kept_sha256) for i, r in by_id(substrings.substring_dedup(docs)).items()}
+    assert got == _removed({r.doc_id: r.text for r in docs.collect()}, 20)
+
+
 # ---- 5
 PAGE = "<html><head><title>t</title><style>x</style></head><body><header>top</header><nav><a>menu</a></nav>{0}<footer>&copy; foot</footer></body></html>"
 
@@ -324,7 +365,7 @@ def test_index_links_all_near_fingerprints(spark):
     base = [r.getrandbits(64) for _ in range(40)]
     fps = list({b ^ sum(1 << x for x in r.sample(range(64), k)) for b in base for k in (0, 1, 3, 4, 5)})
     df = spark.createDataFrame([(i, f - (1 << 64) if f >> 63 else f) for i, f in enumerate(fps)], "node long, fp long")
-    got = {r.node: r.component_id for r in components(simhash.links(df, 4)).collect()}
+    got = {r.node: r.component_id for r in components(simhash.links(df, 4), Scratch(spark)).collect()}
     least = _groups(range(len(fps)), [(i, j) for i, j in itertools.combinations(range(len(fps)), 2) if (fps[i] ^ fps[j]).bit_count() <= 4])
     assert {i: got.get(i, i) for i in least} == least
 
