@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomlight.llm import mixing, near_copies, packing, quality, substrings
-from loomlight.llm.common import materialize, table
+from loomlight.llm.common import Scratch, materialize, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: SQL can express neither the learned rules nor the packing.
@@ -77,7 +77,10 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+    docs, before = table(spark, sf_dir, "documents"), ""
+    with Scratch(spark) as scratch:
+        for name, stage in STAGES[:-1]:
+            docs = scratch.keep(stage(spark, docs, sf_dir), f"pipeline-{name}")
+            scratch.drop(before)
+            before = f"pipeline-{name}"
+        return materialize(STAGES[-1][1](spark, docs, sf_dir), "pipeline")
