@@ -118,7 +118,9 @@ def test_packing_round_trip(spark, docs, empty):
 
 
 # ---- 2
-def test_near_vectors_against_all_pairs(spark):
+@pytest.mark.parametrize("levels", [embeddings.LEVELS, {100: 1, 120: 0, 1 << 62: 2}])
+def test_near_vectors_against_all_pairs(spark, monkeypatch, levels):
+    monkeypatch.setattr(embeddings, "SMALL", 100)
     r = np.random.default_rng(3)
     base = r.standard_normal((60, 16))
     rows = []
@@ -138,7 +140,7 @@ def test_near_vectors_against_all_pairs(spark):
     for _ in range(30):
         for i in least:
             least[i] = min([least[i], *(least[j] for j in links[i])])
-    got = by_id(embeddings.near_vectors(df), "vec_id")
+    got = by_id(embeddings.near_vectors(df, levels=levels), "vec_id")
     assert {i: (x.n_links, x.component_id, x.kept) for i, x in got.items()} == {i: (len(links[i]), least[i], least[i] == i) for i in least}
     assert embeddings.near_vectors(df.limit(0)).count() == 0
 
@@ -152,6 +154,25 @@ def test_dense_cells_are_cut_into_parts(spark, monkeypatch):
     assert all(x.n_links == 119 and x.component_id == 0 for x in got.values())
 
 
+def test_comparisons_grow_slower_than_all_pairs():
+    radius, made = embeddings._radius(0.04, 8, 64), []
+    for n in (4096, 16384):
+        y = embeddings._blocks(embeddings._unit(np.random.default_rng(n).standard_normal((n, 64))), 8)[0]
+        y[n // 2 : n // 2 + 50] = y[:50] + 0.6 * radius / np.sqrt(8)  # near ones
+        every = np.arange(n)
+        pairs = [np.stack(c) for c in embeddings.candidates(y, every, every, radius)]
+        made.append(sum(c.shape[1] for c in pairs) / n**2)
+        p, q = np.concatenate(pairs, axis=1)
+        assert {(k, n // 2 + k) for k in range(50)} <= set(zip(p.tolist(), q.tolist(), strict=True))
+    assert max(made) < 0.02  # of all pairs, in each of eight blocks
+
+
+def test_vectors_of_huge_components(spark):
+    rows = [(1, [1e200, 1e199], 1), (2, [1e200, 1.001e199], 1), (3, [-1e200, 1e199], 1)]
+    got = embeddings.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"))
+    assert {r.vec_id: r.component_id for r in got.collect()} == {1: 1, 2: 1, 3: 3}
+
+
 # ---- 3
 def test_url_filters(spark):
     entries = spark.createDataFrame([("2024-01-01", "block", "a.com"), ("2024-02-01", "allow", "ok.a.com"), ("2024-03-01", "remove", "a.com"), ("2024-01-01", "block", "b.com/x"), (None, "block", "c.com")], "since string, action string, key string").withColumn("since", F.col("since").cast("date"))
