@@ -97,13 +97,10 @@ def _asks(y: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _cells(frames: Iterator[pd.DataFrame], budget: float, blocks: int) -> Iterator[pd.DataFrame]:
-    """Store each class in one cell of each block, and ask for it in all cells that its ball touches; without a grid, one cell."""
+    """Store each class in one cell of each block, and ask for it in all cells that its ball touches."""
     for f in frames:
         for (size, level), g in f.groupby([f["v"].map(len), "level"]):
             label, node = g["label"].to_numpy(), g["node"].to_numpy()
-            if not level:
-                yield pd.DataFrame({"label": label, "block": -1, "cell": 0, "stored": True, "node": node})
-                continue
             out = []
             for b, y in enumerate(_blocks(_unit(_vectors(g["v"])), blocks)):
                 radius, y = _radius(budget, y.shape[1], size), y[:, :level]
@@ -131,9 +128,14 @@ def candidates(y: np.ndarray, i: np.ndarray, j: np.ndarray, radius: float) -> It
     home = _homes(y[i], radius)
     order = np.argsort(home, kind="stable")
     home, i = home[order], i[order]
+    slot = lambda key: (key * PRIME >> 46) & 0x3FFFF
+    taken = np.zeros(1 << 18, bool)  # most cells asked for hold nothing
+    taken[slot(home)] = True
     for at in range(0, len(j), CHUNK // 4):
         some = j[at : at + CHUNK // 4]
         row, key = _asks(y[some], radius)
+        held = taken[slot(key)]
+        row, key = row[held], key[held]
         lo = np.searchsorted(home, key, "left")
         n = np.searchsorted(home, key, "right") - lo
         row, lo, n = row[n > 0], lo[n > 0], n[n > 0]
@@ -196,7 +198,10 @@ def near_vectors(vectors: DataFrame, min_cosine: float = MIN_COSINE, blocks: int
         kind = classes.schema["label"].dataType.simpleString()
         level = F.coalesce(*(F.when(F.col("c") <= most, level) for most, level in sorted(levels.items())))
         counted = classes.groupBy("label").agg(F.count("*").alias("c")).select("label", level.alias("level"))
-        cells = scratch.keep(classes.join(counted, "label").select("label", "v", "node", "level").mapInPandas(partial(_cells, budget=budget, blocks=blocks), f"label {kind}, block int, cell long, stored boolean, node long"), "vector-cells")
+        leveled = classes.join(scratch.keep(counted, "vector-levels"), "label")
+        gridded = leveled.where("level > 0").select("label", "v", "node", "level").mapInPandas(partial(_cells, budget=budget, blocks=blocks), f"label {kind}, block int, cell long, stored boolean, node long")
+        whole = leveled.where("level = 0").select("label", F.lit(-1).alias("block"), F.lit(0).cast("long").alias("cell"), F.lit(True).alias("stored"), "node")
+        cells = scratch.keep(whole.unionAll(gridded), "vector-cells")
         where = ["label", "block", "cell"]
         sizes = cells.groupBy(where).agg(F.count("*").alias("c"), F.max("stored").alias("any")).where("any AND c > 1").select(*where, F.ceil(F.col("c") / CHUNK).cast("int").alias("n"))
         # chunk pairs (i, j): chunk i's stored vectors meet all vectors of chunk j
