@@ -25,8 +25,6 @@ from .common import table
 
 MAX_LABELLED, MAX_RULES, MAX_CONDITIONS, MIN_PRECISION, CUTS = 6000, 12, 4, 0.95, 32
 SPACE = r"[\x20\x09-\x0D]+"
-#: Words of a text below this are found by sorting longs that hold hash and place; above, by sorting pairs.
-SHORT = 1 << 20
 FEATURES = ["n_words", "mean_length", "symbols", "capitals", "marks", "repeats", "dup_lines", "distinct"]
 
 
@@ -38,15 +36,13 @@ def _let(name: str, value: str, body: str) -> str:
 def _repeat_words(words: str) -> str:
     """Words covered by windows of three words that occur at least twice.
 
-    Sorting brings equal windows together; the windows' places, sorted, tell how many words they cover.
+    Sorting by 64 bits of the words, then by place, brings equal windows together; neighbours are compared word for
+    word. The windows' places, sorted, tell how many words they cover.
     """
     window = "xxhash64(get(w, i), get(w, i + 1), get(w, i + 2))"
-    places = "sequence(0, size(w) - 3)"
-    near = " OR ".join(f"coalesce((x ^ get(s, k {o} 1)) BETWEEN 0 AND {SHORT - 1}, false)" for o in "-+")
-    same = " OR ".join(f"coalesce(x.h = get(s, k {o} 1).h, false)" for o in "-+")
-    short = _let("s", f"sort_array(transform({places}, i -> ({window} & {-SHORT}L) | i))", f"transform(filter(s, (x, k) -> {near}), x -> x & {SHORT - 1}L)")
-    long = _let("s", f"sort_array(transform({places}, i -> struct({window} AS h, i AS i)))", f"transform(filter(s, (x, k) -> {same}), x -> CAST(x.i AS BIGINT))")
-    covered = _let("p", f"sort_array(CASE WHEN size(w) <= {SHORT} THEN {short} ELSE {long} END)", "aggregate(transform(p, (x, k) -> least(3L, coalesce(get(p, k + 1) - x, 3L))), 0L, (a, x) -> a + x)")
+    same = " OR ".join(f"coalesce(x.h = get(s, k {o} 1).h AND {' AND '.join(f'get(w, x.i + {d}) = get(w, get(s, k {o} 1).i + {d})' for d in range(3))}, false)" for o in "-+")
+    places = _let("s", f"sort_array(transform(sequence(0, size(w) - 3), i -> struct({window} AS h, i AS i)))", f"transform(filter(s, (x, k) -> {same}), x -> CAST(x.i AS BIGINT))")
+    covered = _let("p", f"sort_array({places})", "aggregate(transform(p, (x, k) -> least(3L, coalesce(get(p, k + 1) - x, 3L))), 0L, (a, x) -> a + x)")
     return _let("w", words, f"CASE WHEN size(w) < 3 THEN 0L ELSE {covered} END")
 
 
