@@ -2,17 +2,19 @@
 
 A suffix automaton per language holds a bounded sample of its labelled text. A text is cross-parsed against each: the
 longest match from where the last one ended is a phrase. The language whose automaton needs the fewest phrases per
-character wins. Texts are lower-cased, anything but letters becomes one space, and parsing begins anew every SEGMENT
-characters, so that a block of documents is parsed in step: all segments and languages advance together by table
-look-ups. Whole texts are parsed.
+character wins. Texts are lower-cased and anything but letters becomes one space. Whole texts are parsed, each in one
+go: so that a block of documents advances together by table look-ups, segments of SEGMENT characters are first parsed
+as if a phrase began at each; then each is parsed again from the state in which the one before ends, until the states
+agree, which they do from there on. Segments whose last state has changed pass it on, until none has.
 
-Bounds: the sample takes at most TRAIN_DOCS documents a language (smallest hash of their id), PER_DOC characters of
-each and TRAIN_CHARS in all, so the automata that are broadcast have fewer than 2 * TRAIN_CHARS states each; more than
-MAX_LANGUAGES languages raise an error.
+Bounds: labelled texts are cut into pieces of PIECE characters, all through. The sample takes PIECES of them (those
+with the smallest hash), shared evenly by the languages, at least one for each and at most MOST. So the automata that
+are broadcast have fewer than 2 * PIECE * PIECES states in all, as long as there are no more languages than PIECES.
 
 Defined cases: a null text and one without letters are `und` with score 0; ties fall to the language first by code
-point; without labelled text all is `und`; repeated rows are judged alike; other columns are ignored; an empty table
-gives no rows. Documents whose crc32(doc_id) mod 3 is 1 are held out of learning.
+point; without labelled text all is `und`; repeated rows are judged alike and count once in the sample; texts of any
+length are parsed whole, one at a time if they exceed BLOCK; other columns are ignored; an empty table gives no rows.
+Documents whose crc32(doc_id) mod 3 is 1 are held out of learning.
 """
 
 from __future__ import annotations
@@ -23,12 +25,12 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import prepare, table
 
-TRAIN_CHARS, TRAIN_DOCS, PER_DOC, MAX_LANGUAGES, SEGMENT, BLOCK = 24_000, 64, 1500, 64, 512, 1 << 20
+PIECE, PIECES, MOST, SEGMENT, BLOCK = 1500, 1024, 16, 512, 1 << 22
 
 
 @lru_cache(1)
@@ -80,7 +82,7 @@ def automaton(text: list[int], symbols: int) -> np.ndarray:
 
 class Model:
     def __init__(self, samples: dict[str, list[str]]):
-        joined = {lang: np.concatenate([codes(t[:PER_DOC] + " ") for t in texts])[:TRAIN_CHARS] for lang, texts in samples.items()}
+        joined = {lang: np.concatenate([codes(t + " ") for t in texts]) for lang, texts in samples.items()}
         self.languages = sorted((lang for lang, c in joined.items() if len(c)), key=lambda s: s.encode())
         known = np.unique(np.concatenate([joined[lang] for lang in self.languages])) if self.languages else np.zeros(0, np.uint32)
         self.known, self.symbols = known, len(known) + 1
@@ -102,38 +104,70 @@ class Model:
             return out
         data = symbol[np.concatenate(texts)]
         lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+        if not len(data):
+            return out
         n = -(-lengths // SEGMENT)
         doc = np.repeat(np.arange(len(texts)), n)
-        start = (np.cumsum(lengths) - lengths)[doc] + (np.arange(len(doc)) - (np.cumsum(n) - n)[doc]) * SEGMENT
+        nth = np.arange(len(doc)) - (np.cumsum(n) - n)[doc]
+        start = (np.cumsum(lengths) - lengths)[doc] + nth * SEGMENT
         size = np.minimum(SEGMENT, np.cumsum(lengths)[doc] - start)
-        order = np.argsort(-size, kind="stable")
+        order = np.argsort(-size, kind="stable")  # segments by falling size: those that go on are the first ones
         start, size = start[order], size[order]
+        rank = np.empty_like(order)
+        rank[order] = np.arange(len(order))
+        after = np.where(np.append(nth[1:], 0) > 0, np.append(rank[1:], 0), -1)[order]  # the text's next segment
         root = self.root[:, None].astype(np.int32)
-        state = np.broadcast_to(root, (len(root), len(start))).copy()
-        count = np.ones(state.shape, np.int64)
-        for t in range(int(size[0]) if len(size) else 0):
+
+        def step(state: np.ndarray, root: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            to = self.table[state * self.symbols + c]
+            new = to == 0
+            first = self.table[root * self.symbols + c]
+            return np.where(new, np.where(first == 0, root, first), to), new
+
+        # by place in the segment, language and segment: the state after it, and whether a phrase began there
+        states, begins = (np.zeros((size[0], len(root), len(size)), kind) for kind in (np.int32, bool))
+        state = np.broadcast_to(root, states.shape[1:])
+        for t in range(size[0]):
             live = len(size) - np.searchsorted(size[::-1], t, side="right")
-            c = data[start[:live] + t]
-            to = self.table[state[:, :live] * self.symbols + c]
-            ends = to == 0
-            again = self.table[root * self.symbols + c]
-            state[:, :live] = np.where(ends, np.where(again == 0, root, again), to)
-            count[:, :live] += ends
-        np.add.at(out, doc[order], count.T)
-        return out
+            state, begins[t, :, :live] = step(state[:, :live], root, data[start[:live] + t])
+            states[t, :, :live] = state
+
+        # again from the state in which the segment before ends
+        b = np.flatnonzero(after >= 0)
+        a, b = (x.ravel() for x in np.meshgrid(np.arange(len(root)), b, indexing="ij"))
+        while len(b):
+            a, b, state = a, after[b], states[size[b] - 1, a, b]
+            reached, t = [], 0
+            while len(b):
+                state, new = step(state, root[a, 0], data[start[b] + t])
+                differs = states[t, a, b] != state
+                states[t, a, b], begins[t, a, b] = state, new
+                t += 1
+                ended = differs & (size[b] == t)
+                reached.append(np.stack((a[ended], b[ended])))
+                goes = differs & ~ended
+                a, b, state = a[goes], b[goes], state[goes]
+            a, b = np.concatenate(reached, axis=1)
+            a, b = a[after[b] >= 0], b[after[b] >= 0]
+        np.add.at(out, doc[order], begins.sum(axis=0, dtype=np.int64).T)
+        return out + (lengths > 0)[:, None]
 
 
 def fit(docs: DataFrame) -> Model:
-    """Learn from docs(doc_id, text, lang)."""
+    """Learn from docs(doc_id, text, lang): the numbers of the chosen pieces first, then the texts of these few."""
     known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & (F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3, F.lit(0)) != 1))
-    languages = [r.lang for r in known.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect()]
-    if len(languages) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    samples = {}
-    for lang in sorted(languages):  # a top-k a language: ids first, then the texts of these few
-        ids = [r.doc_id for r in known.where(F.col("lang") == lang).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_DOCS).collect()]
-        rows = known.where((F.col("lang") == lang) & F.col("doc_id").isin(ids)).select("doc_id", F.substring("text", 1, PER_DOC).alias("text")).limit(4 * TRAIN_DOCS).collect()
-        samples[lang] = [r.text for r in sorted(rows, key=lambda r: (ids.index(r.doc_id), r.text))]
+    known = known.select("lang", "doc_id", "text", F.xxhash64("text").alias("digest"))
+    pieces = known.where("text <> ''").select("lang", "doc_id", "digest", F.explode(F.expr(f"sequence(0, CAST((length(text) - 1) div {PIECE} AS INT))")).alias("piece"))
+    key = ["lang", "doc_id", "digest", "piece"]
+    by = Window.partitionBy("lang").orderBy("h", *key[1:])
+    ranked = pieces.withColumn("h", F.xxhash64(*key[1:])).withColumn("n", F.dense_rank().over(by)).where(F.col("n") <= MOST)
+    chosen = ranked.select("n", *key).distinct()  # at most MOST a language
+    languages = max(1, chosen.select("lang").distinct().count())
+    chosen = chosen.where(F.col("n") <= max(1, min(MOST, PIECES // languages)))
+    rows = known.join(F.broadcast(chosen), ["lang", "doc_id", "digest"]).select(*key, "n", F.expr(f"substring(text, piece * {PIECE} + 1, {PIECE})").alias("text")).distinct().collect()
+    samples: dict[str, list[str]] = {}
+    for r in sorted(rows, key=lambda r: (r.lang.encode(), r.n, r.doc_id, r.digest, r.piece, r.text)):
+        samples.setdefault(r.lang, []).append(r.text)
     return Model(samples)
 
 
@@ -144,7 +178,7 @@ def _predict(batches: Iterator[pa.RecordBatch], model: Broadcast) -> Iterator[pa
         texts = [codes(t or "") for t in b.column("text").to_pylist()]
         count, at, size = [], 0, 0
         for i, t in enumerate(texts):
-            size += len(t)
+            size += -(-len(t) // SEGMENT) * SEGMENT * len(m.languages)
             if size >= BLOCK or i == len(texts) - 1:
                 count.append(m.phrases(texts[at : i + 1], symbol))
                 at, size = i + 1, 0

@@ -328,11 +328,11 @@ def _statistics(text):
     return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text or ""), dup, len(covered), len(w) < 50 or 100 * len(covered) > 50 * len(w)
 
 
-@pytest.mark.parametrize("short", [1 << 20, 16])
-def test_statistics_against_plain_counts(docs, empty, monkeypatch, short):
-    monkeypatch.setattr(quality, "SHORT", short)  # 16: most texts take the way of the long ones
-    got = by_id(quality.with_statistics(docs))
-    want = {r.doc_id: _statistics(r.text) for r in docs.collect()}
+def test_statistics_against_plain_counts(spark, docs, empty):
+    long = spark.createDataFrame([(1001, prose(200_000)), (1002, "a b c " + " ".join(map(str, range(100_000))) + " a b c")], "doc_id long, text string")
+    some = docs.select("doc_id", "text", F.lit("clash").alias("_words")).unionByName(long.withColumn("_words", F.lit("clash")))
+    got = by_id(quality.with_statistics(some))
+    want = {r.doc_id: _statistics(r.text) for r in some.collect()}
     assert {i: (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for i, r in got.items()} == want
     assert quality.judge(empty, []).count() == 0
 
@@ -547,8 +547,26 @@ def test_phrases_against_plain_parsing():
     joined = {k: "".join(map(chr, languages.codes(v[0] + " "))) for k, v in samples.items()}
     for t, row in zip(texts, got, strict=True):
         c = "".join(map(chr, languages.codes(t)))
-        parts = [c[i : i + languages.SEGMENT] for i in range(0, len(c), languages.SEGMENT)]
-        assert row.tolist() == [sum(_phrases(p, joined[k]) for p in parts) for k in m.languages]
+        assert row.tolist() == [_phrases(c, joined[k]) for k in m.languages]
+
+
+def test_phrases_longer_than_segments(monkeypatch):
+    monkeypatch.setattr(languages, "SEGMENT", 8)
+    r = random.Random(1)
+    samples = {k: ["".join(r.choice("abc ") for _ in range(200))] for k in "xyz"}
+    m = languages.Model(samples)
+    joined = {k: "".join(map(chr, languages.codes(v[0] + " "))) for k, v in samples.items()}
+    texts = [joined["x"], joined["y"][50:] + joined["x"], "", "a", joined["z"] * 2, "".join(r.choice("abcd ") for _ in range(500))]
+    got = m.phrases([languages.codes(t) for t in texts], m.lookup())
+    for t, row in zip(texts, got, strict=True):
+        c = "".join(map(chr, languages.codes(t)))
+        assert not c or row.tolist() == [_phrases(c, joined[k]) for k in m.languages]
+
+
+def test_language_sample_is_the_same_for_any_order(spark):
+    d = spark.read.parquet(f"{SF}/documents.parquet")
+    twice = d.unionAll(d).repartition(7)
+    assert (languages.fit(d).table == languages.fit(twice).table).all()
 
 
 def test_languages_held_out(spark, docs, empty):
