@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from .embeddings import op2_near_vectors
 from .languages import op10_languages
-from .licenses import op9_licenses
+from .licenses import OP9_SQL, op9_licenses
 from .mixing import op8_mixing
 from .packing import op1_packing
 from .pages import op5_pages
@@ -36,4 +36,4 @@ SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0)
 """
 
 #: The rest needs a tokenizer, a learned model, a parser or a hash that SQL doesn't offer; tests hold it against brute force.
-ORACLE_SQL: dict[str, str] = {"op2_near_vectors": OP2_SQL, "op3_url_filters": OP3_SQL, "op4_substring_dedup": OP4_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_near_vectors": OP2_SQL, "op3_url_filters": OP3_SQL, "op4_substring_dedup": OP4_SQL, "op9_licenses": OP9_SQL}

@@ -515,6 +515,34 @@ def test_license_scans(spark):
     assert licenses.scan(df.limit(0)).count() == 0
 
 
+def test_license_words_fold_ascii_only(spark):
+    df = spark.createDataFrame([(1, "MIT License \u212a"), (None, "the mit license"), (None, "Licensed under CC BY-NC 4.0."), (1, "released under the \u212ait license")], "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.n_words, r.labels) for r in licenses.scan(df).collect())
+    assert got == [(0, 3, "mit"), (0, 7, "cc-by-nc"), (1, 3, "mit"), (1, 5, "")]
+
+
+def test_license_query_against_its_sql(spark):
+    """On the given documents, and on whole licenses with words put in, left out and changed."""
+    r = random.Random(6)
+    made = []
+    for n, (_, text) in enumerate(licenses.TEMPLATES):
+        w = text.split()
+        for change in range(4):
+            v = [x for x in w if r.random() > 0.03 * change]
+            for _ in range(change):
+                v.insert(r.randrange(len(v) + 1), "extra")
+            made.append((100_000 + 10 * n + change, "Intro, " + " ".join(v).title() + ". " + prose(5)))
+    given = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    df = given.unionByName(spark.createDataFrame(made, given.schema))
+    c = duckdb.connect()
+    c.register("documents", df.toArrow())
+    columns = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
+    want = c.execute(f"SELECT {', '.join(columns)} FROM ({licenses.OP9_SQL}) ORDER BY 1").fetchall()
+    got = [tuple(x) for x in licenses.scan(df).select(*columns).orderBy("doc_id").collect()]
+    assert got == want
+    assert all(labels for i, *_, labels, _ in got if i >= 100_000 and i % 10 == 0)
+
+
 # ---- 10
 def test_automaton_holds_all_substrings():
     text = "abcbcabacb"
