@@ -8,7 +8,7 @@ as-of join by equality of the key and containment in the interval. Of the active
 A list of at most BROADCAST rows, counted first, is broadcast. A longer one is shuffled; since a key may belong to a
 third of all captures, captures are salted over SALTS parts and the list's rows are repeated as often.
 
-Defined cases: null urls and fetch times match nothing and are kept; entries with a null key, date or action are
+Defined cases: null urls and fetch times match nothing and are kept; captures without id are judged like any other; entries with a null key, date or action are
 ignored; of entries of one key and date the last by action counts; repeated captures are judged alike; extra columns
 are ignored; empty tables give no rows, an empty list keeps everything.
 """
@@ -58,7 +58,9 @@ def judge(captures: DataFrame, entries: DataFrame) -> DataFrame:
         hits = keyed.withColumn("salt", F.pmod(F.xxhash64("id", "url", "fetched"), F.lit(SALTS)).cast("int")).join(salted, ["key", "salt"]).where(during)
     # the longest path prefix, then the longest domain
     best = hits.groupBy("id", "url", "fetched").agg(F.max(F.struct(F.instr("key", "/") > 0, F.length("key"), "key", "action")).alias("best")).select("id", "url", "fetched", "best.key", "best.action")
-    return captures.select("id", "url", "fetched").join(best, ["id", "url", "fetched"], "left").withColumn("kept", F.coalesce(F.col("action") != "block", F.lit(True)))
+    c, b = c.alias("c"), best.alias("b")  # a capture without id is judged as well
+    out = c.join(b, F.expr("c.id <=> b.id AND c.url = b.url AND c.fetched = b.fetched"), "left")
+    return out.select("c.id", "c.url", "c.fetched", "b.key", "b.action", F.coalesce(F.col("b.action") != "block", F.lit(True)).alias("kept"))
 
 
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
