@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, prepare, table
+from .common import Scratch, materialize, prepare, table
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|title|iframe|svg|select)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-z][^\s/>]*)([^>]*)>|</?[a-z!][^>]*\Z""", re.S | re.I)
 # HTML elements by role.
@@ -42,9 +42,8 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 BOILERPLATE = set("nav footer aside form button dialog menu head fieldset".split())
 MAIN = {"article", "main"}
 #: Words in class, id or role that name boilerplate.
-NAMED = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|cookies?|consent|disclaimer|footer|masthead|menu|nav|navbar|navigation|newsletter|notices?|popup|promo\w*|related|share|sharing|sidebar|site-header|social|sponsor\w*|subscribe|complementary|contentinfo)(?:$|[\s_-])", re.I)
+NAMED = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|cookies?|consent|footer|masthead|menu|nav|navbar|navigation|newsletter|notices?|popup|promo\w*|sidebar|site-header|sponsor\w*|subscribe|complementary|contentinfo)(?:$|[\s_-])", re.I)
 ATTRIBUTE = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none""", re.I)
 UNDECIDED, CONTENT, DROPPED = 0, 1, 2
 
 
@@ -72,7 +71,7 @@ def lines(page: str | None) -> list[tuple[str, int]]:
         if not name:
             continue
         closing, attributes = m[2] or m[5], m[4] or m[7] or ""
-        named = attributes and not closing and (HIDDEN.search(attributes) or any(NAMED.search(next(v for v in a if v)) for a in ATTRIBUTE.findall(attributes) if any(a)))
+        named = attributes and not closing and any(NAMED.search(next(v for v in a if v)) for a in ATTRIBUTE.findall(attributes) if any(a))
         if name in INLINE and not named and (not closing or not any(n == name and r != UNDECIDED for n, r in stack)):
             continue
         flush()
@@ -170,10 +169,10 @@ def _nearer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("page_id"), pa.array(mate, pa.int64())], ["page_id", "mate"])
 
 
-def _partners(light: DataFrame) -> DataFrame:
+def _partners(light: DataFrame, scratch: Scratch) -> DataFrame:
     """(page_id, mate) for the pages of light(host, path, page_id), page_id distinct, whose host has another page."""
     row = F.struct("host", "path", "page_id")
-    ranges = materialize(light.repartitionByRange("host", "path", "page_id").select(row.alias("row"), F.spark_partition_id().alias("part"), F.lit(True).alias("own")), "page-order")
+    ranges = scratch.keep(light.repartitionByRange("host", "path", "page_id").select(row.alias("row"), F.spark_partition_id().alias("part"), F.lit(True).alias("own")), "page-order")
     # one row a range, whose number is that of the shuffle's partitions
     bounds = ranges.groupBy("part").agg(F.min("row").alias("lo"), F.max("row").alias("hi"))
     order = Window.orderBy("lo")
@@ -192,14 +191,20 @@ def extract(pages: DataFrame) -> DataFrame:
     path = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
     parsed = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), host.alias("host"), path.alias("path"), F.col("html").cast("string").alias("html"))
     # pages are parsed twice: writing their lines in between would cost more disk than parsing costs time
-    outlines = materialize(parsed.select("page_id", "host", "path", "html").mapInArrow(_outlined, "page_id long, host string, path string, hashes array<long>"), "page-outlines")
-    light = outlines.where("page_id IS NOT NULL AND size(hashes) > 0").groupBy("page_id").agg(F.min(F.struct("host", "path")).alias("at")).select("at.host", "at.path", "page_id")
-    partner = _partners(light)
-    mates = outlines.select(F.col("page_id").alias("mate"), F.col("hashes").alias("partner_hashes")).join(partner.select("mate").distinct(), "mate", "left_semi").groupBy("mate").agg(F.min("partner_hashes").alias("partner_hashes"))
-    known = partner.join(mates, "mate").select("page_id", "partner_hashes")
+    with Scratch(pages.sparkSession) as scratch:
+        known = materialize(_known(parsed, scratch), "page-partners")
     packed = parsed.select("page_id", "url", "html").mapInArrow(_squeezed, "page_id long, url string, packed binary")
     return packed.join(known, "page_id", "left").mapInArrow(_difference, "page_id long, url string, text string, n_chars long")
 
 
+def _known(parsed: DataFrame, scratch: Scratch) -> DataFrame:
+    """(page_id, partner_hashes): the lines of each page's partner."""
+    outlines = scratch.keep(parsed.select("page_id", "host", "path", "html").mapInArrow(_outlined, "page_id long, host string, path string, hashes array<long>"), "page-outlines")
+    light = outlines.where("page_id IS NOT NULL AND size(hashes) > 0").groupBy("page_id").agg(F.min(F.struct("host", "path")).alias("at")).select("at.host", "at.path", "page_id")
+    partner = _partners(light, scratch)
+    mates = outlines.select(F.col("page_id").alias("mate"), F.col("hashes").alias("partner_hashes")).join(partner.select("mate").distinct(), "mate", "left_semi").groupBy("mate").agg(F.min("partner_hashes").alias("partner_hashes"))
+    return partner.join(mates, "mate").select("page_id", "partner_hashes")
+
+
 def op5_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
