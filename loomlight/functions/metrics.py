@@ -2,21 +2,44 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Prices in dollars per million tokens, tokens a file read costs, pixels per image token.
+# Prices in dollars per million tokens, tokens a file read costs, characters of a preview, pixels per image token.
 PRICES = {"low": 2.5, "standard": 3.0, "high": 5.0}
 FILE_TOKENS = 800
+PREVIEW = 200
 PIXELS_PER_TOKEN = {"high": 750, "low": 1500}
 
 
-def tokens(text: Column) -> Column:
+def estimated_tokens(text: Column) -> Column:
     """Deterministic estimate of a text's tokens: a quarter of its characters, rounded up; blank text has none."""
     blank = text.isNull() | ~text.rlike(r"\S")
     return F.when(blank, F.lit(0)).otherwise(F.ceil(F.length(text) / 4)).cast("long")
 
 
+_counter: Callable[[Column], Column] = estimated_tokens
+
+
+@contextmanager
+def counting(by: Callable[[Column], Column]) -> Iterator[None]:
+    """Count tokens by another function in all expressions that are made inside, such as `bpe.counter(path)`."""
+    global _counter
+    before, _counter = _counter, by
+    try:
+        yield
+    finally:
+        _counter = before
+
+
+def tokens(text: Column) -> Column:
+    """A text's tokens, by the estimate or by the counter that `counting` names; blank text has none."""
+    return _counter(text)
+
+
 def half_up(x: Column) -> Column:
     """Rounding half up, also below zero."""
     return F.floor(x + 0.5).cast("long")
@@ -27,6 +50,21 @@ def percent_saved(before: Column, after: Column) -> Column:
     return F.when(before > 0, half_up((before - after) / before * 100)).otherwise(F.lit(0).cast("long"))
 
 
+def clamped_percent(before: Column, after: Column) -> Column:
+    """0 where the text grew."""
+    return F.greatest(F.lit(0).cast("long"), percent_saved(before, after))
+
+
+def percent_text(share: Column) -> Column:
+    """A share as a percentage with one decimal."""
+    return F.format_string("%.1f%%", (share * 100).cast("double"))
+
+
+def preview(text: Column, most: int = PREVIEW) -> Column:
+    """The first characters of a long text, with dots."""
+    return F.when(F.length(text) > most, F.concat(F.substring(text, 1, most), F.lit("..."))).otherwise(text)
+
+
 def savings(before: Column, after: Column) -> Column:
     """struct(original_tokens, optimized_tokens, savings_percent, expanded): 0 percent where the text grew."""
     expanded = after > before

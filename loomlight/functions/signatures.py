@@ -98,9 +98,12 @@ def first_lines(content: Column, n: int) -> Column:
     return F.array_join(F.slice(F.split(content, "\n"), 1, n), "\n")
 
 
-def structure_view(content: Column, lang: Column) -> Column:
-    """The rendered signature cut to STRUCTURE_CAP lines; to STRUCTURE_SHORT if it is still longer than the source."""
-    view = rendered(by_lines(content, lang), lang)
+def structure_view(content: Column, lang: Column, signature: Column | None = None) -> Column:
+    """The rendered signature cut to STRUCTURE_CAP lines; to STRUCTURE_SHORT if it is still longer than the source.
+
+    signature: a column that holds it, such as the scanners'; by line patterns where none is given.
+    """
+    view = rendered(by_lines(content, lang) if signature is None else signature, lang)
 
     def capped(n: int) -> Column:
         lines = F.split(view, "\n")
@@ -111,13 +114,14 @@ def structure_view(content: Column, lang: Column) -> Column:
     return F.when(F.length(long) > F.length(content), capped(STRUCTURE_SHORT)).otherwise(long)
 
 
-def view(content: Column, lang: Column, depth: str) -> Column:
+def view(content: Column, lang: Column, depth: str, signature: Column | None = None) -> Column:
     """A source at one of the depths full, signature, structure and summary."""
     if depth == "full":
         return content
     if depth == "structure":
-        return structure_view(content, lang)
-    body = head_and_tail(content) if depth == "summary" else rendered(by_lines(content, lang), lang)
+        return structure_view(content, lang, signature)
     if depth not in ("summary", "signature"):
         raise ValueError(f"unknown depth {depth}")
-    return F.when(lang.isin("yaml", "markdown", "json", "unknown"), structure_view(content, lang)).otherwise(body)
+    sig = by_lines(content, lang) if signature is None else signature
+    body = head_and_tail(content) if depth == "summary" else rendered(sig, lang)
+    return F.when(lang.isin("yaml", "markdown", "json", "unknown"), structure_view(content, lang, sig)).otherwise(body)

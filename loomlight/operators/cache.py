@@ -6,11 +6,13 @@ path, a check hits while its hash is the epoch's and none before it differed.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import metrics as M
+
 # Caps of the two stores in rows and in characters, and how many rows a byte eviction takes at once.
-CACHE_ROWS, CACHE_CHARS, CACHE_BATCH = 10_000, 500 * 1024 * 1024, 200
+CACHE_ROWS, CACHE_CHARS, CACHE_BATCH, MAX_BATCHES = 10_000, 500 * 1024 * 1024, 200, 100
 MEMORY_ROWS, MEMORY_CHARS, MEMORY_BATCH = 2_000, 10 * 1024 * 1024, 100
 
 
@@ -60,15 +62,74 @@ def keep_newest(entries: DataFrame, rows: int, key: str = "file_path") -> DataFr
     return entries.orderBy(F.desc("updated_at"), key).limit(rows)
 
 
-def keep_chars(entries: DataFrame, chars: int, key: str = "file_path", batch: int = 1) -> DataFrame:
-    """Newest first while their characters stay within the cap; older rows go `batch` at a time.
+def keep_chars(entries: DataFrame, chars: int, key: str = "file_path", batch: int = 1, rows: int = CACHE_ROWS, batches: int | None = None) -> DataFrame:
+    """Newest first while their characters stay within the cap; older rows go `batch` at a time, `batches` times at most.
 
-    For stores that the row cap has bounded before: the running sum is over one order of at most that many rows.
+    The running sum has one order, so the row cap is applied first: it bounds what one task orders.
     """
+    some = keep_newest(entries, rows, key)
     oldest = Window.orderBy("updated_at", F.desc(key))
-    d = entries.withColumn("_n", F.length("content").cast("long")).withColumn("_batch", F.floor((F.row_number().over(oldest) - 1) / batch))
+    d = some.withColumn("_n", F.length("content").cast("long")).withColumn("_batch", F.floor((F.row_number().over(oldest) - 1) / batch))
     left = Window.orderBy(F.desc("_batch")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    return d.withColumn("_sum", F.sum("_n").over(left)).where(F.col("_sum") <= chars).drop("_n", "_batch", "_sum")
+    stays = F.col("_sum") <= chars
+    if batches is not None:
+        stays = stays | (F.col("_batch") >= batches)
+    return d.withColumn("_sum", F.sum("_n").over(left)).where(stays).drop("_n", "_batch", "_sum")
+
+
+def put(entries: DataFrame, new: DataFrame) -> DataFrame:
+    """The cache after storing new rows: the newest row of each path, within the caps on rows and on characters."""
+    return keep_chars(upsert(entries, new), CACHE_CHARS, batch=CACHE_BATCH, batches=MAX_BATCHES)
+
+
+def clear(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(an empty cache, one row with the number of entries that it held)."""
+    return entries.limit(0), entries.agg(F.count("*").alias("removed"))
+
+
+def stub(path: Column, n: Column) -> Column:
+    """What a client reads of an unchanged file instead of its text."""
+    return F.concat(F.lit("[cached] "), path, F.lit(" unchanged. "), n.cast("string"), F.lit(" tokens."))
+
+
+def checked(entries: DataFrame, seen: DataFrame) -> DataFrame:
+    """seen(file_path, hash): status hit, update or miss, the view of a hit, the stub's tokens, its savings, and a note."""
+    e = entries.select("file_path", F.col("hash").alias("kept"), "content", "tokens", "original_tokens", F.col("hit_count") + 1)
+    e = e.toDF("file_path", "kept", "content", "tokens", "original_tokens", "hits")
+    d = seen.select("file_path", "hash").join(e, "file_path", "left")
+    hit = F.col("kept") == F.col("hash")
+    status = F.when(F.col("kept").isNull(), "miss").when(hit, "hit").otherwise("update")
+    stubbed = M.tokens(stub(F.col("file_path"), F.col("tokens")))
+    saved = F.greatest(F.lit(0), F.col("original_tokens") - F.col("tokens"))
+    percent = M.half_up((F.col("original_tokens") - stubbed) / F.greatest(F.col("original_tokens"), F.lit(1)) * 100)
+    number = F.concat(F.lit("Cache hit #"), F.col("hits").cast("string"), F.lit(", unchanged (hash "), F.col("hash"), F.lit("). "))
+    said = F.when(status == "miss", "Not in the cache.").when(status == "update", F.concat(F.lit("Changed (was "), F.col("kept"), F.lit(", is "), F.col("hash"), F.lit("); the entry is dropped.")))
+    said = said.otherwise(F.concat(number, F.when(saved > 0, F.concat(F.lit("Saved ~"), saved.cast("string"), F.lit(" tokens."))).otherwise("The kept view is not smaller than the file.")))
+    only = lambda c: F.when(hit, c)
+    return d.select("file_path", "hash", status.alias("status"), only(F.col("content")).alias("content"), only(F.col("hits")).alias("hit_count"), only(stubbed).alias("stub_tokens"), only(percent).alias("savings_percent"), said.alias("note"))
+
+
+def after_check(entries: DataFrame, seen: DataFrame, now_ms: int) -> DataFrame:
+    """The cache after checks of seen(file_path, hash): hits are counted, entries of changed files go."""
+    c = checked(entries, seen)
+    left = delete(entries, c.where("status = 'update'").select("file_path"))
+    return record_hits(left, c.where("status = 'hit'").select("file_path", F.lit(1).alias("n"), F.lit(now_ms).alias("at")))
+
+
+def as_client_rows(entries: DataFrame) -> DataFrame:
+    """Entries under the names that clients know."""
+    return entries.select(F.col("hash"), F.col("content"), F.col("tokens"), F.col("original_tokens").alias("originalTokens"), F.col("updated_at").alias("timestamp"), F.col("hit_count").alias("hitCount"), F.col("file_path").alias("filePath"), F.col("type"))
+
+
+def lookup(entries: DataFrame, key: str, column: str = "file_path") -> DataFrame:
+    """The row of one key, if there is one; the key reaches the scan."""
+    return entries.where(F.col(column) == key)
+
+
+def report(entries: DataFrame, backend: str = "table") -> DataFrame:
+    """The statistics with a note."""
+    said = F.concat(F.lit(f"{backend} cache: "), F.col("entries").cast("string"), F.lit(" entries, "), F.col("total_hits").cast("string"), F.lit(" hits, "), F.col("tokens_saved").cast("string"), F.lit(" tokens saved."))
+    return statistics(entries).withColumn("note", said)
 
 
 def listing(entries: DataFrame, n: int, key: str = "file_path") -> DataFrame:

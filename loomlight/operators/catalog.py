@@ -39,3 +39,33 @@ def responses(calls: DataFrame) -> DataFrame:
     d = d.withColumn("original_tokens", M.tokens(F.col("raw"))).withColumn("table_tokens", M.tokens(F.col("table")))
     kind = F.when(F.col("table").isNull(), "raw-nonjson").when(F.col("table_tokens") > F.col("original_tokens"), "raw-fallback").otherwise("toon")
     return d.withColumn("format", kind).select("id", "format", F.when(kind == "toon", F.col("table")).otherwise(F.col("raw")).alias("content"), "original_tokens", F.when(kind == "toon", F.col("table_tokens")).otherwise(F.col("original_tokens")).alias("optimized_tokens"), "other_blocks")
+
+
+def cost(catalog: DataFrame) -> DataFrame:
+    """One row for a compressed catalog: tools, tokens of the whole schemas, tokens of the compressed rows as JSON, savings of 0 at least."""
+    row = M.tokens(F.to_json(F.struct("server", "name", "summary", "params")))
+    d = catalog.agg(F.count("*").alias("tools"), F.coalesce(F.sum("original_tokens"), F.lit(0)).alias("original_tokens"), F.coalesce(F.sum(row), F.lit(0)).alias("optimized_tokens"))
+    return d.withColumn("savings_percent", M.clamped_percent(F.col("original_tokens"), F.col("optimized_tokens")))
+
+
+def described(wanted: DataFrame, tools: DataFrame) -> DataFrame:
+    """wanted(server, tool): the whole description and schema of each, and its tokens; what isn't there has an error.
+
+    The error names the tools that the server has, a list that the catalog's size bounds.
+    """
+    have = tools.groupBy("server").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "name"))), lambda x: x["name"]), ", ").alias("names"))
+    whole = tools.select("server", F.col("name").alias("tool"), F.coalesce("description", F.lit("")).alias("description"), F.coalesce("input_schema", F.lit("{}")).alias("input_schema"), F.lit(True).alias("there"))
+    d = wanted.select("server", "tool").join(whole, ["server", "tool"], "left").join(have, "server", "left")
+    error = F.concat(F.lit("tool "), "tool", F.lit(" not found on "), "server", F.lit("; available: "), F.coalesce("names", F.lit("none")))
+    payload = F.to_json(F.struct("server", F.col("tool").alias("name"), "description", "input_schema"))
+    return d.select("server", "tool", "description", "input_schema", F.when(F.col("there"), M.tokens(payload)).alias("tokens"), F.when(F.col("there").isNull(), error).alias("error"))
+
+
+def status(connections: DataFrame, now_ms: int) -> DataFrame:
+    """connections(server, connected_at, tools): how long each is open, and the tools it is known to have."""
+    return connections.select("server", M.seconds_since(F.col("connected_at"), F.lit(now_ms)).alias("connected_seconds"), F.coalesce("tools", F.lit(0)).alias("tools"))
+
+
+def refresh(kept: DataFrame, listed: DataFrame, servers: DataFrame) -> DataFrame:
+    """The kept catalog with the tools of servers(server) replaced by those just listed; a server that lists none keeps none."""
+    return kept.join(servers.select("server"), "server", "left_anti").unionByName(listed.join(servers.select("server"), "server", "left_semi"))

@@ -11,18 +11,21 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.metrics import FILE_TOKENS
-from ..functions.signatures import by_lines
+from ..functions.scanners import signature
 from ..sources.shared import cut
 
-SHOWN, SEEDS, HOPS, PER_DEPTH = 25, 3, 3, 20
+# Matches shown, matches a traversal starts from, hops, names shown a depth, and files shown.
+SHOWN, SEEDS, HOPS, PER_DEPTH, FILES_SHOWN = 25, 3, 3, 20, 5
+#: Hexadecimal digits of a path's hash that name its part of a manifest.
+MANIFEST_DIGITS = 3
 # Order of a file's symbols, their key prefixes and edges.
 ORDER = [("functions", "function", "fn", "contains"), ("classes", "class", "cls", "contains"), ("imports", "import", "imp", None), ("exports", "export", "exp", "exports")]
 
 
-def signatures(files: DataFrame) -> DataFrame:
-    """(path, language, sig) of files(path, content)."""
-    lang = T.language(F.col("path"))
-    return files.select("path", lang.alias("language"), by_lines(F.col("content"), lang).alias("sig"))
+def signatures(files: DataFrame, *more: str) -> DataFrame:
+    """(path, language, more, sig) of files(path, content): by the language's scanner, else by line patterns."""
+    d = files.select("path", "content", T.language(F.col("path")).alias("language"), T.grammar(F.col("path"), F.col("content")).alias("grammar"))
+    return d.select("path", "language", *more, signature(F.col("content"), F.col("grammar")).alias("sig"))
 
 
 def symbols(sigs: DataFrame) -> DataFrame:
@@ -64,10 +67,15 @@ def build(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     return nodes.select("key", "name", "kind", "file", "ord"), edges
 
 
-def search(nodes: DataFrame, query: str) -> DataFrame:
-    """Nodes whose name or key contains the query, whatever the case, in order of file and place."""
+def matches(query: str) -> Column:
+    """Whether a node's name or key contains the query, whatever the case."""
     q = F.lower(F.lit(query))
-    return nodes.where(F.contains(F.lower("name"), q) | F.contains(F.lower("key"), q)).orderBy("file", "ord", "key")
+    return F.contains(F.lower("name"), q) | F.contains(F.lower("key"), q)
+
+
+def search(nodes: DataFrame, query: str) -> DataFrame:
+    """Nodes that match the query, in order of file and place."""
+    return nodes.where(matches(query)).orderBy("file", "ord", "key")
 
 
 def statistics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -97,21 +105,49 @@ def traverse(edges: DataFrame, seeds: DataFrame, hops: int = HOPS, incoming: boo
 
 
 def by_depth(found: DataFrame, nodes: DataFrame, shown: int = PER_DEPTH) -> DataFrame:
-    """(depth, n, listed, more): a depth's number of keys, its first names, and how many more nodes there are."""
-    counted = found.groupBy("depth").agg(F.count("*").alias("n"))
+    """(depth, n, listed, more): a depth's number of keys, its first names, and how many more nodes there are.
+
+    The ranks are limited in every task before the few first rows of a depth meet; the numbers are counted apart.
+    """
+    named = found.join(nodes.select("key", "name", "kind"), "key", "left")
+    counted = named.groupBy("depth").agg(F.count("*").alias("n"), F.count("kind").alias("named"))
     order = Window.partitionBy("depth").orderBy("key")
-    named = found.join(nodes.select("key", "name", "kind"), "key").withColumn("rank", F.row_number().over(order))
-    listed = named.groupBy("depth").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("rank") <= shown, F.struct("rank", F.concat("kind", F.lit(" "), "name").alias("line"))))), lambda x: x["line"]), "\n").alias("listed"), F.greatest(F.lit(0), F.count("*") - shown).alias("more"))
-    return counted.join(listed, "depth", "left")
+    first = named.where("kind IS NOT NULL").select("depth", "key", F.concat("kind", F.lit(" "), "name").alias("line"), F.row_number().over(order).alias("rank")).where(F.col("rank") <= shown)
+    listed = first.groupBy("depth").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "line"))), lambda x: x["line"]), "\n").alias("listed"))
+    d = counted.join(listed, "depth", "left")
+    return d.select("depth", "n", F.when(F.col("named") > 0, F.col("listed")).alias("listed"), F.when(F.col("named") > 0, F.greatest(F.lit(0), F.col("named") - shown)).alias("more"))
 
 
 def manifest(files: DataFrame) -> DataFrame:
-    """One row, 16 hexadecimal digits over files(path, mtime_ms, size) in order of their paths."""
+    """One row, 16 hexadecimal digits over files(path, mtime_ms, size).
+
+    Files are dealt out by their paths' hash; each part is hashed in order of its paths, then the parts in order of
+    their numbers, at most 16 ** MANIFEST_DIGITS of them. So no task gathers all paths.
+    """
     line = F.concat_ws("|", "path", F.col("mtime_ms").cast("string"), F.col("size").cast("string"))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", F.concat(line, F.lit("\n")).alias("line")))), lambda x: x["line"]), "")
-    return files.agg(F.substring(F.sha2(text, 256), 1, 16).alias("manifest"))
+    d = files.select("path", line.alias("line"), F.substring(F.sha2("path", 256), 1, MANIFEST_DIGITS).alias("part"))
+    joined = lambda of, sep: F.array_join(F.transform(F.array_sort(F.collect_list(of)), lambda x: x["line"]), sep)
+    parts = d.groupBy("part").agg(F.sha2(joined(F.struct("path", "line"), "\n"), 256).alias("line"))
+    return parts.agg(F.substring(F.sha2(joined(F.struct("part", "line"), "\n"), 256), 1, 16).alias("manifest"))
 
 
-def report_hits(lines: Column, query: str, cap: int) -> Column:
-    """The first lines that contain the query, whatever the case."""
-    return F.slice(F.filter(lines, lambda x: F.contains(F.lower(x), F.lower(F.lit(query)))), 1, cap)
+def open_graph(files: DataFrame, folder: str, rebuild: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of files(path, content, mtime_ms, size), kept in a folder under their manifest.
+
+    Built only if the files' manifest isn't there yet, or on demand; a graph is complete once its edges are.
+    """
+    spark = files.sparkSession
+    at = f"{folder.rstrip('/')}/{manifest(files).first().manifest}"
+    done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{at}/edges/_SUCCESS")
+    if rebuild or not done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
+        nodes, edges = build(files)
+        nodes.write.mode("overwrite").parquet(f"{at}/nodes")
+        edges.write.mode("overwrite").parquet(f"{at}/edges")
+    return spark.read.parquet(f"{at}/nodes"), spark.read.parquet(f"{at}/edges")
+
+
+def file_symbols(nodes: DataFrame, query: str) -> DataFrame:
+    """(file, symbols, ord, kind, name) for every symbol of the files whose path contains the query, whatever the case."""
+    some = nodes.where(F.contains(F.lower("file"), F.lower(F.lit(query))))
+    counted = some.groupBy("file").agg(F.count("*").alias("symbols"))
+    return some.join(counted, "file").select("file", "symbols", "ord", "kind", "name", "key")

@@ -97,3 +97,45 @@ def totals(measured: DataFrame) -> DataFrame:
     d = measured.agg(F.count("*").alias("files"), F.coalesce(F.sum("original_tokens"), F.lit(0)).alias("original_tokens"), F.coalesce(F.sum("optimized_tokens"), F.lit(0)).alias("optimized_tokens"))
     d = d.withColumn("savings_percent", M.percent_saved(F.col("original_tokens"), F.col("optimized_tokens")))
     return d.withColumns({f"saved_{p}": M.cost(F.col("original_tokens") - F.col("optimized_tokens"), p) for p in M.PRICES})
+
+
+#: Providers of answers that need no network: functions of the symbols, the path and the prompt's id.
+PROVIDERS = {"mock": lambda symbols, path, prompt: mock_answer(symbols, path, prompt), "faulty": lambda symbols, path, prompt: mock_answer(symbols, path, prompt, perfect=False)}
+
+
+def provider(name: str):  # noqa: ANN201
+    if name not in PROVIDERS:
+        raise ValueError(f"unknown provider {name}; known are {', '.join(sorted(PROVIDERS))}")
+    return PROVIDERS[name]
+
+
+def questions(truth: DataFrame) -> DataFrame:
+    """(path, prompt_id, scorer): what to ask of each file of truth(path, symbols)."""
+    rows = F.array(*[F.struct(F.lit(p).alias("prompt_id"), F.lit(s).alias("scorer")) for p, s in PROMPTS])
+    return truth.select("path", F.explode(rows).alias("p")).select("path", "p.*")
+
+
+def validate(truth: DataFrame, mode: str = "run", answers: DataFrame | None = None, by: str = "mock") -> DataFrame:
+    """truth(path, symbols): the prompts; the scores of given answers(path, prompt_id, text); or those of a provider's."""
+    if mode == "prompts":
+        return questions(truth)
+    if mode == "score":
+        if answers is None:
+            raise ValueError("to score, answers are needed")
+        return score_answers(answers, truth)
+    if mode != "run":
+        raise ValueError(f"unknown mode {mode}; known are prompts, score, run")
+    text = provider(by)(F.col("symbols"), F.col("path"), F.col("prompt_id"))
+    return score_answers(questions(truth).join(truth, "path").select("path", "prompt_id", text.alias("text")), truth)
+
+
+def report(scored: DataFrame, least: int = VERDICTS[2][0]) -> tuple[str, int]:
+    """A text of scored files and the exit status of a check: 1 if the mean score is below `least`.
+
+    Only aggregates and the ten lowest scores reach the driver.
+    """
+    a = scored.agg(F.count("*").alias("n"), F.avg("score").alias("score"), *[F.avg(s).alias(s) for s in WEIGHTS]).first()
+    worst = scored.orderBy("score", "path").limit(10).collect()
+    mean = a.score or 0.0
+    lines = [f"files: {a.n}", f"score: {mean:.1f}", *(f"{s}: {100 * (a[s] or 0):.1f}%" for s in WEIGHTS), "", *(f"{r.score:>3} {r.verdict} {r.path}" for r in worst)]
+    return "\n".join(lines), int(mean < least)

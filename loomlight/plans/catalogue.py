@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import code, tables
+from . import code, drivers, scanned, tables
 
-QUERIES = code.QUERIES | tables.QUERIES
-ORACLE_SQL = code.ORACLE_SQL | tables.ORACLE_SQL
+QUERIES = code.QUERIES | tables.QUERIES | scanned.QUERIES | drivers.QUERIES
+ORACLE_SQL = code.ORACLE_SQL | tables.ORACLE_SQL | scanned.ORACLE_SQL | drivers.ORACLE_SQL

@@ -14,11 +14,13 @@ from pyspark.sql import functions as F
 from ..functions import metrics as M
 from ..functions import signatures as S
 from ..functions import text as T
+from ..functions.scanners import signature
 from ..operators import graph as G
 from ..sources import files as R
 
 PATH = "'/src/m' || CAST(p_partkey % 50 AS STRING) || '/f' || CAST(p_partkey AS STRING) || CASE p_partkey % 6 WHEN 0 THEN '.ts' WHEN 1 THEN '.py' WHEN 2 THEN '.sql' WHEN 3 THEN '.yaml' WHEN 4 THEN '.sh' ELSE '.md' END"
 _K = "CAST(p_partkey AS STRING)"
+_V = "CAST(k AS VARCHAR)"
 LINES = [
     f"""'import {{ a' || {_K} || ', b as c }} from "./f' || CAST(p_partkey + 150 AS STRING) || '"'""",
     "'import os'",
@@ -84,15 +86,25 @@ def _cases(*cases: tuple[str, str]) -> str:
     return f"list_filter(flatten(list_transform(l, lambda x: [{inner}])), lambda x: x IS NOT NULL)"
 
 
-SIGNATURES = f"""
+LINE_SIGNATURES = f"""
 files AS ({FILES.replace("STRING", "VARCHAR")}),
 lined AS (SELECT *, {LANGUAGE} AS language, list_filter(list_transform(string_split(content, chr(10)), lambda x: {_trim("x")}), lambda x: x <> '') AS l FROM files),
-sigs AS (SELECT k, path, content, language,
+line_sigs AS (SELECT k, path, content, language,
   {_cases((_any("x", S.IMPORTS), "left(x, 200)"))} AS imports,
   {_cases((_any("x", S.EXPORTS), f"left({_upto('x', '{')}, 200)"), (_any("x", [S.COMMON_JS]), f"'exports.' || regexp_extract(x, {_quoted(S.COMMON_JS)}, 1) || ' = ...'"))} AS exports,
   {_cases((_any("x", S.FUNCTIONS), f"left({_upto('x', '{', ':=')}, 200)"), (f"language = 'sql' AND {_any('x', [S.SQL_OBJECT])}", f"left({_upto('x', '(')}, 200)"), (f"language = 'bash' AND {_any('x', [S.BASH_FUNCTION])}", _upto("x", "{")))} AS functions,
   {_cases((_any("x", S.CLASSES), f"left({_upto('x', '{', '(')}, 200)"), (f"language = 'yaml' AND {_any('x', [S.YAML_KEY])}", "left(x, 200)"), (f"language = 'markdown' AND {_any('x', [S.HEADING])}", "left(x, 200)"))} AS classes
   FROM lined)"""
+# what the scanners read in a composed source; it is no Python, so that the line patterns answer there as well
+_IN_SCRIPT = {
+    "imports": f"[{LINES[0].replace('STRING', 'VARCHAR')}, 'import os']",
+    "exports": f"['export async function fn' || {_V} || '(x) {{ return x }}', 'export class C' || {_V} || ' extends B {{', 'exports.e' || {_V} || ' = ...', 'module.exports = ...']",
+    "functions": f"['function fn' || {_V} || '(x)', 'function run' || {_V} || '()']",
+    "classes": f"['class C' || {_V}]",
+}
+_IN_SHELL = {"imports": "[]", "exports": "[]", "functions": f"['run' || {_V} || '()']", "classes": "[]"}
+_PARSED = ", ".join(f"CASE language WHEN 'typescript' THEN {_IN_SCRIPT[n].replace('p_partkey', 'k')} WHEN 'bash' THEN {_IN_SHELL[n].replace('p_partkey', 'k')} ELSE {n} END AS {n}" for n in _IN_SCRIPT)
+SIGNATURES = f"{LINE_SIGNATURES}, sigs AS (SELECT k, path, content, language, {_PARSED} FROM line_sigs)"
 _RENDER = " || ".join([f"'// Language: ' || language || chr(10) || '// Extracted signature' || chr(10)", *(f"CASE WHEN len({n}) > 0 THEN chr(10) || '{t}' || chr(10) || array_to_string({n}, chr(10)) || chr(10) ELSE '' END" for n, t in S.SECTIONS), f"CASE WHEN len(imports) + len(exports) + len(functions) + len(classes) = 0 THEN chr(10) || '{S.NOTHING}' ELSE '' END"])
 RENDERED = f"{SIGNATURES}, rendered AS (SELECT *, {_RENDER} AS view FROM sigs)"
 _TOKENS = "CAST(CASE WHEN NOT regexp_matches({0}, '\\S') THEN 0 ELSE ceil(length({0}) / 4.0) END AS BIGINT)"
@@ -103,8 +115,20 @@ def detect_language(spark: SparkSession, sf: str) -> DataFrame:
     return files(spark, sf).select("path", T.language(F.col("path")).alias("language"))
 
 
-@query(f"WITH {SIGNATURES} SELECT path, language, array_to_string(imports, ';') AS imports, array_to_string(exports, ';') AS exports, array_to_string(functions, ';') AS functions, array_to_string(classes, ';') AS classes FROM sigs")
+_LISTED = "path, language, array_to_string(imports, ';') AS imports, array_to_string(exports, ';') AS exports, array_to_string(functions, ';') AS functions, array_to_string(classes, ';') AS classes"
+
+
+@query(f"WITH {LINE_SIGNATURES} SELECT {_LISTED} FROM line_sigs")
 def line_signatures(spark: SparkSession, sf: str) -> DataFrame:
+    """By line patterns alone, for every language."""
+    lang = T.language(F.col("path"))
+    d = files(spark, sf).select("path", lang.alias("language"), S.by_lines(F.col("content"), lang).alias("sig"))
+    return d.select("path", "language", *[F.array_join(f"sig.{n}", ";").alias(n) for n in ("imports", "exports", "functions", "classes")])
+
+
+@query(f"WITH {SIGNATURES} SELECT {_LISTED} FROM sigs")
+def signatures(spark: SparkSession, sf: str) -> DataFrame:
+    """By scanners, and by line patterns where there is none or it can't read the source."""
     d = G.signatures(files(spark, sf))
     return d.select("path", "language", *[F.array_join(f"sig.{n}", ";").alias(n) for n in ("imports", "exports", "functions", "classes")])
 
@@ -117,9 +141,7 @@ def rendered_signatures(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {RENDERED}, m AS (SELECT path, language, {_TOKENS.format('content')} AS o, {_TOKENS.format('view')} AS p FROM rendered) SELECT path, language, o AS original_tokens, p AS optimized_tokens, CAST(CASE WHEN p > o OR o = 0 THEN 0 ELSE greatest(0, floor((o - p) / o * 100 + 0.5)) END AS BIGINT) AS savings_percent, p > o AS expanded FROM m")
 def compressed_files(spark: SparkSession, sf: str) -> DataFrame:
-    d = files(spark, sf)
-    lang = T.language(F.col("path"))
-    d = d.select("path", lang.alias("language"), "content", S.by_lines(F.col("content"), lang).alias("sig"))
+    d = G.signatures(files(spark, sf), "content")
     d = d.select("path", "language", M.tokens(F.col("content")).alias("o"), M.tokens(S.rendered(F.col("sig"), F.col("language"))).alias("p"))
     return d.select("path", "language", M.savings(F.col("o"), F.col("p")).alias("m")).select("path", "language", "m.*")
 
@@ -171,13 +193,14 @@ def graph_search(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _reach(src: str, dst: str) -> str:
-    return f"""WITH RECURSIVE {_NAMED}, walk AS (SELECT 'mod:' || path AS key, 0 AS depth FROM files WHERE k % 97 = 0
+    return f"""WITH RECURSIVE {_NAMED}, walk AS (SELECT 'mod:' || path AS key, 0 AS depth FROM files WHERE k % 50 = 0
   UNION SELECT e.{dst}, w.depth + 1 FROM walk w JOIN edges e ON e.{src} = w.key WHERE w.depth < 3)
 SELECT key, CAST(min(depth) AS BIGINT) AS depth FROM walk GROUP BY key"""
 
 
 def _seeds(spark: SparkSession, sf: str) -> DataFrame:
-    return files(spark, sf).where("k % 97 = 0").select(F.concat(F.lit("mod:"), "path").alias("key"))
+    """The query set of the traversals: modules whose key is divisible by 50, against all edges."""
+    return files(spark, sf).where("k % 50 = 0").select(F.concat(F.lit("mod:"), "path").alias("key"))
 
 
 @query(_reach("src", "dst"))
@@ -205,7 +228,7 @@ def reachable_orders(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("key", F.col("depth").cast("long").alias("depth"))
 
 
-_GRAPHED = f"""WITH RECURSIVE {_NAMED}, walk AS (SELECT 'mod:' || path AS key, 0 AS depth FROM files WHERE k % 97 = 0
+_GRAPHED = f"""WITH RECURSIVE {_NAMED}, walk AS (SELECT 'mod:' || path AS key, 0 AS depth FROM files WHERE k % 50 = 0
   UNION SELECT e.dst, w.depth + 1 FROM walk w JOIN edges e ON e.src = w.key WHERE w.depth < 3),
 found AS (SELECT key, min(depth) AS depth FROM walk GROUP BY key),
 ranked AS (SELECT depth, kind || ' ' || name AS line, row_number() OVER (PARTITION BY depth ORDER BY key) AS rank FROM found JOIN nodes USING (key))
@@ -220,10 +243,9 @@ def graph_by_depth(spark: SparkSession, sf: str) -> DataFrame:
     return d.select(F.col("depth").cast("long").alias("depth"), "n", "listed", F.col("more").cast("long").alias("more"))
 
 
-@query(f"SELECT substr(sha256(string_agg(path || '|' || CAST(k * 1000 AS VARCHAR) || '|' || CAST(length(content) AS VARCHAR) || chr(10), '' ORDER BY path)), 1, 16) AS manifest FROM ({FILES.replace('STRING', 'VARCHAR')}) WHERE k <= 1000")
+@query(f"SELECT substr(sha256(string_agg(line, chr(10) ORDER BY part)), 1, 16) AS manifest FROM (SELECT part, sha256(string_agg(line, chr(10) ORDER BY path)) AS line FROM (SELECT path, path || '|' || CAST(k * 1000 AS VARCHAR) || '|' || CAST(length(content) AS VARCHAR) AS line, substr(sha256(path), 1, {G.MANIFEST_DIGITS}) AS part FROM ({FILES.replace('STRING', 'VARCHAR')})) GROUP BY part)")
 def manifest_hash(spark: SparkSession, sf: str) -> DataFrame:
-    """Of one project of a thousand files: a manifest is a project's, and its files are capped."""
-    return G.manifest(files(spark, sf).where("k <= 1000").select("path", (F.col("k") * 1000).alias("mtime_ms"), F.length("content").alias("size")))
+    return G.manifest(files(spark, sf).select("path", (F.col("k") * 1000).alias("mtime_ms"), F.length("content").alias("size")))
 
 
 @query(f"SELECT path FROM (SELECT CASE WHEN k % 7 = 0 THEN '/node_modules' WHEN k % 7 = 1 THEN '/.hidden' ELSE '' END || path || CASE WHEN k % 11 = 0 THEN '.bin' ELSE '' END AS path FROM ({FILES.replace('STRING', 'VARCHAR')}) WHERE k % 7 > 1 AND k % 11 > 0)")
@@ -251,9 +273,8 @@ CUT_FIDELITY = FIDELITY.replace("regexp_extract_all(view,", f"regexp_extract_all
 def _fidelity(spark: SparkSession, sf: str, lines: int | None = None) -> DataFrame:
     from ..operators.scores import fidelity
 
-    d = files(spark, sf)
-    lang = T.language(F.col("path"))
-    view = S.rendered(S.by_lines(F.col("content"), lang), lang)
+    d = G.signatures(files(spark, sf), "content")
+    view = S.rendered(F.col("sig"), F.col("language"))
     return fidelity(d.select("path", "content", (S.first_lines(view, lines) if lines else view).alias("compressed")))
 
 
@@ -274,17 +295,40 @@ def function_names(spark: SparkSession, sf: str) -> DataFrame:
     return G.signatures(files(spark, sf)).select("path", F.explode("sig.functions").alias("line")).select("path", T.symbol_name(F.col("line"), "function").alias("name"))
 
 
-@query(f"WITH {SIGNATURES} SELECT path, CASE WHEN path LIKE '%.py' THEN '{{' ELSE './f' || CAST(k + 150 AS VARCHAR) END AS source, CASE WHEN path LIKE '%.py' THEN '{{' ELSE 'a' || CAST(k AS VARCHAR) || ',b' END AS names FROM sigs")
+@query(f"WITH {SIGNATURES} SELECT path, CASE WHEN path LIKE '%.sh' THEN NULL WHEN path LIKE '%.py' THEN '{{' ELSE './f' || CAST(k + 150 AS VARCHAR) END AS source, CASE WHEN path LIKE '%.sh' THEN NULL WHEN path LIKE '%.py' THEN '{{' ELSE 'a' || CAST(k AS VARCHAR) || ',b' END AS names FROM sigs")
 def parsed_imports(spark: SparkSession, sf: str) -> DataFrame:
     """Each file's first import; Python reads a word after `import`, whatever it is."""
-    d = G.signatures(files(spark, sf)).select("path", T.parse_import(F.col("sig.imports")[0], F.col("language")).alias("p"))
+    d = G.signatures(files(spark, sf)).select("path", T.parse_import(F.get(F.col("sig.imports"), 0), F.col("language")).alias("p"))
     return d.select("path", "p.source", F.array_join("p.names", ",").alias("names"))
 
 
 @query(f"WITH {RENDERED} SELECT path, md5(view) AS digest FROM rendered")
 def structure_views(spark: SparkSession, sf: str) -> DataFrame:
-    d = files(spark, sf)
-    return d.select("path", F.md5(S.structure_view(F.col("content"), T.language(F.col("path")))).alias("digest"))
+    d = G.signatures(files(spark, sf), "content")
+    return d.select("path", F.md5(S.structure_view(F.col("content"), F.col("language"), F.col("sig"))).alias("digest"))
+
+
+#: Long sources: 125 keys of YAML, whose view exceeds the source, and as many functions of Python, whose view doesn't.
+_N = 125
+_LONG = f"""SELECT p_partkey, CASE p_partkey % 2 WHEN 0 THEN array_to_string(list_transform(range(0, {_N}), lambda i: 'k' || i || ': 1'), chr(10)) ELSE array_to_string(list_transform(range(0, {_N}), lambda i: 'x = 1' || chr(10) || 'def f' || i || '(): return 1'), chr(10)) END AS content FROM part"""
+
+
+def _capped(n: int) -> str:
+    shown = f"list_transform(range(0, {n - 4}), lambda i: CASE p_partkey % 2 WHEN 0 THEN 'k' || i || ': 1' ELSE 'def f' || i || '()' END)"
+    head = "CASE p_partkey % 2 WHEN 0 THEN '// Language: yaml' ELSE '// Language: python' END || chr(10) || '// Extracted signature' || chr(10) || chr(10) || CASE p_partkey % 2 WHEN 0 THEN '// ─── Classes / Types ───' ELSE '// ─── Functions ───' END || chr(10)"
+    return f"{head} || array_to_string({shown}, chr(10)) || chr(10) || '... {_N + 5 - n} more lines'"
+
+
+@query(f"SELECT p_partkey, CASE WHEN length(long) > length(content) THEN short ELSE long END AS view FROM (SELECT *, {_capped(S.STRUCTURE_CAP)} AS long, {_capped(S.STRUCTURE_SHORT)} AS short FROM ({_LONG}))")
+def long_structure_views(spark: SparkSession, sf: str) -> DataFrame:
+    """Sources of many declarations: the view is cut, and cut shorter where it still exceeds the source."""
+    many = lambda f: F.array_join(F.transform(F.sequence(F.lit(0), F.lit(_N - 1)), f), "\n")
+    named = lambda i, before, after: F.concat(F.lit(before), i.cast("string"), F.lit(after))
+    yaml = F.col("p_partkey") % 2 == 0
+    content = F.when(yaml, many(lambda i: named(i, "k", ": 1"))).otherwise(many(lambda i: named(i, "x = 1\ndef f", "(): return 1")))
+    d = spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", F.when(yaml, "yaml").otherwise("python").alias("language"), content.alias("content"))
+    d = d.withColumn("sig", signature(F.col("content"), F.col("language")))
+    return d.select("p_partkey", S.structure_view(F.col("content"), F.col("language"), F.col("sig")).alias("view"))
 
 
 _MOST = "SELECT path, recall FROM fidelity WHERE recall < 1 ORDER BY recall, path LIMIT 10"

@@ -44,18 +44,16 @@ def pct(o: str, p: str) -> str:
 
 
 # ---- savings over documents
+_VIEW = "CASE WHEN len(string_split(text, chr(10))) > 70 THEN array_to_string(list_concat(list_concat(list_slice(string_split(text, chr(10)), 1, 50), ['... ' || CAST(len(string_split(text, chr(10))) - 70 AS VARCHAR) || ' lines omitted ...']), list_slice(string_split(text, chr(10)), -20, -1)), chr(10)) ELSE text END"
 _TWO = "array_to_string(list_slice(string_split(text, chr(10)), 1, 2), chr(10))"
 
 
-@query(f"SELECT lang AS language, count(*) AS files, CAST(sum({tok('text')}) AS BIGINT) AS original_tokens, CAST(sum({tok(_TWO)}) AS BIGINT) AS optimized_tokens, {pct(f'sum({tok("text")})', f'sum({tok(_TWO)})')} AS savings_percent FROM documents GROUP BY lang")
+@query(f"SELECT lang AS language, count(*) AS files, CAST(sum({tok('text')}) AS BIGINT) AS original_tokens, CAST(sum({tok(_VIEW)}) AS BIGINT) AS optimized_tokens, {pct(f'sum({tok("text")})', f'sum({tok(_VIEW)})')} AS savings_percent FROM documents GROUP BY lang")
 def corpus_savings(spark: SparkSession, sf: str) -> DataFrame:
-    d = read(spark, sf, "documents").select(F.col("lang").alias("language"), M.tokens(F.col("text")).alias("original_tokens"), M.tokens(S.first_lines(F.col("text"), 2)).alias("optimized_tokens"))
+    d = read(spark, sf, "documents").select(F.col("lang").alias("language"), M.tokens(F.col("text")).alias("original_tokens"), M.tokens(S.head_and_tail(F.col("text"))).alias("optimized_tokens"))
     return V.rollup(d)
 
 
-_VIEW = "CASE WHEN len(string_split(text, chr(10))) > 70 THEN array_to_string(list_concat(list_concat(list_slice(string_split(text, chr(10)), 1, 50), ['... ' || CAST(len(string_split(text, chr(10))) - 70 AS VARCHAR) || ' lines omitted ...']), list_slice(string_split(text, chr(10)), -20, -1)), chr(10)) ELSE text END"
-
-
 @query(f"SELECT doc_id, {tok('text')} AS original_tokens, {tok('v')} AS optimized_tokens, md5(v) AS digest FROM (SELECT *, {_VIEW} AS v FROM documents)")
 def head_and_tail(spark: SparkSession, sf: str) -> DataFrame:
     d = read(spark, sf, "documents").select("doc_id", "text", S.head_and_tail(F.col("text")).alias("v"))
@@ -74,9 +72,9 @@ def largest_documents(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "documents").select("doc_id", "lang", M.tokens(F.col("text")).alias("tokens")).orderBy(F.desc("tokens"), "doc_id").limit(10)
 
 
-@query(f"SELECT files, o AS original_tokens, p AS optimized_tokens, {pct('o', 'p')} AS savings_percent, (o - p) / 1000000 * 2.5 AS saved_low, (o - p) / 1000000 * 3.0 AS saved_standard, (o - p) / 1000000 * 5.0 AS saved_high FROM (SELECT count(*) AS files, CAST(sum({tok('text')}) AS BIGINT) AS o, CAST(sum({tok(_TWO)}) AS BIGINT) AS p FROM documents)")
+@query(f"SELECT files, o AS original_tokens, p AS optimized_tokens, {pct('o', 'p')} AS savings_percent, (o - p) / 1000000 * 2.5 AS saved_low, (o - p) / 1000000 * 3.0 AS saved_standard, (o - p) / 1000000 * 5.0 AS saved_high FROM (SELECT count(*) AS files, CAST(sum({tok('text')}) AS BIGINT) AS o, CAST(sum({tok(_VIEW)}) AS BIGINT) AS p FROM documents)")
 def corpus_totals(spark: SparkSession, sf: str) -> DataFrame:
-    d = read(spark, sf, "documents").select(M.tokens(F.col("text")).alias("original_tokens"), M.tokens(S.first_lines(F.col("text"), 2)).alias("optimized_tokens"))
+    d = read(spark, sf, "documents").select(M.tokens(F.col("text")).alias("original_tokens"), M.tokens(S.head_and_tail(F.col("text"))).alias("optimized_tokens"))
     return V.totals(d)
 
 
@@ -257,18 +255,19 @@ def enabled_servers(spark: SparkSession, sf: str) -> DataFrame:
 # ---- scores: conversations answer for benchmark's first words
 def _truth(spark: SparkSession, sf: str) -> DataFrame:
     b = read(spark, sf, "benchmark")
-    return b.select(F.col("item_id").alias("id"), F.concat(F.lit("src/m"), F.col("item_id").cast("string"), F.lit(".ts")).alias("path"), F.slice(F.array_sort(F.array_distinct(F.regexp_extract_all("text", F.lit("([A-Za-z_$][A-Za-z0-9_$]*)"), F.lit(1)))), 1, 8).alias("symbols"))
+    return b.select(F.col("item_id").alias("id"), F.concat(F.lit("src/m"), F.col("item_id").cast("string"), F.lit(".ts")).alias("path"), F.array_sort(F.array_distinct(F.regexp_extract_all("text", F.lit("([A-Za-z_$][A-Za-z0-9_$]*)"), F.lit(1)))).alias("symbols"))
 
 
-_TRUTH = "truth AS (SELECT item_id AS id, 'src/m' || CAST(item_id AS VARCHAR) || '.ts' AS path, list_slice(list_sort(list_distinct(regexp_extract_all(text, '([A-Za-z_$][A-Za-z0-9_$]*)', 1))), 1, 8) AS symbols FROM benchmark)"
+_TRUTH = "truth AS (SELECT item_id AS id, 'src/m' || CAST(item_id AS VARCHAR) || '.ts' AS path, list_sort(list_distinct(regexp_extract_all(text, '([A-Za-z_$][A-Za-z0-9_$]*)', 1))) AS symbols FROM benchmark)"
 _REPLY = "(SELECT conv_id, array_agg(text ORDER BY turn)[1] AS answer FROM conversations GROUP BY conv_id)"
 
 
-@query(f"WITH {_TRUTH} SELECT path, conv_id, CASE WHEN len(symbols) = 0 THEN 1.0::DOUBLE ELSE len(list_filter(symbols, lambda s: contains(lower(answer), lower(s)))) / len(symbols) END AS recall, CASE WHEN len(symbols) = 0 THEN 0.0 ELSE least(len(list_filter(symbols, lambda s: regexp_matches(answer, '\\b' || regexp_escape(s) || '\\b'))) / 2, 1.0) END AS specificity, CASE WHEN len(symbols) = 0 THEN 0.0 ELSE least(len(list_intersect(symbols, list_distinct(regexp_extract_all(answer, '([A-Za-z_$][\\w$]*)', 1)))) / 3, 1.0) * 0.5 END AS usage FROM truth JOIN {_REPLY} ON conv_id % 40 = id")
+@query(f"WITH {_TRUTH} SELECT path, conv_id, CASE WHEN len(symbols) = 0 THEN 1.0::DOUBLE ELSE len(list_filter(symbols, lambda s: contains(lower(answer), lower(s)))) / len(symbols) END AS recall, CASE WHEN len(symbols) = 0 THEN 0.0 ELSE least(len(list_filter(symbols, lambda s: regexp_matches(answer, '\\b' || regexp_escape(s) || '\\b'))) / 2, 1.0) END AS specificity, CASE WHEN len(symbols) = 0 THEN 0.0 ELSE least(len(list_intersect(symbols, list_distinct(regexp_extract_all(answer, '([A-Za-z_$][\\w$]*)', 1)))) / 3, 1.0) * 0.5 END AS usage FROM truth JOIN {_REPLY} ON conv_id % (SELECT count(*) FROM benchmark) = id")
 def answer_scores(spark: SparkSession, sf: str) -> DataFrame:
     """Each conversation's first turn as the answer about one benchmark item."""
     replies = read(spark, sf, "conversations").groupBy("conv_id").agg(F.min_by("text", "turn").alias("answer"))
-    d = _truth(spark, sf).join(replies, F.col("conv_id") % 40 == F.col("id"))
+    items = _truth(spark, sf)
+    d = items.join(replies, F.col("conv_id") % items.count() == F.col("id"))
     a, s = F.col("answer"), F.col("symbols")
     return d.select("path", "conv_id", V.recall(a, s).alias("recall"), V.specificity(a, s).alias("specificity"), V.usage(a, s, F.col("path")).alias("usage"))
 

@@ -2,42 +2,102 @@
 
 from __future__ import annotations
 
+import heapq
 import json
+import os
 import re
+from collections.abc import Iterator
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import SUFFIXES
 
 # Folders that are never read, caps on files and sizes, and paths that are never served.
-IGNORED = "node_modules .git dist build .next __pycache__ .turbo coverage .nyc_output .cache vendor .venv venv env .env .tox target bin obj out Pods .gradle .mvn".split()
+IGNORED = ["node_modules", ".git", "dist", "build", ".next", "__pycache__", ".turbo", "coverage", ".nyc_output", ".cache", "vendor", ".venv", "venv", "env", ".env", ".tox", "target", "bin", "obj", "out", "Pods", ".gradle", ".mvn"]
+# Suffixes and ignored folders where the fidelity of script files is measured.
+SCRIPT_SUFFIXES = [".js", ".jsx", ".mjs", ".cjs", ".ts", ".tsx", ".mts", ".cts"]
+SCRIPT_IGNORED = ["node_modules", ".git", "dist", "build", "out", ".next", "coverage", ".cache", "__tests__", "test", "tests"]
 MAX_FILES, HARD_MAX_FILES, MAX_BYTES = 5000, 50_000, 10 * 1024 * 1024
 SENSITIVE = [r"/\.ssh/", r"/\.gnupg/", r"/\.aws/credentials", r"/\.netrc$", r"/etc/passwd$", r"/etc/shadow$"]
 
 
-def is_source(path: Column, root: str = "") -> Column:
-    """Known suffix, and no folder below the root that is ignored or hidden."""
-    below = F.regexp_replace(path, "^" + root.rstrip("/").replace(".", r"\."), "") if root else path
+def is_source(path: Column, root: str = "", suffixes: list[str] | None = None, ignored: list[str] = IGNORED, hidden: bool = False) -> Column:
+    """Known suffix, and no folder below the root that is ignored or, unless asked for, hidden."""
+    below = F.regexp_replace(path, "^" + re.escape(root.rstrip("/")), "") if root else path
     folders = F.slice(F.split(below, "/"), 1, F.greatest(F.size(F.split(below, "/")) - 1, F.lit(0)))
-    bad = F.exists(folders, lambda f: f.isin(IGNORED) | f.startswith("."))
-    return F.lower(F.regexp_extract(path, r"[^/](\.[^./]+)$", 1)).isin(list(SUFFIXES)) & ~bad
+    bad = F.exists(folders, lambda f: f.isin(ignored) if hidden else f.isin(ignored) | f.startswith("."))
+    return F.lower(F.regexp_extract(path, r"[^/](\.[^./]+)$", 1)).isin(list(suffixes or SUFFIXES)) & ~bad
 
 
-def capped(files: DataFrame, most: int = MAX_FILES) -> DataFrame:
-    """The first files by path, up to the cap; `truncated` says whether there were more."""
-    cap = min(most, HARD_MAX_FILES)
-    some = files.orderBy("path").limit(cap + 1)
-    return some.withColumn("_n", F.count("*").over(Window.partitionBy(F.lit(0)))).orderBy("path").limit(cap).withColumn("truncated", F.col("_n") > cap).drop("_n")
+def is_script(path: Column, root: str = "") -> Column:
+    """What the fidelity of script files is measured on: no folders of tests; hidden ones are walked."""
+    return is_source(path, root, SCRIPT_SUFFIXES, SCRIPT_IGNORED, hidden=True)
 
 
-def read_files(spark: SparkSession, root: str, most: int = MAX_FILES, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """(path, content, size, mtime_ms) of the source files under root, read whole and decoded as UTF-8."""
+def capped(files: DataFrame, most: int = MAX_FILES) -> DataFrame:
+    """The first files(path, ...) by path, up to the cap; `truncated` says whether there were more.
+
+    Only paths are put in order: each task keeps its first ones before they meet. What else the rows hold, such as
+    whole contents, stays where it is and is joined to the few paths.
+    """
+    cap = min(most, HARD_MAX_FILES)
+    first = files.select("path").distinct().orderBy("path").limit(cap + 1)
+    more = first.count() > cap
+    kept = F.broadcast(first.orderBy("path").limit(cap))  # at most HARD_MAX_FILES paths
+    return files.join(kept, "path", "left_semi").withColumn("truncated", F.lit(more))
+
+
+def walk(root: str, suffixes: list[str] | None = None, ignored: list[str] = IGNORED, hidden: bool = False, most: int = HARD_MAX_FILES) -> list[tuple[str, int, int]]:
+    """(path, size, mtime_ms) of the source files under a folder in order of their paths, one more than `most` at most.
+
+    Ignored folders aren't entered. What can't be listed or looked at is left out.
+    """
+    wanted, out = set(suffixes or SUFFIXES), []
+    for folder, folders, names in os.walk(root):
+        folders[:] = [f for f in folders if f not in ignored and (hidden or not f.startswith("."))]
+        for name in names:
+            if Path(name).suffix.lower() in wanted:
+                path = os.path.join(folder, name)
+                try:
+                    stat = os.stat(path)
+                except OSError:
+                    continue
+                out.append((path, stat.st_size, stat.st_mtime_ns // 1_000_000))
+    return heapq.nsmallest(most + 1, out)
+
+
+def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for i, path in enumerate(b.column("path").to_pylist()):
+            try:
+                text = Path(path).read_bytes().decode("utf-8", "replace")
+            except OSError:
+                continue
+            yield pa.RecordBatch.from_arrays([*b.slice(i, 1).columns, pa.array([text])], [*b.schema.names, "content"])
+
+
+def read_files(spark: SparkSession, root: str, most: int = MAX_FILES, max_bytes: int = MAX_BYTES, script: bool = False) -> DataFrame:
+    """(path, size, mtime_ms, truncated, content) of the source files under root, read whole and decoded as UTF-8.
+
+    script: only what fidelity is measured on, see is_script. Files above max_bytes aren't read; a file that can't be
+    read isn't a row. A folder that the driver can list is walked, and its files are read by the tasks, a file at a
+    time; it must be one that executors see as well. Any other root is read by Spark, whose reader leaves out names
+    that begin with `_` or `.`.
+    """
+    cap, own = min(most, HARD_MAX_FILES), {"suffixes": SCRIPT_SUFFIXES, "ignored": SCRIPT_IGNORED, "hidden": True} if script else {}
+    local = root.removeprefix("file://")
+    if "://" not in local:
+        found = [f for f in walk(local, **own, most=cap) if f[1] <= max_bytes]
+        rows = [(*f, len(found) > cap) for f in found[:cap]]
+        d = spark.createDataFrame(rows, "path string, size long, mtime_ms long, truncated boolean")
+        return d.repartition(max(1, min(len(rows), 4 * spark.sparkContext.defaultParallelism))).mapInArrow(_contents, "path string, size long, mtime_ms long, truncated boolean, content string")
     d = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreCorruptFiles", True).load(root)
-    d = d.select(F.regexp_replace("path", "^file:/*", "/").alias("path"), F.col("length").alias("size"), F.unix_millis("modificationTime").alias("mtime_ms"), "content")
-    d = d.where(is_source(F.col("path"), root) & (F.col("size") <= max_bytes))
-    return capped(d.withColumn("content", F.decode("content", "UTF-8")), most)
+    d = d.select("path", F.col("length").alias("size"), F.unix_millis("modificationTime").alias("mtime_ms"), "content")
+    d = capped(d.where(is_source(F.col("path"), root, **own) & (F.col("size") <= max_bytes)), cap)
+    return d.select("path", "size", "mtime_ms", "truncated", F.decode("content", "UTF-8").alias("content"))
 
 
 def allowed(path: Column, boundary: str) -> Column:
@@ -61,33 +121,65 @@ def resolve(path: str, root: str, anywhere: bool = False) -> Path:
     return p
 
 
-def find_report(start: str, candidates: tuple[str, ...], ancestors: int = 14) -> Path | None:
-    """The first of the candidate files in a folder or its ancestors."""
+def find_report(start: str, candidates: tuple[str, ...], ancestors: int = 14, named: str | None = None) -> Path | None:
+    """The named file if it exists, else the first of the candidates in a folder or the ones above, `ancestors` in all."""
+    if named and Path(named).is_file():
+        return Path(named).resolve()
     here = Path(start).resolve()
-    for folder in [here, *here.parents][: ancestors + 1]:
+    for folder in [here, *here.parents][:ancestors]:
         for c in candidates:
             if (folder / c).is_file():
                 return folder / c
     return None
 
 
-def read_catalog(spark: SparkSession, path: str) -> DataFrame:
-    """(server, command, args, env, description, disabled) of a configuration file; what is malformed is an error."""
-    with open(path, encoding="utf-8") as f:
-        servers = json.load(f).get("servers")
-    if not isinstance(servers, dict):
-        raise ValueError("`servers` must be an object")
-    rows = []
-    for name, s in servers.items():
-        if not isinstance(s, dict) or not isinstance(s.get("command"), str):
-            raise ValueError(f"{name}: `command` must be a string")
-        if not isinstance(s.get("args", []), list):
-            raise ValueError(f"{name}: `args` must be a list")
-        rows.append((name, s["command"], [str(a) for a in s.get("args", [])], {k: str(v) for k, v in s.get("env", {}).items()}, s.get("description"), bool(s.get("disabled", False))))
-    return spark.createDataFrame(rows, "server string, command string, args array<string>, env map<string,string>, description string, disabled boolean")
+def workspace_root(report: str) -> Path:
+    """The folder that holds the report's folder."""
+    return Path(report).resolve().parent.parent
 
 
-def migrate_json(spark: SparkSession, path: str, now_ms: int) -> DataFrame:
-    """(mem_key, value, updated_at) of a JSON object of strings."""
-    d = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string,string>")).alias("mem_key", "value"))
-    return d.withColumn("updated_at", F.lit(now_ms).cast("long"))
+def code_root(given: str | None = None, configured: str | None = None) -> Path:
+    """The given folder, else the configured one, else the working folder."""
+    return Path(next((x.strip() for x in (given, configured) if x and x.strip()), ".")).resolve()
+
+
+def catalog_servers(text: str, path: str) -> dict[str, dict]:
+    """The servers of a configuration text; what is malformed is an error that names the path and the entry."""
+    try:
+        whole = json.loads(text)
+    except ValueError as e:
+        raise ValueError(f"{path} is not valid JSON: {e}") from e
+    if not isinstance(whole, dict):
+        raise ValueError(f"{path} must hold a JSON object")
+    if not isinstance(whole.get("servers"), dict):
+        raise ValueError(f"{path} must hold an object `servers`")
+    for name, s in whole["servers"].items():
+        if not isinstance(s, dict):
+            raise ValueError(f"{path}: the entry {name} must be an object")
+        if not isinstance(s.get("command"), str) or not s["command"]:
+            raise ValueError(f"{path}: the entry {name} needs a `command`")
+    return whole["servers"]
+
+
+def read_catalog(spark: SparkSession, path: str) -> DataFrame:
+    """(server, command, args, env, description, disabled) of a configuration file; a missing one has no servers."""
+    servers: dict[str, dict] = {}
+    if Path(path).exists():
+        try:
+            text = Path(path).read_text(encoding="utf-8")
+        except OSError as e:
+            raise ValueError(f"{path} can't be read: {e}") from e
+        servers = catalog_servers(text, path)
+    as_text = lambda x: x if isinstance(x, str) else None
+    rows = [
+        (
+            name,
+            s["command"],
+            [str(a) for a in s["args"]] if isinstance(s.get("args"), list) else [],
+            {k: str(v) for k, v in s["env"].items()} if isinstance(s.get("env"), dict) else None,
+            as_text(s.get("description")),
+            s.get("disabled") is True,
+        )
+        for name, s in servers.items()
+    ]
+    return spark.createDataFrame(rows, "server string, command string, args array<string>, env map<string,string>, description string, disabled boolean")

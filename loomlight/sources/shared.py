@@ -6,13 +6,21 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share. Only a local session, as in tests, may name none."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        named = f"file://{os.path.join(tempfile.gettempdir(), 'loomlight-shared')}"
+    return named.rstrip("/")
 
 
 def cut(df: DataFrame, tag: str) -> DataFrame:
-    """df, written to the shared folder and read back; a local folder only where the session names none (tests)."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or f"file://{os.path.join(tempfile.gettempdir(), 'loomlight-shared')}"
-    path = f"{folder.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    """df, written to the shared folder and read back."""
+    path = f"{folder(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
