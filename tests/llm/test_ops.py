@@ -686,6 +686,44 @@ def test_languages_held_out(spark, docs, empty):
     assert {r.lang_pred for r in languages.identify(docs, languages.fit(empty)).collect()} == {"und"}
 
 
+# ---- all
+def test_very_long_texts(spark):
+    """A text of a million characters and more goes through every operator whole."""
+    import public_tokenizers
+
+    long = prose(220_000)
+    tail = "released under the MIT License"
+    docs = spark.createDataFrame([(1, f"{long} {tail}", "en", "s"), (2, long, "en", "s")], "doc_id long, text string, lang string, source string")
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    padding, total = _check_pieces(packing.pack(docs, path), {r.doc_id: r.text for r in docs.collect()}, packing.encoder(path))
+    assert total > 400_000 and padding < 0.01 * total
+    fps = {r.doc_id: int(r.fingerprint, 16) for r in simhash.near_duplicates(docs).collect()}
+    assert fps == {r.doc_id: simhash.fingerprint(r.text.encode()) for r in docs.collect()} and fps[1] ^ fps[2] == 0 or bin(fps[1] ^ fps[2]).count("1") <= 4
+    got = by_id(licenses.scan(docs))
+    assert got[1].labels == "mit" and got[1].n_base == 1 and got[1].first_word == got[1].n_words - 2 and got[2].labels == ""
+    m = languages.Model({"en": [long[:3000]], "xx": ["zzz qqq " * 50]})
+    assert {r.lang_pred for r in languages.identify(docs, m).collect()} == {"en"}
+    assert {r.component_id for r in near_copies.near_copies(docs).collect()} == {1}
+    assert {r.doc_id: r["size"] for r in mixing.mix(docs).collect()} == {1: 220_005, 2: 220_000}
+    web = spark.createDataFrame([(1, "http://a.b/1", "".join(f"<p>{x}</p>" for x in long.split("\n")))], "page_id long, url string, html string")
+    assert pages.extract(web).first().text == " ".join(long.split())
+
+
+def test_tokens_are_those_of_tokenizers():
+    """Over the whole texts of a given table, whose ids the packing takes from the file's merges."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    t = Tokenizer.from_file(path)
+    t.encode_special_tokens = True
+    texts = [r[0] for r in duckdb.sql("SELECT text FROM '/root/testdata/sf0.01/documents.parquet' WHERE text IS NOT NULL").fetchall()]
+    encode = packing.encoder(path)
+    assert len(texts) > 900
+    for text, e in zip(texts, t.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert list(encode(text)) == e.ids
+
+
 # ---- the pipeline
 def test_pipeline(spark):
     import corpus_pipeline as c
