@@ -22,7 +22,7 @@ from collections import deque
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize, table
+from .common import WORD, Scratch, materialize, table
 
 WEIGHTS, MAX_COPIES, SEED, LOG2_BUCKETS, MAX_PATTERNS = (5, 2, 1), 3, 42, 12, 20_000
 
@@ -100,11 +100,16 @@ def mix(docs: DataFrame, members: Column | None = None, weights: tuple[int, ...]
     members: array of the sources that a document belongs to; its own source where not given. source_size and target
     are those of the first member.
     """
+    with Scratch(docs.sparkSession) as scratch:
+        return materialize(_mixed(docs, members, weights, most, seed, scratch), "mix")
+
+
+def _mixed(docs: DataFrame, members: Column | None, weights: tuple[int, ...], most: int, seed: int, scratch: Scratch) -> DataFrame:
     spark = docs.sparkSession
     members = F.array(F.col("source").cast("string")) if members is None else members
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), size.alias("size"), F.array_distinct(members).alias("sources"), F.xxhash64("text").alias("digest"))
-    rows = materialize(rows.withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "digest")).drop("digest"), "mix-sizes")
+    rows = scratch.keep(rows.withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "digest")).drop("digest"), "mix-sizes")
 
     found = rows.groupBy("sources").agg(F.sum("size").alias("size")).limit(MAX_PATTERNS + 1).collect()
     if len(found) > MAX_PATTERNS:
@@ -136,7 +141,8 @@ def mix(docs: DataFrame, members: Column | None = None, weights: tuple[int, ...]
         return F.broadcast(sums.withColumn("before", F.coalesce(before, F.lit(0))).where("before < rest AND before + words >= rest").groupBy(F.col("sources").alias(by)).agg(F.min(F.struct("b", (F.col("rest") - F.col("before")).alias("left"))).alias(at)))
 
     first = cut(rows.where("rest > 0"), "b0", "s0", "c0")
-    rows = rows.join(first, F.col("sources").eqNullSafe(F.col("s0")), "left").drop("s0")
+    rows = scratch.keep(rows.join(first, F.col("sources").eqNullSafe(F.col("s0")), "left").drop("s0"), "mix-cut")
+    scratch.drop("mix-sizes")
     inside = rows.where("b0 = c0.b").withColumn("rest", F.col("c0.left"))
     second = cut(inside, "b1", "s1", "c1")
     rows = rows.join(second, F.col("sources").eqNullSafe(F.col("s1")), "left").drop("s1")

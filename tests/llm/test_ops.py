@@ -16,7 +16,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from loomlight.llm import embeddings, languages, licenses, mixing, near_copies, packing, pages, quality, queries, simhash, substrings, urls
+from loomlight.llm import common, embeddings, languages, licenses, mixing, near_copies, packing, pages, quality, queries, simhash, substrings, urls
 from loomlight.llm.common import Scratch, components, forest
 
 SF = "/root/testdata/sf0.001"
@@ -58,7 +58,9 @@ def test_forest_finds_components():
         assert label.tolist() == want
 
 
-def test_components_of_a_long_path_and_a_star(spark):
+@pytest.mark.parametrize("few", [common.FEW, 0])
+def test_components_of_a_long_path_and_a_star(spark, monkeypatch, few):
+    monkeypatch.setattr(common, "FEW", few)
     edges = [(i, i + 1) for i in range(0, 60)] + [(1000, 1000 + i) for i in range(1, 40)] + [(5000, 5000)]
     random.shuffle(edges)
     with Scratch(spark) as scratch:
@@ -487,7 +489,9 @@ def test_near_copies_finds_appended_and_cut_texts(spark):
     assert {x.doc_id: x.component_id for x in near_copies.near_copies(df).collect()} == want
 
 
-def test_near_copies_links_by_exact_similarity(spark, monkeypatch):
+@pytest.mark.parametrize("few", [common.FEW, 0])
+def test_near_copies_links_by_exact_similarity(spark, monkeypatch, few):
+    monkeypatch.setattr(common, "FEW", few)
     monkeypatch.setattr(near_copies, "CHUNK", 8)
     r = random.Random(32)
     words = lambda n: ["".join(r.choice("abcdefghijkl") for _ in range(6)) for _ in range(n)]
