@@ -187,7 +187,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     sample = read.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0).mapInArrow(_sampled, "h long")
     frequent = sample.groupBy("h").count().where(F.col("count") >= COMMON).orderBy(F.desc("count"), "h").limit(MOST)
-    common = spark.sparkContext.broadcast(np.array([r.h for r in frequent.collect()], np.int64).view(np.uint64))
+    common = spark.sparkContext.broadcast(frequent.select("h").toArrow()["h"].to_numpy().astype(np.int64).view(np.uint64))
     with Scratch(spark) as scratch:
         described = scratch.keep(read.mapInArrow(partial(_described, common=common), "doc_id long, fp long, signature binary, digest binary, size int, prefix array<long>"), "near-described")
         common.destroy()
