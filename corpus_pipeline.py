@@ -57,9 +57,10 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it; the one document of a source that is taken in part, if over half."""
-    taken = mixing.mix(docs).select("doc_id", F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size")).cast("int")).otherwise(0).alias("copies")).where("copies > 0")
-    out = _columns(docs).join(taken, "doc_id")
-    return _columns(out.withColumn("_copy", F.explode(F.sequence(F.lit(1), "copies"))))
+    taken = mixing.mix(docs, carry=tuple(COLUMNS))
+    copies = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size")).cast("int")).otherwise(0)
+    taken = taken.withColumn("copies", copies).where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), "copies")))
+    return taken.select("row.*")
 
 
 def packing_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -94,65 +94,77 @@ def route(patterns: list[tuple[tuple[int, ...], int]], quotas: list[int], most:
     return [sum(room[e + 2 * c + 1] for c in range(most)) for e in layers]
 
 
-def mix(docs: DataFrame, members: Column | None = None, weights: tuple[int, ...] = WEIGHTS, most: int = MAX_COPIES, seed: int = SEED) -> DataFrame:
+def mix(docs: DataFrame, members: Column | None = None, weights: tuple[int, ...] = WEIGHTS, most: int = MAX_COPIES, seed: int = SEED, carry: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, size, sources, source_size, target, taken) for every row of docs(doc_id, text, source).
 
     members: array of the sources that a document belongs to; its own source where not given. source_size and target
-    are those of the first member.
+    are those of the first member. carry: columns of docs that come along as fields of a column `row`; docs, a table,
+    is then read again for them, so that no text is shuffled.
     """
+    members = F.array(F.col("source").cast("string")) if members is None else members
+    key = F.xxhash64(F.lit(seed), F.col("doc_id").cast("long"), F.xxhash64("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.array_distinct(members).alias("sources"), key.alias("h"), "text", *[F.struct(*carry).alias("row")] * bool(carry))
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
     with Scratch(docs.sparkSession) as scratch:
-        return materialize(_mixed(docs, members, weights, most, seed, scratch), "mix")
+        sizes = scratch.keep(rows.select("doc_id", size.alias("size"), "sources", "h"), "mix-sizes")
+        plan = _plan(sizes, weights, most)
+        return _taken(rows, size, plan, ["row"]) if carry else materialize(_taken(sizes, F.col("size"), plan, []), "mix")
 
 
-def _mixed(docs: DataFrame, members: Column | None, weights: tuple[int, ...], most: int, seed: int, scratch: Scratch) -> DataFrame:
-    spark = docs.sparkSession
-    members = F.array(F.col("source").cast("string")) if members is None else members
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), size.alias("size"), F.array_distinct(members).alias("sources"), F.xxhash64("text").alias("digest"))
-    rows = scratch.keep(rows.withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "digest")).drop("digest"), "mix-sizes")
+def _bucket(level: int) -> Column:
+    return F.shiftrightunsigned("h", 64 - (level + 1) * LOG2_BUCKETS).bitwiseAND(F.lit((1 << LOG2_BUCKETS) - 1))
 
-    found = rows.groupBy("sources").agg(F.sum("size").alias("size")).limit(MAX_PATTERNS + 1).collect()
+
+def _planned(rows: DataFrame, plan: list[tuple]) -> DataFrame:
+    """rows with the facts of their pattern; the plan has a row for each, MAX_PATTERNS at most."""
+    facts = rows.sparkSession.createDataFrame(plan, "of array<string>, source_size long, target double, passes long, rest long, c0 long, c1 long")
+    return rows.join(F.broadcast(facts), F.col("sources").eqNullSafe(F.col("of"))).drop("of")
+
+
+def _plan(sizes: DataFrame, weights: tuple[int, ...], most: int) -> list[tuple]:
+    """For each pattern: sources, source_size, target, whole passes, and for the rest the two buckets in which it ends and what is left of it there."""
+    found = sizes.groupBy("sources").agg(F.sum("size").alias("size")).limit(MAX_PATTERNS + 1).collect()
     if len(found) > MAX_PATTERNS:
         raise ValueError(f"more than {MAX_PATTERNS} membership patterns")
     names = sorted({s for r in found for s in r.sources if s is not None}, key=lambda s: s.encode()) + [None] * any(None in r.sources for r in found)
     number = {s: i for i, s in enumerate(names)}
-    sizes = [0] * len(names)
+    total = [0] * len(names)
     for r in found:
         for s in r.sources:
-            sizes[number[s]] += r["size"]
-    goal = targets(sizes, sum(r["size"] for r in found), weights, most)
+            total[number[s]] += r["size"]
+    goal = targets(total, sum(r["size"] for r in found), weights, most)
     flow = route([(tuple(number[s] for s in r.sources), r["size"]) for r in found], [round(t) for t in goal], most)
-    facts = []
+    plan = []
     for r, f in zip(found, flow, strict=True):
         s = number[r.sources[0]] if r.sources else None
         q, rest = divmod(f, r["size"]) if r["size"] else (0, 0)
-        facts.append((r.sources, sizes[s] if s is not None else 0, goal[s] if s is not None else 0.0, q, rest))
-    facts = F.broadcast(spark.createDataFrame(facts, "sources array<string>, source_size long, target double, passes long, rest long"))  # a row per pattern
-    rows = rows.join(facts, rows.sources.eqNullSafe(facts.sources)).drop(facts.sources)
+        plan.append((r.sources, total[s] if s is not None else 0, goal[s] if s is not None else 0.0, q, rest, None, None))
 
-    # cut the order twice by buckets of the hash, then by the hash itself
-    bucket = [F.shiftrightunsigned("h", 64 - (k + 1) * LOG2_BUCKETS).bitwiseAND(F.lit((1 << LOG2_BUCKETS) - 1)) for k in (0, 1)]
-    rows = rows.withColumn("b0", bucket[0]).withColumn("b1", bucket[1])
+    # cut the order by buckets of the hash, then the bucket of the cut by finer ones
     before = F.sum("words").over(Window.partitionBy("sources").orderBy("b").rowsBetween(Window.unboundedPreceding, -1))
-
-    def cut(some: DataFrame, b: str, by: str, at: str) -> DataFrame:
-        """(sources, by, at): the bucket in which the rest ends, and the rest of the rest there."""
-        sums = some.groupBy("sources", F.col(b).alias("b")).agg(F.sum("size").alias("words"), F.first("rest").alias("rest"))
-        return F.broadcast(sums.withColumn("before", F.coalesce(before, F.lit(0))).where("before < rest AND before + words >= rest").groupBy(F.col("sources").alias(by)).agg(F.min(F.struct("b", (F.col("rest") - F.col("before")).alias("left"))).alias(at)))
-
-    first = cut(rows.where("rest > 0"), "b0", "s0", "c0")
-    rows = scratch.keep(rows.join(first, F.col("sources").eqNullSafe(F.col("s0")), "left").drop("s0"), "mix-cut")
-    scratch.drop("mix-sizes")
-    inside = rows.where("b0 = c0.b").withColumn("rest", F.col("c0.left"))
-    second = cut(inside, "b1", "s1", "c1")
-    rows = rows.join(second, F.col("sources").eqNullSafe(F.col("s1")), "left").drop("s1")
-    at_cut = (F.col("b0") == F.col("c0.b")) & (F.col("b1") == F.col("c1.b"))
-    at_cut = F.coalesce(at_cut, F.lit(False))
-    outside = rows.where(~at_cut).withColumn("extra", F.when((F.col("b0") < F.col("c0.b")) | ((F.col("b0") == F.col("c0.b")) & (F.col("b1") < F.col("c1.b"))), F.col("size")).otherwise(F.lit(0)))
-    order = Window.partitionBy("sources").orderBy("h", "size", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    ordered = rows.where(at_cut).withColumn("extra", F.greatest(F.lit(0), F.least(F.col("size"), F.col("c1.left") - F.coalesce(F.sum("size").over(order), F.lit(0)))))
-    out = outside.unionByName(ordered)
-    return out.select("doc_id", "size", "sources", "source_size", "target", (F.col("passes") * F.col("size") + F.coalesce("extra", F.lit(0))).alias("taken"))
+    for level in (0, 1):
+        some = _planned(sizes, plan).where("rest > 0" if not level else F.col("c0") == _bucket(0))
+        sums = some.groupBy("sources", _bucket(level).alias("b")).agg(F.sum("size").alias("words"), F.first("rest").alias("rest"))
+        cut = sums.withColumn("before", F.coalesce(before, F.lit(0))).where("before < rest AND before + words >= rest")
+        ends = {tuple(r.sources): (r.b, r.rest - r.before) for r in cut.collect()}
+        for i, row in enumerate(plan):
+            if end := ends.get(tuple(row[0])):
+                plan[i] = (*row[:4], end[1], *((end[0], None) if not level else (row[5], end[0])))
+    return plan
+
+
+def _taken(rows: DataFrame, size: Column, plan: list[tuple], carry: list[str]) -> DataFrame:
+    """What each row gives. Rows outside the bucket of their pattern's cut need no other row, so only those inside are ordered."""
+    placed = _planned(rows, plan)
+    b0, b1, c0, c1 = _bucket(0), _bucket(1), F.col("c0"), F.col("c1")
+    at_cut = F.coalesce((b0 == c0) & (b1 == c1), F.lit(False))
+    early = F.coalesce((b0 < c0) | ((b0 == c0) & (b1 < c1)), F.lit(False))
+    outside = placed.where(~at_cut).withColumn("size", size).withColumn("extra", F.when(early, F.col("size")).otherwise(F.lit(0)))
+    inside = placed.where(at_cut).withColumn("size", size)
+    before = F.sum("size").over(Window.partitionBy("sources").orderBy("h", "size", "doc_id").rowsBetween(Window.unboundedPreceding, -1))
+    inside = inside.withColumn("extra", F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.coalesce(before, F.lit(0)))))
+    taken = (F.col("passes") * F.col("size") + F.col("extra")).alias("taken")
+    return outside.select("doc_id", "size", "sources", "source_size", "target", taken, *carry).unionAll(inside.select("doc_id", "size", "sources", "source_size", "target", taken, *carry))
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
