@@ -50,9 +50,8 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the words of passages that start earlier; a document that loses all its words goes."""
-    kept = substrings.substring_dedup(docs).where("kept_text <> '' OR n_removed = 0").select("doc_id", "kept_text", "n_removed")
-    out = _columns(docs).join(kept, "doc_id").withColumn("text", F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text")))
-    return _columns(out.withColumn("n_chars", F.length("text").cast("long")))
+    kept = substrings.substring_dedup(docs, verbatim=True, carry=("lang", "source")).where("kept_text <> '' OR n_removed = 0")
+    return _columns(kept.withColumnRenamed("kept_text", "text").withColumn("n_chars", F.length("text").cast("long")))
 
 
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -228,8 +228,8 @@ def _candidates(batches: Iterator[pa.RecordBatch], bits: list[Broadcast], width:
         yield pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(digests[:, k])) for k in (0, 1)), *(pa.array(x, pa.int64()) for x in own), pa.array(h.start[at].astype(np.int32))], ["h1", "h2", "doc_id", "version", "start"])
 
 
-def _remove(batches: Iterator[pa.RecordBatch], bits: list[Broadcast], width: int, log2_cells: int) -> Iterator[pa.RecordBatch]:
-    for b, h in _blocks(_opened(batches), width):
+def _remove(batches: Iterator[pa.RecordBatch], bits: list[Broadcast], width: int, log2_cells: int, verbatim: bool, carry: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
+    for b, h in _blocks(_opened(batches, carry), width):
         late = _estimated(h, bits, log2_cells)
         listed = b.column("firsts")
         offsets, starts = listed.offsets.to_numpy(), listed.values.to_numpy()
@@ -247,7 +247,11 @@ def _remove(batches: Iterator[pa.RecordBatch], bits: list[Broadcast], width: int
             n_removed.append(int(g.sum()))
             edge = np.flatnonzero(np.diff(g, prepend=True, append=True))  # runs of kept words lie between
             texts.append(b" ".join([raw[s:e] for s, e in zip(h.starts[lo + edge[::2]].tolist(), h.ends[lo + edge[1::2] - 1].tolist(), strict=True)]) if hi > lo else b"")
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(h.n_words[: b.num_rows].astype(np.int64)), pa.array(n_removed, pa.int64()), pa.array(texts, pa.binary()), pa.array([sha256(t).hexdigest() for t in texts])], ["doc_id", "n_words", "n_removed", "kept_text", "kept_sha256"])
+        digests = [sha256(t).hexdigest() for t in texts]
+        if verbatim:
+            texts = [t if n else whole for t, n, whole in zip(texts, n_removed, b.column("text").to_pylist(), strict=True)]
+        columns = {"doc_id": b.column("doc_id"), "n_words": pa.array(h.n_words[: b.num_rows].astype(np.int64)), "n_removed": pa.array(n_removed, pa.int64()), "kept_text": pa.array(texts, pa.binary()), "kept_sha256": pa.array(digests, pa.string())}
+        yield pa.RecordBatch.from_arrays([*columns.values(), *(b.column(c) for c in carry)], [*columns, *carry])
 
 
 def _squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,10 +259,10 @@ def _squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     c = zstandard.ZstdCompressor(level=1)
     for b in batches:
         texts = [None if t is None else c.compress(t) for t in b.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("version"), pa.array(texts, pa.binary())], ["doc_id", "version", "text"])
+        yield b.set_column(b.schema.get_field_index("text"), "text", pa.array(texts, pa.binary()))
 
 
-def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _opened(batches: Iterator[pa.RecordBatch], carry: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
     d = zstandard.ZstdDecompressor()
     for b in batches:
         packed, lo, size = b.column("text"), 0, 0
@@ -267,7 +271,8 @@ def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             texts.append(None if t.as_py() is None else d.decompress(t.as_py()))
             size += len(texts[-1] or b"")
             if size >= BLOCK or i == b.num_rows - 1:
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, i + 1 - lo), pa.array(texts, pa.binary()), b.column("firsts").slice(lo, i + 1 - lo)], ["doc_id", "text", "firsts"])
+                same = ["doc_id", "firsts", *carry]
+                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(lo, i + 1 - lo) for c in same), pa.array(texts, pa.binary())], [*same, "text"])
                 texts, lo, size = [], i + 1, 0
 
 
@@ -288,25 +293,33 @@ def sketch(docs: DataFrame, width: int, log2_cells: int) -> list[Broadcast]:
     return bits
 
 
-def substring_dedup(docs: DataFrame, width: int = WIDTH, log2_cells: int = LOG2_CELLS) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept_text, kept_sha256) for every row of docs(doc_id, text)."""
+def substring_dedup(docs: DataFrame, width: int = WIDTH, log2_cells: int = LOG2_CELLS, verbatim: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept_text, kept_sha256) for every row of docs(doc_id, text).
+
+    verbatim: kept_text is the text as it was, white space and null too, where no word is removed. carry: further
+    columns of docs that come along, so that nobody has to join the texts back by doc_id.
+    """
     if not LOG2_RANGE <= log2_cells <= 31:
         raise ValueError(f"log2_cells must be {LOG2_RANGE} to 31")
     spark = docs.sparkSession
     prepare(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    held = tuple(f"_{k}" for k in range(len(carry)))  # names that clash with none of the operator's own
+    kinds = {h: docs.schema[c].dataType.simpleString() for h, c in zip(held, carry, strict=True)}
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), *(F.col(c).alias(h) for h, c in zip(held, carry, strict=True)))
     # version tells apart the texts of one doc_id; it is 0 for nearly all, which costs the shuffles next to nothing
     repeated = materialize(docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id", F.lit(True).alias("again")), "repeated-ids")
-    docs = docs.join(repeated, "doc_id", "left").select("doc_id", "text", F.when(F.col("again"), F.xxhash64("text")).otherwise(F.lit(0)).alias("version"))
-    named = docs.where("doc_id IS NOT NULL")
+    docs = docs.join(repeated, "doc_id", "left").select("doc_id", F.when(F.col("again"), F.xxhash64("text")).otherwise(F.lit(0)).alias("version"), "text", *held)
+    named = docs.where("doc_id IS NOT NULL").drop(*held)
     bits = sketch(named, width, log2_cells)
     own = {"bits": bits, "width": width, "log2_cells": log2_cells}
     found = named.mapInArrow(partial(_candidates, **own), "h1 long, h2 long, doc_id long, version long, start int")
     firsts = found.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "version", "start")).alias("first"))
     # a document's first starts are at most as many as its words
     by_doc = firsts.select("first.*").groupBy("doc_id", "version").agg(F.collect_list("start").alias("firsts"))
-    joined = docs.mapInArrow(_squeezed, "doc_id long, version long, text binary").join(by_doc, ["doc_id", "version"], "left")
-    return joined.mapInArrow(partial(_remove, **own), "doc_id long, n_words long, n_removed long, kept_text binary, kept_sha256 string").withColumn("kept_text", F.col("kept_text").cast("string"))
+    more = "".join(f", {h} {kind}" for h, kind in kinds.items())
+    joined = docs.mapInArrow(_squeezed, f"doc_id long, version long, text binary{more}").join(by_doc, ["doc_id", "version"], "left")
+    out = joined.mapInArrow(partial(_remove, **own, verbatim=verbatim, carry=held), f"doc_id long, n_words long, n_removed long, kept_text binary, kept_sha256 string{more}")
+    return out.withColumn("kept_text", F.col("kept_text").cast("string")).withColumnsRenamed(dict(zip(held, carry, strict=True)))
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

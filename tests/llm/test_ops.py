@@ -259,6 +259,14 @@ def test_substring_dedup_of_a_very_long_text(spark):
     assert got == _removed({r.doc_id: r.text for r in docs.collect()}, 20)
 
 
+def test_substring_dedup_carries_columns(spark):
+    a, b = prose(60), prose(30)
+    rows = [(1, a, "x", ["p"], 7), (2, f" {b}\n\n{a}", None, None, 8), (3, f"  {b[:9]}\t tail ", "z", [], 9), (4, None, "n", ["q"], None), (None, f" {a}", "y", ["r", None], 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, version string, firsts array<string>, h1 int")
+    got = {r.doc_id: (r.kept_text, r.version, r.firsts, r.h1) for r in substrings.substring_dedup(docs, log2_cells=16, verbatim=True, carry=("version", "firsts", "h1")).collect()}
+    assert got == {i: (" ".join(b.split()) if i == 2 else text, *rest) for i, text, *rest in rows}
+
+
 # ---- 5
 PAGE = "<html><head><title>t</title><style>x</style></head><body><header>top</header><nav><a>menu</a></nav>{0}<footer>&copy; foot</footer></body></html>"
 
