@@ -249,6 +249,15 @@ def script_files(spark: SparkSession, sf: str) -> DataFrame:
     return d.where(R.is_script(F.col("path")))
 
 
+_WALKED = "CASE k % 7 WHEN 0 THEN '/target' WHEN 1 THEN '/.hidden' WHEN 2 THEN '/vendor' ELSE '' END || path || CASE WHEN k % 11 = 0 THEN '.bin' WHEN k % 11 = 1 THEN '.MD' ELSE '' END AS path"
+
+
+@query(f"SELECT path FROM (SELECT {_WALKED} FROM ({FILES.replace('STRING', 'VARCHAR')}) WHERE k % 7 <> 0) WHERE regexp_matches(path, '\\.(ts|py|sql|yaml|sh|md|MD)$')")
+def benchmark_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Files that the benchmark measures: hidden and vendor's folders are walked, those of built files aren't."""
+    return code.files(spark, sf).selectExpr(_WALKED).where(R.is_measured(F.col("path")))
+
+
 @query()
 def bpe_savings(spark: SparkSession, sf: str) -> DataFrame:
     """Savings of the summary view by language, in tokens of a byte-pair encoding; SQL has none."""

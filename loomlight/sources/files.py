@@ -20,6 +20,22 @@ IGNORED = ["node_modules", ".git", "dist", "build", ".next", "__pycache__", ".tu
 # Suffixes and ignored folders where the fidelity of script files is measured.
 SCRIPT_SUFFIXES = [".js", ".jsx", ".mjs", ".cjs", ".ts", ".tsx", ".mts", ".cts"]
 SCRIPT_IGNORED = ["node_modules", ".git", "dist", "build", "out", ".next", "coverage", ".cache", "__tests__", "test", "tests"]
+# Suffixes and ignored folders where the benchmark measures savings.
+BENCHMARK_SUFFIXES = [
+    ".js", ".jsx", ".mjs", ".cjs",
+    ".ts", ".tsx", ".mts", ".cts",
+    ".py", ".pyi",
+    ".java", ".cs",
+    ".cpp", ".cc", ".cxx", ".c", ".h", ".hpp",
+    ".go", ".rs",
+    ".rb", ".php",
+    ".kt", ".kts", ".swift", ".scala",
+    ".html", ".htm", ".css", ".scss", ".sass", ".less",
+    ".json", ".yaml", ".yml",
+    ".sql", ".sh", ".bash",
+    ".vue", ".svelte", ".md", ".markdown",
+]
+BENCHMARK_IGNORED = ["node_modules", ".git", "dist", "build", "out", ".next", "coverage", ".cache", ".turbo", ".parcel-cache", "__pycache__", ".pytest_cache", "venv", ".venv", "target"]
 MAX_FILES, HARD_MAX_FILES, MAX_BYTES = 5000, 50_000, 10 * 1024 * 1024
 SENSITIVE = [r"/\.ssh/", r"/\.gnupg/", r"/\.aws/credentials", r"/\.netrc$", r"/etc/passwd$", r"/etc/shadow$"]
 
@@ -37,6 +53,11 @@ def is_script(path: Column, root: str = "") -> Column:
     return is_source(path, root, SCRIPT_SUFFIXES, SCRIPT_IGNORED, hidden=True)
 
 
+def is_measured(path: Column, root: str = "") -> Column:
+    """What the benchmark measures savings on; hidden folders are walked."""
+    return is_source(path, root, BENCHMARK_SUFFIXES, BENCHMARK_IGNORED, hidden=True)
+
+
 def capped(files: DataFrame, most: int = MAX_FILES) -> DataFrame:
     """The first files(path, ...) by path, up to the cap; `truncated` says whether there were more.
 
@@ -79,15 +100,19 @@ def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*b.slice(i, 1).columns, pa.array([text])], [*b.schema.names, "content"])
 
 
-def read_files(spark: SparkSession, root: str, most: int = MAX_FILES, max_bytes: int = MAX_BYTES, script: bool = False) -> DataFrame:
+def read_files(spark: SparkSession, root: str, most: int = MAX_FILES, max_bytes: int = MAX_BYTES, script: bool = False, benchmark: bool = False) -> DataFrame:
     """(path, size, mtime_ms, truncated, content) of the source files under root, read whole and decoded as UTF-8.
 
-    script: only what fidelity is measured on, see is_script. Files above max_bytes aren't read; a file that can't be
+    script: only what fidelity is measured on, see is_script; benchmark: what savings are, see is_measured. Files above max_bytes aren't read; a file that can't be
     read isn't a row. A folder that the driver can list is walked, and its files are read by the tasks, a file at a
     time; it must be one that executors see as well. Any other root is read by Spark, whose reader leaves out names
     that begin with `_` or `.`.
     """
-    cap, own = min(most, HARD_MAX_FILES), {"suffixes": SCRIPT_SUFFIXES, "ignored": SCRIPT_IGNORED, "hidden": True} if script else {}
+    cap, own = min(most, HARD_MAX_FILES), {}
+    if script:
+        own = {"suffixes": SCRIPT_SUFFIXES, "ignored": SCRIPT_IGNORED, "hidden": True}
+    elif benchmark:
+        own = {"suffixes": BENCHMARK_SUFFIXES, "ignored": BENCHMARK_IGNORED, "hidden": True}
     local = root.removeprefix("file://")
     if "://" not in local:
         found = [f for f in walk(local, **own, most=cap) if f[1] <= max_bytes]
