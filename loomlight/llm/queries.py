@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+from .bpe import op11_bpe
 from .embeddings import op2_near_vectors
 from .languages import op10_languages
 from .licenses import OP9_SQL, op9_licenses
 from .mixing import op8_mixing
 from .packing import op1_packing
 from .pages import op5_pages
+from .periodic import op12_periodic_runs
 from .quality import op6_quality_rules
 from .simhash import op7_simhash
 from .substrings import op4_substring_dedup
 from .urls import OP3_SQL, op3_url_filters
+from .whitening import op13_whitening
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_near_vectors, op3_url_filters, op4_substring_dedup, op5_pages, op6_quality_rules, op7_simhash, op8_mixing, op9_licenses, op10_languages)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_near_vectors, op3_url_filters, op4_substring_dedup, op5_pages, op6_quality_rules, op7_simhash, op8_mixing, op9_licenses, op10_languages, op11_bpe, op12_periodic_runs, op13_whitening)}
 OP2_SQL = """
 WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
   WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
