@@ -29,21 +29,31 @@ def _empty() -> Found:
 
 
 # ---- Python and HTML
+class _Places:
+    """Places in a source by line and column as its parser counts them: columns are bytes of UTF-8."""
+
+    def __init__(self, source: str):
+        self.source, self.lines = source, [0, *(m.end() for m in re.finditer(r"\r\n|\r|\n", source))]
+
+    def at(self, line: int, column: int) -> int:
+        start = self.lines[line - 1]
+        part = self.source[start : start + column]
+        return start + (column if part.isascii() else len(part.encode()[:column].decode()))
+
+
 def python(source: str) -> Found:
     """Imports, `def name(params)` and `class Name` in the order of the source, as they are written."""
-    out = _empty()
+    out, places = _empty(), _Places(source)
     found = [n for n in ast.walk(ast.parse(source)) if isinstance(n, ast.Import | ast.ImportFrom | ast.FunctionDef | ast.AsyncFunctionDef | ast.ClassDef)]
     text = None
     for n in sorted(found, key=lambda n: (n.lineno, n.col_offset)):
         if isinstance(n, ast.Import | ast.ImportFrom):
-            out["imports"].append(ast.get_source_segment(source, n) or ast.unparse(n))
+            out["imports"].append(source[places.at(n.lineno, n.col_offset) : places.at(n.end_lineno, n.end_col_offset)])
         elif isinstance(n, ast.ClassDef):
             out["classes"].append(f"class {n.name}")
         else:
             text = text or Text(source, PYTHON_NOISE)
-            whole = ast.get_source_segment(source, n) or ""
-            at = source.find(whole)
-            out["functions"].append(f"def {n.name}{text.brackets(at) if whole else '()'}")
+            out["functions"].append(f"def {n.name}{text.brackets(places.at(n.lineno, n.col_offset))}")
     return out
 
 
@@ -115,7 +125,8 @@ class Text:
         return " ".join(self.source[at : stop.start() if stop else None].split())
 
     def line(self, at: int) -> str:
-        return self.source[at:].split("\n", 1)[0].strip()
+        end = self.source.find("\n", at)
+        return self.source[at : end if end >= 0 else None].strip()
 
     def inside(self, at: int) -> str:
         """What the innermost braces around a place are: `type`, `code`, or nothing."""
@@ -144,12 +155,17 @@ class Text:
                 return i
             if not depth and c == ";":
                 return i + 1
-            if not depth and c == "\n" and not re.search(r"(?:[=,(+\-*/%&|<?:.]|=>)\s*$", b[at:i]) and not re.match(r"\s*[.,?:=&|+*/]", b[i:]):
-                return i
+            if not depth and c == "\n" and not _GOES_ON.match(b, i):
+                last = i - 1
+                while last >= at and b[last].isspace():
+                    last -= 1
+                if last < at or (b[last] not in "=,(+-*/%&|<?:." and not b.startswith("=>", last - 1)):
+                    return i
             i += 1
         return len(b)
 
 
+_GOES_ON = re.compile(r"\s*[.,?:=&|+*/]")
 _ACCESS = r"(?:@\w+(?:\([^)]*\))?\s+)*(?:(?:public|private|protected|internal|static|final|abstract|override|virtual|async|sealed|partial|synchronized|native|default|extern|readonly|new|unsafe)\s+)*"
 _NOT_CALL = r"(?!(?:if|for|foreach|while|switch|catch|return|new|else|throw|sizeof|using|lock|function)\b)"
 _EXPRESSION = re.compile(r"(?:[=(,:?&|!+]|=>|\b(?:return|new|typeof|yield|await|case))\s*$")

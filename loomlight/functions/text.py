@@ -37,7 +37,7 @@ LANGUAGES = {
 SUFFIXES = {s: lang for lang, all_ in LANGUAGES.items() for s in all_.split()}
 # Languages that only have a structure view, and the two pragmas that change a grammar.
 STRUCTURE_ONLY = ["yaml", "markdown", "json", "unknown"]
-PRAGMA = r"@(no)?flow\b"
+PRAGMA = r"@(no)?flow(?![A-Za-z0-9_])"
 # Patterns of names in signature lines, in order of priority.
 NAME_PATTERNS = {
     "function": [r"(?:function|def|async\s+function)\s+(\w+)"],

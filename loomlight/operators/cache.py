@@ -6,32 +6,104 @@ path, a check hits while its hash is the epoch's and none before it differed.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from ..functions import metrics as M
+from ..sources.shared import cut
 
 # Caps of the two stores in rows and in characters, and how many rows a byte eviction takes at once.
 CACHE_ROWS, CACHE_CHARS, CACHE_BATCH, MAX_BATCHES = 10_000, 500 * 1024 * 1024, 200, 100
 MEMORY_ROWS, MEMORY_CHARS, MEMORY_BATCH = 2_000, 10 * 1024 * 1024, 100
 
 
-def replay(trace: DataFrame) -> DataFrame:
-    """trace(seq, action, path, hash), action store or check, plus (status, hits) of each row.
+def _played(trace: DataFrame, by: list[str]) -> DataFrame:
+    """The replay of each group of rows on its own, going on from the state in its columns in_hash, in_dead and in_hits.
 
-    status: stored; hit while the stored hash is unchanged; update at the first check that differs; miss otherwise.
-    hits: the running number of hits in the epoch.
+    in_dead: null where nothing was stored before. Adds epoch, stored, differs, dead, status and hits; epoch starts at 0.
     """
-    by = Window.partitionBy("path").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    d = trace.withColumn("epoch", F.sum((F.col("action") == "store").cast("int")).over(by))
-    inside = Window.partitionBy("path", "epoch").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    before = Window.partitionBy("path", "epoch").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    d = d.withColumn("stored", F.first(F.when(F.col("action") == "store", F.col("hash")), ignorenulls=True).over(inside))
+    rows = Window.partitionBy(*by).orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    d = trace.withColumn("epoch", F.sum((F.col("action") == "store").cast("long")).over(rows))
+    inside = Window.partitionBy(*by, "epoch").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = Window.partitionBy(*by, "epoch").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    first = F.col("epoch") == 0
+    own = F.first(F.when(F.col("action") == "store", F.col("hash")), ignorenulls=True).over(inside)
+    d = d.withColumn("stored", F.when(first, F.col("in_hash")).otherwise(own))
     differs = (F.col("action") == "check") & (F.col("hash") != F.col("stored"))
-    d = d.withColumn("differs", F.coalesce(differs, F.lit(False)).cast("int")).withColumn("dead", F.coalesce(F.max("differs").over(before), F.lit(0)))
-    status = F.when(F.col("action") == "store", "stored").when((F.col("epoch") == 0) | (F.col("dead") == 1), "miss").when(F.col("differs") == 1, "update").otherwise("hit")
+    d = d.withColumn("differs", F.coalesce(differs, F.lit(False)).cast("int"))
+    dead = F.greatest(F.coalesce(F.max("differs").over(before), F.lit(0)), F.when(first, F.coalesce("in_dead", F.lit(1))).otherwise(0))
+    d = d.withColumn("dead", dead)
+    status = F.when(F.col("action") == "store", "stored").when(F.col("dead") == 1, "miss").when(F.col("differs") == 1, "update").otherwise("hit")
     d = d.withColumn("status", status)
-    return d.withColumn("hits", F.sum((F.col("status") == "hit").cast("long")).over(inside)).drop("stored", "differs", "dead")
+    return d.withColumn("hits", F.sum((F.col("status") == "hit").cast("long")).over(inside) + F.when(first, F.coalesce("in_hits", F.lit(0))).otherwise(0))
+
+
+_FRESH = {"in_hash": "string", "in_dead": "int", "in_hits": "long"}
+
+
+def summaries(segments: DataFrame) -> DataFrame:
+    """One row for each (path, part) of segments(path, part, seq, action, hash): what it does to the state it meets.
+
+    stores: its number of stores; with any, out_hash, out_dead and out_hits are the state that it leaves, whatever it
+    met. Without one the state it meets goes on: checks are all its checks, v the first hash checked, before those
+    checks ahead of v, like those ahead of the first check of another hash than v, mixed whether there is one.
+    """
+    d = _played(segments.select("*", *[F.lit(None).cast(t).alias(c) for c, t in _FRESH.items()]), ["path", "part"])
+    rows = Window.partitionBy("path", "part").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    lead = F.col("epoch") == 0
+    d = d.withColumn("at", F.row_number().over(rows)).withColumn("v", F.first(F.when(lead, F.col("hash")), ignorenulls=True).over(rows))
+    last = lambda c: F.max_by(c, "at")
+    d = d.groupBy("path", "part").agg(
+        F.max("epoch").alias("stores"),
+        last("stored").alias("out_hash"),
+        last("dead").alias("dead"),
+        last("differs").alias("differs"),
+        last("hits").alias("out_hits"),
+        F.count_if(lead).alias("checks"),
+        last("v").alias("v"),
+        F.min(F.when(lead & F.col("v").isNotNull(), F.col("at"))).alias("first_at"),
+        F.min(F.when(lead & (F.col("hash") != F.col("v")), F.col("at"))).alias("other_at"),
+    )
+    before, like = F.coalesce(F.col("first_at") - 1, F.col("checks")), F.coalesce(F.col("other_at") - 1, F.col("checks"))
+    return d.select("path", "part", "stores", "out_hash", F.greatest("dead", "differs").alias("out_dead"), "out_hits", "checks", "v", before.alias("before"), like.alias("like"), F.col("other_at").isNotNull().alias("mixed"))
+
+
+def composed(summary: DataFrame) -> DataFrame:
+    """(path, part, epochs, in_hash, in_dead, in_hits): the state that each part of a path meets, from all before it.
+
+    Only summaries are put in order, a row a part.
+    """
+    earlier = Window.partitionBy("path").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    left = F.when(F.col("stores") > 0, F.struct("out_hash", "out_dead", "out_hits"))
+    d = summary.select("*", F.last(left, ignorenulls=True).over(earlier).alias("base"), F.coalesce(F.sum("stores").over(earlier), F.lit(0)).alias("epochs"))
+    # parts of one group meet what one and the same store has left: those after it, the next one with a store included
+    h, v = F.col("base.out_hash"), F.col("v")
+    d = d.withColumn("turns", (F.col("stores") == 0) & h.isNotNull() & v.isNotNull() & ((h != v) | F.col("mixed")))
+    adds = F.when(h.isNull() | v.isNull(), F.col("checks")).when(h != v, F.col("before")).otherwise(F.col("like"))
+    group = Window.partitionBy("path", "epochs").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    d = d.withColumn("in_dead", F.when(F.col("base").isNotNull(), F.greatest(F.col("base.out_dead"), F.coalesce(F.max(F.col("turns").cast("int")).over(group), F.lit(0)))))
+    d = d.withColumn("adds", F.when(F.col("in_dead") == 0, adds).otherwise(0))
+    return d.select("path", "part", "epochs", h.alias("in_hash"), "in_dead", (F.col("base.out_hits") + F.coalesce(F.sum("adds").over(group), F.lit(0))).alias("in_hits"))
+
+
+def replay(trace: DataFrame, parts: int | None = None) -> DataFrame:
+    """trace(seq, action, path, hash), action store or check, plus (epoch, status, hits) of each row.
+
+    status: stored; hit while the stored hash is unchanged; update at the first check that differs; miss otherwise.
+    hits: the running number of hits in the epoch. A null hash differs from none. seq is unique within a path.
+
+    The trace is cut by (path, seq) into ranges of like size, so a path with most of all rows is spread over many of
+    them. What a segment (a path's rows in a range) does to the state it meets is summed up in one row; those of paths
+    with several segments, two a range at most besides whole ranges, are composed in order; then every segment is
+    replayed from the state that it meets. No task orders more than a range.
+    """
+    spark = trace.sparkSession
+    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    d = cut(trace.repartitionByRange(parts, "path", "seq").withColumn("part", F.spark_partition_id()), "cache-trace")
+    spans = d.groupBy("path").agg(F.min("part").alias("a"), F.max("part").alias("b")).where("a < b").select("path")
+    states = cut(composed(summaries(d.join(cut(spans, "cache-spans"), "path", "left_semi").select("path", "part", "seq", "action", "hash"))), "cache-states")
+    out = _played(d.join(states, ["path", "part"], "left"), ["path", "part"])
+    return out.select(*[c for c in trace.columns], (F.col("epoch") + F.coalesce("epochs", F.lit(0))).alias("epoch"), "status", "hits")
 
 
 def upsert(entries: DataFrame, new: DataFrame, key: str = "file_path") -> DataFrame:
@@ -57,29 +129,69 @@ def statistics(entries: DataFrame) -> DataFrame:
     return entries.agg(F.count("*").alias("entries"), F.coalesce(F.sum("hit_count"), F.lit(0)).alias("total_hits"), F.coalesce(F.sum(saved), F.lit(0)).alias("tokens_saved"))
 
 
+def _placed(entries: DataFrame, key: str) -> DataFrame:
+    """(at, key, n) of each entry: all that caps move. Entries without a time are the oldest."""
+    return entries.select(F.coalesce(F.col("updated_at").cast("long"), F.lit(-(1 << 63))).alias("at"), F.col(key).alias("key"), F.coalesce(F.length("content"), F.lit(0)).cast("long").alias("n"))
+
+
+def _newer(entries: DataFrame, key: str, last: Row, also: bool = False) -> DataFrame:
+    """Entries newer than the row `last` (or that one also), a filter; of equal times the smaller key is newer."""
+    at = F.coalesce(F.col("updated_at").cast("long"), F.lit(-(1 << 63)))
+    beyond = F.col(key) <= last.key if also else F.col(key) < last.key
+    return entries.where((at > last.at) | ((at == last.at) & beyond))
+
+
 def keep_newest(entries: DataFrame, rows: int, key: str = "file_path") -> DataFrame:
-    """At most `rows` rows, the last written: a top-k, each task keeps its own before they meet."""
-    return entries.orderBy(F.desc("updated_at"), key).limit(rows)
+    """At most `rows` rows, the last written; keys are unique.
+
+    A top-k over times and keys alone finds the oldest row that stays, then a filter keeps the rest; contents don't move.
+    """
+    newest = _placed(entries.withColumn("content", F.lit(None).cast("string")), key).orderBy(F.desc("at"), "key").limit(rows)
+    if rows <= 0:
+        return entries.limit(0)
+    found = newest.agg(F.count("*").alias("n"), F.min("at").alias("at")).first()
+    if found.n < rows:
+        return entries
+    last = newest.where(F.col("at") == found["at"]).agg(F.max("at").alias("at"), F.max("key").alias("key")).first()
+    return _newer(entries, key, last, also=True)
 
 
-def keep_chars(entries: DataFrame, chars: int, key: str = "file_path", batch: int = 1, rows: int = CACHE_ROWS, batches: int | None = None) -> DataFrame:
+def keep_chars(entries: DataFrame, chars: int, key: str = "file_path", batch: int = 1, batches: int | None = None) -> DataFrame:
     """Newest first while their characters stay within the cap; older rows go `batch` at a time, `batches` times at most.
 
-    The running sum has one order, so the row cap is applied first: it bounds what one task orders.
+    Times, keys and lengths are cut into ranges of time. A row a range tells how many rows and characters come before
+    it (what the driver sees: as many rows as ranges), so one range holds the row with which enough is gone, and one the
+    last row of its batch; only within these two is anything ordered. The caps then are a filter on the entries, whose
+    contents don't move. Keys are unique.
     """
-    some = keep_newest(entries, rows, key)
-    oldest = Window.orderBy("updated_at", F.desc(key))
-    d = some.withColumn("_n", F.length("content").cast("long")).withColumn("_batch", F.floor((F.row_number().over(oldest) - 1) / batch))
-    left = Window.orderBy(F.desc("_batch")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    stays = F.col("_sum") <= chars
-    if batches is not None:
-        stays = stays | (F.col("_batch") >= batches)
-    return d.withColumn("_sum", F.sum("_n").over(left)).where(stays).drop("_n", "_batch", "_sum")
+    order = [F.col("at"), F.desc("key")]
+    ranged = cut(_placed(entries, key).repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "cache-ranges")
+    ranges = ranged.groupBy("part").agg(F.count("*").alias("rows"), F.sum("n").alias("chars")).orderBy("part").collect()
+    over = sum(r.chars for r in ranges) - chars
+    if over <= 0:
+        return entries
+    ordered = Window.partitionBy("part").orderBy(*order)
+    running = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    numbered = ranged.select("*", F.row_number().over(ordered).alias("rank"), F.sum("n").over(running).alias("sum"))
+    gone = length = 0
+    for r in ranges:
+        if length + r.chars >= over:
+            gone += numbered.where((F.col("part") == r.part) & (F.col("sum") >= over - length)).agg(F.min("rank")).first()[0]
+            break
+        gone, length = gone + r.rows, length + r.chars
+    gone = -(-gone // batch) * batch
+    gone = gone if batches is None else min(gone, batches * batch)
+    for r in ranges:
+        if gone <= r.rows:
+            last = numbered.where((F.col("part") == r.part) & (F.col("rank") == gone)).first() if gone else None
+            return entries if last is None else _newer(entries, key, last)
+        gone -= r.rows
+    return entries.limit(0)
 
 
 def put(entries: DataFrame, new: DataFrame) -> DataFrame:
     """The cache after storing new rows: the newest row of each path, within the caps on rows and on characters."""
-    return keep_chars(upsert(entries, new), CACHE_CHARS, batch=CACHE_BATCH, batches=MAX_BATCHES)
+    return keep_chars(keep_newest(upsert(entries, new), CACHE_ROWS), CACHE_CHARS, batch=CACHE_BATCH, batches=MAX_BATCHES)
 
 
 def clear(entries: DataFrame) -> tuple[DataFrame, DataFrame]:

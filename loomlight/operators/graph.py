@@ -1,7 +1,7 @@
 """A symbol graph over a corpus: nodes and edges as tables, search, statistics and breadth-first traversal.
 
 files(path, content) -> signatures -> nodes(key, name, kind, file, ord) and edges(src, dst, kind, ord). Edges are a bag.
-Traversals are unrolled joins (at most three hops), never a driver loop over rows.
+Traversals are unrolled joins (at most three hops), never a driver loop over rows. `stored` keeps a graph between runs.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ ORDER = [("functions", "function", "fn", "contains"), ("classes", "class", "cls"
 
 def signatures(files: DataFrame, *more: str) -> DataFrame:
     """(path, language, more, sig) of files(path, content): by the language's scanner, else by line patterns."""
-    d = files.select("path", "content", T.language(F.col("path")).alias("language"), T.grammar(F.col("path"), F.col("content")).alias("grammar"))
+    d = files.select("path", "content", *[c for c in more if c != "content"], T.language(F.col("path")).alias("language"), T.grammar(F.col("path"), F.col("content")).alias("grammar"))
     return d.select("path", "language", *more, signature(F.col("content"), F.col("grammar")).alias("sig"))
 
 
@@ -38,23 +38,22 @@ def symbols(sigs: DataFrame) -> DataFrame:
     return sigs.select("path", F.explode(every).alias("s")).select("path", "s.*").where("name IS NOT NULL")
 
 
-def imports(sigs: DataFrame) -> DataFrame:
-    """(path, pos, target, names): imports of files of the corpus; the first candidate path that exists wins."""
+def wanted(sigs: DataFrame) -> DataFrame:
+    """(path, pos, names, rank, candidate): the paths that each import may mean, in order."""
     d = sigs.select("path", "language", F.posexplode("sig.imports").alias("pos", "line"))
     d = d.withColumn("parsed", T.parse_import(F.col("line"), F.col("language"))).where("parsed IS NOT NULL")
-    d = d.select("path", "pos", "parsed.names", F.posexplode(T.import_candidates(F.col("parsed.source"), F.col("path"))).alias("rank", "candidate"))
-    there = sigs.select(F.col("path").alias("candidate")).distinct()
-    found = d.join(there, "candidate").groupBy("path", "pos").agg(F.min_by("candidate", "rank").alias("target"), F.first("names").alias("names"))
-    return found
+    return d.select("path", "pos", "parsed.names", F.posexplode(T.import_candidates(F.col("parsed.source"), F.col("path"))).alias("rank", "candidate"))
 
 
-def build(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges). A key declared twice keeps its first place.
+def imports(wanted: DataFrame, paths: DataFrame) -> DataFrame:
+    """(path, pos, target, names): imports of files of the corpus paths(path); the first candidate that exists wins."""
+    there = paths.select(F.col("path").alias("candidate")).distinct()
+    return wanted.join(there, "candidate").groupBy("path", "pos").agg(F.min_by("candidate", "rank").alias("target"), F.first("names").alias("names"))
 
-    Signatures are extracted once and written to the shared folder: nodes and edges read them several times.
-    """
-    sigs = cut(signatures(files), "graph-signatures")
-    named, imported = symbols(sigs), imports(sigs)
+
+def linked(sigs: DataFrame, imported: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of some files' signatures and imports. A key declared twice keeps its first place."""
+    named = symbols(sigs)
     key = F.concat_ws(":", "prefix", "path", "name")
     modules = sigs.select(F.concat(F.lit("mod:"), "path").alias("key"), F.col("path").alias("name"), F.lit("module").alias("kind"), F.col("path").alias("file"), F.lit(-1).alias("section"), F.lit(0).alias("pos"))
     own = named.select(key.alias("key"), "name", "kind", F.col("path").alias("file"), "section", "pos")
@@ -67,6 +66,15 @@ def build(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     return nodes.select("key", "name", "kind", "file", "ord"), edges
 
 
+def build(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of files(path, content).
+
+    Signatures are extracted once and written to the shared folder: nodes and edges read them several times.
+    """
+    sigs = cut(signatures(files), "graph-signatures")
+    return linked(sigs, imports(wanted(sigs), sigs))
+
+
 def matches(query: str) -> Column:
     """Whether a node's name or key contains the query, whatever the case."""
     q = F.lower(F.lit(query))
@@ -89,12 +97,23 @@ def statistics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def traverse(edges: DataFrame, seeds: DataFrame, hops: int = HOPS, incoming: bool = False) -> DataFrame:
     """(key, depth): everything within `hops` of seeds(key), at its least depth.
 
-    Each hop joins the frontier to the links, and drops what was seen; the frontier's size decides how it is joined.
-    Links and frontiers are written once to the shared folder, else each hop would recompute all before it.
+    Links are written once to the shared folder, else each hop would recompute all before it.
     """
+    return walk(cut(links(edges, incoming), "graph-links"), seeds, hops)
+
+
+def links(edges: DataFrame, incoming: bool) -> DataFrame:
+    """(at, key): the distinct steps of a traversal."""
     a, b = ("dst", "src") if incoming else ("src", "dst")
-    links = edges.select(F.col(a).alias("at"), F.col(b).alias("key")).distinct()
-    links = cut(links, "graph-links")
+    return edges.select(F.col(a).alias("at"), F.col(b).alias("key")).distinct()
+
+
+def walk(links: DataFrame, seeds: DataFrame, hops: int = HOPS) -> DataFrame:
+    """(key, depth): what links(at, key) reach from seeds(key), at its least depth.
+
+    Each hop joins the frontier to the links, and drops what was seen; the frontier's size decides how it is joined.
+    Frontiers are written to the shared folder.
+    """
     seen = cut(seeds.select("key").distinct().withColumn("depth", F.lit(0)), "graph-frontier")
     frontier = seen
     for depth in range(1, hops + 1):
@@ -118,32 +137,28 @@ def by_depth(found: DataFrame, nodes: DataFrame, shown: int = PER_DEPTH) -> Data
     return d.select("depth", "n", F.when(F.col("named") > 0, F.col("listed")).alias("listed"), F.when(F.col("named") > 0, F.greatest(F.lit(0), F.col("named") - shown)).alias("more"))
 
 
-def manifest(files: DataFrame) -> DataFrame:
-    """One row, 16 hexadecimal digits over files(path, mtime_ms, size).
+def part(path: Column, digits: int = MANIFEST_DIGITS) -> Column:
+    """The part of a manifest that a path belongs to, by its hash."""
+    return F.substring(F.sha2(path, 256), 1, digits)
 
-    Files are dealt out by their paths' hash; each part is hashed in order of its paths, then the parts in order of
-    their numbers, at most 16 ** MANIFEST_DIGITS of them. So no task gathers all paths.
-    """
+
+_JOINED = lambda of, sep: F.array_join(F.transform(F.array_sort(F.collect_list(of)), lambda x: x["line"]), sep)
+
+
+def digests(files: DataFrame, digits: int = MANIFEST_DIGITS) -> DataFrame:
+    """(part, line): a hash over files(path, mtime_ms, size) of each part, in order of their paths."""
     line = F.concat_ws("|", "path", F.col("mtime_ms").cast("string"), F.col("size").cast("string"))
-    d = files.select("path", line.alias("line"), F.substring(F.sha2("path", 256), 1, MANIFEST_DIGITS).alias("part"))
-    joined = lambda of, sep: F.array_join(F.transform(F.array_sort(F.collect_list(of)), lambda x: x["line"]), sep)
-    parts = d.groupBy("part").agg(F.sha2(joined(F.struct("path", "line"), "\n"), 256).alias("line"))
-    return parts.agg(F.substring(F.sha2(joined(F.struct("part", "line"), "\n"), 256), 1, 16).alias("manifest"))
+    d = files.select("path", line.alias("line"), part(F.col("path"), digits).alias("part"))
+    return d.groupBy("part").agg(F.sha2(_JOINED(F.struct("path", "line"), "\n"), 256).alias("line"))
 
 
-def open_graph(files: DataFrame, folder: str, rebuild: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) of files(path, content, mtime_ms, size), kept in a folder under their manifest.
+def manifest(files: DataFrame) -> DataFrame:
+    """One row, 16 hexadecimal digits over files(path, mtime_ms, size).
 
-    Built only if the files' manifest isn't there yet, or on demand; a graph is complete once its edges are.
+    Files are dealt out by their paths' hash; each part is hashed, then the parts in order of their numbers, at most
+    16 ** MANIFEST_DIGITS of them. So no task gathers all paths.
     """
-    spark = files.sparkSession
-    at = f"{folder.rstrip('/')}/{manifest(files).first().manifest}"
-    done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{at}/edges/_SUCCESS")
-    if rebuild or not done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
-        nodes, edges = build(files)
-        nodes.write.mode("overwrite").parquet(f"{at}/nodes")
-        edges.write.mode("overwrite").parquet(f"{at}/edges")
-    return spark.read.parquet(f"{at}/nodes"), spark.read.parquet(f"{at}/edges")
+    return digests(files).agg(F.substring(F.sha2(_JOINED(F.struct("part", "line"), "\n"), 256), 1, 16).alias("manifest"))
 
 
 def file_symbols(nodes: DataFrame, query: str) -> DataFrame:

@@ -14,7 +14,7 @@ def write(store: DataFrame, new: DataFrame) -> DataFrame:
     """Store new(mem_key, value, updated_at); empty values are refused; then the caps, least recently written first."""
     kept = cache.upsert(store, new.where("value <> ''"), "mem_key")
     rows = kept.withColumnRenamed("value", "content")
-    return cache.keep_chars(rows, cache.MEMORY_CHARS, "mem_key", cache.MEMORY_BATCH, rows=cache.MEMORY_ROWS).withColumnRenamed("content", "value")
+    return cache.keep_chars(cache.keep_newest(rows, cache.MEMORY_ROWS, "mem_key"), cache.MEMORY_CHARS, "mem_key", cache.MEMORY_BATCH).withColumnRenamed("content", "value")
 
 
 def read(store: DataFrame, key: str) -> DataFrame:

@@ -22,18 +22,29 @@ def recall(answer: Column, truth: Column) -> Column:
     return F.when(F.size(truth) == 0, F.lit(1.0)).otherwise(F.size(found) / F.size(truth))
 
 
+def named(answer: Column, symbol: Column) -> Column:
+    """Whether the answer names the symbol between word boundaries, where a word has ASCII letters, digits and `_` only.
+
+    A boundary is where a word character meets none: on the side of a symbol that ends in one, none may follow.
+    """
+    edge = lambda at, end: F.when(F.regexp_like(symbol, F.lit(at)), F.lit(end[0])).otherwise(F.lit(end[1]))
+    left = edge(r"^[A-Za-z0-9_]", (r"(?<![A-Za-z0-9_])", r"(?<=[A-Za-z0-9_])"))
+    right = edge(r"[A-Za-z0-9_]\z", (r"(?![A-Za-z0-9_])", r"(?=[A-Za-z0-9_])"))
+    return F.regexp_like(answer, F.concat(left, T.escape_regex(symbol), right))
+
+
 def usage(answer: Column, truth: Column, path: Column) -> Column:
     """A third for each symbol used, at most 1; half without an import of the file; 0 without symbols."""
     used = F.size(F.array_intersect(T.identifiers(answer), truth))
     base = T.escape_regex(F.regexp_replace(F.regexp_extract(path, r"([^/]*)$", 1), r"\.[^.]+$", ""))
-    imported = F.regexp_like(answer, F.concat(F.lit(r"""(?i)\b(import|from|require)\b[\s\S]*?["']([^"']*"""), base, F.lit(r"""[^"']*)["']""")))
+    imported = F.regexp_like(answer, F.concat(F.lit(r"""(?i)(?<![A-Za-z0-9_])(import|from|require)(?![A-Za-z0-9_])[\s\S]*?["']([^"']*"""), base, F.lit(r"""[^"']*)["']""")))
     return F.when(F.size(truth) == 0, F.lit(0.0)).otherwise(F.least(used / 3, F.lit(1.0)) * F.when(imported, 1.0).otherwise(0.5))
 
 
 def specificity(answer: Column, truth: Column) -> Column:
     """Half for each symbol that the answer names as a word, at most 1; 0 without symbols."""
-    named = F.filter(truth, lambda s: F.regexp_like(answer, F.concat(F.lit(r"\b"), T.escape_regex(s), F.lit(r"\b"))))
-    return F.when(F.size(truth) == 0, F.lit(0.0)).otherwise(F.least(F.size(named) / 2, F.lit(1.0)))
+    said = F.filter(truth, lambda s: named(answer, s))
+    return F.when(F.size(truth) == 0, F.lit(0.0)).otherwise(F.least(F.size(said) / 2, F.lit(1.0)))
 
 
 def score_answers(answers: DataFrame, truth: DataFrame) -> DataFrame:

@@ -2,7 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from . import code, drivers, scanned, tables
 
-QUERIES = code.QUERIES | tables.QUERIES | scanned.QUERIES | drivers.QUERIES
-ORACLE_SQL = code.ORACLE_SQL | tables.ORACLE_SQL | scanned.ORACLE_SQL | drivers.ORACLE_SQL
+MODULES = (code, tables, scanned, drivers)
+
+
+def gathered(tables: Iterable[dict]) -> dict:
+    """All entries; a name that two modules register is an error."""
+    out: dict = {}
+    for t in tables:
+        if both := out.keys() & t.keys():
+            raise ValueError(f"registered twice: {sorted(both)}")
+        out |= t
+    return out
+
+
+QUERIES = gathered(m.QUERIES for m in MODULES)
+ORACLE_SQL = gathered(m.ORACLE_SQL for m in MODULES)

@@ -6,6 +6,8 @@ the check engine share.
 
 from __future__ import annotations
 
+import uuid
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +18,9 @@ from ..functions import signatures as S
 from ..functions import text as T
 from ..functions.scanners import signature
 from ..operators import graph as G
+from ..operators import stored as ST
 from ..sources import files as R
+from ..sources.shared import folder
 
 PATH = "'/src/m' || CAST(p_partkey % 50 AS STRING) || '/f' || CAST(p_partkey AS STRING) || CASE p_partkey % 6 WHEN 0 THEN '.ts' WHEN 1 THEN '.py' WHEN 2 THEN '.sql' WHEN 3 THEN '.yaml' WHEN 4 THEN '.sh' ELSE '.md' END"
 _K = "CAST(p_partkey AS STRING)"
@@ -172,6 +176,21 @@ edges AS (SELECT 'mod:' || path AS src, prefix || ':' || path || ':' || name AS
   UNION ALL SELECT 'mod:' || path, 'mod:' || target, 'imports' FROM target)"""
 
 
+#: Hexadecimal digits of a part's number for corpora of some thousand files.
+DIGITS = 2
+
+
+def _timed(d: DataFrame) -> DataFrame:
+    """Composed files have no time of their own; a hash of the content stands for it."""
+    return d.select("path", "content", F.xxhash64("content").alias("mtime_ms"), F.length("content").cast("long").alias("size"))
+
+
+def stored(spark: SparkSession, sf: str, tag: str = "graph") -> ST.StoredGraph:
+    """The graph of the composed files, kept for as long as the application runs: built by the first query that opens it."""
+    at = f"{folder(spark)}/{tag}-{spark.sparkContext.applicationId}-{zlib.crc32(sf.encode()):08x}"
+    return ST.open_graph(_timed(files(spark, sf)), at, digits=DIGITS)
+
+
 @query(f"WITH {_NAMED} SELECT key, name, kind, file FROM nodes")
 def graph_nodes(spark: SparkSession, sf: str) -> DataFrame:
     return G.build(files(spark, sf))[0].drop("ord")
@@ -189,7 +208,17 @@ def graph_statistics(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {_NAMED} SELECT key, name, kind FROM nodes WHERE contains(lower(name), 'fn1') OR contains(lower(key), 'fn1')")
 def graph_search(spark: SparkSession, sf: str) -> DataFrame:
-    return G.search(G.build(files(spark, sf))[0], "FN1").select("key", "name", "kind")
+    return stored(spark, sf).search("FN1").select("key", "name", "kind")
+
+
+@query(f"WITH {_NAMED}, q(q) AS (VALUES ('c11'), ('/M7/F'), ('fn20'), ('py5'), ('.TS:'), ('zzz'), ('a1 (FROM'), ('7')) SELECT q, key FROM q JOIN nodes ON contains(lower(name), lower(q)) OR contains(lower(key), lower(q))")
+def graph_searches(spark: SparkSession, sf: str) -> DataFrame:
+    """Several searches by posting lists; the last one is too short for them and scans."""
+    graph, out = stored(spark, sf), None
+    for q in ("c11", "/M7/F", "fn20", "py5", ".TS:", "zzz", "a1 (FROM", "7"):
+        hits = graph.search(q).select(F.lit(q).alias("q"), "key")
+        out = hits if out is None else out.unionAll(hits)
+    return out
 
 
 def _reach(src: str, dst: str) -> str:
@@ -205,12 +234,42 @@ def _seeds(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(_reach("src", "dst"))
 def graph_depends_on(spark: SparkSession, sf: str) -> DataFrame:
-    return G.traverse(G.build(files(spark, sf))[1], _seeds(spark, sf)).select("key", F.col("depth").cast("long").alias("depth"))
+    return stored(spark, sf).traverse(_seeds(spark, sf)).select("key", F.col("depth").cast("long").alias("depth"))
 
 
 @query(_reach("dst", "src"))
 def graph_dependents(spark: SparkSession, sf: str) -> DataFrame:
-    return G.traverse(G.build(files(spark, sf))[1], _seeds(spark, sf), incoming=True).select("key", F.col("depth").cast("long").alias("depth"))
+    return stored(spark, sf).traverse(_seeds(spark, sf), incoming=True).select("key", F.col("depth").cast("long").alias("depth"))
+
+
+# ---- a corpus that changes: of a hundred files one goes, one comes, and one gets other contents
+_CHANGED = "(CASE WHEN p_partkey % 100 = 57 THEN p_partkey + 1000000 ELSE p_partkey END)"
+_AFTER = f"SELECT p_partkey AS id, {_CHANGED} AS k, {PATH} AS path, {CONTENT.replace('p_partkey', _CHANGED)} AS content FROM part WHERE p_partkey % 100 <> 7"
+_NAMED_AFTER = _NAMED.replace(FILES.replace("STRING", "VARCHAR"), _AFTER.replace("STRING", "VARCHAR")).replace("b.k = a.k + 150 AND a.k % 50 = b.k % 50", "b.id = a.k + 150 AND a.id % 50 = b.id % 50")
+
+
+def changing(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """The composed files before and after."""
+    part = spark.read.parquet(f"{sf}/part.parquet")
+    before = part.where("p_partkey % 100 <> 21").selectExpr(f"{PATH} AS path", f"{CONTENT} AS content")
+    after = part.where("p_partkey % 100 <> 7").selectExpr(f"{PATH} AS path", f"{CONTENT.replace('p_partkey', _CHANGED)} AS content")
+    return _timed(before), _timed(after)
+
+
+def _followed(spark: SparkSession, sf: str) -> ST.StoredGraph:
+    before, after = changing(spark, sf)
+    graph = ST.StoredGraph(spark, f"{folder(spark)}/changing-{uuid.uuid4().hex}", DIGITS)
+    graph.refresh(before)
+    graph.refresh(after)
+    return graph
+
+
+@query(f"WITH {_NAMED_AFTER} SELECT 'node' AS of, key, name AS at, kind FROM nodes UNION ALL SELECT 'edge', src, dst, kind FROM edges")
+def graph_after_changes(spark: SparkSession, sf: str) -> DataFrame:
+    """A stored graph that has followed its corpus holds what a full build would."""
+    graph = _followed(spark, sf)
+    nodes = graph.nodes.select(F.lit("node").alias("of"), "key", F.col("name").alias("at"), "kind")
+    return nodes.unionAll(graph.edges.select(F.lit("edge"), "src", "dst", "kind"))
 
 
 _STAR = """edges AS (SELECT 'r' || CAST(n_regionkey AS VARCHAR) AS src, 'n' || CAST(n_nationkey AS VARCHAR) AS dst FROM nation
@@ -238,8 +297,8 @@ SELECT CAST(f.depth AS BIGINT) AS depth, f.n, r.listed, r.more FROM (SELECT dept
 
 @query(_GRAPHED)
 def graph_by_depth(spark: SparkSession, sf: str) -> DataFrame:
-    nodes, edges = G.build(files(spark, sf))
-    d = G.by_depth(G.traverse(edges, _seeds(spark, sf)), nodes)
+    graph = stored(spark, sf)
+    d = G.by_depth(graph.traverse(_seeds(spark, sf)), graph.nodes)
     return d.select(F.col("depth").cast("long").alias("depth"), "n", "listed", F.col("more").cast("long").alias("more"))
 
 

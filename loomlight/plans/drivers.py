@@ -49,21 +49,21 @@ _MATCH = "(contains(lower(name), '{0}') OR contains(lower(key), '{0}'))"
 @query(f"WITH {_NAMED} SELECT file, count(*) AS symbols FROM nodes WHERE contains(lower(file), '/m7/') GROUP BY file")
 def graph_file_symbols(spark: SparkSession, sf: str) -> DataFrame:
     """Symbols of every file whose path matches, counted."""
-    nodes, _ = G.build(code.files(spark, sf))
+    nodes = code.stored(spark, sf).nodes
     return G.file_symbols(nodes, "/M7/").groupBy("file").agg(F.max("symbols").alias("symbols"))
 
 
 @query(f"WITH {_NAMED}, m AS (SELECT * FROM nodes WHERE contains(lower(file), '/m7/')) SELECT (SELECT count(*) FROM m) AS nodes_traversed, 'symbol' AS source, (SELECT string_agg('// ' || file, chr(10) ORDER BY file) FROM (SELECT DISTINCT file FROM m ORDER BY file LIMIT 5)) AS headings")
 def ask_file_symbols(spark: SparkSession, sf: str) -> DataFrame:
     """The first five files of the answer, and what all of them hold."""
-    nodes, edges = G.build(code.files(spark, sf))
+    nodes, edges = (g := code.stored(spark, sf)).nodes, g.edges
     headings = F.array_join(F.filter(F.split("result", "\n"), lambda x: x.startswith("// ")), "\n")
     return A.ask(nodes, edges, "/m7/", "file_symbols").select("nodes_traversed", "source", headings.alias("headings"))
 
 
 @query(f"WITH {_NAMED}, {_ORD}, m AS (SELECT *, row_number() OVER (ORDER BY file, section, key) AS r, count(*) OVER () AS n FROM placed WHERE {_MATCH.format('c1')}) SELECT '// Search results for \"c1\" (' || max(n) || ' matches)' || chr(10) || chr(10) || string_agg(kind || ': ' || name || ' — ' || file, chr(10) ORDER BY r) FILTER (r <= 25) || CASE WHEN max(n) > 25 THEN chr(10) || '... and ' || (max(n) - 25) || ' more results' ELSE '' END AS result, max(n) AS nodes_traversed FROM m")
 def ask_search(spark: SparkSession, sf: str) -> DataFrame:
-    nodes, edges = G.build(code.files(spark, sf))
+    nodes, edges = (g := code.stored(spark, sf)).nodes, g.edges
     return A.ask(nodes, edges, "c1", "search").select("result", "nodes_traversed")
 
 
@@ -75,7 +75,7 @@ SELECT count(DISTINCT key) AS nodes_traversed, 'depends_on' AS kind FROM walk"""
 @query(_DEEP)
 def ask_depends_on(spark: SparkSession, sf: str) -> DataFrame:
     """From the first three matches."""
-    nodes, edges = G.build(code.files(spark, sf))
+    nodes, edges = (g := code.stored(spark, sf)).nodes, g.edges
     return A.ask(nodes, edges, ".ts", "depends_on").select("nodes_traversed", "kind")
 
 
@@ -85,20 +85,15 @@ _TEXT = "# Graph Report - demo (2026-05-17)\nBuilt from commit: `abcdef0123`\n##
 @query("SELECT 'No symbols matching \"hub\".' || chr(10) || chr(10) || '--- from the report ---' || chr(10) || '// report search: \"hub\"' || chr(10) || chr(10) || '  Hub (26 edges)' || chr(10) || '  ## Community Hubs' AS result, CAST(1 AS BIGINT) AS nodes_traversed, 'symbol+report' AS source, true AS warned")
 def ask_falls_back(spark: SparkSession, sf: str) -> DataFrame:
     """A search that no symbol matches is answered by the report, with a warning that it is stale."""
-    nodes, edges = G.build(code.files(spark, sf))
+    nodes, edges = (g := code.stored(spark, sf)).nodes, g.edges
     return A.ask(nodes, edges, "hub", "search", report=_TEXT, head="9999999aaaa").select("result", "nodes_traversed", "source", F.contains("note", F.lit("stale (built abcdef0, head 9999999)")).alias("warned"))
 
 
 @query(f"WITH {_NAMED} SELECT DISTINCT coalesce(n.kind, 'none') AS kind, count(*) AS n FROM nodes n GROUP BY n.kind")
 def kept_graph(spark: SparkSession, sf: str) -> DataFrame:
     """A graph kept by its files' manifest: opened twice, built once."""
-    from ..sources.shared import folder
-
-    d = code.files(spark, sf).select("path", "content", (F.col("k") * 1000).alias("mtime_ms"), F.length("content").alias("size"))
-    at = f"{folder(spark)}/graphs"
-    G.open_graph(d, at)
-    nodes, _ = G.open_graph(d, at)
-    return nodes.groupBy("kind").agg(F.count("*").alias("n"))
+    code.stored(spark, sf)
+    return code.stored(spark, sf).nodes.groupBy("kind").agg(F.count("*").alias("n"))
 
 
 # ---- reports
@@ -203,7 +198,8 @@ def memory_actions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("SELECT 'list' AS action, '*' AS key, string_agg(n_name || ': ' || length(n_name) || ' chars', chr(10) ORDER BY n_nationkey DESC) AS value, count(*) AS entries, count(*) || ' entries.' AS note FROM nation")
-def memory_listing(spark: SparkSession, sf: str) -> DataFrame:
+def memory_list_action(spark: SparkSession, sf: str) -> DataFrame:
+    """The list action on a store of a key a nation."""
     store = spark.read.parquet(f"{sf}/nation.parquet").select(F.col("n_name").alias("mem_key"), F.col("n_name").alias("value"), F.col("n_nationkey").cast("long").alias("updated_at"))
     return E.act(store, "list")[1]
 

@@ -141,6 +141,43 @@ def cache_char_cap(spark: SparkSession, sf: str) -> DataFrame:
     return C.keep_chars(C.keep_newest(entries(spark, sf), 200), 100_000).select("file_path", "updated_at")
 
 
+def _batched(table: str, key: str, content: str, at: str, half: str, batch: int, batches: int) -> str:
+    """SQL of what stays of a table of entries when the oldest go in batches until half of the characters are left."""
+    placed = f"SELECT {key} AS file_path, {content} AS content, {at} AS updated_at FROM {table}"
+    ranked = f"SELECT *, (row_number() OVER (ORDER BY updated_at, file_path DESC) - 1) // {batch} AS b FROM ({placed})"
+    return f"SELECT file_path, updated_at FROM (SELECT *, sum(length(content)) OVER (ORDER BY b DESC RANGE UNBOUNDED PRECEDING) AS s FROM ({ranked})) WHERE s <= {half} OR b >= {batches}"
+
+
+_ORDER_ENTRIES = ("'o' || CAST(o_orderkey AS VARCHAR)", "o_orderpriority || o_orderstatus", "(o_orderkey * 7919) % 100003")
+_LINE_ENTRIES = ("CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) || '-' || CAST(l_partkey AS VARCHAR)", "l_returnflag || CAST(l_suppkey AS VARCHAR)", "(l_orderkey * 7919) % 100003")
+
+
+def _entries_of(spark: SparkSession, sf: str, table: str, columns: tuple[str, str, str]) -> DataFrame:
+    names = ("file_path", "content", "updated_at")
+    return read(spark, sf, table).selectExpr(*[f"{c.replace('VARCHAR', 'STRING')} AS {n}" for c, n in zip(columns, names, strict=True)])
+
+
+@query(_batched("orders", *_ORDER_ENTRIES, "(SELECT sum(length(o_orderpriority || o_orderstatus)) // 2 FROM orders)", C.CACHE_BATCH, C.MAX_BATCHES))
+def cache_batches(spark: SparkSession, sf: str) -> DataFrame:
+    """An entry an order, held at half of all characters: batches of 200 go until few enough are left."""
+    d = _entries_of(spark, sf, "orders", _ORDER_ENTRIES)
+    half = d.agg(F.sum(F.length("content")).alias("n")).first().n // 2
+    return C.keep_chars(d, half, batch=C.CACHE_BATCH, batches=C.MAX_BATCHES).select("file_path", "updated_at")
+
+
+@query(_batched("lineitem", *_LINE_ENTRIES, "0", C.CACHE_BATCH, C.MAX_BATCHES))
+def cache_batch_limit(spark: SparkSession, sf: str) -> DataFrame:
+    """An entry a line of an order, and no room: a hundred batches go and no more."""
+    return C.keep_chars(_entries_of(spark, sf, "lineitem", _LINE_ENTRIES), 0, batch=C.CACHE_BATCH, batches=C.MAX_BATCHES).select("file_path", "updated_at")
+
+
+@query(f"WITH {_REPLAY.replace('user_id AS path', 'CASE WHEN user_id % 3 = 0 THEN 0 ELSE user_id END AS path')} SELECT event_id, path, action, epoch, status, hits FROM replay")
+def cache_replay_hot(spark: SparkSession, sf: str) -> DataFrame:
+    """A third of all users share one path, whose rows are replayed by many tasks."""
+    d = trace(spark, sf).withColumn("path", F.when(F.col("path") % 3 == 0, 0).otherwise(F.col("path")))
+    return C.replay(d, parts=32).select("event_id", "path", "action", F.col("epoch"), "status", "hits")
+
+
 @query(f"SELECT file_path, hit_count, original_tokens, tokens FROM ({_ENTRIES}) ORDER BY updated_at DESC, file_path LIMIT 10")
 def session_statistics(spark: SparkSession, sf: str) -> DataFrame:
     """A report of the last ten entries."""

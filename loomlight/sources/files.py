@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import heapq
 import json
 import os
 import re
 from collections.abc import Iterator
+from functools import partial
+from itertools import islice
 from pathlib import Path
 
 import pyarrow as pa
@@ -14,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import SUFFIXES
+from .shared import cut
 
 # Folders that are never read, caps on files and sizes, and paths that are never served.
 IGNORED = ["node_modules", ".git", "dist", "build", ".next", "__pycache__", ".turbo", "coverage", ".nyc_output", ".cache", "vendor", ".venv", "venv", "env", ".env", ".tox", "target", "bin", "obj", "out", "Pods", ".gradle", ".mvn"]
@@ -64,30 +66,59 @@ def capped(files: DataFrame, most: int = MAX_FILES) -> DataFrame:
     Only paths are put in order: each task keeps its first ones before they meet. What else the rows hold, such as
     whole contents, stays where it is and is joined to the few paths.
     """
-    cap = min(most, HARD_MAX_FILES)
-    first = files.select("path").distinct().orderBy("path").limit(cap + 1)
-    more = first.count() > cap
-    kept = F.broadcast(first.orderBy("path").limit(cap))  # at most HARD_MAX_FILES paths
-    return files.join(kept, "path", "left_semi").withColumn("truncated", F.lit(more))
+    first = files.select("path").distinct().orderBy("path").limit(most + 1)
+    more = first.count() > most
+    kept = first.orderBy("path").limit(most)
+    return files.join(F.broadcast(kept) if most <= HARD_MAX_FILES else kept, "path", "left_semi").withColumn("truncated", F.lit(more))
 
 
-def walk(root: str, suffixes: list[str] | None = None, ignored: list[str] = IGNORED, hidden: bool = False, most: int = HARD_MAX_FILES) -> list[tuple[str, int, int]]:
-    """(path, size, mtime_ms) of the source files under a folder in order of their paths, one more than `most` at most.
+_LISTED = "path string, folder boolean, size long, mtime_ms long"
 
-    Ignored folders aren't entered. What can't be listed or looked at is left out.
+
+def _listed(batches: Iterator[pa.RecordBatch], suffixes: list[str], ignored: list[str], hidden: bool) -> Iterator[pa.RecordBatch]:
+    """The folders and the source files right below each folder. What can't be listed or looked at is left out."""
+    wanted, skipped = set(suffixes), set(ignored)
+
+    def below(path: str) -> Iterator[tuple[str, bool, int, int]]:
+        try:
+            with os.scandir(path) as entries:
+                for e in entries:
+                    try:
+                        if e.is_dir(follow_symlinks=False):
+                            if e.name not in skipped and (hidden or not e.name.startswith(".")):
+                                yield e.path, True, 0, 0
+                        elif Path(e.name).suffix.lower() in wanted and e.is_file():
+                            stat = e.stat()
+                            yield e.path, False, stat.st_size, stat.st_mtime_ns // 1_000_000
+                    except OSError:
+                        continue
+        except OSError:
+            return
+
+    names = [c.split()[0] for c in _LISTED.split(", ")]
+    for b in batches:
+        for path in b.column("path").to_pylist():
+            rows = below(path)
+            while some := list(islice(rows, 10_000)):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some, strict=True), (pa.string(), pa.bool_(), pa.int64(), pa.int64()), strict=True)], names)
+
+
+def discover(spark: SparkSession, root: str, suffixes: list[str] | None = None, ignored: list[str] = IGNORED, hidden: bool = False) -> DataFrame:
+    """(path, size, mtime_ms) of the source files under a folder that driver and executors see.
+
+    The tasks list folders, a level of the tree a round: its folders are dealt out anew for the next one, so that one
+    deep or wide folder doesn't fall to one task alone. Ignored folders aren't entered. Links to folders aren't followed.
     """
-    wanted, out = set(suffixes or SUFFIXES), []
-    for folder, folders, names in os.walk(root):
-        folders[:] = [f for f in folders if f not in ignored and (hidden or not f.startswith("."))]
-        for name in names:
-            if Path(name).suffix.lower() in wanted:
-                path = os.path.join(folder, name)
-                try:
-                    stat = os.stat(path)
-                except OSError:
-                    continue
-                out.append((path, stat.st_size, stat.st_mtime_ns // 1_000_000))
-    return heapq.nsmallest(most + 1, out)
+    tasks, out = 4 * spark.sparkContext.defaultParallelism, None
+    level = spark.createDataFrame([(os.path.normpath(root),)], "path string")
+    listing = partial(_listed, suffixes=sorted(suffixes or SUFFIXES), ignored=list(ignored), hidden=hidden)
+    while True:
+        found = cut(level.repartition(tasks).mapInArrow(listing, _LISTED), "discovered")
+        files = found.where("NOT folder").select("path", "size", "mtime_ms")
+        out = files if out is None else out.unionAll(files)
+        level = found.where("folder").select("path")
+        if level.isEmpty():
+            return out
 
 
 def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,32 +127,32 @@ def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             try:
                 text = Path(path).read_bytes().decode("utf-8", "replace")
             except OSError:
-                continue
+                text = None
             yield pa.RecordBatch.from_arrays([*b.slice(i, 1).columns, pa.array([text])], [*b.schema.names, "content"])
 
 
-def read_files(spark: SparkSession, root: str, most: int = MAX_FILES, max_bytes: int = MAX_BYTES, script: bool = False, benchmark: bool = False) -> DataFrame:
+def read_files(spark: SparkSession, root: str, most: int | None = MAX_FILES, max_bytes: int = MAX_BYTES, script: bool = False, benchmark: bool = False) -> DataFrame:
     """(path, size, mtime_ms, truncated, content) of the source files under root, read whole and decoded as UTF-8.
 
-    script: only what fidelity is measured on, see is_script; benchmark: what savings are, see is_measured. Files above max_bytes aren't read; a file that can't be
-    read isn't a row. A folder that the driver can list is walked, and its files are read by the tasks, a file at a
-    time; it must be one that executors see as well. Any other root is read by Spark, whose reader leaves out names
-    that begin with `_` or `.`.
+    most: the first so many by path, HARD_MAX_FILES at most; None: all, however many. Files above max_bytes don't
+    count. A file that can't be read has a null content. script: only what fidelity is measured on, see is_script;
+    benchmark: what savings are, see is_measured. A folder that the driver can list is discovered and read by the tasks,
+    a file at a time; it must be one that executors see as well. Any other root is read by Spark, whose reader leaves
+    out names that begin with `_` or `.`.
     """
-    cap, own = min(most, HARD_MAX_FILES), {}
+    own = {}
     if script:
         own = {"suffixes": SCRIPT_SUFFIXES, "ignored": SCRIPT_IGNORED, "hidden": True}
     elif benchmark:
         own = {"suffixes": BENCHMARK_SUFFIXES, "ignored": BENCHMARK_IGNORED, "hidden": True}
+    first = lambda d: d.withColumn("truncated", F.lit(False)) if most is None else capped(d, min(most, HARD_MAX_FILES))
     local = root.removeprefix("file://")
     if "://" not in local:
-        found = [f for f in walk(local, **own, most=cap) if f[1] <= max_bytes]
-        rows = [(*f, len(found) > cap) for f in found[:cap]]
-        d = spark.createDataFrame(rows, "path string, size long, mtime_ms long, truncated boolean")
-        return d.repartition(max(1, min(len(rows), 4 * spark.sparkContext.defaultParallelism))).mapInArrow(_contents, "path string, size long, mtime_ms long, truncated boolean, content string")
+        d = first(discover(spark, local, **own).where(F.col("size") <= max_bytes)).select("path", "size", "mtime_ms", "truncated")
+        return d.repartition(4 * spark.sparkContext.defaultParallelism).mapInArrow(_contents, "path string, size long, mtime_ms long, truncated boolean, content string")
     d = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreCorruptFiles", True).load(root)
     d = d.select("path", F.col("length").alias("size"), F.unix_millis("modificationTime").alias("mtime_ms"), "content")
-    d = capped(d.where(is_source(F.col("path"), root, **own) & (F.col("size") <= max_bytes)), cap)
+    d = first(d.where(is_source(F.col("path"), root, **own) & (F.col("size") <= max_bytes)))
     return d.select("path", "size", "mtime_ms", "truncated", F.decode("content", "UTF-8").alias("content"))
 
 

@@ -23,6 +23,7 @@ from loomlight.sources import files as R
 from loomlight.sources import report as P
 from loomlight.sources import sinks as K
 from loomlight.sources import store as O
+from loomlight.operators.stored import open_graph
 from loomlight.streaming.dedup import replay_stream
 
 
@@ -165,13 +166,10 @@ def test_tokens_by_a_vocabulary(spark):
 def test_graph_is_kept_by_its_manifest(spark, tmp_path):
     rows = [(f"/s/{i}.ts", f"import {{ x }} from './{i + 1}.js';\nexport function f{i}() {{}}", 1, 10) for i in range(4)]
     files = spark.createDataFrame(rows, "path string, content string, mtime_ms long, size long")
-    at = f"file://{tmp_path}"
-    nodes, edges = G.open_graph(files, at)
+    nodes, edges = (graph := open_graph(files, f"file://{tmp_path}", digits=1)).nodes, graph.edges
     assert nodes.count() == 4 * 3 + 3 and edges.where("kind = 'imports'").count() == 3
-    G.open_graph(files, at)
-    assert len(list(tmp_path.iterdir())) == 1
-    G.open_graph(files.withColumn("mtime_ms", F.lit(2).cast("long")), at)
-    assert len(list(tmp_path.iterdir())) == 2
+    assert graph.refresh(files).scanned == 0 and graph.refresh(files, rebuild=True).scanned == 4
+    assert graph.refresh(files.withColumn("mtime_ms", F.lit(2).cast("long"))).scanned == 4
     got = A.ask(nodes, edges, "f0", "depends_on").first()
     assert got.nodes_traversed == 2 and 'Dependencies of "f0"' in got.result
     got = A.ask(nodes, edges, "/s/0.ts", "dependents").first()
@@ -219,7 +217,8 @@ def test_caps_of_the_cache(spark):
     kept = lambda **o: {int(r.file_path[1:]) for r in C.keep_chars(store, 50, **o).collect()}
     assert kept(batch=1) == set(range(15, 20)) and kept(batch=4) == set(range(16, 20))
     assert kept(batch=2, batches=3) == set(range(6, 20))  # three batches go, whatever is left
-    assert kept(rows=3) == {17, 18, 19}
+    assert {r.updated_at for r in C.keep_newest(store, 3).collect()} == {17, 18, 19}
+    assert kept(batch=7, batches=9) == set() and C.keep_newest(store, 0).count() == 0 and C.keep_newest(store, 99).count() == 20
 
 
 def test_cache_traces(spark):
