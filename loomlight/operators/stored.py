@@ -4,16 +4,17 @@ Files belong to parts by their paths' hash, and each part has a digest over its
 Merkle tree. A refresh compares the digests, then the files of the parts that differ, and scans the contents of changed
 and new files alone. An import depends on which paths exist as well: where files came or went, the imports of other
 files that may mean them are resolved again, from the candidates that are kept. Tables are partitioned by part and the
-touched parts are overwritten; nothing of an older graph stays.
+touched parts are replaced; nothing of an older graph stays.
 
 Crash safety: nodes, edges and indexes are written first, what was scanned second, digests last. A refresh that dies
 leaves the old digests, so the next one finds the same parts again. One writer a folder at a time.
 
 Traversals read the links by source or by target, bucketed and sorted by it: a hop moves its frontier only. Search reads
-posting lists of trigrams, whose intersection names the parts of the nodes to look at.
+posting lists of trigrams, whose intersection names the parts of the nodes to look at. Links are made by the first
+traversal after a refresh, the postings of the parts that it touched by the first search.
 
 Below the folder: sources (path, language, sig, mtime_ms, size), candidates (the paths that imports may mean), nodes,
-edges, grams (gram, key), each by part; digests; links-out-N and links-in-N.
+edges, grams (gram, key), each by part; digests; links.
 """
 
 from __future__ import annotations
@@ -67,15 +68,23 @@ class StoredGraph:
             return self.spark.createDataFrame([], SCHEMAS[name])
         return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.folder}/{name}")
 
-    def _replace(self, name: str, rows: DataFrame, parts: list[str]) -> None:
-        """The rows, all of these parts, take the place of what those parts held."""
-        new = cut(rows, f"graph-{name}")
-        by_part = new.repartition("part").sortWithinPartitions("part", *(["gram"] if name == "grams" else []))
-        by_part.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(f"{self.folder}/{name}")
-        for gone in set(parts) - {r.part for r in new.select("part").distinct().collect()}:
-            fs, path = self._path(f"{name}/part={gone}")
+    def _parts(self, name: str) -> set[str]:
+        """The parts that a table has."""
+        fs, path = self._path(name)
+        found = fs.listStatus(path) if fs.exists(path) else []
+        return {n.removeprefix("part=") for f in found if (n := f.getPath().getName()).startswith("part=")}
+
+    def _drop(self, name: str, parts: list[str]) -> None:
+        for part in self._parts(name) & set(parts):
+            fs, path = self._path(f"{name}/part={part}")
             fs.delete(path, True)
 
+    def _replace(self, name: str, rows: DataFrame, parts: list[str]) -> None:
+        """The rows, of these parts only, take the place of what those parts held."""
+        self._drop(name, parts)
+        by_part = rows.repartition("part").sortWithinPartitions("part", *(["gram"] if name == "grams" else []))
+        by_part.write.mode("append").partitionBy("part").parquet(f"{self.folder}/{name}")
+
     @property
     def nodes(self) -> DataFrame:
         return self.table("nodes").drop("part")
@@ -117,31 +126,27 @@ class StoredGraph:
         paths = others(self.table("sources")).select("path").unionAll(sigs.select("path"))
         imported = cut(G.imports(wanted.unionByName(relinked(self.table("candidates"))), paths), "graph-imports")
         nodes, edges = G.linked(sigs.unionByName(relinked(self.table("sources"))), imported)
-        nodes = cut(nodes.withColumn("part", self._part(F.col("file"))), "graph-new-nodes")
-        self._replace("nodes", nodes, parts + again)
-        self._replace("edges", edges.withColumn("part", self._part(F.expr("substring(src, 5)"))), parts + again)
-        self._replace("grams", grams(nodes), parts + again)
-        for incoming in (False, True):
-            self._write_links(incoming)
+        every = parts + again
+        self._replace("nodes", nodes.withColumn("part", self._part(F.col("file"))), every)
+        self._replace("edges", edges.withColumn("part", self._part(F.expr("substring(src, 5)"))), every)
+        self._drop("grams", every)
         self._replace("candidates", wanted, parts)
         self._replace("sources", sigs, parts)
+        fs, path = self._path("links")
+        fs.delete(path, True)
         now.coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/digests")
         return Refreshed(len(parts), len(again), scanned.count())
 
     # ---- traversal
-    def _links_path(self, incoming: bool) -> str:
-        return f"links-{'in' if incoming else 'out'}-{BUCKETS}"
-
-    def _write_links(self, incoming: bool) -> None:
-        name = f"loomlight_{uuid.uuid4().hex}"
-        rows = G.links(self.edges, incoming).repartition(BUCKETS, "at")
-        rows.write.mode("overwrite").bucketBy(BUCKETS, "at").sortBy("at").option("path", f"{self.folder}/{self._links_path(incoming)}").saveAsTable(name)
-        self.spark.sql(f"DROP TABLE {name}")  # it is external: its files stay
-
     def links(self, incoming: bool) -> DataFrame:
-        """(at, key), bucketed and sorted by at: a table of this session over the files that are kept."""
-        name = f"loomlight_{uuid.uuid4().hex}"
-        self.spark.sql(f"CREATE TABLE {name} ({SCHEMAS['links'].replace(' string', ' STRING')}) USING parquet CLUSTERED BY (at) SORTED BY (at) INTO {BUCKETS} BUCKETS LOCATION '{self.folder}/{self._links_path(incoming)}'")
+        """(at, key), bucketed and sorted by at: a table of this session over files made by the first traversal."""
+        at, name = f"links/{'in' if incoming else 'out'}-{BUCKETS}", f"loomlight_{uuid.uuid4().hex}"
+        fs, done = self._path(f"{at}/_SUCCESS")
+        if not fs.exists(done):
+            rows = G.links(self.edges, incoming).repartition(BUCKETS, "at")
+            rows.write.mode("overwrite").bucketBy(BUCKETS, "at").sortBy("at").option("path", f"{self.folder}/{at}").saveAsTable(name)
+        else:
+            self.spark.sql(f"CREATE TABLE {name} ({SCHEMAS['links']}) USING parquet CLUSTERED BY (at) SORTED BY (at) INTO {BUCKETS} BUCKETS LOCATION '{self.folder}/{at}'")
         return self.spark.table(name)
 
     def traverse(self, seeds: DataFrame, hops: int = G.HOPS, incoming: bool = False) -> DataFrame:
@@ -151,6 +156,8 @@ class StoredGraph:
     # ---- search
     def candidates(self, query: str) -> DataFrame:
         """(key, part) of the nodes that hold every trigram of the query in name or key; more than match it."""
+        if missing := sorted(self._parts("nodes") - self._parts("grams")):
+            self._replace("grams", grams(self.table("nodes").where(F.col("part").isin(missing))), missing)
         of = sorted({query.lower()[i : i + GRAM] for i in range(len(query) - GRAM + 1)})
         hits = self.table("grams").where(F.col("gram").isin(of))
         return hits.groupBy("key", "part").agg(F.count("*").alias("n")).where(F.col("n") == len(of)).select("key", "part")

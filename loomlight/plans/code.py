@@ -176,8 +176,9 @@ edges AS (SELECT 'mod:' || path AS src, prefix || ':' || path || ':' || name AS
   UNION ALL SELECT 'mod:' || path, 'mod:' || target, 'imports' FROM target)"""
 
 
-#: Hexadecimal digits of a part's number for corpora of some thousand files.
-DIGITS = 2
+#: Hexadecimal digits of a part's number: 16 parts for corpora of some thousand files. A part is a file of each table,
+#: and what changed within it is found by its files' times and sizes.
+DIGITS = 1
 
 
 def _timed(d: DataFrame) -> DataFrame:
