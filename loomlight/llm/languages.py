@@ -47,8 +47,8 @@ def codes(text: str) -> np.ndarray:
     return np.where(letter, c, 32)[keep]
 
 
-def automaton(text: list[int], symbols: int) -> np.ndarray:
-    """Transitions of the suffix automaton of a text of symbols 1, 2, ...: state by symbol; the root is 1, 0 is none."""
+def automaton(text: list[int]) -> list[dict[int, int]]:
+    """Transitions of the suffix automaton of a text of symbols 1, 2, ... by state; the root is 1, 0 is none."""
     step: list[dict[int, int]] = [{}, {}]
     link, length, last = [0, 0], [0, 0], 1
     for c in text:
@@ -73,11 +73,44 @@ def automaton(text: list[int], symbols: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[new] = clone
         last = new
-    out = np.zeros((len(step), symbols), np.int32)
-    for s, moves in enumerate(step):
-        for c, t in moves.items():
-            out[s, c] = t
-    return out
+    return step
+
+
+class Moves:
+    """Transitions (state, symbol) -> state in a hash table with open places: four to eight places each, whatever the
+    alphabet. A lookup goes on from place to place until it meets its key or an empty one."""
+
+    def __init__(self, keys: np.ndarray, to: np.ndarray):
+        self.bits = max(4, int(4 * len(keys)).bit_length())
+        self.keys, self.to = np.full(1 << self.bits, -1), np.zeros(1 << self.bits, np.int32)
+        at = self._first(keys)
+        while len(keys):
+            free = np.flatnonzero(self.keys[at] < 0)
+            own = free[np.unique(at[free], return_index=True)[1]]
+            self.keys[at[own]], self.to[at[own]] = keys[own], to[own]
+            rest = np.ones(len(keys), bool)
+            rest[own] = False
+            keys, to, at = keys[rest], to[rest], (at[rest] + 1) & (1 << self.bits) - 1
+
+    def _first(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        """Where each key leads; 0 if nowhere."""
+        flat = keys.ravel()
+        at = self._first(flat)
+        met = self.keys[at]
+        out = np.where(met == flat, self.to[at], 0)
+        todo = np.flatnonzero((met != flat) & (met >= 0))
+        at = at[todo]
+        while len(todo):
+            at = (at + 1) & (1 << self.bits) - 1
+            met = self.keys[at]
+            hit = met == flat[todo]
+            out[todo[hit]] = self.to[at[hit]]
+            goes = ~hit & (met >= 0)
+            todo, at = todo[goes], at[goes]
+        return out.reshape(keys.shape)
 
 
 class Model:
@@ -86,10 +119,12 @@ class Model:
         self.languages = sorted((lang for lang, c in joined.items() if len(c)), key=lambda s: s.encode())
         known = np.unique(np.concatenate([joined[lang] for lang in self.languages])) if self.languages else np.zeros(0, np.uint32)
         self.known, self.symbols = known, len(known) + 1
-        tables = [automaton((np.searchsorted(known, joined[lang]) + 1).tolist(), self.symbols) for lang in self.languages]
-        sizes = [len(t) for t in tables]
+        steps = [automaton((np.searchsorted(known, joined[lang]) + 1).tolist()) for lang in self.languages]
+        sizes = [len(step) for step in steps]
         self.root = np.cumsum([0, *sizes])[:-1] + 1
-        self.table = np.concatenate([np.where(t > 0, t + (r - 1), 0) for t, r in zip(tables, self.root, strict=True)]).astype(np.int32).ravel() if tables else np.zeros(0, np.int32)
+        moves = [np.array([(s, c, t) for s, of in enumerate(step) for c, t in of.items()], np.int64).reshape(-1, 3) + [r - 1, 0, r - 1] for step, r in zip(steps, self.root.tolist(), strict=True)]
+        moves = np.concatenate([np.zeros((0, 3), np.int64), *moves])
+        self.moves = Moves(moves[:, 0] * self.symbols + moves[:, 1], moves[:, 2])
 
     def lookup(self) -> np.ndarray:
         """Symbol of each code point; 0 where the sample doesn't have it."""
@@ -116,13 +151,16 @@ class Model:
         rank = np.empty_like(order)
         rank[order] = np.arange(len(order))
         after = np.where(np.append(nth[1:], 0) > 0, np.append(rank[1:], 0), -1)[order]  # the text's next segment
-        root = self.root[:, None].astype(np.int32)
+        root = self.root[:, None]
 
         def step(state: np.ndarray, root: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            to = self.table[state * self.symbols + c]
+            to = self.moves(state.astype(np.int64) * self.symbols + c)
             new = to == 0
-            first = self.table[root * self.symbols + c]
-            return np.where(new, np.where(first == 0, root, first), to), new
+            at = np.nonzero(new)
+            again = np.broadcast_to(root, to.shape)[at]
+            first = self.moves(again * self.symbols + np.broadcast_to(c, to.shape)[at])
+            to[at] = np.where(first == 0, again, first)
+            return to, new
 
         # by place in the segment, language and segment: the state after it, and whether a phrase began there
         states, begins = (np.zeros((size[0], len(root), len(size)), kind) for kind in (np.int32, bool))

@@ -135,11 +135,15 @@ def verdict(rules: list[Rule]) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> list[Rule]:
-    """The decision list for labels(doc_id, quality), 0 meaning bad."""
+    """The decision list for labels(doc_id, quality), 0 meaning bad. Of rows that repeat a doc_id one counts.
+
+    At most max_labelled rows reach the driver.
+    """
     marked = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
     sample = F.broadcast(marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled))  # at most max_labelled rows of 12 bytes
     seen = with_statistics(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(sample, "doc_id"))
-    rows = seen.select("doc_id", "base_failed", *FEATURES, (F.col("quality") == 0).alias("bad"), F.pmod(F.xxhash64("doc_id"), F.lit(3)).alias("fold")).collect()
+    row = F.struct(F.xxhash64("text").alias("digest"), "base_failed", *FEATURES, (F.col("quality") == 0).alias("bad"), F.pmod(F.xxhash64("doc_id"), F.lit(3)).alias("fold"))
+    rows = seen.groupBy("doc_id").agg(F.min(row).alias("row")).select("doc_id", "row.*").collect()
     rows = sorted((r for r in rows if not r.base_failed), key=lambda r: r.doc_id)
     return learn({f: np.array([r[f] for r in rows], bool if f == "bad" else float) for f in [*FEATURES, "bad", "fold"]})
 

@@ -401,6 +401,17 @@ def test_learned_rules(spark):
     assert quality.fit(docs, labels.limit(0)) == []
 
 
+def test_the_fit_sees_one_row_an_id(spark, monkeypatch):
+    """An id that twenty thousand rows repeat is one labelled row, and as many rows as labels reach the driver."""
+    seen = []
+    monkeypatch.setattr(quality, "learn", lambda x: seen.append(len(x["bad"])) or [])
+    docs = spark.range(20_300).select(F.expr("if(id < 20000, 7, id)").alias("doc_id"), F.expr("concat_ws(' ', transform(sequence(1, 60), i -> concat('w', i * (id % 5 + 1))))").alias("text"))
+    labels = docs.select("doc_id", F.lit(1).alias("quality"))
+    quality.fit(docs, labels, max_labelled=100)
+    quality.fit(docs, labels.where("doc_id = 7"), max_labelled=100)
+    assert seen == [100, 1]
+
+
 # ---- 7
 def _fingerprint(text):
     w = WORD.findall((text or "").translate({c: c + 32 for c in range(65, 91)}))
@@ -636,16 +647,27 @@ def test_license_query_against_its_sql(spark):
 def test_automaton_holds_all_substrings():
     text = "abcbcabacb"
     code = [ord(c) - 96 for c in text]
-    table = languages.automaton(code, 4)
+    steps = languages.automaton(code)
     inside = {text[i:j] for i in range(len(text)) for j in range(i + 1, len(text) + 1)}
     for n in range(1, 6):
         for t in itertools.product("abc", repeat=n):
             s = 1
             for c in t:
-                s = table[s, ord(c) - 96] if s else 0
+                s = steps[s].get(ord(c) - 96, 0) if s else 0
             assert bool(s) == ("".join(t) in inside)
 
 
+def test_automata_of_large_alphabets_stay_small():
+    """Two languages of thousands of letters: what is broadcast grows with the sample, not with letters times states."""
+    r = random.Random(4)
+    samples = {k: ["".join(chr(r.randrange(0x4E00, 0x4E00 + 4000)) for _ in range(1500)) for _ in range(16)] for k in "xy"}
+    m = languages.Model(samples)
+    assert m.symbols > 3500 and m.moves.keys.nbytes + m.moves.to.nbytes < 96 * 3 * 2 * 24_000
+    text = samples["x"][3][100:900] + samples["y"][5][:300]
+    joined = {k: "".join(map(chr, languages.codes(" ".join(v) + " "))) for k, v in samples.items()}
+    assert m.phrases([languages.codes(text)], m.lookup())[0].tolist() == [_phrases(text, joined[k]) for k in m.languages]
+
+
 def _phrases(text, sample):
     n, at = 1, ""
     for c in text:
@@ -683,7 +705,7 @@ def test_phrases_longer_than_segments(monkeypatch):
 def test_language_sample_is_the_same_for_any_order(spark):
     d = spark.read.parquet(f"{SF}/documents.parquet")
     twice = d.unionAll(d).repartition(7)
-    assert (languages.fit(d).table == languages.fit(twice).table).all()
+    assert (languages.fit(d).moves.keys == languages.fit(twice).moves.keys).all()
 
 
 def test_languages_held_out(spark, docs, empty):
