@@ -6,20 +6,49 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import metrics as M
+from ..functions import signatures as S
 from ..functions import text as T
+from .graph import signatures
 
 # The prompts and their scorers, the weights and verdicts of the aggregate, and the recall buckets.
 PROMPTS = [("p1-list-exports", "recall"), ("p2-write-usage", "usage"), ("p3-risk-audit", "specificity"), ("p4-test-strategy", "specificity")]
+QUESTIONS = {
+    "p1-list-exports": ("From the compressed view alone, list each public symbol that the module exports, one a line and nothing else.", "{n} names, one a line"),
+    "p2-write-usage": ('From the compressed view alone, write a new TypeScript file that imports from "{path}" and uses three of its exports or more. Code only.', "valid code that uses three exported symbols or more"),
+    "p3-risk-audit": ("Which risks does the module run: leaks, unhandled errors, races? Name the symbols of the view that each concerns; general advice does not count.", "two symbols of the view or more by name"),
+    "p4-test-strategy": ("How should the module be tested? Name the functions or classes of the view that need tests, and what each test should cover.", "two symbols of the view or more by name"),
+}
 WEIGHTS = {"recall": 40, "usage": 35, "specificity": 25}
 VERDICTS = [(90, "excellent"), (75, "good"), (60, "acceptable"), (30, "lossy")]
 BUCKETS = [(1.0, "100%"), (0.95, "95-99%"), (0.9, "90-94%"), (0.75, "75-89%"), (0.5, "50-74%")]
 LOWEST, MAX_BYTES = "<50%", 10 * 1024 * 1024
 
 
+def ground_truth(files: DataFrame) -> DataFrame:
+    """What an answer about each of files(path, content) is scored by, from the view that the reader sees of it.
+
+    (path, language, view, symbols, raw_tokens, view_tokens, savings_percent): symbols are the sorted names of the
+    signature's exports, functions and classes. A file's signature is read once, for the view and for the names.
+    """
+    d = signatures(files, "content").select("path", "language", M.tokens(F.col("content")).alias("raw_tokens"), T.canonical_exports(F.col("sig")).alias("symbols"), S.rendered(F.col("sig"), F.col("language")).alias("view"))
+    d = d.withColumn("view_tokens", M.tokens(F.col("view")))
+    return d.select("path", "language", "view", "symbols", "raw_tokens", "view_tokens", M.percent_saved(F.col("raw_tokens"), F.col("view_tokens")).alias("savings_percent"))
+
+
 def recall(answer: Column, truth: Column) -> Column:
-    """Share of the symbols that the answer contains, whatever the case; 1 without symbols."""
-    found = F.filter(truth, lambda s: F.contains(F.lower(answer), F.lower(s)))
-    return F.when(F.size(truth) == 0, F.lit(1.0)).otherwise(F.size(found) / F.size(truth))
+    """Share of the symbols that the answer contains, whatever the case; 1 without symbols.
+
+    A symbol of word characters can lie in a run of such characters only. So the answer is read once, for its distinct
+    runs, and these are searched, however long the answer is; other symbols are searched in the answer itself.
+    """
+    low = F.lower(answer)
+    runs = F.array_join(F.array_distinct(F.regexp_extract_all(low, F.lit(r"([a-z0-9_$]+)"), F.lit(1))), " ")
+
+    def found(said: Column) -> Column:
+        return F.size(F.filter(truth, lambda s: F.contains(F.when(F.lower(s).rlike(r"^[a-z0-9_$]+\z"), said["runs"]).otherwise(said["low"]), F.lower(s))))
+
+    n = F.get(F.transform(F.array(F.struct(low.alias("low"), runs.alias("runs"))), found), F.lit(0))  # evaluates both once
+    return F.when(F.size(truth) == 0, F.lit(1.0)).otherwise(n / F.size(truth))
 
 
 def named(answer: Column, symbol: Column) -> Column:
@@ -121,9 +150,13 @@ def provider(name: str):  # noqa: ANN201
 
 
 def questions(truth: DataFrame) -> DataFrame:
-    """(path, prompt_id, scorer): what to ask of each file of truth(path, symbols)."""
-    rows = F.array(*[F.struct(F.lit(p).alias("prompt_id"), F.lit(s).alias("scorer")) for p, s in PROMPTS])
-    return truth.select("path", F.explode(rows).alias("p")).select("path", "p.*")
+    """(path, prompt_id, scorer, question, expected): what to ask of each file of truth(path, symbols)."""
+
+    def filled(text: str) -> Column:
+        return F.replace(F.replace(F.lit(text), F.lit("{path}"), F.col("path")), F.lit("{n}"), F.size("symbols").cast("string"))
+
+    rows = [F.struct(F.lit(p).alias("prompt_id"), F.lit(s).alias("scorer"), filled(QUESTIONS[p][0]).alias("question"), filled(QUESTIONS[p][1]).alias("expected")) for p, s in PROMPTS]
+    return truth.select("path", F.explode(F.array(*rows)).alias("p")).select("path", "p.*")
 
 
 def validate(truth: DataFrame, mode: str = "run", answers: DataFrame | None = None, by: str = "mock") -> DataFrame:

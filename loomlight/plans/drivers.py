@@ -223,6 +223,41 @@ def catalog_cost(spark: SparkSession, sf: str) -> DataFrame:
     return K.cost(K.compressed(tables.tools(spark, sf)))
 
 
+# ---- files validated by their own views
+_HEAD = "'^([A-Za-z_$][\\w$]*)'"
+_BARE = "regexp_replace(regexp_replace(x, '^export\\s+(default\\s+)?(async\\s+)?', ''), '^(type|interface|const|let|var|function|class|enum|namespace)\\s+', '')"
+_SYMBOLS = f"""list_sort(list_distinct(list_filter(flatten([list_transform(exports, lambda x: regexp_extract({_BARE}, {_HEAD}, 1)),
+  list_transform(functions, lambda x: regexp_extract(x, '^(?:async\\s+)?function\\s+([A-Za-z_$][\\w$]*)', 1)),
+  list_transform(classes, lambda x: regexp_extract(x, '^(?:abstract\\s+)?class\\s+([A-Za-z_$][\\w$]*)', 1))]), lambda x: x <> '')))"""
+_VALIDATED = f"{code.RENDERED}, truth AS (SELECT path, language, view, {_SYMBOLS} AS symbols, {tok('content')} AS raw_tokens, {tok('view')} AS view_tokens FROM rendered)"
+
+
+@query(f"WITH {_VALIDATED} SELECT path, language, array_to_string(symbols, ',') AS symbols, md5(view) AS digest, raw_tokens, view_tokens, {pct('raw_tokens', 'view_tokens')} AS savings_percent FROM truth")
+def ground_truths(spark: SparkSession, sf: str) -> DataFrame:
+    """What answers about each file are scored by, from the file's view."""
+    d = V.ground_truth(code.files(spark, sf))
+    return d.withColumn("symbols", F.array_join("symbols", ",")).withColumn("digest", F.md5("view")).drop("view")
+
+
+@query(f"WITH {_VALIDATED}, n AS (SELECT path, len(symbols) AS n FROM truth) SELECT path, 1.0::DOUBLE AS recall, CASE WHEN n = 0 THEN 0.0 ELSE least(n / 3, 1.0) END AS usage, CASE WHEN n = 0 THEN 0.0 ELSE least(n / 2, 1.0) END AS specificity, CAST(floor(40 + CASE WHEN n = 0 THEN 0 ELSE least(n / 3, 1.0) * 35 + least(n / 2, 1.0) * 25 END + 0.5) AS BIGINT) AS score FROM n")
+def validated_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Every file's view, asked of a provider that knows all of its symbols."""
+    return V.validate(V.ground_truth(code.files(spark, sf)).select("path", "symbols")).drop("verdict")
+
+
+def _filled(text: str) -> str:
+    return f"replace(replace('{text}', '{{path}}', path), '{{n}}', CAST(len(symbols) AS VARCHAR))"
+
+
+_ASKED_OF_ALL = " UNION ALL ".join(f"SELECT path, '{p}' AS prompt_id, '{scorer}' AS scorer, {_filled(V.QUESTIONS[p][0])} AS question, {_filled(V.QUESTIONS[p][1])} AS expected FROM truth" for p, scorer in V.PROMPTS)
+
+
+@query(f"WITH {_VALIDATED} {_ASKED_OF_ALL}")
+def file_questions(spark: SparkSession, sf: str) -> DataFrame:
+    """The four questions about every file, and what answers should hold."""
+    return V.validate(V.ground_truth(code.files(spark, sf)).select("path", "symbols"), "prompts")
+
+
 # ---- scores of a provider
 @query(f"WITH {tables._TRUTH} SELECT path, CASE WHEN len(symbols) = 0 THEN 1.0::DOUBLE ELSE len(list_filter(symbols, lambda s: contains(lower(array_to_string(list_slice(symbols, 1, len(symbols) // 2), chr(10))), lower(s)))) / len(symbols) END AS recall FROM truth")
 def faulty_run(spark: SparkSession, sf: str) -> DataFrame:

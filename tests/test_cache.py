@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from loomlight.operators import cache as C
 from loomlight.operators import scores as V
@@ -91,6 +92,18 @@ def test_words_have_ascii_boundaries(spark):
     assert df.select(V.named(df.answer, df.symbol).alias("got"), "want").where("got <> want OR got IS NULL").count() == 0
 
 
+def test_recall_by_runs(spark):
+    """Runs of word characters find what a search of the whole answer finds."""
+    chance = random.Random(6)
+    letters = ["a", "B", "_", "$", "1", " ", "-", ".", "é", "\n", "\u212a", "K"]
+    rows = [("".join(chance.choices(letters, k=chance.randint(0, 40))), ["".join(chance.choices(letters, k=chance.randint(1, 3))) for _ in range(chance.randint(0, 6))]) for _ in range(300)]
+    got = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, answer string, truth array<string>").select("i", V.recall(F.col("answer"), F.col("truth")).alias("r")).collect()
+    for r in got:
+        answer, truth = rows[r.i]
+        assert r.r == (sum(t.lower() in answer.lower() for t in truth) / len(truth) if truth else 1.0)
+    assert spark.sql("SELECT CAST(NULL AS STRING) AS a, array('x') AS t").select(V.recall(F.col("a"), F.col("t"))).first()[0] == 0
+
+
 def test_names_are_registered_once():
     assert catalogue.gathered([{"a": 1}, {"b": 2}]) == {"a": 1, "b": 2}
     with pytest.raises(ValueError, match="registered twice"):
