@@ -7,7 +7,8 @@ files that may mean them are resolved again, from the candidates that are kept.
 touched parts are replaced; nothing of an older graph stays.
 
 Crash safety: nodes, edges and indexes are written first, what was scanned second, digests last. A refresh that dies
-leaves the old digests, so the next one finds the same parts again. One writer a folder at a time.
+leaves the old digests, so the next one finds the same parts again. One writer a folder at a time; frames taken before
+a refresh may name files that it has replaced, take them anew.
 
 Traversals read the links by source or by target, bucketed and sorted by it: a hop moves its frontier only. Search reads
 posting lists of trigrams, whose intersection names the parts of the nodes to look at. Links are made by the first

@@ -170,6 +170,7 @@ def test_graph_is_kept_by_its_manifest(spark, tmp_path):
     assert nodes.count() == 4 * 3 + 3 and edges.where("kind = 'imports'").count() == 3
     assert graph.refresh(files).scanned == 0 and graph.refresh(files, rebuild=True).scanned == 4
     assert graph.refresh(files.withColumn("mtime_ms", F.lit(2).cast("long"))).scanned == 4
+    nodes, edges = graph.nodes, graph.edges
     got = A.ask(nodes, edges, "f0", "depends_on").first()
     assert got.nodes_traversed == 2 and 'Dependencies of "f0"' in got.result
     got = A.ask(nodes, edges, "/s/0.ts", "dependents").first()
