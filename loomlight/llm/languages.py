@@ -77,40 +77,54 @@ def automaton(text: list[int]) -> list[dict[int, int]]:
 
 
 class Moves:
-    """Transitions (state, symbol) -> state in a hash table with open places: four to eight places each, whatever the
-    alphabet. A lookup goes on from place to place until it meets its key or an empty one."""
-
-    def __init__(self, keys: np.ndarray, to: np.ndarray):
-        self.bits = max(4, int(4 * len(keys)).bit_length())
-        self.keys, self.to = np.full(1 << self.bits, -1), np.zeros(1 << self.bits, np.int32)
-        at = self._first(keys)
-        while len(keys):
-            free = np.flatnonzero(self.keys[at] < 0)
-            own = free[np.unique(at[free], return_index=True)[1]]
-            self.keys[at[own]], self.to[at[own]] = keys[own], to[own]
-            rest = np.ones(len(keys), bool)
-            rest[own] = False
-            keys, to, at = keys[rest], to[rest], (at[rest] + 1) & (1 << self.bits) - 1
-
-    def _first(self, keys: np.ndarray) -> np.ndarray:
-        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
-
-    def __call__(self, keys: np.ndarray) -> np.ndarray:
-        """Where each key leads; 0 if nowhere."""
-        flat = keys.ravel()
-        at = self._first(flat)
-        met = self.keys[at]
-        out = np.where(met == flat, self.to[at], 0)
-        todo = np.flatnonzero((met != flat) & (met >= 0))
-        at = at[todo]
-        while len(todo):
-            at = (at + 1) & (1 << self.bits) - 1
-            met = self.keys[at]
-            hit = met == flat[todo]
-            out[todo[hit]] = self.to[at[hit]]
-            goes = ~hit & (met >= 0)
-            todo, at = todo[goes], at[goes]
-        return out.reshape(keys.shape)
+    """Transitions (state, symbol) -> state as rows laid over each other: the place of a transition is its state's base
+    plus its symbol, and says whose it is. Rows with several transitions look for free places, longest rows first and
+    rows of a length from where the last one fitted; single ones fill the gaps. So the table grows with the
+    transitions, whatever the alphabet.
+    """
+
+    def __init__(self, rows: list[dict[int, int]], symbols: int):
+        self.base = np.zeros(len(rows), np.int64)
+        taken, tried = bytearray(2 * (sum(map(len, rows)) + symbols) + 1), {}
+        free = 0
+        held: list[tuple[int, int, int]] = []
+        for s in sorted(range(len(rows)), key=lambda s: -len(rows[s])):
+            row = rows[s]
+            if not row:
+                break
+            first, *rest = sorted(row)
+            if rest:
+                at = max(tried.get(len(row), 0), first)
+                while True:
+                    at = taken.find(0, at)
+                    if at < 0:
+                        at = len(taken)
+                    if at + symbols >= len(taken):
+                        taken.extend(bytes(len(taken)))
+                    base = at - first
+                    if not any(taken[base + c] for c in rest):
+                        break
+                    at += 1
+                tried[len(row)] = at
+            else:
+                at = free = taken.find(0, max(free, first)) if taken.find(0, max(free, first)) >= 0 else len(taken)
+                if at + symbols >= len(taken):
+                    taken.extend(bytes(len(taken)))
+                base = at - first
+            self.base[s] = base
+            for c, t in row.items():
+                taken[base + c] = 1
+                held.append((base + c, s, t))
+        place = np.array(held, np.int64).reshape(-1, 3)
+        self.table = np.full(max([*(self.base + symbols).tolist(), 1]), -1)
+        self.table[place[:, 0]] = place[:, 1] << 32 | place[:, 2]  # whose place it is, and where it leads
+        self.first, self.second = (1, 0) if np.little_endian else (0, 1)
+
+    def __call__(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """Where each state goes with each symbol; 0 if nowhere."""
+        met = self.table.take(self.base.take(state) + symbol)
+        halves = met.view(np.int32).reshape(*met.shape, 2)
+        return (halves[..., self.first] == state) * halves[..., self.second]
 
 
 class Model:
@@ -122,9 +136,12 @@ class Model:
         steps = [automaton((np.searchsorted(known, joined[lang]) + 1).tolist()) for lang in self.languages]
         sizes = [len(step) for step in steps]
         self.root = np.cumsum([0, *sizes])[:-1] + 1
-        moves = [np.array([(s, c, t) for s, of in enumerate(step) for c, t in of.items()], np.int64).reshape(-1, 3) + [r - 1, 0, r - 1] for step, r in zip(steps, self.root.tolist(), strict=True)]
-        moves = np.concatenate([np.zeros((0, 3), np.int64), *moves])
-        self.moves = Moves(moves[:, 0] * self.symbols + moves[:, 1], moves[:, 2])
+        rows = [{c: t + r - 1 for c, t in row.items()} for step, r in zip(steps, self.root.tolist(), strict=True) for row in step]
+        self.moves = Moves(rows, self.symbols)
+        # where a phrase begins: by language and symbol, the root where the sample doesn't have the symbol
+        self.roots = np.repeat(self.root, self.symbols).astype(np.int32)
+        for n, r in enumerate(self.root.tolist()):
+            self.roots[[n * self.symbols + c for c in rows[r]]] = list(rows[r].values())
 
     def lookup(self) -> np.ndarray:
         """Symbol of each code point; 0 where the sample doesn't have it."""
@@ -151,33 +168,29 @@ class Model:
         rank = np.empty_like(order)
         rank[order] = np.arange(len(order))
         after = np.where(np.append(nth[1:], 0) > 0, np.append(rank[1:], 0), -1)[order]  # the text's next segment
-        root = self.root[:, None]
+        every = np.arange(len(self.root))[:, None]
 
-        def step(state: np.ndarray, root: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            to = self.moves(state.astype(np.int64) * self.symbols + c)
+        def step(state: np.ndarray, lang: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            to = self.moves(state, c)
             new = to == 0
-            at = np.nonzero(new)
-            again = np.broadcast_to(root, to.shape)[at]
-            first = self.moves(again * self.symbols + np.broadcast_to(c, to.shape)[at])
-            to[at] = np.where(first == 0, again, first)
-            return to, new
+            return np.where(new, self.roots.take(lang * self.symbols + c), to), new
 
         # by place in the segment, language and segment: the state after it, and whether a phrase began there
-        states, begins = (np.zeros((size[0], len(root), len(size)), kind) for kind in (np.int32, bool))
-        state = np.broadcast_to(root, states.shape[1:])
+        states, begins = (np.zeros((size[0], len(every), len(size)), kind) for kind in (np.int32, bool))
+        state = np.broadcast_to(self.root[:, None], states.shape[1:])
         for t in range(size[0]):
             live = len(size) - np.searchsorted(size[::-1], t, side="right")
-            state, begins[t, :, :live] = step(state[:, :live], root, data[start[:live] + t])
+            state, begins[t, :, :live] = step(state[:, :live], every, data[start[:live] + t])
             states[t, :, :live] = state
 
         # again from the state in which the segment before ends
         b = np.flatnonzero(after >= 0)
-        a, b = (x.ravel() for x in np.meshgrid(np.arange(len(root)), b, indexing="ij"))
+        a, b = (x.ravel() for x in np.meshgrid(np.arange(len(every)), b, indexing="ij"))
         while len(b):
             a, b, state = a, after[b], states[size[b] - 1, a, b]
             reached, t = [], 0
             while len(b):
-                state, new = step(state, root[a, 0], data[start[b] + t])
+                state, new = step(state, a, data[start[b] + t])
                 differs = states[t, a, b] != state
                 states[t, a, b], begins[t, a, b] = state, new
                 t += 1

@@ -662,7 +662,7 @@ def test_automata_of_large_alphabets_stay_small():
     r = random.Random(4)
     samples = {k: ["".join(chr(r.randrange(0x4E00, 0x4E00 + 4000)) for _ in range(1500)) for _ in range(16)] for k in "xy"}
     m = languages.Model(samples)
-    assert m.symbols > 3500 and m.moves.keys.nbytes + m.moves.to.nbytes < 96 * 3 * 2 * 24_000
+    assert m.symbols > 3500 and m.moves.table.nbytes + m.moves.base.nbytes < 40 * 3 * 2 * 24_000
     text = samples["x"][3][100:900] + samples["y"][5][:300]
     joined = {k: "".join(map(chr, languages.codes(" ".join(v) + " "))) for k, v in samples.items()}
     assert m.phrases([languages.codes(text)], m.lookup())[0].tolist() == [_phrases(text, joined[k]) for k in m.languages]
@@ -705,7 +705,7 @@ def test_phrases_longer_than_segments(monkeypatch):
 def test_language_sample_is_the_same_for_any_order(spark):
     d = spark.read.parquet(f"{SF}/documents.parquet")
     twice = d.unionAll(d).repartition(7)
-    assert (languages.fit(d).moves.keys == languages.fit(twice).moves.keys).all()
+    assert (languages.fit(d).moves.table == languages.fit(twice).moves.table).all()
 
 
 def test_languages_held_out(spark, docs, empty):
