@@ -10,6 +10,8 @@ from ..functions import metrics as M
 from ..functions import signatures as S
 from ..functions import text as T
 from ..functions.scanners import signature
+from ..sources.shared import cut
+from .keyed import KeptCache
 
 DEPTHS = ["signature", "structure", "summary", "full"]
 FORMATS = ["toon", "compact", "whitelist"]
@@ -44,6 +46,19 @@ def files(sources: DataFrame, depth: str = "signature", cache: DataFrame | None
     return d.unionByName(hits.select("path", "language", "type", "view", "m.*", "note"))
 
 
+def served(store: KeptCache, sources: DataFrame, depth: str, now_ms: int) -> DataFrame:
+    """`files` through a kept cache: hits are counted, stale entries go, and the views just made are stored.
+
+    Only buckets of the sources' paths are read and rewritten. Of sources that repeat a path the cache stores one.
+    """
+    seen = cut(sources.select(F.col("path").alias("file_path"), M.content_hash(F.col("content")).alias("hash")), "served-seen")
+    made = cut(files(sources, depth, cache=store.lookup(seen)), "served-views")
+    store.check(seen, now_ms)
+    view = made.where("language <> 'cached'").join(seen.withColumnRenamed("file_path", "path").dropDuplicates(["path"]), "path")
+    store.store(view.select(F.col("path").alias("file_path"), "hash", F.col("view").alias("content"), F.col("optimized_tokens").alias("tokens"), "original_tokens", "type", F.lit(0).cast("long").alias("hit_count"), F.lit(now_ms).cast("long").alias("updated_at")))
+    return made
+
+
 def cleaned(texts: DataFrame, form: str = "toon", fields: list[str] | None = None, max_items: int = J.MAX_ITEMS) -> DataFrame:
     """texts(id, data), JSON, in a form: id, original (a preview), cleaned, format, tokens before and after, savings, note.
 

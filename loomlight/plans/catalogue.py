@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from . import code, drivers, scanned, tables
+from . import code, drivers, kept, scanned, tables
 
-MODULES = (code, tables, scanned, drivers)
+MODULES = (code, tables, scanned, drivers, kept)
 
 
 def gathered(tables: Iterable[dict]) -> dict:
