@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import bpe
 from ..functions import metrics as M
+from ..functions import signatures as S
 from ..operators import ask as A
 from ..operators import cache as C
 from ..operators import catalog as K
@@ -294,5 +295,17 @@ def bpe_savings(spark: SparkSession, sf: str) -> DataFrame:
     """Savings of the summary view by language, in tokens of a byte-pair encoding; SQL has none."""
     import public_tokenizers
 
-    with M.counting(bpe.counter(public_tokenizers.path("byte_bpe_50k.json"))):
-        return tables.corpus_savings(spark, sf)
+    d = tables.read(spark, sf, "documents").select(F.col("lang").alias("language"), F.col("text"), S.head_and_tail(F.col("text")).alias("view"))
+    texts = d.select(F.explode(F.array(*[F.struct(F.struct("language", F.lit(of).alias("of")).alias("id"), F.col(of).alias("text")) for of in ("text", "view")])).alias("t")).select("t.*")
+    n = bpe.token_counts(texts, public_tokenizers.path("byte_bpe_50k.json")).groupBy("id.language").agg(*[F.sum(F.when(F.col("id.of") == of, F.col("tokens"))).alias(c) for of, c in (("text", "original_tokens"), ("view", "optimized_tokens"))])
+    files = d.groupBy("language").agg(F.count("*").alias("files"))
+    return files.join(n, files.language.eqNullSafe(n.language)).select(files.language, "files", "original_tokens", "optimized_tokens", M.percent_saved(F.col("original_tokens"), F.col("optimized_tokens")).alias("savings_percent"))
+
+
+@query()
+def document_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    """The tokens of every document by a byte-pair encoding, from its distinct pieces; SQL has none."""
+    import public_tokenizers
+
+    d = tables.read(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    return bpe.token_counts(d, public_tokenizers.path("byte_bpe_50k.json")).withColumnRenamed("id", "doc_id")

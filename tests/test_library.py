@@ -163,6 +163,25 @@ def test_tokens_by_a_vocabulary(spark):
     assert [r.n for r in df.select(M.tokens(F.col("text")).alias("n")).collect()] == [3, 0, 0, 5, 250, 0]
 
 
+def test_tokens_by_distinct_pieces_equal_the_library(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    t = Tokenizer.from_file(path)
+    t.encode_special_tokens = True
+    odd = ["", " ", None, " \n\t ", "a  b\n\n c   ", "it's we'll I'd they've 'S", "née\u00a0x\u3000 日本語 12³ ½ ", "x\u200by \x1c\x1d \x85 \u2028z", "😀👩‍👩‍👧 <|endoftext|>", "a" * 3000 + " " * 5000 + "1" * 2000, "Ünïcödé ẞ ǅ", "----====>>>> \r\n\r\n  end"]
+    texts = spark.createDataFrame([(i, x) for i, x in enumerate(odd)] + [(4, "twice"), (None, "no id")], "id long, text string")
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select((F.col("doc_id") + 1000).alias("id"), "text")
+    both = texts.unionByName(docs).cache()
+    want: dict = {}
+    for r in both.collect():
+        n = len(t.encode(r.text, add_special_tokens=False).ids) if r.text and not r.text.isspace() else 0
+        want[r.id] = want.get(r.id, 0) + n
+    assert {r.id: r.tokens for r in bpe.token_counts(both, path).collect()} == want
+    assert bpe.token_counts(both.limit(0), path).count() == 0
+
+
 def test_graph_is_kept_by_its_manifest(spark, tmp_path):
     rows = [(f"/s/{i}.ts", f"import {{ x }} from './{i + 1}.js';\nexport function f{i}() {{}}", 1, 10) for i in range(4)]
     files = spark.createDataFrame(rows, "path string, content string, mtime_ms long, size long")
