@@ -173,13 +173,29 @@ def validate(truth: DataFrame, mode: str = "run", answers: DataFrame | None = No
     return score_answers(questions(truth).join(truth, "path").select("path", "prompt_id", text.alias("text")), truth)
 
 
-def report(scored: DataFrame, least: int = VERDICTS[2][0]) -> tuple[str, int]:
-    """A text of scored files and the exit status of a check: 1 if the mean score is below `least`.
+def summary(scored: DataFrame, least: int = VERDICTS[2][0], worst: int = 10) -> dict:
+    """What a check of scored files says: their number, mean score, verdict and shares, files below `least`, whether it passes.
 
-    Only aggregates and the ten lowest scores reach the driver.
+    Only aggregates and the lowest scores reach the driver.
     """
-    a = scored.agg(F.count("*").alias("n"), F.avg("score").alias("score"), *[F.avg(s).alias(s) for s in WEIGHTS]).first()
-    worst = scored.orderBy("score", "path").limit(10).collect()
+    shares = [F.avg(s).alias(s) for s in WEIGHTS]
+    a = scored.agg(F.count("*").alias("n"), F.avg("score").alias("score"), F.count_if(F.col("score") < least).alias("below"), *shares).select("*", verdict(F.coalesce(F.col("score"), F.lit(0.0))).alias("verdict")).first()
+    low = scored.orderBy("score", "path").limit(worst).collect()
     mean = a.score or 0.0
-    lines = [f"files: {a.n}", f"score: {mean:.1f}", *(f"{s}: {100 * (a[s] or 0):.1f}%" for s in WEIGHTS), "", *(f"{r.score:>3} {r.verdict} {r.path}" for r in worst)]
-    return "\n".join(lines), int(mean < least)
+    return {
+        "files": a.n,
+        "score": round(mean, 1),
+        "verdict": a.verdict,
+        **{s: a[s] or 0.0 for s in WEIGHTS},
+        "below": a.below,
+        "least": least,
+        "passed": mean >= least,
+        "lowest": [{"path": r.path, "score": r.score, "verdict": r.verdict, **{s: r[s] for s in WEIGHTS}} for r in low],
+    }
+
+
+def report(scored: DataFrame, least: int = VERDICTS[2][0]) -> tuple[str, int]:
+    """A text of scored files and the exit status of a check: 1 if the mean score is below `least`."""
+    a = summary(scored, least)
+    lines = [f"files: {a['files']}", f"score: {a['score']:.1f}", *(f"{s}: {100 * a[s]:.1f}%" for s in WEIGHTS), "", *(f"{r['score']:>3} {r['verdict']} {r['path']}" for r in a["lowest"])]
+    return "\n".join(lines), int(not a["passed"])

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from ..functions import metrics as M
 from ..operators import scores as V
 
-TOP = 10
+#: Files of a report, and rows that one answer may hold.
+TOP, MOST_ROWS = 10, 10_000
 
 
 def _table(df: DataFrame, titles: list[str]) -> list[str]:
@@ -53,14 +54,24 @@ def write_report(text: str, out: str | None = None) -> None:
         f.write(text)
 
 
-def envelope(call: Callable[[], object]) -> Mapping[str, object]:
-    """What a client gets of a call: its result as text, or its error, marked as one."""
+def _rows(result: DataFrame, most: int) -> list[dict]:
+    rows = [r.asDict(recursive=True) for r in result.limit(most + 1).collect()]
+    if len(rows) > most:
+        raise ValueError(f"the result has more than {most} rows; write it as a table instead")
+    return rows
+
+
+def envelope(call: Callable[[], object], most: int = MOST_ROWS) -> Mapping[str, object]:
+    """What a client gets of a call: its result as text, or its error, marked as one.
+
+    A frame is evaluated here, so its failures are answers too. One of more than `most` rows is an error, never cut.
+    """
     try:
         result = call()
+        if isinstance(result, DataFrame):
+            result = _rows(result, most)
     except Exception as e:  # noqa: BLE001  any failure is the client's answer
         return {"content": json.dumps({"error": str(e)}), "is_error": True}
-    if isinstance(result, DataFrame):
-        result = [r.asDict(recursive=True) for r in result.collect()]
     return {"content": result if isinstance(result, str) else json.dumps(result, ensure_ascii=False, default=str), "is_error": False}
 
 

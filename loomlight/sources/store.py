@@ -9,6 +9,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import cut
+
 log = logging.getLogger("loomlight")
 CACHE = "file_path string, hash string, content string, tokens long, original_tokens long, type string, hit_count long, updated_at long"
 MEMORY = "mem_key string, value string, updated_at long"
@@ -61,6 +63,6 @@ def migrate(store: DataFrame, path: str, now_ms: int) -> DataFrame:
     fs, at = _fs(spark, path)
     if not store.isEmpty() or not fs.exists(at):
         return store
-    rows = read_json(spark, path, now_ms).collect()  # a file that one reader reads whole
+    rows = cut(read_json(spark, path, now_ms).select(*store.columns), "migrated")  # a table before its file goes
     fs.rename(at, _fs(spark, f"{path}.migrated")[1])
-    return spark.createDataFrame(rows, store.schema)
+    return rows
