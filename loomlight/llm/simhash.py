@@ -3,13 +3,14 @@
 A 64-bit fingerprint is eight positional bytes. Two fingerprints that differ in at most d bits differ in at most d
 bytes, so at least 8 - d positional bytes are shared: the guaranteed minimum. The index posts every distinct
 fingerprint under sets of positional bytes chosen so that any pair reaching the minimum meets in some posting list
-(for d = 4: twenty sets of three positions, such that every four of the eight positions contain one). Within a list
-the shared positional bytes of each pair are tallied, pairs below the minimum are dropped, and the rest is verified
-by the Hamming distance. Lists over CHUNK fingerprints are dealt out as pairs of chunks, and a task returns the
+(for d = 4: twenty sets of three positions, such that every four of the eight positions contain one). Lists of single
+bytes would hold a 256th of all fingerprints each, so that tallying over them were all pairs; lists of three bytes
+already count three towards the tally. Within a list the shared positional bytes of each pair are tallied, pairs below
+the minimum are dropped unseen, and only the rest is verified by the Hamming distance. Lists over CHUNK fingerprints are dealt out as pairs of chunks, and a task returns the
 spanning forest of the links that it finds, never the pairs, so a dense group costs rows in proportion to its size.
 
 Defined cases: a null text, a text without words and an empty text have fingerprint zero and link to each other and
-to anything within d bits of zero; a row without doc_id links with nothing and has no component; exact copies share one index entry; repeated doc_ids are one node; other columns
+to anything within d bits of zero; a text of any length is hashed whole, 65,536 shingles at a time; a bit set in exactly half the hashes is 0; a row without doc_id links with nothing and has no component; exact copies share one index entry; repeated doc_ids are one node; other columns
 are ignored; an empty table gives an empty result.
 """
 
@@ -78,6 +79,17 @@ def _byte(c: Column, i: int) -> Column:
     return F.shiftrightunsigned(c, 56 - 8 * i).bitwiseAND(F.lit(255))
 
 
+def shared_bytes(x: np.ndarray) -> np.ndarray:
+    """The tally: in how many positions the bytes of two fingerprints agree, from their exclusive or."""
+    return (x.view(np.uint8).reshape(-1, BYTES) == 0).sum(axis=1)
+
+
+def close(x: np.ndarray, max_bits: int) -> tuple[np.ndarray, int]:
+    """Places of the pairs, given as exclusive ors, that differ in at most max_bits bits; how many the tally let through."""
+    counted = np.flatnonzero(shared_bytes(x) >= BYTES - max_bits)
+    return counted[np.bitwise_count(x[counted]) <= max_bits], len(counted)
+
+
 def _links(frames: Iterator[pd.DataFrame], max_bits: int) -> Iterator[pd.DataFrame]:
     """Tally, filter and verify all pairs of each run of equal keys; returns the forest of the links of many runs."""
     for f in gathered(frames, ["key", "part"], 100_000):
@@ -90,9 +102,7 @@ def _links(frames: Iterator[pd.DataFrame], max_bits: int) -> Iterator[pd.DataFra
         own, place = np.unique(node, return_inverse=True)  # a document's entries are one node in all its lists
         at, k, held = np.arange(len(f)), 1, 0
         while len(at := at[at + k < len(f)]) and len(at := at[group[at] == group[at + k]]):
-            x = fp[at] ^ fp[at + k]
-            shared = (x.view(np.uint8).reshape(-1, 8) == 0).sum(axis=1)
-            hit = (shared >= BYTES - max_bits) & (np.bitwise_count(x) <= max_bits)
+            hit, _ = close(fp[at] ^ fp[at + k], max_bits)
             a.append(place[at[hit]])
             b.append(place[at[hit] + k])
             held += len(a[-1])
