@@ -3,18 +3,21 @@
 A page is cut into text lines, one per block. Pages with any text are put in order of host, path and page_id; a page's
 partner is its predecessor or successor of the same host, whichever path shares more leading directories, then more
 leading characters, and the predecessor if both do alike. No other page of the host shares more characters. The lines
-of a pair are aligned by their longest common subsequence and shared lines are deleted.
+of a pair are aligned by their longest common subsequence, and shared lines outside of article and main elements are
+deleted: menus and footers that pages have in common go by that, whatever their markup.
 
-Structure settles what differencing can't: lines of an article or main element stay even if another page repeats
+Structure settles what differencing leaves: lines of an article or main element stay even if another page repeats
 them, and lines of menus, headers, footers, sidebars, notices, adverts, forms and reader comments go even if each page
-has its own. A page that differencing would leave empty (its pair is a copy) keeps its undecided lines.
+has its own. A page that differencing would leave empty (its pair is a copy) keeps its undecided lines. n_differenced
+and n_structural count the lines that each of the two removed.
 
 The order is cut into ranges, each of which also gets the last row before and the first row after it, so a host with a
 third of all pages is never gathered, and a page is the partner of two others at most; pairs exchange 8-byte hashes of
 lines, not texts.
 
 Defined cases: null or empty html gives an empty text; a null url shares the empty host; a page alone in its host has
-no partner and keeps its undecided lines; repeated rows are extracted alike and have one place, that of their smallest host and path; other columns are ignored; an empty table
+no partner and keeps its undecided lines; pages of any length are cut whole; of equally near pages the predecessor is
+the partner, of several longest common subsequences one is taken, the same on each run; repeated rows are extracted alike and have one place, that of their smallest host and path; other columns are ignored; an empty table
 gives no rows.
 """
 
@@ -119,12 +122,21 @@ def common_lines(a: list[int], b: list[int]) -> set[int]:
     return out
 
 
-def main_text(page: list[tuple[str, int]], own: list[int], partner: list[int] | None) -> str:
+def decided(page: list[tuple[str, int]], own: list[int], partner: list[int] | None) -> tuple[str, int, int]:
+    """A page's main text, and how many lines differencing and structure removed from it."""
     shared = common_lines(own, partner) if partner else set()
-    kept = [t for i, (t, r) in enumerate(page) if r == CONTENT or (r == UNDECIDED and i not in shared)]
-    if not kept:
-        kept = [t for t, r in page if r == UNDECIDED]
-    return " ".join(kept)
+    outside = [i for i, (_, r) in enumerate(page) if r != CONTENT]
+    differenced = [i for i in outside if i in shared]
+    structural = [i for i in outside if i not in shared and page[i][1] == DROPPED]
+    gone = {*differenced, *structural}
+    if len(gone) == len(page):  # a copy: what only differencing speaks against comes back
+        differenced = [i for i in differenced if page[i][1] == DROPPED]
+        gone = {*differenced, *structural}
+    return " ".join(t for i, (t, _) in enumerate(page) if i not in gone), len(differenced), len(structural)
+
+
+def main_text(page: list[tuple[str, int]], own: list[int], partner: list[int] | None) -> str:
+    return decided(page, own, partner)[0]
 
 
 def _hashes(page: list[tuple[str, int]]) -> list[int]:
@@ -149,11 +161,13 @@ def _squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     d = zstandard.ZstdDecompressor()
     for b in batches:
-        texts = []
+        made = []
         for packed, partner in zip(b.column("packed").to_pylist(), b.column("partner_hashes").to_pylist(), strict=True):
             page = [(t, r) for t, r in json.loads(d.decompress(packed).decode("utf-8", "surrogatepass"))]
-            texts.append(main_text(page, _hashes(page), partner))
-        yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
+            made.append(decided(page, _hashes(page), partner))
+        texts = [t for t, _, _ in made]
+        counts = {"n_chars": [len(t) for t in texts], "n_differenced": [n for _, n, _ in made], "n_structural": [n for _, _, n in made]}
+        yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), *(pa.array(c, pa.int64()) for c in counts.values())], ["page_id", "url", "text", *counts])
 
 
 def _nearer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,7 +198,7 @@ def _partners(light: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """(page_id, url, text, n_chars) for every row of pages(page_id, url, html)."""
+    """(page_id, url, text, n_chars, n_differenced, n_structural) for every row of pages(page_id, url, html)."""
     prepare(pages.sparkSession)
     url = F.coalesce(F.col("url").cast("string"), F.lit(""))
     host = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
@@ -194,7 +208,7 @@ def extract(pages: DataFrame) -> DataFrame:
     with Scratch(pages.sparkSession) as scratch:
         known = materialize(_known(parsed, scratch), "page-partners")
     packed = parsed.select("page_id", "url", "html").mapInArrow(_squeezed, "page_id long, url string, packed binary")
-    return packed.join(known, "page_id", "left").mapInArrow(_difference, "page_id long, url string, text string, n_chars long")
+    return packed.join(known, "page_id", "left").mapInArrow(_difference, "page_id long, url string, text string, n_chars long, n_differenced long, n_structural long")
 
 
 def _known(parsed: DataFrame, scratch: Scratch) -> DataFrame:

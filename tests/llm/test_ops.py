@@ -288,6 +288,9 @@ def test_pages(spark):
     want = {1: "One & two first line bold x < y", 2: "own two", 3: "own three", 4: "", 5: "plain text here", 6: "kept body", 7: "copy of it", 8: "copy of it", 9: ""}
     assert {i: r.text for i, r in got.items()} == want
     assert all(r.n_chars == len(r.text) for r in got.values())
+    # the line, the header, the menu and the footer that pages 2 and 3 have in common; the form is page 3's own
+    assert (got[2].n_differenced, got[2].n_structural) == (4, 0) and (got[3].n_differenced, got[3].n_structural) == (4, 2)
+    assert (got[7].n_differenced, got[6].n_differenced, got[6].n_structural) == (0, 0, 5)
     assert pages.extract(df.limit(0)).count() == 0
 
 
@@ -427,6 +430,20 @@ def _groups(ids, linked):
     return least
 
 
+def test_simhash_tally_drops_pairs_unseen():
+    """Pairs that share the three bytes of a list and no fourth are dropped before their bits are looked at."""
+    r = np.random.default_rng(3)
+    fp = r.integers(0, 1 << 63, 400, dtype=np.uint64) & np.uint64(0x0000000303030303) | np.uint64(0xAABBCC0000000000)
+    i, j = np.triu_indices(len(fp), 1)
+    x = fp[i] ^ fp[j]
+    hit, let_through = simhash.close(x, 4)
+    assert hit.tolist() == [k for k, v in enumerate(x.tolist()) if v.bit_count() <= 4]
+    assert len(hit) <= let_through == sum(v.to_bytes(8, "big").count(0) >= 4 for v in x.tolist())
+    fp = r.integers(0, 1 << 40, 2000, dtype=np.uint64) | np.uint64(0xAABBCC0000000000)
+    x = fp[:-1] ^ fp[1:]
+    assert simhash.close(x, 4)[1] < len(x) / 20
+
+
 @pytest.mark.parametrize("chunk", [2048, 2])
 def test_simhash_against_all_pairs(docs, empty, monkeypatch, chunk):
     monkeypatch.setattr(simhash, "CHUNK", chunk)
