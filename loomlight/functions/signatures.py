@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
@@ -42,6 +44,11 @@ def any_of(patterns: list[str]) -> str:
     return "|".join(f"(?:{p})" for p in patterns)
 
 
+def once(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x) with x evaluated once a row, however often f names it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def trimmed(x: Column) -> Column:
     return F.regexp_replace(x, r"^\s+|\s+$", "")
 
@@ -54,8 +61,10 @@ def _upto(line: Column, *marks: str) -> Column:
 
 def by_lines(content: Column, lang: Column) -> Column:
     """struct(imports, exports, functions, classes) of arrays in the order of the lines; works for every language."""
-    lines = F.filter(F.transform(F.split(content, "\n"), trimmed), lambda x: x != "")
+    return once(F.filter(F.transform(F.split(content, "\n"), trimmed), lambda x: x != ""), lambda lines: _of_lines(lines, lang))
+
 
+def _of_lines(lines: Column, lang: Column) -> Column:
     def found(*cases) -> Column:  # noqa: ANN002
         return F.flatten(F.transform(lines, lambda x: F.array_compact(F.array(*[F.when(test(x), value(x)) for test, value in cases]))))
 
@@ -76,14 +85,18 @@ def common_js_exports(content: Column) -> Column:
 
 def rendered(signature: Column, lang: Column) -> Column:
     """The signature as text: a header, the sections that aren't empty, or a note that there are none."""
-    parts = [F.array(F.concat(F.lit("// Language: "), lang), F.lit("// Extracted signature"), F.lit(""))]
-    empty = F.lit(True)
-    for name, title in SECTIONS:
-        lines = signature[name]
-        empty = empty & (F.size(lines) == 0)
-        parts.append(F.when(F.size(lines) > 0, F.concat(F.array(F.lit(title)), lines, F.array(F.lit("")))).otherwise(F.array().cast("array<string>")))
-    parts.append(F.when(empty, F.array(F.lit(NOTHING))).otherwise(F.array().cast("array<string>")))
-    return F.array_join(F.concat(*parts), "\n")
+
+    def shown(sig: Column) -> Column:
+        parts = [F.array(F.concat(F.lit("// Language: "), lang), F.lit("// Extracted signature"), F.lit(""))]
+        empty = F.lit(True)
+        for name, title in SECTIONS:
+            lines = sig[name]
+            empty = empty & (F.size(lines) == 0)
+            parts.append(F.when(F.size(lines) > 0, F.concat(F.array(F.lit(title)), lines, F.array(F.lit("")))).otherwise(F.array().cast("array<string>")))
+        parts.append(F.when(empty, F.array(F.lit(NOTHING))).otherwise(F.array().cast("array<string>")))
+        return F.array_join(F.concat(*parts), "\n")
+
+    return once(signature, shown)
 
 
 def head_and_tail(content: Column) -> Column:
@@ -105,13 +118,14 @@ def structure_view(content: Column, lang: Column, signature: Column | None = Non
     """
     view = rendered(by_lines(content, lang) if signature is None else signature, lang)
 
-    def capped(n: int) -> Column:
-        lines = F.split(view, "\n")
+    def capped(lines: Column, n: int) -> Column:
         more = F.array(F.concat(F.lit("... "), (F.size(lines) - n).cast("string"), F.lit(" more lines")))
         return F.array_join(F.when(F.size(lines) > n, F.concat(F.slice(lines, 1, n), more)).otherwise(lines), "\n")
 
-    long = capped(STRUCTURE_CAP)
-    return F.when(F.length(long) > F.length(content), capped(STRUCTURE_SHORT)).otherwise(long)
+    def chosen(lines: Column) -> Column:
+        return once(capped(lines, STRUCTURE_CAP), lambda long: F.when(F.length(long) > F.length(content), capped(lines, STRUCTURE_SHORT)).otherwise(long))
+
+    return once(F.split(view, "\n"), chosen)
 
 
 def view(content: Column, lang: Column, depth: str, signature: Column | None = None) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.metrics import FILE_TOKENS
 from ..functions.scanners import signature
-from ..sources.shared import cut
+from ..sources.shared import cut, settled
 
 # Matches shown, matches a traversal starts from, hops, names shown a depth, and files shown.
 SHOWN, SEEDS, HOPS, PER_DEPTH, FILES_SHOWN = 25, 3, 3, 20, 5
@@ -25,7 +25,7 @@ ORDER = [("functions", "function", "fn", "contains"), ("classes", "class", "cls"
 def signatures(files: DataFrame, *more: str) -> DataFrame:
     """(path, language, more, sig) of files(path, content): by the language's scanner, else by line patterns."""
     d = files.select("path", "content", *[c for c in more if c != "content"], T.language(F.col("path")).alias("language"), T.grammar(F.col("path"), F.col("content")).alias("grammar"))
-    return d.select("path", "language", *more, signature(F.col("content"), F.col("grammar")).alias("sig"))
+    return settled(d, sig=signature(F.col("content"), F.col("grammar"))).select("path", "language", *more, "sig")
 
 
 def symbols(sigs: DataFrame) -> DataFrame:

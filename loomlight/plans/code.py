@@ -20,7 +20,7 @@ from ..functions.scanners import signature
 from ..operators import graph as G
 from ..operators import stored as ST
 from ..sources import files as R
-from ..sources.shared import folder
+from ..sources.shared import folder, settled, spread
 
 PATH = "'/src/m' || CAST(p_partkey % 50 AS STRING) || '/f' || CAST(p_partkey AS STRING) || CASE p_partkey % 6 WHEN 0 THEN '.ts' WHEN 1 THEN '.py' WHEN 2 THEN '.sql' WHEN 3 THEN '.yaml' WHEN 4 THEN '.sh' ELSE '.md' END"
 _K = "CAST(p_partkey AS STRING)"
@@ -58,8 +58,13 @@ def query(sql: str | None = None):  # noqa: ANN201
     return add
 
 
+def parts(spark: SparkSession, sf: str) -> DataFrame:
+    """The table that sources are composed from, spread before they are: its rows are narrow, what is done with them isn't."""
+    return spread(spark.read.parquet(f"{sf}/part.parquet"), "p_partkey")
+
+
 def files(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/part.parquet").selectExpr("p_partkey AS k", f"{PATH} AS path", f"{CONTENT} AS content")
+    return settled(parts(spark, sf), content=F.expr(CONTENT)).selectExpr("p_partkey AS k", f"{PATH} AS path", "content")
 
 
 # ---- SQL of the same definitions
@@ -251,7 +256,7 @@ _NAMED_AFTER = _NAMED.replace(FILES.replace("STRING", "VARCHAR"), _AFTER.replace
 
 def changing(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """The composed files before and after."""
-    part = spark.read.parquet(f"{sf}/part.parquet")
+    part = parts(spark, sf)
     before = part.where("p_partkey % 100 <> 21").selectExpr(f"{PATH} AS path", f"{CONTENT} AS content")
     after = part.where("p_partkey % 100 <> 7").selectExpr(f"{PATH} AS path", f"{CONTENT.replace('p_partkey', _CHANGED)} AS content")
     return _timed(before), _timed(after)
@@ -386,8 +391,8 @@ def long_structure_views(spark: SparkSession, sf: str) -> DataFrame:
     named = lambda i, before, after: F.concat(F.lit(before), i.cast("string"), F.lit(after))
     yaml = F.col("p_partkey") % 2 == 0
     content = F.when(yaml, many(lambda i: named(i, "k", ": 1"))).otherwise(many(lambda i: named(i, "x = 1\ndef f", "(): return 1")))
-    d = spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", F.when(yaml, "yaml").otherwise("python").alias("language"), content.alias("content"))
-    d = d.withColumn("sig", signature(F.col("content"), F.col("language")))
+    d = settled(parts(spark, sf).select("p_partkey", F.when(yaml, "yaml").otherwise("python").alias("language")), content=content)
+    d = settled(d, sig=signature(F.col("content"), F.col("language")))
     return d.select("p_partkey", S.structure_view(F.col("content"), F.col("language"), F.col("sig")).alias("view"))
 
 

@@ -1,4 +1,4 @@
-"""Tables in the folder that driver and executors share, to cut lineages that would else be recomputed."""
+"""Tables in the folder that driver and executors share, to cut lineages that would else be recomputed; rows dealt out."""
 
 from __future__ import annotations
 
@@ -6,7 +6,12 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+#: Rows that a task of heavy work gets at least, the tasks that a table of some size has, and the rows that more tasks get.
+LEAST, TASKS, MOST = 2500, 64, 20_000
 
 
 def folder(spark: SparkSession) -> str:
@@ -24,3 +29,24 @@ def cut(df: DataFrame, tag: str) -> DataFrame:
     path = f"{folder(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """df dealt out over enough tasks for work that costs far more than reading the rows does.
+
+    A file of narrow rows is read in few splits, however many rows it has, so that a few tasks would do all that follows.
+    The rows are counted for that, which costs the footers' numbers for a table as it was read.
+    """
+    rows = df.count()
+    n = min(-(-rows // LEAST), max(TASKS, -(-rows // MOST)))
+    return df.repartition(n, *by) if n > 1 else df
+
+
+def settled(df: DataFrame, **made: Column) -> DataFrame:
+    """df with columns that are made once a row: what follows neither repeats their expressions nor filters ahead of them.
+
+    A projection alone doesn't ensure that: the optimizer copies it into whatever names its columns, and moves a filter on
+    them below it and below a shuffle, so that costly columns are made several times, and by the few tasks that read.
+    """
+    row = F.array(F.struct(*[c.alias(n) for n, c in made.items()]))
+    return df.select("*", F.inline(row).alias(*made))
