@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .signatures import once
+
 # Languages and their file suffixes.
 LANGUAGES = {
     "javascript": ".js .jsx .mjs .cjs",
@@ -133,10 +135,13 @@ def without_comments(source: Column) -> Column:
 
 def truth_symbols(source: Column) -> Column:
     """Exported names of script source; of `export { a as b }` the b."""
-    bare = without_comments(source)
-    listed = F.flatten(F.transform(F.regexp_extract_all(bare, F.lit(r"(?m)^\s*export\s*\{([^}]+)\}"), F.lit(1)), lambda b: F.split(b, ",")))
-    alias = F.filter(F.transform(listed, lambda p: F.regexp_extract(p, r"^\s*(?:\S+\s+as\s+)?(\S+)\s*$", 1)), lambda n: n.rlike(rf"^{IDENTIFIER}$"))
-    return F.array_sort(F.array_distinct(F.concat(*[F.regexp_extract_all(bare, F.lit(p), F.lit(1)) for p in TRUTH_PATTERNS], alias)))
+
+    def named(bare: Column) -> Column:
+        listed = F.flatten(F.transform(F.regexp_extract_all(bare, F.lit(r"(?m)^\s*export\s*\{([^}]+)\}"), F.lit(1)), lambda b: F.split(b, ",")))
+        alias = F.filter(F.transform(listed, lambda p: F.regexp_extract(p, r"^\s*(?:\S+\s+as\s+)?(\S+)\s*$", 1)), lambda n: n.rlike(rf"^{IDENTIFIER}$"))
+        return F.array_sort(F.array_distinct(F.concat(*[F.regexp_extract_all(bare, F.lit(p), F.lit(1)) for p in TRUTH_PATTERNS], alias)))
+
+    return once(without_comments(source), named)
 
 
 def identifiers(text: Column) -> Column:

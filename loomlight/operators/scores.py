@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import metrics as M
 from ..functions import signatures as S
 from ..functions import text as T
+from ..sources.shared import settled
 from .graph import signatures
 
 # The prompts and their scorers, the weights and verdicts of the aggregate, and the recall buckets.
@@ -107,9 +108,10 @@ def mock_answer(symbols: Column, path: Column, prompt_id: Column, perfect: bool
 
 def fidelity(files: DataFrame) -> DataFrame:
     """files(path, content, compressed): symbols, found, missed, recall, precision of each file that exports any."""
-    d = files.select("path", T.truth_symbols(F.col("content")).alias("truth"), T.identifiers(F.col("compressed")).alias("ids"))
-    d = d.where(F.size("truth") > 0).withColumn("found", F.array_intersect("truth", "ids")).withColumn("missed", F.array_except("truth", "ids"))
-    return d.select("path", F.size("truth").cast("long").alias("symbols"), F.size("found").cast("long").alias("found"), F.size("missed").cast("long").alias("missed"), (F.size("found") / F.size("truth")).alias("recall"), F.when(F.size("ids") > 0, F.size("found") / F.size("ids")).otherwise(0.0).alias("precision"))
+    d = settled(files.select("path", "content", "compressed"), truth=T.truth_symbols(F.col("content")), ids=T.identifiers(F.col("compressed")))
+    d = settled(d.where(F.size("truth") > 0), found=F.size(F.array_intersect("truth", "ids")).cast("long"))
+    n = F.size("truth").cast("long")
+    return d.select("path", n.alias("symbols"), "found", (n - F.col("found")).alias("missed"), (F.col("found") / n).alias("recall"), F.when(F.size("ids") > 0, F.col("found") / F.size("ids")).otherwise(0.0).alias("precision"))
 
 
 def bucket(share: Column) -> Column:
