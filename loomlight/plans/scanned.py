@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scanners import SECTIONS, signature
+from ..sources.shared import settled
+from .code import parts
 
 #: Language: (source, imports, exports, functions, classes).
 SOURCES: dict[str, tuple[str, list[str], list[str], list[str], list[str]]] = {
@@ -117,7 +119,8 @@ def _register(name: str, source: str, sections: list[list[str]]) -> None:
     lang = name.split("-")[0]
 
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        d = spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", signature(_column(source), F.lit(lang)).alias("s"))
+        d = settled(parts(spark, sf).select("p_partkey"), source=_column(source))
+        d = settled(d, s=signature(F.col("source"), F.lit(lang)))
         return d.select("p_partkey", *[F.array_join(f"s.{n}", " ;; ").alias(n) for n in SECTIONS])
 
     run.__doc__ = f"Declarations of {name} sources."
