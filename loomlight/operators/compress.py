@@ -10,7 +10,7 @@ from ..functions import metrics as M
 from ..functions import signatures as S
 from ..functions import text as T
 from ..functions.scanners import signature
-from ..sources.shared import cut
+from ..sources.shared import cut, settled
 from .keyed import KeptCache
 
 DEPTHS = ["signature", "structure", "summary", "full"]
@@ -70,7 +70,8 @@ def cleaned(texts: DataFrame, form: str = "toon", fields: list[str] | None = Non
     sound = F.try_parse_json("data").isNotNull()
     whitelisted = F.when(J.items(data).isNotNull(), J.whitelist(J.items(data), fields or [], max_items)).otherwise(J.compact(F.to_json(J.select_fields(data, fields or []))))
     made: dict[str, Column] = {"toon": J.toon(data, max_items), "compact": J.compact(data), "whitelist": whitelisted}
-    d = texts.select("id", "data", sound.alias("sound")).withColumn("cleaned", F.when(F.col("sound"), made[form]).otherwise(data))
+    d = settled(texts.select("id", "data"), sound=sound)
+    d = settled(d, cleaned=F.when(F.col("sound"), made[form]).otherwise(data))
     d = d.withColumns({"original_tokens": M.tokens(data), "optimized_tokens": M.tokens(F.col("cleaned"))})
     percent = M.percent_saved(F.col("original_tokens"), F.col("optimized_tokens"))
     arrow = F.concat(F.col("original_tokens").cast("string"), F.lit(" → "), F.col("optimized_tokens").cast("string"), F.lit(" tokens ("), percent.cast("string"), F.lit("% saved)."))

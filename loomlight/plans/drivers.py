@@ -20,6 +20,7 @@ from ..operators import memory as E
 from ..operators import scores as V
 from ..sources import files as R
 from ..sources import report as P
+from ..sources.shared import settled
 from . import code, tables
 from .code import _NAMED, FILES, RENDERED
 from .tables import pct, tok
@@ -130,7 +131,7 @@ def _cleaned(form: str, made: str) -> None:
     sql = f"SELECT id, cleaned, format, o AS original_tokens, p AS optimized_tokens, {pct('o', 'p')} AS savings_percent, {note} AS note FROM (SELECT *, {o} AS o, {p} AS p FROM (SELECT p_partkey AS id, data, {made} AS cleaned, CASE WHEN p_partkey % 3 = 2 THEN 'passthrough' ELSE '{form}' END AS format FROM (SELECT *, {_DATA} AS data FROM part)))"
 
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        d = spark.read.parquet(f"{sf}/part.parquet").select(F.col("p_partkey").alias("id"), F.expr(_DATA.replace("VARCHAR", "STRING")).alias("data"))
+        d = settled(code.parts(spark, sf), data=F.expr(_DATA.replace("VARCHAR", "STRING"))).select(F.col("p_partkey").alias("id"), "data")
         return Z.cleaned(d, form, ["id"]).drop("original")
 
     run.__name__, run.__doc__ = f"cleaned_{form}", f"JSON texts in the {form} form, other texts as they are."
