@@ -83,7 +83,12 @@ def matches(query: str) -> Column:
 
 def search(nodes: DataFrame, query: str) -> DataFrame:
     """Nodes that match the query, in order of file and place."""
-    return nodes.where(matches(query)).orderBy("file", "ord", "key")
+    return ordered(nodes.where(matches(query)))
+
+
+def ordered(nodes: DataFrame) -> DataFrame:
+    """Nodes in order of file and place."""
+    return nodes.orderBy("file", "ord", "key")
 
 
 def statistics(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -11,11 +11,12 @@ leaves the old digests, so the next one finds the same parts again. One writer a
 a refresh may name files that it has replaced, take them anew.
 
 Traversals read the links by source or by target, bucketed and sorted by it: a hop moves its frontier only. Search reads
-posting lists of trigrams, whose intersection names the parts of the nodes to look at. Links are made by the first
-traversal after a refresh, the postings of the parts that it touched by the first search.
+posting lists of trigrams, whose intersection names the blocks of files whose nodes to look at. A posting is a gram and a
+block, not a node: a block's files share most of their grams, so that the lists grow far slower than the nodes. Links are
+made by the first traversal after a refresh, the postings of the parts that it touched by the first search.
 
 Below the folder: sources (path, language, sig, mtime_ms, size), candidates (the paths that imports may mean), nodes,
-edges, grams (gram, key), each by part; digests; links.
+edges, postings (gram, block), each by part; digests; links.
 """
 
 from __future__ import annotations
@@ -23,21 +24,21 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.shared import cut
+from ..sources.shared import cut, settled
 from . import graph as G
 
-#: Buckets of the links, and the length of the grams of the search.
-BUCKETS, GRAM = 32, 3
+#: Buckets of the links, the length of the grams of the search, and the blocks that a part's files are dealt out over for it.
+BUCKETS, GRAM, BLOCKS = 32, 3, 256
 _ORD, _SIG = "struct<section: int, pos: int>", "struct<imports: array<string>, exports: array<string>, functions: array<string>, classes: array<string>>"
 SCHEMAS = {
     "sources": f"path string, language string, sig {_SIG}, mtime_ms long, size long, part string",
     "candidates": "path string, pos int, names array<string>, rank int, candidate string, part string",
     "nodes": f"key string, name string, kind string, file string, ord {_ORD}, part string",
     "edges": f"src string, dst string, kind string, ord {_ORD}, part string",
-    "grams": "gram string, key string, part string",
+    "postings": "gram string, block int, part string",
     "digests": "part string, line string",
     "links": "at string, key string",
 }
@@ -83,7 +84,7 @@ class StoredGraph:
     def _replace(self, name: str, rows: DataFrame, parts: list[str]) -> None:
         """The rows, of these parts only, take the place of what those parts held."""
         self._drop(name, parts)
-        by_part = rows.repartition("part").sortWithinPartitions("part", *(["gram"] if name == "grams" else []))
+        by_part = rows.repartition("part").sortWithinPartitions("part", *(["gram"] if name == "postings" else []))
         by_part.write.mode("append").partitionBy("part").parquet(f"{self.folder}/{name}")
 
     @property
@@ -130,7 +131,7 @@ class StoredGraph:
         every = parts + again
         self._replace("nodes", nodes.withColumn("part", self._part(F.col("file"))), every)
         self._replace("edges", edges.withColumn("part", self._part(F.expr("substring(src, 5)"))), every)
-        self._drop("grams", every)
+        self._drop("postings", every)
         self._replace("candidates", wanted, parts)
         self._replace("sources", sigs, parts)
         fs, path = self._path("links")
@@ -156,35 +157,43 @@ class StoredGraph:
 
     # ---- search
     def candidates(self, query: str) -> DataFrame:
-        """(key, part) of the nodes that hold every trigram of the query in name or key; more than match it."""
-        if missing := sorted(self._parts("nodes") - self._parts("grams")):
-            self._replace("grams", grams(self.table("nodes").where(F.col("part").isin(missing))), missing)
+        """(part, block) of the blocks that hold every trigram of the query; not every node of theirs matches it."""
+        if missing := sorted(self._parts("nodes") - self._parts("postings")):
+            self._replace("postings", postings(self.table("nodes").where(F.col("part").isin(missing))), missing)
         of = sorted({query.lower()[i : i + GRAM] for i in range(len(query) - GRAM + 1)})
-        hits = self.table("grams").where(F.col("gram").isin(of))
-        return hits.groupBy("key", "part").agg(F.count("*").alias("n")).where(F.col("n") == len(of)).select("key", "part")
+        hits = self.table("postings").where(F.col("gram").isin(of))
+        return hits.groupBy("part", "block").agg(F.count("*").alias("n")).where(F.col("n") == len(of)).select("part", "block")
 
-    def search(self, query: str) -> DataFrame:
-        """Nodes whose name or key contains the query, whatever the case, in order of file and place.
+    def found(self, query: str) -> DataFrame:
+        """Nodes whose name or key contains the query, whatever the case, in no order.
 
         Queries of fewer characters than a gram, and those whose lower case has another length, scan the nodes.
         """
         if len(query) < GRAM or len(query.lower()) != len(query):
-            return G.search(self.nodes, query)
-        found = cut(self.candidates(query), "graph-candidates")
-        parts = [r.part for r in found.select("part").distinct().collect()]  # 16 ** digits at most
-        some = self.table("nodes").where(F.col("part").isin(parts)).join(found.select("key"), "key", "left_semi")
-        return G.search(some.drop("part"), query)
+            return self.nodes.where(G.matches(query))
+        blocks = cut(self.candidates(query), "graph-candidates")
+        parts = [r.part for r in blocks.select("part").distinct().collect()]  # 16 ** digits at most
+        some = self.table("nodes").where(F.col("part").isin(parts)).where(G.matches(query))
+        return some.withColumn("block", block(F.col("file"))).join(blocks, ["part", "block"], "left_semi").drop("part", "block")
+
+    def search(self, query: str) -> DataFrame:
+        """What `found` finds, in order of file and place."""
+        return G.ordered(self.found(query))
 
 
-def grams(nodes: DataFrame) -> DataFrame:
-    """(gram, key, part): the distinct trigrams of each node's name and key, in lower case."""
+def block(file: Column) -> Column:
+    """The block of a part that a file belongs to, by its path's hash."""
+    return F.pmod(F.xxhash64(file), F.lit(BLOCKS)).cast("int")
 
-    def of(text: str):  # noqa: ANN202
-        low = F.lower(text)
-        n = F.length(low)
-        return F.when(n >= GRAM, F.transform(F.sequence(F.lit(1), n - GRAM + 1), lambda i: F.substring(low, i, F.lit(GRAM)))).otherwise(F.array().cast("array<string>"))
 
-    return nodes.select(F.explode(F.array_distinct(F.concat(of("name"), of("key")))).alias("gram"), "key", "part")
+def postings(nodes: DataFrame) -> DataFrame:
+    """(gram, block, part): the distinct trigrams of the names and keys of each block's nodes, in lower case."""
+    d = settled(nodes.select("part", block(F.col("file")).alias("block"), "name", "key"), low_name=F.lower("name"), low_key=F.lower("key"))
+    # a key mostly ends with its name, whose grams it then has
+    texts = d.select("part", "block", F.explode(F.when(F.contains("low_key", "low_name"), F.array("low_key")).otherwise(F.array("low_key", "low_name"))).alias("text"))
+    n = F.length("text")
+    grams = texts.where(n >= GRAM).select(F.explode(F.transform(F.sequence(F.lit(1), n - GRAM + 1), lambda i: F.substring("text", i, F.lit(GRAM)))).alias("gram"), "block", "part")
+    return grams.distinct()
 
 
 def open_graph(files: DataFrame, folder: str, rebuild: bool = False, digits: int = G.MANIFEST_DIGITS) -> StoredGraph:

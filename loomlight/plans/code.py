@@ -222,7 +222,7 @@ def graph_searches(spark: SparkSession, sf: str) -> DataFrame:
     """Several searches by posting lists; the last one is too short for them and scans."""
     graph, out = stored(spark, sf), None
     for q in ("c11", "/M7/F", "fn20", "py5", ".TS:", "zzz", "a1 (FROM", "7"):
-        hits = graph.search(q).select(F.lit(q).alias("q"), "key")
+        hits = graph.found(q).select(F.lit(q).alias("q"), "key")
         out = hits if out is None else out.unionAll(hits)
     return out
 

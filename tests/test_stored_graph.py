@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomlight.operators import graph as G
+from loomlight.operators import stored
 from loomlight.operators.stored import StoredGraph
 from loomlight.plans import code
 
@@ -114,3 +115,22 @@ def test_search_by_grams(spark):
         want = sorted(n.key for n in nodes if q.lower() in n.name.lower() or q.lower() in n.key.lower())
         assert sorted(r.key for r in graph.search(q).collect()) == want
     assert graph.candidates("fn1").count() < len(nodes) / 2
+
+
+def test_postings_grow_with_blocks_not_with_nodes(spark):
+    nodes = spark.range(3000).selectExpr("'p0' AS part", "'/a.ts' AS file", "concat('fn', id) AS name", "concat('fn:/a.ts:fn', id) AS key")
+    texts = [r.key for r in nodes.collect()]
+    got = [(r.part, r.block, r.gram) for r in stored.postings(nodes).collect()]
+    assert len(got) == len(set(got)) and {g[2] for g in got} == {t[i : i + 3] for t in texts for i in range(len(t) - 2)}
+    assert len({g[:2] for g in got}) == 1
+
+
+def test_postings_hold_names_that_keys_do_not(spark):
+    nodes = spark.createDataFrame([("p0", "/a.ts", "N (from /Q.ts)", "imp:/a.ts:N"), ("p0", "/b.ts", "é", "k")], "part string, file string, name string, key string")
+    grams = {r.gram for r in stored.postings(nodes).collect()}
+    assert {"n (", "/q.", "imp", "s:n"} <= grams and all(len(g) == 3 for g in grams)
+
+
+def test_searches_neither_sort_nor_shuffle_what_they_find(spark):
+    plan = code.graph_searches(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan
