@@ -79,7 +79,7 @@ def structure_only(lang: Column, depth: Column) -> Column:
 
 def symbol_name(line: Column, kind: str) -> Column:
     """The name that a signature line declares, or null."""
-    return F.coalesce(*[F.nullif(F.regexp_extract(line, p, 1), F.lit("")) for p in NAME_PATTERNS[kind]])
+    return F.coalesce(*[F.get(F.regexp_extract_all(line, F.lit(p), F.lit(1)), F.lit(0)) for p in NAME_PATTERNS[kind]])
 
 
 def _names(listed: Column) -> Column:
@@ -91,13 +91,20 @@ def parse_import(line: Column, lang: Column) -> Column:
     """struct(source, names) of an import line, or null."""
     py_from, py_import = r"from\s+(\S+)\s+import\s+(.+)", r"import\s+(\S+)"
     js = r"""import\s+(?:(?:\{([^}]+)\}|(\*\s+as\s+\w+)|(\w+))(?:\s*,\s*(?:\{([^}]+)\}|(\w+)))?\s+from\s+)?['"](\.?[^'"]+)['"]"""
-    g = [F.nullif(F.regexp_extract(line, js, i), F.lit("")) for i in range(7)]
-    none = F.array().cast("array<string>")
-    js_names = F.concat(F.coalesce(_names(g[1]), none), F.when(g[2].isNotNull(), F.array(F.trim(F.regexp_replace(g[2], r"\*\s+as\s+", "")))).otherwise(none), F.when(g[3].isNotNull(), F.array(g[3])).otherwise(none), F.coalesce(_names(g[4]), none), F.when(g[5].isNotNull(), F.array(g[5])).otherwise(none))
-    source = F.regexp_extract(line, py_from, 1)
-    module = F.regexp_extract(line, py_import, 1)
-    python = F.when(source != "", F.struct(source.alias("source"), _names(F.regexp_extract(line, py_from, 2)).alias("names"))).when(module != "", F.struct(module.alias("source"), F.array(module).alias("names")))
-    return F.when(lang == "python", python).otherwise(F.when(g[6].isNotNull(), F.struct(g[6].alias("source"), js_names.alias("names"))))
+
+    def python(m: Column) -> Column:
+        source, module = m["source"], m["module"]
+        return F.when(source != "", F.struct(source.alias("source"), _names(F.regexp_extract(line, py_from, 2)).alias("names"))).when(module != "", F.struct(module.alias("source"), F.array(module).alias("names")))
+
+    def script(m: Column) -> Column:
+        g = [m[f"g{i}"] for i in range(7)]
+        some = lambda i, names: F.when(g[i] != "", names).otherwise(F.array().cast("array<string>"))
+        names = F.concat(some(1, _names(g[1])), some(2, F.array(F.trim(F.regexp_replace(g[2], r"\*\s+as\s+", "")))), some(3, F.array(g[3])), some(4, _names(g[4])), some(5, F.array(g[5])))
+        return F.when(g[6] != "", F.struct(g[6].alias("source"), names.alias("names")))
+
+    in_python = F.struct(F.regexp_extract(line, py_from, 1).alias("source"), F.regexp_extract(line, py_import, 1).alias("module"))
+    in_script = F.struct(*[F.regexp_extract(line, js, i).alias(f"g{i}") for i in range(7)])
+    return F.when(lang == "python", once(in_python, python)).otherwise(once(in_script, script))
 
 
 def normal_path(path: Column) -> Column:
@@ -110,11 +117,15 @@ def normal_path(path: Column) -> Column:
 def import_candidates(source: Column, path: Column) -> Column:
     """Paths that a relative or absolute import may mean, in order; null for packages."""
     folder = F.regexp_replace(path, r"/[^/]*$", "")
-    base = normal_path(F.when(source.startswith("/"), source).otherwise(F.concat(folder, F.lit("/"), source)))
-    bare = F.regexp_replace(base, r"\.(js|jsx)$", "")
-    typed = F.when(base.rlike(r"\.(js|jsx)$"), F.array(F.concat(bare, F.lit(".ts")), F.concat(bare, F.lit(".tsx")))).otherwise(F.array().cast("array<string>"))
-    rest = [F.concat(base, F.lit(s)) for s in (".ts", ".tsx", ".js", ".jsx", ".py", "/index.ts", "/index.js")]
-    return F.when(source.startswith(".") | source.startswith("/"), F.concat(F.array(base), typed, F.array(*rest)))
+    whole = normal_path(F.when(source.startswith("/"), source).otherwise(F.concat(folder, F.lit("/"), source)))
+
+    def meant(base: Column) -> Column:
+        bare = F.regexp_replace(base, r"\.(js|jsx)$", "")
+        typed = F.when(base.rlike(r"\.(js|jsx)$"), F.array(F.concat(bare, F.lit(".ts")), F.concat(bare, F.lit(".tsx")))).otherwise(F.array().cast("array<string>"))
+        rest = [F.concat(base, F.lit(s)) for s in (".ts", ".tsx", ".js", ".jsx", ".py", "/index.ts", "/index.js")]
+        return F.concat(F.array(base), typed, F.array(*rest))
+
+    return F.when(source.startswith(".") | source.startswith("/"), once(whole, meant))
 
 
 def abbreviate(description: Column) -> Column:

@@ -41,7 +41,7 @@ def symbols(sigs: DataFrame) -> DataFrame:
 def wanted(sigs: DataFrame) -> DataFrame:
     """(path, pos, names, rank, candidate): the paths that each import may mean, in order."""
     d = sigs.select("path", "language", F.posexplode("sig.imports").alias("pos", "line"))
-    d = d.withColumn("parsed", T.parse_import(F.col("line"), F.col("language"))).where("parsed IS NOT NULL")
+    d = settled(d, parsed=T.parse_import(F.col("line"), F.col("language"))).where("parsed IS NOT NULL")
     return d.select("path", "pos", "parsed.names", F.posexplode(T.import_candidates(F.col("parsed.source"), F.col("path"))).alias("rank", "candidate"))
 
 
@@ -52,14 +52,21 @@ def imports(wanted: DataFrame, paths: DataFrame) -> DataFrame:
 
 
 def linked(sigs: DataFrame, imported: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) of some files' signatures and imports. A key declared twice keeps its first place."""
+    """(nodes, edges) of some files' signatures and imports. A key declared twice keeps its first place.
+
+    But for imports, whose name is the last target's, a key has one prefix, path and name: those are grouped, with the
+    place as a number, which is hashed and not sorted as places and names of a group would be.
+    """
     named = symbols(sigs)
     key = F.concat_ws(":", "prefix", "path", "name")
-    modules = sigs.select(F.concat(F.lit("mod:"), "path").alias("key"), F.col("path").alias("name"), F.lit("module").alias("kind"), F.col("path").alias("file"), F.lit(-1).alias("section"), F.lit(0).alias("pos"))
-    own = named.select(key.alias("key"), "name", "kind", F.col("path").alias("file"), "section", "pos")
+    modules = sigs.select(F.lit("mod").alias("prefix"), F.lit("module").alias("kind"), "path", F.lit(None).cast("string").alias("name"), F.lit(-1).alias("section"), F.lit(0).alias("pos"))
+    own = modules.unionAll(named.select("prefix", "kind", "path", "name", "section", "pos"))
+    own = own.groupBy("prefix", "kind", "path", "name").agg(F.min(F.shiftleft(F.col("section").cast("long"), 32) + F.col("pos")).alias("place"))
+    place = F.struct(F.shiftright("place", 32).cast("int").alias("section"), F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("pos"))
+    own = own.select(key.alias("key"), F.coalesce("name", "path").alias("name"), "kind", F.col("path").alias("file"), place.alias("ord"))
     used = imported.select("path", "pos", "target", F.explode("names").alias("n"))
     used = used.select(F.concat(F.lit("imp:"), "path", F.lit(":"), "n").alias("key"), F.concat("n", F.lit(" (from "), "target", F.lit(")")).alias("name"), F.lit("import").alias("kind"), F.col("path").alias("file"), F.lit(2).alias("section"), "pos")
-    nodes = modules.unionAll(own).unionAll(used).groupBy("key").agg(F.max_by("name", F.struct("section", "pos")).alias("name"), F.first("kind").alias("kind"), F.first("file").alias("file"), F.min(F.struct("section", "pos")).alias("ord"))
+    nodes = own.unionAll(used.groupBy("key").agg(F.max_by("name", F.struct("section", "pos")).alias("name"), F.first("kind").alias("kind"), F.first("file").alias("file"), F.min(F.struct("section", "pos")).alias("ord")).select(own.columns))
     src = F.concat(F.lit("mod:"), "path")
     edges = named.select(src.alias("src"), key.alias("dst"), F.col("edge").alias("kind"), F.struct("section", "pos").alias("ord"))
     edges = edges.unionAll(imported.select(src.alias("src"), F.concat(F.lit("mod:"), "target").alias("dst"), F.lit("imports").alias("kind"), F.struct(F.lit(2).alias("section"), "pos").alias("ord")))
@@ -107,10 +114,11 @@ def traverse(edges: DataFrame, seeds: DataFrame, hops: int = HOPS, incoming: boo
     return walk(cut(links(edges, incoming), "graph-links"), seeds, hops)
 
 
-def links(edges: DataFrame, incoming: bool) -> DataFrame:
-    """(at, key): the distinct steps of a traversal."""
+def links(edges: DataFrame, incoming: bool, buckets: int | None = None) -> DataFrame:
+    """(at, key): the distinct steps of a traversal; dealt out by at over some buckets, if they are named, by one shuffle."""
     a, b = ("dst", "src") if incoming else ("src", "dst")
-    return edges.select(F.col(a).alias("at"), F.col(b).alias("key")).distinct()
+    d = edges.select(F.col(a).alias("at"), F.col(b).alias("key"))
+    return (d.repartition(buckets, "at") if buckets else d).distinct()
 
 
 def walk(links: DataFrame, seeds: DataFrame, hops: int = HOPS) -> DataFrame:

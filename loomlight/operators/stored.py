@@ -84,7 +84,7 @@ class StoredGraph:
     def _replace(self, name: str, rows: DataFrame, parts: list[str]) -> None:
         """The rows, of these parts only, take the place of what those parts held."""
         self._drop(name, parts)
-        by_part = rows.repartition("part").sortWithinPartitions("part", *(["gram"] if name == "postings" else []))
+        by_part = rows.hint("rebalance", "part").sortWithinPartitions("part", *(["gram"] if name == "postings" else []))
         by_part.write.mode("append").partitionBy("part").parquet(f"{self.folder}/{name}")
 
     @property
@@ -102,10 +102,10 @@ class StoredGraph:
     def refresh(self, files: DataFrame, rebuild: bool = False) -> Refreshed:
         """Follow files(path, content, mtime_ms, size), the whole corpus as it is now; paths are unique."""
         files = files.select("path", "content", F.col("mtime_ms").cast("long").alias("mtime_ms"), F.col("size").cast("long").alias("size"))
-        now = cut(G.digests(files, self.digits).withColumn("part", F.concat(F.lit("p"), "part")), "graph-digests")
-        if rebuild:
-            fs, path = self._path("")
-            fs.delete(path, True)
+        fs, path = self._path("digests/_SUCCESS")
+        if rebuild or not fs.exists(path):
+            return self._first(files)
+        now = cut(self._digests(files), "graph-digests")
         both = now.withColumnRenamed("line", "new").join(self.table("digests").withColumnRenamed("line", "old"), "part", "full_outer")
         parts = [r.part for r in both.where("NOT (new <=> old)").select("part").collect()]  # 16 ** digits at most
         if not parts:
@@ -139,13 +139,33 @@ class StoredGraph:
         now.coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/digests")
         return Refreshed(len(parts), len(again), scanned.count())
 
+    def _first(self, files: DataFrame) -> Refreshed:
+        """Keep all of the files, and nothing of an older graph. Contents are made and read once: what is compared later
+        follows from the rows that were scanned."""
+        fs, path = self._path("")
+        fs.delete(path, True)
+        sigs = G.signatures(files.where("path IS NOT NULL"), "mtime_ms", "size")
+        self._replace("sources", sigs.withColumn("part", self._part(F.col("path"))), [])
+        sigs = self.table("sources")
+        self._replace("candidates", G.wanted(sigs).withColumn("part", self._part(F.col("path"))), [])
+        imported = cut(G.imports(self.table("candidates").drop("part"), sigs.select("path")), "graph-imports")
+        nodes, edges = G.linked(sigs, imported)
+        self._replace("nodes", nodes.withColumn("part", self._part(F.col("file"))), [])
+        self._replace("edges", edges.withColumn("part", self._part(F.expr("substring(src, 5)"))), [])
+        now = cut(self._digests(sigs), "graph-digests")
+        now.coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/digests")
+        return Refreshed(now.count(), 0, sigs.count())
+
+    def _digests(self, files: DataFrame) -> DataFrame:
+        return G.digests(files, self.digits).withColumn("part", F.concat(F.lit("p"), "part"))
+
     # ---- traversal
     def links(self, incoming: bool) -> DataFrame:
         """(at, key), bucketed and sorted by at: a table of this session over files made by the first traversal."""
         at, name = f"links/{'in' if incoming else 'out'}-{BUCKETS}", f"loomlight_{uuid.uuid4().hex}"
         fs, done = self._path(f"{at}/_SUCCESS")
         if not fs.exists(done):
-            rows = G.links(self.edges, incoming).repartition(BUCKETS, "at")
+            rows = G.links(self.edges, incoming, BUCKETS)
             rows.write.mode("overwrite").bucketBy(BUCKETS, "at").sortBy("at").option("path", f"{self.folder}/{at}").saveAsTable(name)
         else:
             self.spark.sql(f"CREATE TABLE {name} ({SCHEMAS['links']}) USING parquet CLUSTERED BY (at) SORTED BY (at) INTO {BUCKETS} BUCKETS LOCATION '{self.folder}/{at}'")

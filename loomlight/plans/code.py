@@ -235,7 +235,7 @@ SELECT key, CAST(min(depth) AS BIGINT) AS depth FROM walk GROUP BY key"""
 
 def _seeds(spark: SparkSession, sf: str) -> DataFrame:
     """The query set of the traversals: modules whose key is divisible by 50, against all edges."""
-    return files(spark, sf).where("k % 50 = 0").select(F.concat(F.lit("mod:"), "path").alias("key"))
+    return spark.read.parquet(f"{sf}/part.parquet").where("p_partkey % 50 = 0").selectExpr(f"'mod:' || {PATH} AS key")
 
 
 @query(_reach("src", "dst"))

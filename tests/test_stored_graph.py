@@ -134,3 +134,39 @@ def test_postings_hold_names_that_keys_do_not(spark):
 def test_searches_neither_sort_nor_shuffle_what_they_find(spark):
     plan = code.graph_searches(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "rangepartitioning" not in plan
+
+
+def test_a_first_build_makes_contents_once(spark, tmp_path):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def content(n):
+        made.add(1)
+        return f"export function f{n}() {{}}"
+
+    d = spark.range(40).select(F.concat(F.lit("/s/"), "id", F.lit(".ts")).alias("path"), content.asNondeterministic()("id").alias("content"))
+    graph = StoredGraph(spark, f"file://{tmp_path}", digits=1)
+    assert graph.refresh(d.withColumns({"mtime_ms": F.xxhash64("content"), "size": F.length("content")})).scanned == 40
+    assert made.value == 40
+
+
+def test_what_is_declared_twice(spark, tmp_path):
+    twice = "import { n } from './1.js';\nimport { n } from './2.js';\nfunction f() {}\nfunction f() {}\nclass f {\n}"
+    files = spark.createDataFrame([("/s/0.ts", twice, 1, 1), ("/s/1.ts", "", 1, 1), ("/s/2.ts", "", 1, 1)], "path string, content string, mtime_ms long, size long")
+    graph = StoredGraph(spark, f"file://{tmp_path}", digits=1)
+    graph.refresh(files)
+    got = {(r.key, r.name, r.kind, *r.ord) for r in graph.nodes.where("file = '/s/0.ts'").collect()}
+    assert got == {("mod:/s/0.ts", "/s/0.ts", "module", -1, 0), ("fn:/s/0.ts:f", "f", "function", 0, 0), ("cls:/s/0.ts:f", "f", "class", 1, 0), ("imp:/s/0.ts:n", "n (from /s/2.ts)", "import", 2, 0)}
+    edges = sorted((r.dst, r.ord.pos) for r in graph.edges.where("src = 'mod:/s/0.ts'").collect())
+    assert edges == [("cls:/s/0.ts:f", 0), ("fn:/s/0.ts:f", 0), ("fn:/s/0.ts:f", 1), ("mod:/s/1.ts", 0), ("mod:/s/2.ts", 1)]
+
+
+def test_links_are_dealt_out_by_one_shuffle(spark):
+    edges = spark.createDataFrame([("a", "b")], "src string, dst string")
+    assert G.links(edges, True, 32)._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+
+
+def test_imports_are_parsed_once(spark):
+    sigs = spark.createDataFrame([], f"path string, language string, sig {stored._SIG}")
+    plan = G.wanted(sigs)._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Filter" in line and "regexp" in line] and plan.count("aggregate(") == 1
