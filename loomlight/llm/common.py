@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: Links that one task joins up.
-FEW = 1 << 20
+#: Links that one task joins up; rows of a narrow table that a join may send to all tasks.
+FEW, SENT = 1 << 20, 10_000
 
 #: Bytes of Arrow data handed to a Python worker at once, and rows at most.
 BATCH_BYTES, BATCH_ROWS = 4 << 20, 10_000
@@ -97,6 +97,20 @@ class Scratch:
         jvm.System.gc()
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """df as a side of a join that never goes through the driver.
+
+    The planner decides by compressed bytes, of which ids and flags take next to none, so what it would have the driver
+    gather and send to all tasks can be a hundred times as large.
+    """
+    return df.hint("merge")
+
+
+def sent(df: DataFrame) -> DataFrame:
+    """A kept table of narrow rows as a side of a join: sent to all tasks only while its counted rows are few."""
+    return F.broadcast(df) if df.count() <= SENT else shuffled(df)
+
+
 def forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     """Labels 0..n-1 of the connected components of the links a[i]-b[i]; a label is its component's smallest node."""
     label = np.arange(n)
@@ -128,7 +142,7 @@ def components(edges: DataFrame, scratch: Scratch, tag: str = "components") -> D
     group's many links. Then alternating large-star and small-star rounds: each turns every neighbourhood into a star
     around its smallest node, so the number of rounds is logarithmic in the longest path. A node with very many
     neighbours is never gathered: its minimum is a partially aggregated groupBy, and the minimum returns to its links
-    by a join that adaptive execution may split. Each round is written to the shared folder. Ends when a round changes
+    by a shuffled join that adaptive execution may split. Each round is written to the shared folder. Ends when a round changes
     nothing. The result is a table kept in scratch as `tag`; the rounds' tables are gone.
     """
 
@@ -138,7 +152,7 @@ def components(edges: DataFrame, scratch: Scratch, tag: str = "components") -> D
     def star(e: DataFrame, large: bool) -> DataFrame:
         both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else e
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        joined = both.join(least, "u")
+        joined = both.join(shuffled(least), "u")
         if large:
             return joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
         return joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v"))).where("u > v").distinct()
@@ -152,8 +166,8 @@ def components(edges: DataFrame, scratch: Scratch, tag: str = "components") -> D
             return scratch.keep(e.coalesce(1).mapInPandas(_joined_up, "node long, component_id long"), tag)
         ends = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = ends.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("p"))
-        home = own.keep(least.join(least.select(F.col("u").alias("p"), F.col("p").alias("home")), "p").select(F.col("u").alias("node"), "home"), tag)
-        e = e.join(home.select(F.col("node").alias("u"), F.col("home").alias("a")), "u").join(home.select(F.col("node").alias("v"), F.col("home").alias("b")), "v")
+        home = own.keep(least.join(shuffled(least.select(F.col("u").alias("p"), F.col("p").alias("home"))), "p").select(F.col("u").alias("node"), "home"), tag)
+        e = e.join(shuffled(home.select(F.col("node").alias("u"), F.col("home").alias("a"))), "u").join(shuffled(home.select(F.col("node").alias("v"), F.col("home").alias("b"))), "v")
         e = own.keep(tidy(e.select(F.col("a").alias("u"), F.col("b").alias("v"))), tag)
         before = digest(e)
         while before[0]:
@@ -162,7 +176,7 @@ def components(edges: DataFrame, scratch: Scratch, tag: str = "components") -> D
             if now == before:
                 break
             before = now
-        return scratch.keep(home.join(e.select(F.col("u").alias("home"), F.col("v").alias("root")), "home", "left").select("node", F.coalesce("root", "home").alias("component_id")), tag)
+        return scratch.keep(home.join(shuffled(e.select(F.col("u").alias("home"), F.col("v").alias("root"))), "home", "left").select("node", F.coalesce("root", "home").alias("component_id")), tag)
 
 
 def gathered(frames: Iterator[pd.DataFrame], keys: list[str], rows: int) -> Iterator[pd.DataFrame]:

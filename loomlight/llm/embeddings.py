@@ -13,6 +13,9 @@ far more slowly than the square of its vectors. Between tasks a label's vectors
 LEVELS[0] vectors as pairs of chunks, a row a chunk, with all blocks joined in the task; beyond that by cells over as
 many coordinates as LEVELS says, a row for each cell asked for. (Rows are what costs: one carries a whole vector.)
 
+No join sends a table that grows with the input to all tasks, whatever its compressed size says: only labels' levels and
+cells' sizes, while they are few. So the driver holds no rows.
+
 Exact copies collapse into one class first. Dense cells are dealt out as pairs of chunks; tasks return a count per
 vector and the spanning forest of the links, never the pairs, so no link is lost and rows stay in proportion.
 
@@ -32,7 +35,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, components, forest, gathered, materialize, prepare, table
+from .common import Scratch, components, forest, gathered, materialize, prepare, sent, shuffled, table
 
 MIN_COSINE, BLOCKS, CHUNK = 0.98, 8, 4096
 #: Coordinates of a block that the cells between tasks use, by the number of a label's vectors.
@@ -198,23 +201,24 @@ def near_vectors(vectors: DataFrame, min_cosine: float = MIN_COSINE, blocks: int
         kind = classes.schema["label"].dataType.simpleString()
         level = F.coalesce(*(F.when(F.col("c") <= most, level) for most, level in sorted(levels.items())))
         counted = classes.groupBy("label").agg(F.count("*").alias("c")).select("label", level.alias("level"))
-        leveled = classes.join(scratch.keep(counted, "vector-levels"), "label")
+        leveled = classes.join(sent(scratch.keep(counted, "vector-levels")), "label")
         gridded = leveled.where("level > 0").select("label", "v", "node", "level").mapInPandas(partial(_cells, budget=budget, blocks=blocks), f"label {kind}, block int, cell long, stored boolean, node long")
         whole = leveled.where("level = 0").select("label", F.lit(-1).alias("block"), F.lit(0).cast("long").alias("cell"), F.lit(True).alias("stored"), "node")
         cells = scratch.keep(whole.unionAll(gridded), "vector-cells")
         where = ["label", "block", "cell"]
         sizes = cells.groupBy(where).agg(F.count("*").alias("c"), F.max("stored").alias("any")).where("any AND c > 1").select(*where, F.ceil(F.col("c") / CHUNK).cast("int").alias("n"))
+        sizes = scratch.keep(sizes, "vector-sizes")
         # chunk pairs (i, j): chunk i's stored vectors meet all vectors of chunk j
         own = F.pmod(F.xxhash64("node"), F.col("n")).cast("int")
-        dealt = cells.join(sizes, where).withColumn("own", own)
+        dealt = cells.join(sent(sizes), where).withColumn("own", own)
         parts = F.expr("array_distinct(flatten(transform(sequence(0, n - 1), j -> IF(stored, array(own * n + j, j * n + own), array(j * n + own)))))")
         dealt = dealt.withColumn("part", F.explode(parts)).select(*where, "part", "stored", "node", (F.expr("part div n") == F.col("own")).alias("left"), (F.col("part") % F.col("n") == F.col("own")).alias("right"))
-        dealt = dealt.join(classes.select("node", "v", "size"), "node")
+        dealt = dealt.join(shuffled(classes.select("node", "v", "size")), "node")
         found = scratch.keep(dealt.repartition(*where, "part").sortWithinPartitions(*where, "part").mapInPandas(partial(_join, budget=budget, min_cosine=min_cosine, blocks=blocks), "u long, v long, n long"), "vector-links")
         named = components(found.select("u", "v"), scratch, "vector-components")
         counts = found.groupBy("u").agg(F.sum("n").alias("n"))
-        per_class = classes.join(counts, F.col("node") == F.col("u"), "left").drop("u").join(named, "node", "left").select("label", "v", (F.col("size") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component_id", "node").alias("component_id"))
-        out = rows.join(per_class, ["label", "v"], "left")
+        per_class = classes.join(shuffled(counts), F.col("node") == F.col("u"), "left").drop("u").join(shuffled(named), "node", "left").select("label", "v", (F.col("size") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component_id", "node").alias("component_id"))
+        out = rows.join(shuffled(per_class), ["label", "v"], "left")
         out = out.select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"), F.coalesce(F.coalesce("component_id", "vec_id") == F.col("vec_id"), F.lit(True)).alias("kept"))
         return materialize(out, "near-vectors")
 

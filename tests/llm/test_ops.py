@@ -147,6 +147,24 @@ def test_near_vectors_against_all_pairs(spark, monkeypatch, levels):
     assert embeddings.near_vectors(df.limit(0)).count() == 0
 
 
+def test_no_table_of_vectors_or_links_goes_through_the_driver(spark, monkeypatch):
+    monkeypatch.setattr(common, "SENT", 0, raising=False)  # no table counts as few rows
+    monkeypatch.setattr(common, "FEW", 0)
+    bus, store = spark.sparkContext._jsc.sc().listenerBus(), spark._jsparkSession.sharedState().statusStore()
+
+    def run() -> dict[int, str]:
+        bus.waitUntilEmpty()
+        return {e.executionId(): e.physicalPlanDescription() for e in map(store.executionsList().apply, range(store.executionsList().size()))}
+
+    r = np.random.default_rng(11)
+    rows = [(i, [float(x) for x in r.standard_normal(4)], i % 2) for i in range(60)]
+    rows += [(100 + i, rows[i][1][:3] + [rows[i][1][3] * 1.001], i % 2) for i in range(60)]
+    df, before = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), run()
+    got = [embeddings.near_vectors(df, levels=levels).where("n_links > 0").count() for levels in (embeddings.LEVELS, {1 << 62: 2})]
+    plans = [p for i, p in run().items() if i not in before]
+    assert got[0] == got[1] >= 120 and plans and not [p for p in plans if "BroadcastExchange" in p]
+
+
 def test_dense_cells_are_cut_into_parts(spark, monkeypatch):
     monkeypatch.setattr(embeddings, "CHUNK", 16)
     r = np.random.default_rng(5)
