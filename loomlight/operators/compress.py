@@ -10,7 +10,7 @@ from ..functions import metrics as M
 from ..functions import signatures as S
 from ..functions import text as T
 from ..functions.scanners import signature
-from ..sources.shared import cut, settled
+from ..sources.shared import cut, settled, shuffled
 from .keyed import KeptCache
 
 DEPTHS = ["signature", "structure", "summary", "full"]
@@ -29,8 +29,8 @@ def files(sources: DataFrame, depth: str = "signature", cache: DataFrame | None
     hits = None
     if cache is not None:
         kept = cache.select(F.col("file_path").alias("path"), "hash", F.col("content").alias("kept"), "tokens", "original_tokens", "hit_count")
-        hits = d.drop("content", "language").join(kept, ["path", "hash"])
-        d = d.join(kept.select("path", "hash"), ["path", "hash"], "left_anti")
+        hits = d.drop("content", "language").join(shuffled(kept), ["path", "hash"])
+        d = d.join(shuffled(kept.select("path", "hash")), ["path", "hash"], "left_anti")
     structure = T.structure_only(F.col("language"), F.lit(depth))
     d = d.withColumn("sig", signature(F.col("content"), T.grammar(F.col("path"), F.col("content"))))
     d = d.select("path", "language", F.when(structure, "structure").otherwise(depth).alias("type"), "content", S.view(F.col("content"), F.col("language"), depth, F.col("sig")).alias("view"))
@@ -54,7 +54,7 @@ def served(store: KeptCache, sources: DataFrame, depth: str, now_ms: int) -> Dat
     seen = cut(sources.select(F.col("path").alias("file_path"), M.content_hash(F.col("content")).alias("hash")), "served-seen")
     made = cut(files(sources, depth, cache=store.lookup(seen)), "served-views")
     store.check(seen, now_ms)
-    view = made.where("language <> 'cached'").join(seen.withColumnRenamed("file_path", "path").dropDuplicates(["path"]), "path")
+    view = made.where("language <> 'cached'").join(shuffled(seen.withColumnRenamed("file_path", "path").dropDuplicates(["path"])), "path")
     store.store(view.select(F.col("path").alias("file_path"), "hash", F.col("view").alias("content"), F.col("optimized_tokens").alias("tokens"), "original_tokens", "type", F.lit(0).cast("long").alias("hit_count"), F.lit(now_ms).cast("long").alias("updated_at")))
     return made
 

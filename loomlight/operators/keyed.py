@@ -8,7 +8,7 @@ readers keep the version that they opened, since the last KEPT versions stay. A
 unfinished is skipped.
 
 Totals, and whether a cap is exceeded, are read off the manifest; only then are times, keys and lengths looked at.
-The driver sees as many bucket numbers as there are buckets, never keys or rows.
+The driver sees as many bucket numbers as there are buckets, never keys or rows, but for few keys that a join sends to all tasks.
 
 Defined cases: rows without a key are refused; of several new rows of a key the newest is stored; a change without rows
 makes no version; keys that the store doesn't hold are ignored by hits and deletions.
@@ -25,7 +25,7 @@ from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.shared import cut
+from ..sources.shared import cut, sent, shuffled
 from . import cache as C
 
 BUCKETS, KEPT = 64, 2
@@ -164,7 +164,7 @@ class KeyedStore:
     def lookup(self, keys: DataFrame) -> DataFrame:
         """The rows of some keys, from the buckets of these."""
         keys = cut(keys.select(self.key).where(F.col(self.key).isNotNull()).distinct(), "kept-keys")
-        return self.frame(self.touched(keys)).join(keys, self.key, "left_semi")
+        return self.frame(self.touched(keys)).join(sent(keys), self.key, "left_semi")
 
     def get(self, key: str) -> DataFrame:
         """The row of one key: one bucket, and the key reaches the scan."""
@@ -197,7 +197,7 @@ class KeyedStore:
         return self.change(new, lambda old, rows: C.upsert(old, rows, self.key))
 
     def delete(self, keys: DataFrame) -> Version:
-        return self.change(keys.select(self.key).distinct(), lambda old, gone: C.delete(old, gone, self.key))
+        return self.change(keys.select(self.key).distinct(), lambda old, gone: C.delete(old, sent(gone), self.key))
 
     def clear(self) -> int:
         """Drop all rows; returns how many there were."""
@@ -212,7 +212,7 @@ class KeyedStore:
             return self.version
         slim = self.frame().select(self.key, "updated_at", F.col(self.content).alias("content"))
         kept = C.keep_chars(C.keep_newest(slim, rows, self.key), chars, self.key, batch, batches)
-        return self.delete(slim.select(self.key).join(kept.select(self.key), self.key, "left_anti"))
+        return self.delete(slim.select(self.key).join(shuffled(kept.select(self.key)), self.key, "left_anti"))
 
 
 # ---- the two stores
@@ -233,13 +233,13 @@ class KeptCache(KeyedStore):
 
     def record_hits(self, hits: DataFrame) -> Version:
         """Add hits(file_path, n, at)."""
-        return self.change(hits.select("file_path", "n", "at"), C.record_hits)
+        return self.change(hits.select("file_path", "n", "at"), lambda old, new: C.record_hits(old, sent(new)))
 
     def check(self, seen: DataFrame, now_ms: int) -> DataFrame:
         """The answers to seen(file_path, hash); hits are counted and entries of changed files go."""
         seen = cut(seen.select("file_path", "hash"), "kept-seen")
         answers = cut(C.checked(self.frame(self.touched(seen)), seen), "kept-answers")
-        self.change(answers.where("status <> 'miss'").select("file_path", "hash"), lambda old, d: C.after_check(old, d, now_ms))
+        self.change(answers.where("status <> 'miss'").select("file_path", "status"), lambda old, d: C.after_answers(old, sent(d), now_ms))
         return answers
 
 

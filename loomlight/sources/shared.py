@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Rows that a task of heavy work gets at least, the tasks that a table of some size has, and the rows that more tasks get.
 LEAST, TASKS, MOST = 2500, 64, 20_000
+#: Rows of a narrow table that a join may send to all tasks.
+SENT = 10_000
 
 
 def folder(spark: SparkSession) -> str:
@@ -31,6 +33,20 @@ def cut(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """df as a side of a join that never goes through the driver.
+
+    The planner decides by compressed bytes, or by those of the columns that an expression begins with; what it would
+    have the driver gather and send to all tasks can be far larger.
+    """
+    return df.hint("merge")
+
+
+def sent(df: DataFrame) -> DataFrame:
+    """A table that was cut, of narrow rows, as a side of a join: sent to all tasks only while its counted rows are few."""
+    return F.broadcast(df) if df.count() <= SENT else shuffled(df)
+
+
 def spread(df: DataFrame, *by: str) -> DataFrame:
     """df dealt out over enough tasks for work that costs far more than reading the rows does.
 

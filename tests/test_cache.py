@@ -79,6 +79,18 @@ def test_caps_by_ranges(spark, batch, batches, chars):
     assert C.keep_chars(df.limit(0), chars).count() == 0
 
 
+@pytest.mark.parametrize("top", [0, C.CACHE_ROWS])
+def test_newest_rows_by_ranges(spark, monkeypatch, top):
+    """Whatever the cap, also one beyond a limit's numbers, the rows are those of the top-k."""
+    monkeypatch.setattr(C, "TOP", top, raising=False)
+    rows = [(f"f{i}", "x", None if i % 11 == 0 else i % 7) for i in range(100)]
+    order = sorted(sorted(rows, key=lambda r: r[0], reverse=True), key=lambda r: -1 if r[2] is None else r[2])
+    df = spark.createDataFrame(rows, "file_path string, content string, updated_at long").repartition(5)
+    for n in (0, 1, 42, 99, 100, 1 << 40):
+        assert {r.file_path for r in C.keep_newest(df, n).collect()} == {r[0] for r in order[max(0, 100 - n) :]}
+    assert C.keep_newest(df.limit(0), 1 << 40).count() == 0
+
+
 def test_caps_are_filters(spark):
     """Contents take part in no shuffle: the plan of what stays is the scan with a filter."""
     df = spark.createDataFrame([(f"f{i}", "x" * i, i) for i in range(50)], "file_path string, content string, updated_at long")

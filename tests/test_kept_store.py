@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from loomlight.operators import cache as C
 from loomlight.operators import compress as Z
 from loomlight.operators.keyed import MEMORY, Conflict, KeptCache, KeptMemory
+from loomlight.plans import kept
+from loomlight.sources import shared
 
 
 def memory(spark, rows):
@@ -88,3 +90,31 @@ def test_views_are_stored_after_a_miss(spark, tmp_path):
     assert all(second[f"/a/{i}.ts"].view == views[f"/a/{i}.ts"] for i in range(1, 6))
     kept = {r.file_path: r for r in store.frame().collect()}
     assert kept["/a/0.ts"].hit_count == 0 and kept["/a/1.ts"].hit_count == 1 and kept["/a/1.ts"].updated_at == 20
+
+
+def test_a_cap_on_characters_holds_whatever_the_cap_on_rows(spark, tmp_path):
+    store = KeptCache(spark, f"file://{tmp_path}", buckets=4, rows=1 << 40, chars=100)
+    store.store(spark.range(300).selectExpr("concat('f', id) AS file_path", "'h' AS hash", "IF(id < 295, 'xx', 'x') AS content", "1L AS tokens", "1L AS original_tokens", "'t' AS type", "0L AS hit_count", "id AS updated_at"))
+    # two batches of 200 rows would go for the characters of the first, but 300 rows are all there are
+    assert store.version.rows == 0
+    store.store(spark.range(230).selectExpr("concat('g', id) AS file_path", "'h' AS hash", "'x' AS content", "1L AS tokens", "1L AS original_tokens", "'t' AS type", "0L AS hit_count", "id AS updated_at"))
+    assert {r.file_path for r in store.frame().collect()} == {f"g{i}" for i in range(200, 230)}
+
+
+def test_every_file_is_served_again_beyond_the_caps_of_a_cache(spark, monkeypatch):
+    """More characters than a cache of the usual caps holds, and no table of files that the driver would hold."""
+    defaults = KeptCache.__init__.__defaults__
+    monkeypatch.setattr(KeptCache.__init__, "__defaults__", (*defaults[:-1], 1000))
+    monkeypatch.setattr(shared, "SENT", 0, raising=False)  # no table counts as few rows
+    bus, store = spark.sparkContext._jsc.sc().listenerBus(), spark._jsparkSession.sharedState().statusStore()
+
+    def run() -> dict[int, str]:
+        bus.waitUntilEmpty()
+        return {e.executionId(): e.physicalPlanDescription() for e in map(store.executionsList().apply, range(store.executionsList().size()))}
+
+    before, folder = run(), "/root/testdata/sf0.001"
+    got = kept.served_views(spark, folder).groupBy("came", "hit_count").count().collect()
+    n = spark.read.parquet(f"{folder}/part.parquet").selectExpr("p_partkey % 3 = 0 AS changed").groupBy("changed").count().collect()
+    n = {r.changed: r["count"] for r in n}
+    assert {(r.came, r.hit_count): r["count"] for r in got} == {("made", 0): n[True], ("cached", 1): n[False]}
+    assert not [p for i, p in run().items() if i not in before and "BroadcastExchange" in p]
